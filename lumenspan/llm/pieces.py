@@ -15,6 +15,8 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -130,48 +132,97 @@ def build(model: Model, normalise: bool = True):
     return out
 
 
+# ASCII punctuation that may follow a word.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class Encoder:
-    """Encodes and decodes texts; holds up to ``most`` distinct runs."""
+    """Encodes and decodes texts; holds a bounded number of distinct runs and parts of runs.
 
-    def __init__(self, path: str, verify: bool = True, most: int = 400_000):
+    A run of a word and punctuation is two parts if no piece has the two characters that meet between them.
+    """
+
+    def __init__(self, path: str, verify: bool = True, most: int = 500_000):
         with open(path, "rb") as f:
             data = f.read()
         self.model, self.most, self.verify = parse_model(data), most, verify
         self.whole, self.run = build(self.model), build(self.model, normalise=False)
-        self.by_runs = not any(re.search(f"[^{MARK}]{MARK}|\n", p) for p, _, kind in self.model.pieces if kind in (NORMAL, USER))
+        normal = [p for p, _, kind in self.model.pieces if kind in (NORMAL, USER)]
+        self.by_runs = not any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in normal)
+        self.meet = {pair for p in normal for pair in pairwise(p)}
         self.known: dict[str, tuple[bytes, bool, bool]] = {}
-        if verify:
-            import sentencepiece
+        self.parts: dict[str, tuple[bytes, bool, bool]] = {}
+        self.bad: set[str] = set()  # runs without parity or round trip
+        self.feed = self.run.encode("\n", add_special_tokens=False).ids
+        import sentencepiece
 
-            self.check = sentencepiece.SentencePieceProcessor(model_proto=data)
+        self.check = sentencepiece.SentencePieceProcessor(model_proto=data)
 
-    def _expected(self, runs: list[str]) -> list[list[int]]:
-        """Ids of runs by the sentencepiece library: its own leading marker, or a line feed, stands before each."""
-        if not self.by_runs:
-            return self.check.encode([r.replace(MARK, " ")[self.model.dummy_prefix :] for r in runs])
-        led = [r.startswith(MARK) and self.model.dummy_prefix for r in runs]
-        ids = self.check.encode([r[1:].replace(MARK, " ") if x else "\n" + r.replace(MARK, " ") for r, x in zip(runs, led, strict=True)])
+    def _encode_parts(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of parts by both libraries: in long texts with line feeds between, where these stand alone."""
+        if not self.by_runs or len(self.feed) != 1:
+            got = [e.ids for e in self.run.encode_batch(parts, add_special_tokens=False)]
+            return got, self.check.encode([p.replace(MARK, " ")[self.model.dummy_prefix :] for p in parts])
+        groups = [parts[k : k + 64] for k in range(0, len(parts), 64)]
+        joined = ["\n" + "\n".join(g) for g in groups]
+        got = self._cut([e.ids for e in self.run.encode_batch(joined, add_special_tokens=False)], 1)
+        if not self.verify:
+            return got, got
         lead = len(self.check.encode("\n"))
-        return [i if x else i[lead:] for i, x in zip(ids, led, strict=True)]
+        return got, self._cut(self.check.encode([j.replace(MARK, " ") for j in joined]), lead)
+
+    def _cut(self, ids: list[list[int]], lead: int) -> list[list[int]]:
+        out, feed = [], self.feed[0]
+        for each in ids:
+            now: list[int] = []
+            for i in each[lead:]:
+                if i == feed:
+                    out.append(now)
+                    now = []
+                else:
+                    now.append(i)
+            out.append(now)
+        return out
+
+    def _split(self, run: str) -> tuple[str, ...]:
+        head = run.rstrip(PUNCTUATION)
+        if not head or len(head) == len(run) or (head[-1], run[len(head)]) in self.meet:
+            return (run,)
+        return head, run[len(head) :]
+
+    def _learn(self, runs: list[str]) -> None:
+        split = {r: self._split(r) for r in runs if r != "\n"}
+        fresh = list({p for parts in split.values() for p in parts if p not in self.parts})
+        if fresh:
+            got, want = self._encode_parts(fresh)
+            back = self.run.decode_batch(want, skip_special_tokens=False)
+            for p, e, w, b in zip(fresh, got, want, back, strict=True):
+                self.parts[p] = np.array(w, "<i4").tobytes(), e == w, b == p
+        for r, parts in split.items():
+            each = [self.parts[p] for p in parts]
+            self.known[r] = b"".join([x[0] for x in each]), all(x[1] for x in each), all(x[2] for x in each)
+        self.known["\n"] = np.array(self.feed, "<i4").tobytes(), True, True
 
     def encode(self, data: list[str]) -> list[tuple[np.ndarray, bool, bool]]:
         """For each text: ids, whether both libraries agree, whether decoding gives the text back."""
         normal = [self.whole.normalizer.normalize_str(t) if t else "" for t in data]
         runs = [RUN.findall(t) if self.by_runs else [t] * bool(t) for t in normal]
-        fresh = list({r for each in runs for r in each if r not in self.known})
-        got = self.run.encode_batch(fresh, add_special_tokens=False) if fresh else []
-        want = self._expected(fresh) if fresh and self.verify else [None] * len(fresh)
-        back = self.run.decode_batch([e.ids for e in got], skip_special_tokens=False) if fresh else []
-        for r, e, w, b in zip(fresh, got, want, back, strict=True):
-            same = w is None or e.ids == w
-            self.known[r] = np.array(e.ids if same else w, "<i4").tobytes(), same, b == r
+        known = self.known
+        fresh = list({r for each in runs for r in each if r not in known})
+        if fresh:
+            self._learn(fresh)
+        self.bad.update(r for r in fresh if not (known[r][1] and known[r][2]))
         out = []
         for text, norm, each in zip(data, normal, runs, strict=True):
-            parts = [self.known[r] for r in each]
+            ids = np.frombuffer(b"".join([known[r][0] for r in each]), "<i4")
             whole = norm.replace(MARK, " ")[self.model.dummy_prefix and bool(norm) :] == text
-            out.append((np.frombuffer(b"".join([p[0] for p in parts]), "<i4"), all(p[1] for p in parts), whole and all(p[2] for p in parts)))
-        if len(self.known) > self.most:
-            self.known.clear()
+            odd = self.bad.intersection(each) if self.bad else ()
+            out.append((ids, all(known[r][1] for r in odd), whole and all(known[r][2] for r in odd)))
+        if len(known) > self.most:
+            known.clear()
+            self.bad.clear()
+        if len(self.parts) > self.most:
+            self.parts.clear()
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
@@ -179,6 +230,10 @@ class Encoder:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
 
 
+#: Kept in a worker from task to task.
+kept_encoder = lru_cache(maxsize=1)(Encoder)
+
+
 def encoded(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
     """Columns ``keep`` of ``docs`` and ``n_tokens, ids_crc32, parity, round_trip`` (and ``ids``) of each whole text.
 
@@ -190,7 +245,7 @@ def encoded(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), ids
     bounded_batches(docs.sparkSession, 500)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = kept_encoder(path)
         for batch in batches:
             done = encoder.encode([t.decode() for t in texts(batch)])
             made = [pa.array([x.size for x, _, _ in done], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x, _, _ in done], pa.int64()), pa.array([p for _, p, _ in done]), pa.array([r for _, _, r in done])]

@@ -11,6 +11,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,8 @@ def repair(ids: np.ndarray, vocabulary: int, rounds: int = 6, pairs: int = 4096,
         code = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
         bucket = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
         counts = np.bincount(bucket, minlength=1 << 20)
-        least = max(8, int(np.partition(counts, -pairs)[-pairs]))
+        held = np.bincount(np.minimum(counts, 4095))  # how many buckets have each count
+        least = max(8, int(np.searchsorted(-np.cumsum(held[::-1]), -pairs, "right")))
         some = np.flatnonzero(counts[bucket] >= least)
         found, n = np.unique(code[some], return_counts=True)
         best = np.argsort(-n, kind="stable")[:pairs]
@@ -131,30 +133,73 @@ class Shard:
         return expand(self.symbols[lo : hi + 1], self.rules, self.vocabulary)[skip : skip + end - start]
 
 
+# ASCII punctuation but the apostrophe, which the model's splitter joins to letters.
+PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class WordCache:
-    """Ids of texts by the tokenizers library, each run of non-space encoded once.
+    """Ids of texts by the tokenizers library, each distinct run of non-space encoded once.
 
-    The model drops white space and no token spans it, so a text's ids are those of its runs.
+    The model drops white space, lower-cases, and splits letters from punctuation, and no token spans such a split; so
+    a text's ids are those of its runs, and those of letters with punctuation behind are the two parts'. Parts go to
+    the library in long joined texts; a token that ends a word ends a part. Where the ends don't add up (letters that
+    become others in lower case), and for all other runs, runs are encoded one by one. The caches are bounded.
     """
 
-    def __init__(self, path: str, dtype: str, most: int = 400_000):
+    def __init__(self, path: str, dtype: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.most = Tokenizer.from_file(path), dtype, most
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {b"": b""}
+
+    def _ids(self, texts_: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts_, add_special_tokens=False)]
+
+    def _learn(self, parts: list[bytes]) -> None:
+        groups = [parts[k : k + 500] for k in range(0, len(parts), 500)]
+        for group, ids in zip(groups, self._ids([b" ".join(g).decode() for g in groups]), strict=True):
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if cuts.size == len(group):
+                data, size = ids.tobytes(), ids.itemsize
+                for w, lo, hi in zip(group, [0, *cuts.tolist()], cuts.tolist(), strict=False):
+                    self.parts[w] = data[lo * size : hi * size]
+            else:
+                self.parts.update(zip(group, (x.tobytes() for x in self._ids([w.decode() for w in group])), strict=True))
 
     def encode(self, data: list[bytes]) -> list[bytes]:
         runs = [t.split() for t in data]
-        fresh = list({w for r in runs for w in r if w not in self.known})
-        for k, e in enumerate(self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False) if fresh else ()):
-            self.known[fresh[k]] = np.array(e.ids, self.dtype).tobytes()
-        known = self.known
+        known, parts = self.known, self.parts
+        fresh, single, joined = {}, [], {}
+        for w in {w for r in runs for w in r if w not in known}:
+            low = w.lower()
+            head = low.rstrip(PUNCTUATION)
+            if not head or head.decode().isalpha():
+                fresh[w] = head, low[len(head) :]
+                joined.update((x, None) for x in fresh[w] if x not in parts)
+            else:
+                single.append(w)
+        if joined:
+            self._learn(list(joined))
+        known.update((w, parts[head] + parts[tail]) for w, (head, tail) in fresh.items())
+        if single:
+            known.update(zip(single, (x.tobytes() for x in self._ids([w.decode() for w in single])), strict=True))
         out = [b"".join([known[w] for w in r]) for r in runs]
         if len(known) > self.most:
             known.clear()
+        if len(parts) > self.most:
+            parts.clear()
+            parts[b""] = b""
         return out
 
 
+#: Kept in a worker from task to task.
+word_cache = lru_cache(maxsize=1)(WordCache)
+
+
 def encoded(docs: DataFrame, path: str, end_id: int, dtype: str) -> DataFrame:
     """``doc_id, ids`` (binary, little-endian ``dtype``), the end id appended."""
     bounded_batches(docs.sparkSession, 500)
@@ -162,7 +207,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, dtype: str) -> DataFrame:
     end = np.array([end_id], dtype).tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordCache(path, dtype)
+        words = word_cache(path, dtype)
         for batch in batches:
             ids = [x + end for x in words.encode(list(texts(batch)))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
