@@ -230,8 +230,10 @@ class Encoder:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
 
 
-#: Kept in a worker from task to task.
-kept_encoder = lru_cache(maxsize=1)(Encoder)
+@lru_cache(maxsize=1)
+def kept_encoder(path: str) -> Encoder:
+    """Kept in a worker from task to task."""
+    return Encoder(path)
 
 
 def encoded(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:

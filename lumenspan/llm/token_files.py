@@ -196,8 +196,10 @@ class WordCache:
         return out
 
 
-#: Kept in a worker from task to task.
-word_cache = lru_cache(maxsize=1)(WordCache)
+@lru_cache(maxsize=1)
+def word_cache(path: str, dtype: str) -> WordCache:
+    """Kept in a worker from task to task."""
+    return WordCache(path, dtype)
 
 
 def encoded(docs: DataFrame, path: str, end_id: int, dtype: str) -> DataFrame:
