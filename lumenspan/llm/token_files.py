@@ -8,6 +8,7 @@ decoded by expanding only the symbols that cover it.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -15,49 +16,58 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import bounded_batches, shared_folder, texts, written
+from lumenspan.llm.common import bounded_batches, shared_folder, written
 from lumenspan.llm.files import Writer, opened
 
 MAGIC = b"RPG1"
 HEAD = struct.Struct("<4sIIIQ")  # magic, first nonterminal, rules, symbols, ids
 
 
-def repair(ids: np.ndarray, vocabulary: int, rounds: int = 6, pairs: int = 4096, gain: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
-    """Rules (rows of two symbols; row k defines symbol ``vocabulary + k``) and the remaining symbols."""
+def repair(ids: np.ndarray, vocabulary: int, rounds: int = 4, pairs: int = 4096, gain: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
+    """Rules (rows of two symbols; row k defines symbol ``vocabulary + k``) and the remaining symbols.
+
+    A round counts pairs by a 20-bit hash first; only members of the most frequent hashes are counted exactly.
+    """
     s, rules = ids.astype(np.uint32), []
     known = vocabulary
     for _ in range(rounds):
         if s.size < 16:
             break
-        code = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
-        bucket = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
+        a, b = s[:-1], s[1:]
+        bucket = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(12)
         counts = np.bincount(bucket, minlength=1 << 20)
-        held = np.bincount(np.minimum(counts, 4095))  # how many buckets have each count
-        least = max(8, int(np.searchsorted(-np.cumsum(held[::-1]), -pairs, "right")))
-        some = np.flatnonzero(counts[bucket] >= least)
-        found, n = np.unique(code[some], return_counts=True)
+        held = np.cumsum(np.bincount(np.minimum(counts, 4095), minlength=4096)[::-1])  # buckets with at least each count
+        least = max(8, 4095 - int(np.searchsorted(held, pairs)))
+        some = np.flatnonzero((counts >= least)[bucket])
+        found, n = np.unique((a[some].astype(np.uint64) << np.uint64(32)) | b[some], return_counts=True)
         best = np.argsort(-n, kind="stable")[:pairs]
-        chosen = np.sort(found[best[n[best] >= 8]])
-        if not chosen.size:
+        best = np.sort(best[n[best] >= 8])
+        if not best.size:
             break
-        at = np.searchsorted(chosen, code[some])
-        at[at == chosen.size] = 0
-        hit = chosen[at] == code[some]
-        where, which = some[hit], at[hit]
+        left, right = (found[best] >> np.uint64(32)).astype(np.uint32), found[best].astype(np.uint32)
+        rule = np.full(1 << 20, best.size, np.int32)  # of two chosen pairs with one hash, one waits for a later round
+        rule[(left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(12)] = np.arange(best.size, dtype=np.int32)
+        which = rule[bucket[some]]
+        left, right = np.append(left, np.uint32(0xFFFFFFFF)), np.append(right, np.uint32(0xFFFFFFFF))
+        hit = (left[which] == a[some]) & (right[which] == b[some])
+        where, which = some[hit], which[hit]
         first = np.concatenate(([True], np.diff(where) != 1))  # runs of overlapping pairs: every other one
-        begun = np.maximum.accumulate(np.where(first, np.arange(where.size), 0))
-        even = (np.arange(where.size) - begun) % 2 == 0
+        even = np.ones(where.size, bool)
+        if not first.all():
+            begun = np.maximum.accumulate(np.where(first, np.arange(where.size), 0))
+            even = (np.arange(where.size) - begun) % 2 == 0
         where, which = where[even], which[even]
         saved = where.size / s.size
         s[where] = known + which
         keep = np.ones(s.size, bool)
         keep[where + 1] = False
         s = s[keep]
-        rules.append(np.stack([(chosen >> np.uint64(32)).astype(np.uint32), (chosen & np.uint64(0xFFFFFFFF)).astype(np.uint32)], axis=1))
-        known += chosen.size
+        rules.append(np.stack([left[:-1], right[:-1]], axis=1))
+        known += best.size
         if saved < gain:
             break
     return np.concatenate([np.zeros((0, 2), np.uint32), *rules]), s
@@ -133,67 +143,81 @@ class Shard:
         return expand(self.symbols[lo : hi + 1], self.rules, self.vocabulary)[skip : skip + end - start]
 
 
-# ASCII punctuation but the apostrophe, which the model's splitter joins to letters.
-PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# ASCII punctuation but the apostrophe, which the model's splitter may join to letters, and letters
+# (a-z and those from U+00DF to U+024F) as the model's splitter knows them.
+MARKS = r"[!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]"
+LETTER = "[a-z\u00df-\u00f6\u00f8-\u024f]"
 
 
 class WordCache:
-    """Ids of texts by the tokenizers library, each distinct run of non-space encoded once.
+    """Ids of texts by the tokenizers library, each distinct word encoded once.
 
-    The model drops white space, lower-cases, and splits letters from punctuation, and no token spans such a split; so
-    a text's ids are those of its runs, and those of letters with punctuation behind are the two parts'. Parts go to
-    the library in long joined texts; a token that ends a word ends a part. Where the ends don't add up (letters that
-    become others in lower case), and for all other runs, runs are encoded one by one. The caches are bounded.
+    The model lower-cases, drops white space and splits letters from the marks that follow them, and no token spans
+    such a split. So texts are lower-cased (A-Z), parted there by a space and split at white space; the distinct
+    words of a batch are encoded (in long joined texts: a token that ends a word ends a part) and their ids dealt
+    back. Texts that hold a special token's string are encoded as they are, and words whose ends don't add up one by
+    one. The cache is bounded.
     """
 
-    def __init__(self, path: str, dtype: str, most: int = 600_000):
+    def __init__(self, path: str, dtype: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.most = Tokenizer.from_file(path), dtype, most
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {b"": b""}
-
-    def _ids(self, texts_: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts_, add_special_tokens=False)]
-
-    def _learn(self, parts: list[bytes]) -> None:
-        groups = [parts[k : k + 500] for k in range(0, len(parts), 500)]
-        for group, ids in zip(groups, self._ids([b" ".join(g).decode() for g in groups]), strict=True):
+        self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)"
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _ids(self, some: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """A word of letters, or of marks, is one part; others may be several."""
+        plain = [w for w in words if w.isalpha() or re.fullmatch(f"{MARKS}+", w)]
+        other = [w for w in words if not (w.isalpha() or re.fullmatch(f"{MARKS}+", w))]
+        groups = [plain[k : k + 500] for k in range(0, len(plain), 500)]
+        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups]), strict=True):
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if cuts.size == len(group):
                 data, size = ids.tobytes(), ids.itemsize
                 for w, lo, hi in zip(group, [0, *cuts.tolist()], cuts.tolist(), strict=False):
-                    self.parts[w] = data[lo * size : hi * size]
-            else:
-                self.parts.update(zip(group, (x.tobytes() for x in self._ids([w.decode() for w in group])), strict=True))
-
-    def encode(self, data: list[bytes]) -> list[bytes]:
-        runs = [t.split() for t in data]
-        known, parts = self.known, self.parts
-        fresh, single, joined = {}, [], {}
-        for w in {w for r in runs for w in r if w not in known}:
-            low = w.lower()
-            head = low.rstrip(PUNCTUATION)
-            if not head or head.decode().isalpha():
-                fresh[w] = head, low[len(head) :]
-                joined.update((x, None) for x in fresh[w] if x not in parts)
+                    self.known[w] = data[lo * size : hi * size]
             else:
-                single.append(w)
-        if joined:
-            self._learn(list(joined))
-        known.update((w, parts[head] + parts[tail]) for w, (head, tail) in fresh.items())
-        if single:
-            known.update(zip(single, (x.tobytes() for x in self._ids([w.decode() for w in single])), strict=True))
-        out = [b"".join([known[w] for w in r]) for r in runs]
+                other += group
+        self.known.update(zip(other, (x.tobytes() for x in self._ids(other)), strict=True) if other else ())
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts (null: empty), and how many each text has."""
+        column = pa.array([x or "" for x in column.to_pylist()], pa.large_string())  # anew: ascii_lower goes wrong on a slice
+        whole = pc.match_substring_regex(column, self.special).to_numpy(zero_copy_only=False)
+        if whole.any():
+            return self._one_by_one(column)
+        parted = pc.replace_substring_regex(pc.ascii_lower(column), f"({LETTER})({MARKS})", r"\1 \2")
+        for space in "\t\n\x0b\x0c\r":
+            parted = pc.replace_substring(parted, space, " ")
+        split = pc.split_pattern(parted, " ")
+        words = split.flatten().dictionary_encode()
+        names, at = words.dictionary.to_pylist(), words.indices.to_numpy()
+        known = self.known
         if len(known) > self.most:
             known.clear()
-        if len(parts) > self.most:
-            parts.clear()
-            parts[b""] = b""
-        return out
+            known[""] = b""
+        fresh = [w for w in names if w not in known]
+        if fresh:
+            self._learn(fresh)
+        held = [known[w] for w in names]
+        flat = np.frombuffer(b"".join(held), self.dtype)
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // np.dtype(self.dtype).itemsize
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(held) else sizes
+        each = sizes[at]
+        upto = np.concatenate(([0], np.cumsum(each)))
+        ids = flat[np.repeat(starts[at] - upto[:-1], each) + np.arange(upto[-1])]
+        return ids, np.diff(upto[split.offsets.to_numpy() - split.offsets[0].as_py()])
+
+    def _one_by_one(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._ids(column.to_pylist())
+        return np.concatenate(ids), np.array([x.size for x in ids], np.int64)
 
 
 @lru_cache(maxsize=1)
@@ -204,15 +228,18 @@ def word_cache(path: str, dtype: str) -> WordCache:
 
 def encoded(docs: DataFrame, path: str, end_id: int, dtype: str) -> DataFrame:
     """``doc_id, ids`` (binary, little-endian ``dtype``), the end id appended."""
-    bounded_batches(docs.sparkSession, 500)
+    bounded_batches(docs.sparkSession, 2000)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    end = np.array([end_id], dtype).tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_cache(path, dtype)
         for batch in batches:
-            ids = [x + end for x in words.encode(list(texts(batch)))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            if batch.num_rows:
+                ids, sizes = words.encode(batch.column("text"))
+                ids = np.insert(ids, np.cumsum(sizes), end_id)
+                ends = np.concatenate(([0], np.cumsum(sizes + 1))) * ids.itemsize
+                data = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), data.cast(pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, ids binary")
 
