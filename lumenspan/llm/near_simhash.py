@@ -178,10 +178,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
 def representatives(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """One row of ``docs`` for each class of :func:`near_duplicates`, all columns: that with the smallest ``doc_id``.
 
-    Rows of that id are told apart by text; the one with the smallest text hash stays, and of equal rows one. A class
-    of null ids keeps one row as well.
+    Of several rows with that id one stays, by text hash. Rows without an id can't be named and all stay. Texts are
+    shuffled once, by id; the window after the join needs no other dealing.
     """
-    classes = near_duplicates(docs, shingle, radius)
-    stay = classes.select(F.col("component_id").alias("_id")).distinct()
-    first = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_id"))).drop("_id")
-    return first.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).withColumn("_least", F.min("_hash").over(Window.partitionBy("doc_id"))).where("_hash <=> _least").select(*docs.columns)
+    stay = near_duplicates(docs, shingle, radius).where("component_id is not null").select(F.col("component_id").alias("_id")).distinct()
+    first = docs.where("doc_id is not null").join(stay, F.col("doc_id") == F.col("_id"))
+    at = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    one = first.withColumn("_at", at).where("_at = 1").select(*docs.columns)
+    return one.unionByName(docs.where("doc_id is null"))
