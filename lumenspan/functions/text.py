@@ -34,14 +34,14 @@ def practical(texts: pd.Series) -> pd.Series:
     """Compatibility form without white space, punctuation and symbols. Spark has no such builtin; each distinct text of
     a batch is folded once."""
     made = {t: _practical(t) for t in texts.dropna().unique()}
-    return texts.map(made)
+    return pd.Series([made.get(t) for t in texts], dtype=object)
 
 
 @F.pandas_udf(StringType())
 def relaxed(texts: pd.Series) -> pd.Series:
     """:func:`practical` without long-vowel and wave marks."""
     made = {t: _practical(t, RELAXED) for t in texts.dropna().unique()}
-    return texts.map(made)
+    return pd.Series([made.get(t) for t in texts], dtype=object)
 
 
 def edit_distance(a: str, b: str) -> int:
