@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lumenspan.llm.common import bounded_batches, texts
+from lumenspan.llm.common import bounded_batches, texts, written
 
 PLACES = 1 << 18
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -130,7 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Machine:
             found = [np.unique(np.array([p for w in distinct_words(t) for p in places(w)], "<i4")).tobytes() for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int32()), pa.array(found, pa.binary())], ["doc_id", "toxic", "places"])
 
-    got = sorted((r[0], bytes(r[2]), r[1]) for r in sample.mapInArrow(run, "doc_id long, toxic int, places binary").toLocalIterator())
+    found = written(sample.mapInArrow(run, "doc_id long, toxic int, places binary"), "sample")
+    got = sorted((r[0], bytes(r[2]), r[1]) for r in found.toLocalIterator())
     return train([np.frombuffer(p, "<i4").astype(np.int64) for _, p, _ in got], np.array([t > 0 for *_, t in got], bool).astype(float))
 
 
