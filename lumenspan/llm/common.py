@@ -64,6 +64,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(uri)
 
 
+def work_partitions(spark: SparkSession) -> int:
+    """A fixed number of partitions for small rows that stand for much work, which must not be merged by their bytes."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches of long texts small: at most ``rows`` rows and 16 MB where Spark can bound bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

@@ -15,13 +15,14 @@ Postings come as a sorted stream, 8 bytes a member, whatever their size.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenspan.llm.common import bounded_batches, per_batch, texts, written
@@ -121,39 +122,52 @@ def _posting_links(radius: int):
             yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000].view(np.int64)) for x in (u, v)], ["u", "v"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # the key that the last batch ended with
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, fps = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            fps = fps.view(np.uint64)
-            if keys[0] != keys[-1] or (held and held[0][0][0] != keys[0]):
-                last = int(np.searchsorted(keys, keys[-1]))
-                ready = [*held, (keys[:last], fps[:last])]
-                yield from links(np.concatenate([x for x, _ in ready]), np.concatenate([x for _, x in ready]))
-                held, keys, fps = [], keys[last:], fps[last:]
-            held.append((keys.copy(), fps.copy()))
-        if held:
-            yield from links(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+        for keys, table in whole_groups(batches):
+            yield from links(keys, table.column("fp").to_numpy().view(np.uint64))
 
     return run
 
 
-def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """``fp`` → ``(u, v)`` links between distinct fingerprints, with the components of all links within ``radius``."""
+def whole_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """Batches sorted by their first column, ``key``, in pieces that hold each key's rows together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        last = int(np.searchsorted(keys, keys[-1]))
+        if last or (held and held[-1].column(0)[0].as_py() != keys[-1]):
+            ready = pa.Table.from_batches([*held, batch.slice(0, last)], batch.schema)
+            held = []
+            if ready.num_rows:
+                yield ready.column(0).to_numpy(), ready
+        held.append(batch.slice(last))
+    if held:
+        ready = pa.Table.from_batches(held)
+        yield ready.column(0).to_numpy(), ready
+
+
+def posting_keys(radius: int) -> Column:
+    """Array of a fingerprint's posting keys: the number of a set of positions, and the bytes there."""
     if not 0 <= radius < BYTES:
         raise ValueError("the radius must leave a guaranteed shared byte: 0 to 7 bits")
     keys = []
-    for n, s in enumerate(position_sets(BYTES - radius)):
-        parts = [F.shiftright("fp", 8 * p).bitwiseAND(F.lit(255)) for p in s]
-        if len(s) <= 6:
+    for n, some in enumerate(position_sets(BYTES - radius)):
+        parts = [F.shiftright("fp", 8 * p).bitwiseAND(F.lit(255)) for p in some]
+        if len(some) <= 6:
             key = F.lit(n)
-            for p in parts:
-                key = F.shiftleft(key.cast("long"), 8).bitwiseOR(p)
+            for part in parts:
+                key = F.shiftleft(key.cast("long"), 8).bitwiseOR(part)
         else:
             key = F.xxhash64(F.lit(n), *parts)  # a clash only adds comparisons
         keys.append(key.cast("long"))
-    postings = fps.select("fp").distinct().select(F.explode(F.array(*keys)).alias("key"), "fp")
+    return F.array(*keys)
+
+
+def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
+    """``fp`` → ``(u, v)`` links between distinct fingerprints, with the components of all links within ``radius``."""
+    keys = posting_keys(radius)
+    postings = fps.select("fp").distinct().select(F.explode(keys).alias("key"), "fp")
     return postings.repartition("key").sortWithinPartitions("key").mapInArrow(_posting_links(radius), "u long, v long")
 
 
@@ -175,13 +189,120 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     return fps.join(by_fp, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """One row of ``docs`` for each class of :func:`near_duplicates`, all columns: that with the smallest ``doc_id``.
+BINS = 128
+
+
+def word_fingerprint(words: list[bytes]) -> int:
+    """64-bit SimHash of words by frequency: it moves little under a few edits. No words: 0."""
+    counts = Counter(words)
+    weights = np.fromiter(counts.values(), np.int64, len(counts))
+    votes = np.zeros(64, np.int64)
+    names = list(counts)
+    for at in range(0, len(names), 1 << 15):
+        h = np.array([xxhash.xxh64_intdigest(w, 42) for w in names[at : at + (1 << 15)]], np.uint64)
+        votes += weights[at : at + (1 << 15)] @ (2 * np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64) - 1)
+    return int(np.packbits(votes > 0, bitorder="little").view("<u8")[0])
+
+
+def signature(words: list[bytes], shingle: int = 5) -> bytes:
+    """A byte for each of 128 bins of the shingles' hashes, of the smallest hash in it; 0: an empty bin."""
+    out = np.zeros(BINS, np.uint8)
+    if words:
+        joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+        if len(words) <= shingle:
+            h = np.array([digest(joined, 1)], np.uint64)
+        else:
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+            starts = np.concatenate(([0], ends[:-1] + 1))
+            h = np.array([digest(joined[s:e], 1) for s, e in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=False)], np.uint64)
+        h.sort()
+        bins = (h >> np.uint64(57)).astype(np.int64)
+        first = np.concatenate(([True], np.diff(bins) != 0))
+        out[bins[first]] = 1 + h[first] % np.uint64(255)
+    return out.tobytes()
+
+
+def alike(some: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of signatures (rows) and one: equal bins by bins that either fills."""
+    filled = (some > 0) | (one > 0)
+    return ((some == one) & filled).sum(axis=1) / np.maximum(1, filled.sum(axis=1)) + (filled.sum(axis=1) == 0)
+
+
+def verified_links(fps: np.ndarray, signatures: np.ndarray, radius: int, least: float) -> list[tuple[int, int]]:
+    """Spanning links of the graph of rows within ``radius`` bits and of ``least`` similarity: pairs of row numbers."""
+    left, out, minimum = np.arange(fps.size), [], BYTES - radius
+    while left.size > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and left.size:
+            at = queue.pop()
+            near = _near(fps[left], fps[at], radius, minimum)
+            near[near] = alike(signatures[left[near]], signatures[at]) >= least
+            if near.any():
+                got, left = left[near], left[~near]
+                out += [(int(k), at) for k in got]
+                queue += got.tolist()
+    return out
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4, slack: float = 0.03) -> DataFrame:
+    """Classes of documents whose ``shingle``-word shingles are alike: ``doc_id, text_hash, component_id``.
+
+    Candidates are texts whose word fingerprints are within ``radius`` bits, by the byte-position index (a few edited
+    words move a word's fingerprint far less than a shingle's, so this finds nearly all pairs of that similarity).
+    Within a posting candidates are verified by 128-bin signatures of their shingles, with ``slack`` for the estimate's
+    error. Only texts that have a candidate at all carry their signatures into postings. A row for each row of
+    ``docs``; null texts are empty; texts without words are one class; ``component_id`` is the smallest ``doc_id`` of
+    the class (null if it has none). An empty table gives an empty table.
+    """
+    bounded_batches(docs.sparkSession)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, fps, signatures = [], [], []
+        for t in texts(batch):
+            words = t.lower().split()
+            hashes.append(xxhash.xxh64_intdigest(t, 42))
+            fps.append(word_fingerprint(words))
+            signatures.append(signature(words, shingle))
+        signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (hashes, fps)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *signed, pa.array(signatures, pa.binary())], ["doc_id", "text_hash", "fp", "signature"])
+
+    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, table in whole_groups(batches):
+            hashes, fps = table.column("text_hash").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [keys.size]))
+            pairs: list[tuple[int, int]] = []
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if hi - lo > 1:
+                    held = np.frombuffer(b"".join(table.column("signature").slice(lo, hi - lo).to_pylist()), np.uint8).reshape(-1, BINS)
+                    pairs += [(lo + a, lo + b) for a, b in verified_links(fps[lo:hi], held, radius, similarity - slack)]
+            if pairs:
+                u, v = np.array(pairs).T
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[u]), pa.array(hashes[v])], ["u", "v"])
+
+    rows = written(docs.select("doc_id", "text").mapInArrow(per_batch(sketch), f"doc_id {id_type}, text_hash long, fp long, signature binary"), "sketches")
+    one = rows.groupBy("text_hash").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("signature").alias("signature"))
+    one = written(one, "texts")
+    links = near_links(one, radius)
+    met = links.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    twice = one.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    involved = written(met.union(twice).distinct(), "involved")
+    postings = one.join(involved, "fp", "left_semi").select(F.explode(posting_keys(radius)).alias("key"), "text_hash", "fp", "signature")
+    found = postings.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "u long, v long")
+    named = one.select("text_hash", "least").join(components(found), F.col("text_hash") == F.col("node"), "left")
+    named = written(named.select("text_hash", "least", F.coalesce("root", "text_hash").alias("root")), "named")
+    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_text = named.join(names, "root").select("text_hash", "component_id")
+    return rows.select("doc_id", "text_hash").join(by_text, "text_hash").select("doc_id", "text_hash", "component_id")
+
+
+def representatives(docs: DataFrame, **settings) -> DataFrame:
+    """One row of ``docs`` for each class of :func:`similar_documents`, all columns: that with the smallest ``doc_id``.
 
     Of several rows with that id one stays, by text hash. Rows without an id can't be named and all stay. Texts are
     shuffled once, by id; the window after the join needs no other dealing.
     """
-    stay = near_duplicates(docs, shingle, radius).where("component_id is not null").select(F.col("component_id").alias("_id")).distinct()
+    stay = similar_documents(docs, **settings).where("component_id is not null").select(F.col("component_id").alias("_id")).distinct()
     first = docs.where("doc_id is not null").join(stay, F.col("doc_id") == F.col("_id"))
     at = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
     one = first.withColumn("_at", at).where("_at = 1").select(*docs.columns)

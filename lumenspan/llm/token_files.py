@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import bounded_batches, shared_folder, written
+from lumenspan.llm.common import bounded_batches, shared_folder, work_partitions, written
 from lumenspan.llm.files import Writer, opened
 
 MAGIC = b"RPG1"
@@ -315,7 +315,7 @@ def read_files(index: DataFrame, folder: str) -> DataFrame:
                 sizes.append(got.size)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("bucket"), batch.column("before"), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "bucket", "before", "n_tokens", "ids_crc32"])
 
-    dealt = index.repartition("file").sortWithinPartitions("file", "at", "first")
+    dealt = index.repartition(work_partitions(index.sparkSession), "file").sortWithinPartitions("file", "at", "first")
     return dealt.select("doc_id", "bucket", "before", "file", "at", "length", "first", "n_tokens").mapInArrow(run, f"doc_id {id_type}, bucket int, before long, n_tokens long, ids_crc32 long")
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import bounded_batches, shared_folder, written
+from lumenspan.llm.common import bounded_batches, shared_folder, work_partitions, written
 from lumenspan.llm.files import Writer, opened
 
 INDEX = "file string, offset long, length long, url string, digest string, page_id long"
@@ -136,7 +136,7 @@ def read_archives(index: DataFrame, folder: str, gap: int = 1 << 16, most: int =
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     spec = RECORDS + ", payload binary" * payload
     schema = pa.schema([(n, kinds[t]) for n, t in (x.split() for x in spec.split(", "))])
-    dealt = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / (64 << 20))).sortWithinPartitions("file", "offset")
+    dealt = index.select("file", "offset", "length").repartition(work_partitions(index.sparkSession), "file", F.floor(F.col("offset") / (64 << 20))).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, spec)
 
 
