@@ -77,7 +77,7 @@ def edit_distance(a: str, b: str) -> int:
 @F.pandas_udf(LongType())
 def long_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """:func:`edit_distance` for whole documents; short texts are faster by Spark's ``levenshtein``."""
-    return pd.Series([edit_distance(x, y) for x, y in zip(a, b, strict=True)])
+    return pd.Series([0 if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
 def error_rate(distance: Column, reference_chars: Column, candidate_chars: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenspan.functions.text import long_distance
 from lumenspan.operators.matching import best_overlap, extra, missing
 
 # Priority of reasons, and the timing threshold.
@@ -29,9 +30,9 @@ def items(ref: DataFrame, cand: DataFrame, normal=lambda c: c) -> DataFrame:
     start, end = F.col("cand_start_ms") - F.col("ref_start_ms"), F.col("cand_end_ms") - F.col("ref_end_ms")
     late = (F.abs(start) > TIMING_MS) | (F.abs(end) > TIMING_MS)
     reasons = F.array_compact(F.array(F.when(a != b, F.lit("text")), F.when(F.col("ref_channel") != F.col("cand_channel"), F.lit("channel")), F.when(late, F.lit("timing"))))
-    edited = pairs.select("case_id", F.col("ref_id").alias("reference_id"), F.col("cand_id").alias("candidate_id"), F.least("ref_start_ms", "cand_start_ms").alias("start_ms"), F.greatest("ref_end_ms", "cand_end_ms").alias("end_ms"), reasons.alias("reasons"), F.col("ref_text").alias("reference_text"), F.col("cand_text").alias("candidate_text"), F.col("ref_channel").alias("reference_channel"), F.col("cand_channel").alias("candidate_channel"), start.alias("start_delta_ms"), end.alias("end_delta_ms"), F.when(a != b, F.levenshtein(a, b)).otherwise(F.lit(0)).alias("text_distance")).where(F.size("reasons") > 0)
-    gone = missing(ref, cand).select("case_id", F.col("id").alias("reference_id"), null("string").alias("candidate_id"), "start_ms", "end_ms", F.array(F.lit("missing_reference")).alias("reasons"), F.col("text").alias("reference_text"), F.lit("").alias("candidate_text"), F.col("channel").alias("reference_channel"), null("string").alias("candidate_channel"), null("long").alias("start_delta_ms"), null("long").alias("end_delta_ms"), F.lit(0).alias("text_distance"))
-    more = extra(ref, cand).select("case_id", null("string").alias("reference_id"), F.col("id").alias("candidate_id"), "start_ms", "end_ms", F.array(F.lit("extra_candidate")).alias("reasons"), F.lit("").alias("reference_text"), F.col("text").alias("candidate_text"), null("string").alias("reference_channel"), F.col("channel").alias("candidate_channel"), null("long").alias("start_delta_ms"), null("long").alias("end_delta_ms"), F.lit(0).alias("text_distance"))
+    edited = pairs.select("case_id", F.col("ref_id").alias("reference_id"), F.col("cand_id").alias("candidate_id"), F.least("ref_start_ms", "cand_start_ms").alias("start_ms"), F.greatest("ref_end_ms", "cand_end_ms").alias("end_ms"), reasons.alias("reasons"), F.col("ref_text").alias("reference_text"), F.col("cand_text").alias("candidate_text"), F.col("ref_channel").alias("reference_channel"), F.col("cand_channel").alias("candidate_channel"), start.alias("start_delta_ms"), end.alias("end_delta_ms"), long_distance(a, b).alias("text_distance")).where(F.size("reasons") > 0)
+    gone = missing(ref, cand).select("case_id", F.col("id").alias("reference_id"), null("string").alias("candidate_id"), "start_ms", "end_ms", F.array(F.lit("missing_reference")).alias("reasons"), F.col("text").alias("reference_text"), F.lit("").alias("candidate_text"), F.col("channel").alias("reference_channel"), null("string").alias("candidate_channel"), null("long").alias("start_delta_ms"), null("long").alias("end_delta_ms"), F.lit(0).cast("long").alias("text_distance"))
+    more = extra(ref, cand).select("case_id", null("string").alias("reference_id"), F.col("id").alias("candidate_id"), "start_ms", "end_ms", F.array(F.lit("extra_candidate")).alias("reasons"), F.lit("").alias("reference_text"), F.col("text").alias("candidate_text"), null("string").alias("reference_channel"), F.col("channel").alias("candidate_channel"), null("long").alias("start_delta_ms"), null("long").alias("end_delta_ms"), F.lit(0).cast("long").alias("text_distance"))
     out = edited.unionByName(gone).unionByName(more)
     duration = F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms"))
     delta = F.greatest(F.abs(F.coalesce("start_delta_ms", F.lit(0))), F.abs(F.coalesce("end_delta_ms", F.lit(0))))
@@ -80,7 +81,8 @@ def merged(*queues: DataFrame) -> DataFrame:
     of other fields the first value that isn't empty, by queue and rank."""
     every = None
     for n, q in enumerate(queues):
-        one = ranked(q).select(*MERGE_KEY, "reasons", "reference_text", "candidate_text", "reference_channel", "candidate_channel", "priority_score", F.struct(F.lit(n).alias("q"), F.col("priority_rank").alias("r")).alias("at"))
+        at = F.struct(F.lit(n).alias("q"), (-F.col("priority_score")).alias("r"), "reasons").alias("at")  # ranks of one key differ by score alone
+        one = q.select(*MERGE_KEY, "reasons", "reference_text", "candidate_text", "reference_channel", "candidate_channel", "priority_score", at)
         every = one if every is None else every.unionByName(one)
     first = lambda c: F.min_by(F.col(c), F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("at"))).alias(c)
     seen = F.transform(F.array_sort(F.collect_list(F.struct("at", "reasons"))), lambda x: x.reasons)
