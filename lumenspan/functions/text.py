@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
-# White space as the reference results define it, Japanese letters, and marks that may stand with them.
+# White space (Unicode's, and U+001C to U+001F), Japanese letters, and marks that may stand with them.
 SPACE = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]"
 JAPANESE = r"぀-ヿ㐀-鿿々〆〤ヶー"
 JAPANESE_MARKS = JAPANESE + r"。、，,.！？!?…「」『』（）【】《》〈〉"

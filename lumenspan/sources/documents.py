@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MASTER = "custom-asmr-master-v1"
+#: Format tags of master documents end so.
+MASTER = "-master-v1"
 SEGMENTS = "array<struct<id: string, start_ms: variant, end_ms: variant, channel: string, kind: string, text: string, needs_review: variant>>"
 
 
@@ -15,7 +16,7 @@ def read_masters(spark: SparkSession, path: str) -> DataFrame:
     Times must be JSON integers: ``true``, ``1.0`` and strings raise, as does an unknown format.
     """
     files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.master)?(?:\.[^.]*)?$", 1).alias("case_id"), F.parse_json("value").alias("v"))
-    checked = files.withColumn("format", F.try_variant_get("v", "$.format", "string")).withColumn("ok", F.coalesce(F.col("format") == MASTER, F.lit(False)))
+    checked = files.withColumn("format", F.try_variant_get("v", "$.format", "string")).withColumn("ok", F.coalesce(F.col("format").endswith(MASTER), F.lit(False)))
     checked = checked.where(F.when(F.col("ok"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("unknown document format in "), F.col("case_id"))).cast("boolean")))
     rows = checked.select("case_id", F.posexplode(F.variant_get("v", "$.segments", SEGMENTS)).alias("ord", "s"))
     whole = lambda c: F.when(F.schema_of_variant(c) == "BIGINT", F.variant_get(c, "$", "long")).otherwise(F.raise_error(F.concat(F.lit("a time isn't an integer in "), F.col("case_id"))).cast("long"))
@@ -23,12 +24,12 @@ def read_masters(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("case_id", F.col("ord").cast("long"), "s.id", whole(F.col("s.start_ms")).alias("start_ms"), whole(F.col("s.end_ms")).alias("end_ms"), "s.channel", "s.kind", "s.text", review.alias("needs_review"))
 
 
-def master_json(segments: DataFrame, headers: DataFrame) -> DataFrame:
-    """``case_id, json``; ``headers`` has ``case_id, source_language, duration_ms``."""
+def master_json(segments: DataFrame, headers: DataFrame, tag: str) -> DataFrame:
+    """``case_id, json`` with a format tag; ``headers`` has ``case_id, source_language, duration_ms``."""
     fields = ["id", "start_ms", "end_ms", "channel", "kind", "text", "needs_review"]
     held = segments.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.struct(*fields).alias("s")))).alias("xs"))
     joined = headers.join(held, "case_id", "left")
-    body = F.struct(F.lit(MASTER).alias("format"), "source_language", F.struct("duration_ms").alias("audio"), F.coalesce(F.transform("xs", lambda x: x.s), F.array()).alias("segments"))
+    body = F.struct(F.lit(tag).alias("format"), "source_language", F.struct("duration_ms").alias("audio"), F.coalesce(F.transform("xs", lambda x: x.s), F.array()).alias("segments"))
     return joined.select("case_id", F.to_json(body).alias("json"))
 
 

@@ -176,13 +176,20 @@ def test_srt_labels(spark):
 
 
 def test_masters(spark, tmp_path):
-    (tmp_path / "a.master.json").write_text('{"format": "custom-asmr-master-v1", "segments": [{"id": "seg_000001", "start_ms": 0, "end_ms": 5, "channel": "L", "kind": "speech", "text": "x", "needs_review": true}]}')
+    (tmp_path / "a.master.json").write_text('{"format": "timed-master-v1", "segments": [{"id": "seg_000001", "start_ms": 0, "end_ms": 5, "channel": "L", "kind": "speech", "text": "x", "needs_review": true}]}')
     assert [tuple(r) for r in documents.read_masters(spark, str(tmp_path)).collect()] == [("a", 0, "seg_000001", 0, 5, "L", "speech", "x", True)]
-    (tmp_path / "b.json").write_text('{"format": "custom-asmr-master-v1", "segments": [{"id": "s", "start_ms": true, "end_ms": 5, "channel": "L", "kind": "speech", "text": "x"}]}')
+    (tmp_path / "b.json").write_text('{"format": "timed-master-v1", "segments": [{"id": "s", "start_ms": true, "end_ms": 5, "channel": "L", "kind": "speech", "text": "x"}]}')
     with pytest.raises(Exception, match="integer"):
         documents.read_masters(spark, str(tmp_path)).collect()
 
 
+def test_master_round_trip(spark, tmp_path):
+    seg = segs(spark, [(0, 5, "L", "é \"q\""), (5, 9, "R", "y")], "c")
+    headers = spark.createDataFrame([("c", "ja", 9)], "case_id string, source_language string, duration_ms long")
+    (tmp_path / "c.master.json").write_text(documents.master_json(seg, headers, "timed-master-v1").first().json)
+    assert sorted(map(tuple, documents.read_masters(spark, str(tmp_path)).collect())) == sorted(map(tuple, seg.collect()))
+
+
 def test_violations(spark):
     bad = spark.createDataFrame([("a", 0, "x", 5, 5, "Q", "speech", "t", False), ("a", 1, "x", 0, 5, "L", "talk", None, False)], SEG)
     rules = {r.rule for r in violations(bad).collect()}
