@@ -58,8 +58,20 @@ def aligned(segments: DataFrame, words: DataFrame, context_ms: int = 0, min_ms:
     return joined.select(*[start.alias(c) if c == "start_ms" else end.alias(c) if c == "end_ms" else F.col(c) for c in segments.columns])
 
 
-def alignment_diagnostics(before: DataFrame, after: DataFrame) -> DataFrame:
-    """How far bounds moved, and how many segments changed, by case."""
+def alignment_moves(before: DataFrame, after: DataFrame) -> DataFrame:
+    """A row a segment: how its bounds, duration and review flag moved."""
     joined = before.alias("x").join(after.alias("y"), ["case_id", "id"])
-    s, e = F.abs(F.col("x.start_ms") - F.col("y.start_ms")), F.abs(F.col("x.end_ms") - F.col("y.end_ms"))
-    return joined.groupBy("case_id").agg(F.count("*").alias("segments"), ((F.sum(s) + F.sum(e)) / (F.count("*") * 2)).alias("mean_delta_ms"), F.max(F.greatest(s, e)).alias("max_delta_ms"), F.sum(((s <= 250) & (e <= 250)).cast("long")).alias("within_250ms"), F.sum(((s <= 500) & (e <= 500)).cast("long")).alias("within_500ms"), F.sum(((s > 0) | (e > 0)).cast("long")).alias("changed"))
+    start, end = F.col("y.start_ms") - F.col("x.start_ms"), F.col("y.end_ms") - F.col("x.end_ms")
+    changed = (start != 0) | (end != 0)
+    return joined.select("case_id", "id", start.alias("start_delta_ms"), end.alias("end_delta_ms"), (end - start).alias("duration_delta_ms"), changed.alias("changed"), (F.col("x.needs_review") != F.col("y.needs_review")).alias("review_flag_changed"))
+
+
+def alignment_diagnostics(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
+    """How far bounds moved, by ``keys`` (case by default). Counts within a limit are of boundaries, two a segment."""
+    moves = alignment_moves(before, after)
+    s, e = F.abs("start_delta_ms"), F.abs("end_delta_ms")
+    within = lambda ms: F.sum((s <= ms).cast("long") + (e <= ms).cast("long"))
+    n = lambda c: F.sum(F.col(c).cast("long"))
+    out = moves.groupBy(*(keys or ("case_id",))).agg(F.count("*").alias("segments"), (F.count("*") * 2).alias("boundary_count"), F.sum(s + e).alias("delta_sum_ms"), F.max(F.greatest(s, e)).alias("max_delta_ms"), within(250).alias("within_250ms"), within(500).alias("within_500ms"), n("changed").alias("changed"), n("review_flag_changed").alias("review_flag_changes"))
+    share = lambda c: F.col(c) / F.col("boundary_count")
+    return out.withColumn("mean_delta_ms", share("delta_sum_ms")).withColumn("within_250ms_ratio", share("within_250ms")).withColumn("within_500ms_ratio", share("within_500ms"))

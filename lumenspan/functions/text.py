@@ -135,10 +135,6 @@ def tagged_tokens(text: Column, duration_ms: Column) -> Column:
     return F.filter(pairs, lambda p: p.text != "")
 
 
-def without_tags(text: Column) -> Column:
-    return F.regexp_replace(text, TAG, "")
-
-
 def safe_name(text: Column) -> Column:
     """A file name's characters: others become one hyphen, none at the ends."""
     return F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9._-]+", "-"), "^[-.]+|[-.]+$", "")

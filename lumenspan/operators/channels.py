@@ -87,10 +87,16 @@ def swept(segments: DataFrame, thresholds: list[float], quiets: list[float | Non
 def diagnostics(attributed_segments: DataFrame, *keys: str) -> DataFrame:
     """How many segments changed side, by ``keys``."""
     changed = F.col("original_channel") != F.col("channel")
-    out = attributed_segments.groupBy(*keys).agg(F.count("*").alias("segment_count"), F.sum((F.col("kind") == "speech").cast("long")).alias("speech_segments"), F.sum(changed.cast("long")).alias("changed_segments"))
+    out = attributed_segments.groupBy(*keys).agg(F.count("*").alias("segment_count"), F.sum((F.col("kind") == "speech").cast("long")).alias("speech_segments"), F.sum(((F.col("kind") == "speech") & (F.col("original_channel") == "MIX")).cast("long")).alias("mix_speech_segments"), F.sum(changed.cast("long")).alias("changed_segments"))
     return out.withColumn("changed_segment_ratio", F.when(F.col("segment_count") > 0, F.col("changed_segments") / F.col("segment_count")))
 
 
+def histograms(attributed_segments: DataFrame, *keys: str) -> DataFrame:
+    """``field, value, n``: how often each reason, channel before and channel after occurs."""
+    each = [F.struct(F.lit(field).alias("field"), F.coalesce(F.col(column), F.lit("unknown")).alias("value")) for field, column in (("reason", "reason"), ("original_channel", "original_channel"), ("attributed_channel", "channel"))]
+    return attributed_segments.select(*keys, F.explode(F.array(*each)).alias("x")).groupBy(*keys, "x.field", "x.value").agg(F.count("*").alias("n"))
+
+
 def level_of(sum_sq: Column, n: Column) -> Column:
     """dBFS of summed squares over samples, floored at an RMS of 1 (about -90.3)."""
     return F.lit(20.0) * F.log10(F.greatest(F.lit(1.0), F.sqrt(sum_sq / F.greatest(F.lit(1), n))) / F.lit(32767.0))

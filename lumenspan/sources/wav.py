@@ -101,3 +101,57 @@ def segment_levels(segments: DataFrame, windows: DataFrame) -> DataFrame:
     met = overlapping(segments.select("case_id", "id", "start_ms", "end_ms"), w, ("seg", "win"), F.col("win_start_ms") >= F.col("seg_start_ms"))
     sums = met.groupBy("case_id", F.col("seg_id").alias("id")).agg(level_of(F.sum("win_left_sq"), F.sum("win_n")).alias("left_dbfs"), level_of(F.sum("win_right_sq"), F.sum("win_n")).alias("right_dbfs"))
     return segments.join(sums, ["case_id", "id"], "left")
+
+
+def analysed(audio: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``case_id, content`` → headers (``case_id, duration_ms, channels, sample_rate, sample_width, frame_count``) and
+    channels (``case_id, channel, content``). What isn't WAV raises."""
+
+    def headers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [{"case_id": c.as_py(), **info(a.as_py())} for c, a in zip(batch.column("case_id"), batch.column("content"), strict=True)]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows)
+
+    def channels(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for case_id, content in zip(batch.column("case_id"), batch.column("content"), strict=True):
+                for name, part in split(content.as_py()).items():
+                    yield pa.RecordBatch.from_arrays([pa.array([case_id.as_py()]), pa.array([name]), pa.array([part], pa.binary())], ["case_id", "channel", "content"])
+
+    held = audio.select(F.col("case_id").cast("string"), "content")
+    return held.mapInArrow(headers, "case_id string, duration_ms long, channels long, sample_rate long, sample_width long, frame_count long"), held.mapInArrow(channels, "case_id string, channel string, content binary")
+
+
+def cut_clips(audio: DataFrame, intervals: DataFrame) -> DataFrame:
+    """``case_id, channel, content`` and ``case_id, channel, start_ms, end_ms`` → clips ``case_id, channel, offset_ms,
+    content``, each audio decoded once. With a column ``key`` in the intervals, the clips have it as their case."""
+    key = F.col("key") if "key" in intervals.columns else F.col("case_id").cast("string")
+    bounds = intervals.groupBy("case_id", "channel").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", key.alias("key")))).alias("bounds"))
+    joined = audio.join(bounds, ["case_id", "channel"]).select("channel", "content", "bounds")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for channel, content, wants in zip(*batch.columns, strict=True):
+                source = content.as_py()
+                for b in wants.as_py():
+                    yield pa.RecordBatch.from_arrays([pa.array([b["key"]]), pa.array([channel.as_py()]), pa.array([b["start_ms"]], pa.int64()), pa.array([cut(source, b["start_ms"], b["end_ms"])], pa.binary())], ["case_id", "channel", "offset_ms", "content"])
+
+    return joined.mapInArrow(run, "case_id string, channel string, offset_ms long, content binary")
+
+
+def peaks(audio: DataFrame, buckets: int) -> DataFrame:
+    """``case_id, bucket, peak``: the largest absolute sample of each of ``buckets`` even stretches, 0 to 1."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for case_id, content in zip(batch.column("case_id"), batch.column("content"), strict=True):
+                frames, _ = decode(content.as_py())
+                if not len(frames):
+                    continue
+                loud = np.abs(frames.astype(np.int32)).max(axis=1)
+                n = min(buckets, len(loud))
+                tops = np.maximum.reduceat(loud, np.arange(n) * len(loud) // n) / 32768.0
+                yield pa.RecordBatch.from_arrays([pa.array([case_id.as_py()] * n), pa.array(np.arange(n, dtype=np.int64)), pa.array(tops)], ["case_id", "bucket", "peak"])
+
+    return audio.select(F.col("case_id").cast("string"), "content").mapInArrow(run, "case_id string, bucket long, peak double")
