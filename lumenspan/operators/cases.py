@@ -23,7 +23,7 @@ def optional(rows: DataFrame, column: str, kind: str = "string") -> Column:
 
 
 def repeated_cases(index: DataFrame) -> DataFrame:
-    return index.groupBy("case_id").count().where("count > 1 or case_id is null or case_id = ''").select("case_id", F.lit("case ids must be unique and not empty").alias("rule"))
+    return index.groupBy("case_id").count().where("count > 1 or case_id is null or cast(case_id as string) = ''").select("case_id", F.lit("case ids must be unique and not empty").alias("rule"))
 
 
 def sliced(segments: DataFrame, plan: DataFrame) -> DataFrame:

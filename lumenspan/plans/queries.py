@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenspan.functions import hooks, model_output
 from lumenspan.functions import text as T
-from lumenspan.operators import audit, channels, coverage, effort, evaluate, intervals, matching, readiness
+from lumenspan.operators import audit, cases, channels, comparison, coverage, effort, evaluate, gates, intervals, matching, packs, readiness
+from lumenspan.plans import report
 from lumenspan.sources import srt
 from lumenspan.sources.carrier import DUCK, carrier
 
@@ -91,9 +93,11 @@ def eval_cer_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.rolled_error_rate(evaluate.error_rates(*carrier(spark, sf_dir), normal=T.strict))
 
 
-@query()
+PRACTICAL = "[^0-9A-Za-z]"  # what the practical form drops of the carrier's ASCII texts; the tests hold it against Python beyond
+
+
+@query(DUCK + CER.replace("\\s", PRACTICAL) + " select *, case when reference_characters = 0 and candidate_characters = 0 then 0.0::double else edit_distance / greatest(1, reference_characters) end as cer from e")
 def eval_cer_practical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compatibility folding is beyond DuckDB; the tests hold it against Python."""
     return evaluate.error_rates(*carrier(spark, sf_dir))
 
 
@@ -464,3 +468,126 @@ def hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A state machine; the tests hold it against a plain loop."""
     frames = _signal(spark, sf_dir).select("case_id", "at", F.least(F.lit(1.0), F.col("level") / 200.0).alias("p"))
     return channels.hysteresis(frames, min_speech_ms=40, min_silence_ms=40)
+
+
+# ---- case sets, packs, reports ----
+
+REASONED = f""", q as (select case_id, count(*) as n, {HAS} from items group by case_id), rr as (select case_id, count(*) as reference_segments from ref group by 1), cd as (select case_id, count(*) as candidate_segments from cand group by 1),
+  z as (select case_id, coalesce(reference_segments, 0) as reference_segments, coalesce(candidate_segments, 0) as candidate_segments, {COUNTS}, coalesce(n, 0) as segments_needing_edit from rr full join cd using (case_id) left join q using (case_id))"""
+TOP = "case when greatest({0}) > 0 then case greatest({0}) " + " ".join(f"when {a}_segments then '{k}'" for k, a in (("text", "text_edit"), ("channel", "channel_edit"), ("timing", "timing_edit"), ("missing_reference", "missing_reference"), ("extra_candidate", "extra_candidate"))) + " end end"
+FIVE = "text_edit_segments, channel_edit_segments, timing_edit_segments, missing_reference_segments, extra_candidate_segments"
+
+
+@query(ITEMS + REASONED + f" select case_id, {TOP.format(FIVE)} as dominant_reason, case when greatest({FIVE}) > 0 then greatest({FIVE}) / greatest(1, reference_segments + extra_candidate_segments) end as dominant_ratio from z")
+def comparison_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref, cand = carrier(spark, sf_dir)
+    return comparison.with_reasons(effort.rollup(ref, cand, effort.items(ref, cand))).select("case_id", "dominant_reason", "dominant_ratio")
+
+
+PRACTICAL_ITEMS = ITEMS
+for _raw, _side in (("rt <> ct", "<>"), ("levenshtein(rt, ct)", "levenshtein")):
+    _a, _b = (f"regexp_replace({x}, '{PRACTICAL}', '', 'g')" for x in ("rt", "ct"))
+    PRACTICAL_ITEMS = PRACTICAL_ITEMS.replace(_raw, f"{_a} <> {_b}" if _side == "<>" else f"levenshtein({_a}, {_b})")
+SUITE = ["case_count", "practical_edit_distance", "practical_reference_characters", "practical_cer", "aligned_paired_segments", "aligned_mean_boundary_error_ms", "aligned_within_500ms_ratio", "aligned_channel_accuracy", "aligned_channel_candidate_mix_ratio", "reference_segments", "candidate_segments", "segments_needing_edit", "segments_needing_edit_ratio", "text_edit_segments", "extra_candidate_segments", "dominant_reason", "candidate_review_count", "candidate_review_ratio"]
+RX = CER.replace(", r as", ", rx as").replace("\n  c as", "\n  cx as").replace("from r full join c", "from rx r full join cx c").replace("\\s", PRACTICAL)
+
+
+@query(PRACTICAL_ITEMS + RX + REASONED + f""", s1 as (select count(*) as case_count, cast(sum(edit_distance) as bigint) as practical_edit_distance, cast(sum(reference_characters) as bigint) as practical_reference_characters, sum(edit_distance) / greatest(1, sum(reference_characters)) as practical_cer from e),
+  s2 as (select {TIMING}, {CHANNEL} from pairs), s3 as (select cast(sum(reference_segments) as bigint) as reference_segments, cast(sum(candidate_segments) as bigint) as candidate_segments, cast(sum(segments_needing_edit) as bigint) as segments_needing_edit, {", ".join(f"cast(sum({c}) as bigint) as {c}" for c in FIVE.split(", "))} from z),
+  s4 as (select count(*) filter (needs_review) as candidate_review_count, count(*) filter (needs_review) / greatest(1, count(*) filter (text <> '')) as candidate_review_ratio from cand)
+  select case_count, practical_edit_distance, practical_reference_characters, practical_cer, paired_segments as aligned_paired_segments, mean_boundary_error_ms as aligned_mean_boundary_error_ms, within_500ms_ratio as aligned_within_500ms_ratio, accuracy as aligned_channel_accuracy, candidate_mix_ratio as aligned_channel_candidate_mix_ratio,
+    reference_segments, candidate_segments, segments_needing_edit, segments_needing_edit / greatest(1, reference_segments + extra_candidate_segments) as segments_needing_edit_ratio, text_edit_segments, extra_candidate_segments, {TOP.format(FIVE)} as dominant_reason, candidate_review_count, candidate_review_ratio from s1, s2, s3, s4""")
+def eval_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.suite(*carrier(spark, sf_dir)).select(*SUITE)
+
+
+@query()
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All families by case; SQL holds each family in queries of its own."""
+    return report.evaluated(*carrier(spark, sf_dir)).drop("reason_ranking")
+
+
+@query(DUCK + """, p as (select distinct case_id, k, k * 2500 as lo, k * 2500 + 4000 as hi from ref cross join (select unnest([0, 1]) as k)),
+  s as (select p.case_id::varchar || '-' || k::varchar as case_id, greatest(start_ms, lo) - lo as start_ms, least(end_ms, hi) - lo as end_ms, channel, text, needs_review or start_ms < lo or end_ms > hi as needs_review from cand c join p using (case_id) where end_ms > lo and start_ms < hi),
+  n as (select *, row_number() over (partition by case_id order by start_ms, end_ms, channel, text) as ord from s) select case_id, concat('seg_', lpad(ord::varchar, 6, '0')) as id, start_ms, end_ms, channel, text, needs_review from n""")
+def case_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two slices of each source, of 4 s, 2.5 s apart."""
+    ref, cand = carrier(spark, sf_dir)
+    k = F.explode(F.array(F.lit(0), F.lit(1))).alias("k")
+    plan = ref.select("case_id").distinct().select("case_id", k).select(F.concat_ws("-", "case_id", "k").alias("case_id"), F.col("case_id").alias("source_id"), (F.col("k") * 2500).cast("long").alias("start_ms"), (F.col("k") * 2500 + 4000).cast("long").alias("end_ms"))
+    return cases.sliced(cand, plan).select("case_id", "id", "start_ms", "end_ms", "channel", "text", "needs_review")
+
+
+PACK = """, d as (select case_id, max(end_ms) as dur from ref group by case_id), pk as (select q.*, greatest(0, q.start_ms - 500) as clip_start_ms, least(d.dur, q.end_ms + 500) as clip_end_ms,
+  lpad(priority_rank::varchar, 6, '0') || '__' || q.case_id::varchar || '__' || reasons[1] || '__' || coalesce(reference_id, 'no-ref') || '__' || coalesce(candidate_id, 'no-cand') || '.wav' as clip_file from queue q join d using (case_id))"""
+
+
+def _pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref, cand = carrier(spark, sf_dir)
+    return packs.review_pack(effort.ranked(effort.items(ref, cand)), ref.groupBy("case_id").agg(F.max("end_ms").alias("duration_ms")))
+
+
+@query(ITEMS + PACK + " select case_id, priority_rank, clip_start_ms, clip_end_ms, clip_file from pk")
+def review_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pack(spark, sf_dir).select("case_id", "priority_rank", "clip_start_ms", "clip_end_ms", "clip_file")
+
+
+@query(ITEMS + PACK + """ select count(*) as clip_count, cast(sum(end_ms - start_ms) as bigint) as source_item_duration_ms_sum, cast(sum(end_ms - start_ms) as bigint) as effective_item_duration_ms_sum,
+  cast(sum(clip_end_ms - clip_start_ms) as bigint) as clip_duration_ms_sum, max(clip_end_ms - clip_start_ms) as clip_duration_ms_max, 0::bigint as focus_item_count from pk""")
+def review_pack_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packs.duration_summary(_pack(spark, sf_dir))
+
+
+@query(DUCK + " select case_id, id as reference_id, (end_ms - start_ms)::double as priority_score, row_number() over (order by case_id, ord) as priority_rank from cand where needs_review")
+def review_flagged_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packs.flagged_queue(carrier(spark, sf_dir)[1]).select("case_id", "reference_id", "priority_score", "priority_rank")
+
+
+@query(DUCK + """ select case_id, ord, id, coalesce((select arg_max(x.id, x.ord) from cand x where x.case_id = c.case_id and x.needs_review and x.ord < c.ord), (select arg_max(x.id, x.ord) from cand x where x.case_id = c.case_id and x.needs_review and x.ord > c.ord)) as previous_review_id,
+  coalesce((select arg_min(x.id, x.ord) from cand x where x.case_id = c.case_id and x.needs_review and x.ord > c.ord), (select arg_min(x.id, x.ord) from cand x where x.case_id = c.case_id and x.needs_review and x.ord < c.ord)) as next_review_id from cand c""")
+def review_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packs.neighbours(carrier(spark, sf_dir)[1])
+
+
+@query(DUCK + COVER + """ select case_id, array_to_string(list_filter([case when detected_max_interval_ms > 4000 then 'detected_max_interval_ms is over 4000' end, case when missed_reference_duration_ms > 500 then 'missed_reference_duration_ms is over 500' end,
+  case when reference_recall is null then 'reference_recall is unavailable' when reference_recall < 0.9 then 'reference_recall is under 0.9' end, case when detected_precision is null then 'detected_precision is unavailable' when detected_precision < 0.9 then 'detected_precision is under 0.9' end], lambda x: x is not null), '; ') as failures from rep""")
+def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = gates.coverage_gate(coverage.coverage(*carrier(spark, sf_dir)), 4000, 500, 0.9, 0.9)
+    return held.select("case_id", F.array_join("gate_failures", "; ").alias("failures"))
+
+
+@query(DUCK + """ select case_id, 'the plan lacks the case' as rule from (select distinct case_id from ref where case_id % 5 <> 0 except select distinct case_id from cand where case_id % 4 <> 0)
+  union all select case_id, 'the index lacks the case' from (select distinct case_id from cand where case_id % 4 <> 0 except select distinct case_id from ref where case_id % 5 <> 0)""")
+def case_attach_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref, cand = carrier(spark, sf_dir)
+    return cases.attach_errors(ref.where("case_id % 5 <> 0").select("case_id").distinct(), cand.where("case_id % 4 <> 0").select("case_id").distinct())
+
+
+MOVED = DUCK + """, m as (select r.case_id, abs(c.start_ms - r.start_ms) as s, abs(c.end_ms - r.end_ms) as e, r.needs_review <> c.needs_review as f from ref r join cand c using (case_id, id)),
+  al as (select case_id, count(*) as segments, count(*) * 2 as boundary_count, sum(s + e) as total, max(greatest(s, e)) as max_delta_ms, sum((s <= 250)::int + (e <= 250)::int) as w, count(*) filter (s > 0 or e > 0) as changed, count(*) filter (f) as review_flag_changes from m group by case_id)"""
+
+
+@query(MOVED + " select case_id, segments, boundary_count, total / boundary_count as mean_delta_ms, max_delta_ms, cast(w as bigint) as within_250ms, changed, review_flag_changes from al")
+def alignment_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parameterless look at how candidates' bounds differ from those of references with the same ids."""
+    return hooks.alignment_diagnostics(*carrier(spark, sf_dir)).select("case_id", "segments", "boundary_count", "mean_delta_ms", "max_delta_ms", "within_250ms", "changed", "review_flag_changes")
+
+
+@query(MOVED + " select cast(sum(segments) as bigint) as segments, cast(sum(boundary_count) as bigint) as boundary_count, sum(total) / sum(boundary_count) as mean_delta_ms, max(max_delta_ms) as max_delta_ms, sum(w) / sum(boundary_count) as within_250ms_ratio from al")
+def alignment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cases.alignment_summary(hooks.alignment_diagnostics(*carrier(spark, sf_dir))).select("segments", "boundary_count", "mean_delta_ms", "max_delta_ms", "within_250ms_ratio")
+
+
+@query(LEVELS + f""", d as (select channel as o, {SIDE.format(t='8.0', q='-40.0')} as side, l, r from lv), x as (select o, case when o = 'MIX' then side else o end as c, case when o <> 'MIX' then 'skipped_existing_channel' when side = 'L' then 'left_dominant' when side = 'R' then 'right_dominant' when abs(l - r) < 8.0 then 'below_threshold' else 'quieter_side_active' end as reason from d)
+  select 'reason' as field, reason as value, count(*) as n from x group by 2 union all select 'original_channel', o, count(*) from x group by 2 union all select 'attributed_channel', c, count(*) from x group by 2""")
+def channel_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return channels.histograms(channels.attributed(_levels(spark, sf_dir)))
+
+
+@query(DUCK + " select case_id, row_number() over (partition by case_id order by ord) as ord, start_ms, end_ms, channel, kind, text, needs_review, null::varchar as problem from ref")
+def model_output_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments as a model's fenced JSON, read back."""
+    item = F.struct("start_ms", "end_ms", "channel", "kind", "text", "needs_review")
+    held = carrier(spark, sf_dir)[0].groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", item.alias("s")))), lambda x: x.s).alias("segments"))
+    content = F.concat(F.lit("```json\n"), F.to_json(F.struct("segments")), F.lit("\n```"))
+    return model_output.model_segments(held.select("case_id", content.alias("content"))).drop("id")

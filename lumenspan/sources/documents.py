@@ -15,8 +15,14 @@ def read_masters(spark: SparkSession, path: str) -> DataFrame:
 
     Times must be JSON integers: ``true``, ``1.0`` and strings raise, as does an unknown format.
     """
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.master)?(?:\.[^.]*)?$", 1).alias("case_id"), F.parse_json("value").alias("v"))
-    checked = files.withColumn("format", F.try_variant_get("v", "$.format", "string")).withColumn("ok", F.coalesce(F.col("format").endswith(MASTER), F.lit(False)))
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.master)?(?:\.[^.]*)?$", 1)
+    return parse_masters(spark.read.text(path, wholetext=True).select(name.alias("case_id"), "value"))
+
+
+def parse_masters(files: DataFrame) -> DataFrame:
+    """:func:`read_masters` of ``case_id, value``."""
+    parsed = files.select("case_id", F.parse_json("value").alias("v"))
+    checked = parsed.withColumn("format", F.try_variant_get("v", "$.format", "string")).withColumn("ok", F.coalesce(F.col("format").endswith(MASTER), F.lit(False)))
     checked = checked.where(F.when(F.col("ok"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("unknown document format in "), F.col("case_id"))).cast("boolean")))
     rows = checked.select("case_id", F.posexplode(F.variant_get("v", "$.segments", SEGMENTS)).alias("ord", "s"))
     whole = lambda c: F.when(F.schema_of_variant(c) == "BIGINT", F.variant_get(c, "$", "long")).otherwise(F.raise_error(F.concat(F.lit("a time isn't an integer in "), F.col("case_id"))).cast("long"))

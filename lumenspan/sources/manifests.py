@@ -22,7 +22,7 @@ SHARED = {"eval": ("reference_type", "reference_notes"), "slices": ("reference_t
 
 def resolved(folder: Column, path: Column) -> Column:
     """A path that isn't absolute (and has no scheme) is one of the file's folder."""
-    absolute = path.startswith("/") | path.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://")
+    absolute = path.startswith("/") | path.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:/")
     return F.when(absolute, path).otherwise(F.concat(folder, F.lit("/"), path))
 
 
