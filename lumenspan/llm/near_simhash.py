@@ -15,7 +15,6 @@ Postings come as a sorted stream, 8 bytes a member, whatever their size.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -189,148 +188,258 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     return fps.join(by_fp, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-BINS = 128
+def shingle_set(data: bytes, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's lower-cased word shingles; a text of fewer words is one shingle; no words: empty."""
+    words = data.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return np.array([digest(joined, 1)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.unique(np.array([digest(joined[s:e], 1) for s, e in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=False)], np.uint64))
 
 
-def word_fingerprint(words: list[bytes]) -> int:
-    """64-bit SimHash of words by frequency: it moves little under a few edits. No words: 0."""
-    counts = Counter(words)
-    weights = np.fromiter(counts.values(), np.int64, len(counts))
-    votes = np.zeros(64, np.int64)
-    names = list(counts)
-    for at in range(0, len(names), 1 << 15):
-        h = np.array([xxhash.xxh64_intdigest(w, 42) for w in names[at : at + (1 << 15)]], np.uint64)
-        votes += weights[at : at + (1 << 15)] @ (2 * np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64) - 1)
-    return int(np.packbits(votes > 0, bitorder="little").view("<u8")[0])
+def set_name(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), 42)
 
 
-def signature(words: list[bytes], shingle: int = 5) -> bytes:
-    """A byte for each of 128 bins of the shingles' hashes, of the smallest hash in it; 0: an empty bin."""
-    out = np.zeros(BINS, np.uint8)
-    if words:
-        joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-        if len(words) <= shingle:
-            h = np.array([digest(joined, 1)], np.uint64)
-        else:
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-            starts = np.concatenate(([0], ends[:-1] + 1))
-            h = np.array([digest(joined[s:e], 1) for s, e in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=False)], np.uint64)
-        h.sort()
-        bins = (h >> np.uint64(57)).astype(np.int64)
-        first = np.concatenate(([True], np.diff(bins) != 0))
-        out[bins[first]] = 1 + h[first] % np.uint64(255)
-    return out.tobytes()
-
-
-def alike(some: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of signatures (rows) and one: equal bins by bins that either fills."""
-    filled = (some > 0) | (one > 0)
-    return ((some == one) & filled).sum(axis=1) / np.maximum(1, filled.sum(axis=1)) + (filled.sum(axis=1) == 0)
-
-
-class BinIndex:
-    """Rows of a posting by the values of their signature's bins, made for a bin when it is first asked for."""
-
-    def __init__(self, rows: np.ndarray, signatures: np.ndarray):
-        self.rows, self.signatures, self.bins = rows, signatures[rows], {}
-
-    def sharing(self, one: np.ndarray, probes: int = 8) -> np.ndarray:
-        """Rows that share one of the first ``probes`` filled bins; of an empty signature, all rows.
-
-        At a similarity of 0.8 a pair shares a bin with that chance, so all 8 miss 3 of a million pairs.
-        """
-        filled = np.flatnonzero(one)[:probes]
-        if not filled.size:
-            return self.rows
-        found = []
-        for k in filled.tolist():
-            if k not in self.bins:
-                order = np.argsort(self.signatures[:, k], kind="stable")
-                self.bins[k] = order, np.searchsorted(self.signatures[order, k], np.arange(257))
-            order, bounds = self.bins[k]
-            found.append(order[bounds[one[k]] : bounds[one[k] + np.int64(1)]])
-        return self.rows[np.unique(np.concatenate(found))]
-
-
-def verified_links(fps: np.ndarray, signatures: np.ndarray, radius: int, least: float) -> list[tuple[int, int]]:
-    """Spanning links of the graph of rows within ``radius`` bits and of ``least`` similarity: pairs of row numbers.
-
-    Rows of a large posting are compared only with those that share a signature bin; the index is made anew whenever
-    half of its rows have been reached, so neither many unlike rows nor many copies cost their square.
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first ``n - ceil(similarity * n) + 1`` of a set's n hashes, rare ones first.
+
+    Sets of ``similarity`` share at least that part of either, so their prefixes in any one order share a hash. The
+    order is by how common a hash is among those known as common (the rest come first), then by value.
     """
-    waiting, out, minimum = np.ones(fps.size, bool), [], BYTES - radius
-    index, count = BinIndex(np.arange(fps.size), signatures), fps.size
-    for seed in range(fps.size):
-        if not waiting[seed]:
-            continue
-        waiting[seed], queue = False, [seed]
-        count -= 1
-        while queue and count:
-            at = queue.pop()
-            if 2 * count < index.rows.size:
-                index = BinIndex(np.flatnonzero(waiting), signatures)
-            some = index.rows if index.rows.size <= 32 else index.sharing(signatures[at])
-            some = some[waiting[some]]
-            some = some[_near(fps[some], fps[at], radius, minimum)]
-            got = some[alike(signatures[some], signatures[at]) >= least]
-            if got.size:
-                waiting[got] = False
-                count -= got.size
-                out += [(int(k), at) for k in got]
-                queue += got.tolist()
-    return out
+    if not hashes.size:
+        return hashes
+    keep = hashes.size - int(np.ceil(similarity * hashes.size - 1e-9)) + 1
+    if common.size:
+        at = np.minimum(np.searchsorted(common, hashes), common.size - 1)
+        level = np.where(common[at] == hashes, counts[at], 0)
+        if level.any():
+            return hashes[np.lexsort((hashes, level))[:keep]]
+    return hashes[:keep]
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """Parities of how many hashes fall on each bit, of two to four bits a hash (a power of two; 1024 at least).
+
+    Two sets' parities differ in no more bits than the sets in hashes. Bits are taken by the low end of a hash, so
+    :func:`folded` gives the parities at a smaller size.
+    """
+    size = max(1024, 1 << (2 * hashes.size - 1).bit_length()) if hashes.size else 1024
+    odd = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) % 2
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def folded(bits: bytes, length: int) -> bytes:
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, length // 8), axis=0).tobytes()
+
+
+def can_be_alike(a: bytes, b: bytes, size: int, similarity: float) -> bool:
+    """Whether sets with these parities, of ``size`` hashes together, can be alike: no such pair is denied."""
+    a, b = (folded(x, min(len(a), len(b))) for x in (a, b))
+    return (int.from_bytes(a) ^ int.from_bytes(b)).bit_count() <= size * (1 - similarity) / (1 + similarity) + 1e-9
+
+
+SMALL = 8
+
+
+def _first_pairs(similarity: float):
+    """Sorted ``key, name, n`` → pairs to verify ``(null, u, v)``, and members ``(key, u, null)`` of postings over ``SMALL``.
+
+    A small posting gives all its pairs. A large one gives each member's pairs with the first and the next four: those
+    join a group of copies, and :func:`_other_pairs` takes all that they leave apart.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, table in whole_groups(batches):
+            names, sizes = table.column("name").to_numpy(), table.column("n").to_numpy()
+            new = np.concatenate(([True], (np.diff(keys) != 0) | (np.diff(names) != 0)))
+            keys, names, sizes = keys[new], names[new], sizes[new]
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [keys.size]))
+            us, vs, members = [], [], []
+            for m in range(2, SMALL + 1):
+                starts = cuts[:-1][np.diff(cuts) == m]
+                for a, b in combinations(range(m), 2):
+                    us.append(starts + a)
+                    vs.append(starts + b)
+            for lo, m in zip(cuts[:-1].tolist(), np.diff(cuts).tolist(), strict=True):
+                if m > SMALL:
+                    rows = np.arange(lo, lo + m)
+                    members.append(rows)
+                    for step in range(1, 5):
+                        us.append(rows)
+                        vs.append(np.roll(rows, -step))
+                    us.append(np.full(m - 1, lo))
+                    vs.append(rows[1:])
+            u, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (us, vs))
+            fit = np.minimum(sizes[u], sizes[v]) >= similarity * np.maximum(sizes[u], sizes[v]) - 1e-9
+            u, v = u[fit], v[fit]
+            m = np.concatenate([np.zeros(0, np.int64), *members])
+            for at in range(0, u.size, 100_000):
+                some = slice(at, at + 100_000)
+                a, b = names[u[some]], names[v[some]]
+                yield pa.RecordBatch.from_arrays([pa.nulls(a.size, pa.int64()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["key", "u", "v"])
+            for at in range(0, m.size, 100_000):
+                some = m[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(names[some]), pa.nulls(some.size, pa.int64())], ["key", "u", "v"])
+
+    return run
+
 
+def _other_pairs(similarity: float):
+    """Sorted ``key, name, n, root, bits`` → all pairs of a posting with different roots that can be alike.
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4, slack: float = 0.03) -> DataFrame:
+    Both bounds, of sizes and of :func:`parities`, hold for every pair of ``similarity``, so no pair is lost.
+    """
+    apart = (1 - similarity) / (1 + similarity)
+
+    def pairs(names: np.ndarray, sizes: np.ndarray, roots: np.ndarray, bits: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        lengths = np.array([len(x) for x in bits])
+        for length in np.unique(lengths).tolist():
+            own = np.flatnonzero(lengths == length)
+            upper = np.flatnonzero((lengths > length) & (sizes <= sizes[own].max() / similarity + 1e-9))
+            own, upper = own[np.argsort(sizes[own], kind="stable")], upper[np.argsort(sizes[upper], kind="stable")]
+            order = np.concatenate((own, upper))
+            n, r, name = sizes[order], roots[order], names[order]
+            b = np.frombuffer(b"".join([*(bits[k] for k in own), *(folded(bits[k], length) for k in upper)]), np.uint64).reshape(order.size, -1)
+            ends = np.searchsorted(n, n[: own.size] / similarity + 1e-9, side="right")
+            for i, end in enumerate(ends.tolist()):
+                j = i + 1 + np.flatnonzero(r[i + 1 : end] != r[i])
+                j = j[np.bitwise_count(b[j] ^ b[i]).sum(axis=1) <= (n[j] + n[i]) * apart + 1e-9]
+                if j.size:
+                    yield np.full(j.size, name[i]), name[j]
+
+    def batch_of(us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
+        u, v = np.concatenate(us), np.concatenate(vs)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        us, vs, held = [], [], 0
+        for keys, table in whole_groups(batches):
+            names, sizes, roots = (table.column(c).to_numpy() for c in ("name", "n", "root"))
+            bits = table.column("bits").to_pylist()
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [keys.size]))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                for u, v in pairs(names[lo:hi], sizes[lo:hi], roots[lo:hi], bits[lo:hi]):
+                    us.append(u)
+                    vs.append(v)
+                    held += u.size
+                    if held > 100_000:
+                        yield batch_of(us, vs)
+                        us, vs, held = [], [], 0
+        if held:
+            yield batch_of(us, vs)
+
+    return run
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``u, v`` that the parities allow."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        good = [can_be_alike(a, b, n, similarity) for a, b, n in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n")), strict=True)]
+        return batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    left = sets.select(F.col("name").alias("u"), F.col("bits").alias("a"), F.col("n").alias("n1"))
+    right = sets.select(F.col("name").alias("v"), F.col("bits").alias("b"), F.col("n").alias("n2"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b", (F.col("n1") + F.col("n2")).alias("n")).mapInArrow(per_batch(run), "u long, v long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``u, v`` of sets whose exact Jaccard similarity is ``similarity`` or more."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        good = []
+        for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+            x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (a, b))
+            both = np.concatenate((x, y))
+            both.sort()
+            shared = int((both[1:] == both[:-1]).sum())
+            good.append(shared >= similarity * (x.size + y.size - shared) - 1e-9)
+        return batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    left = sets.select(F.col("name").alias("u"), F.col("hashes").alias("a"))
+    right = sets.select(F.col("name").alias("v"), F.col("hashes").alias("b"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(per_batch(run), "u long, v long")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Classes of documents whose ``shingle``-word shingles are alike: ``doc_id, text_hash, component_id``.
 
-    Candidates are texts whose word fingerprints are within ``radius`` bits, by the byte-position index (a few edited
-    words move a word's fingerprint far less than a shingle's, so this finds nearly all pairs of that similarity).
-    Within a posting candidates are verified by 128-bin signatures of their shingles, with ``slack`` for the estimate's
-    error. Only texts that have a candidate at all carry their signatures into postings. A row for each row of
-    ``docs``; null texts are empty; texts without words are one class; ``component_id`` is the smallest ``doc_id`` of
-    the class (null if it has none). An empty table gives an empty table.
+    Links are all pairs of texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more. Candidates
+    come from an index of the sets' prefixes, which every such pair shares a key of; they are verified on the whole
+    sets. Which hashes count as common only orders the prefixes, so it changes work and not links. A row for each row
+    of ``docs``; null texts are empty; texts without words are one class; ``component_id`` is the smallest ``doc_id``
+    of the class (null if it has none). An empty table gives an empty table.
     """
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, fps, signatures = [], [], []
+        hashes, names, all_sets, bits = [], [], [], []
         for t in texts(batch):
-            words = t.lower().split()
+            some = shingle_set(t, shingle)
+            bits.append(parities(some))
             hashes.append(xxhash.xxh64_intdigest(t, 42))
-            fps.append(word_fingerprint(words))
-            signatures.append(signature(words, shingle))
-        signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (hashes, fps)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *signed, pa.array(signatures, pa.binary())], ["doc_id", "text_hash", "fp", "signature"])
-
-    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, table in whole_groups(batches):
-            hashes, fps = table.column("text_hash").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [keys.size]))
-            pairs: list[tuple[int, int]] = []
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if hi - lo > 1:
-                    held = np.frombuffer(b"".join(table.column("signature").slice(lo, hi - lo).to_pylist()), np.uint8).reshape(-1, BINS)
-                    pairs += [(lo + a, lo + b) for a, b in verified_links(fps[lo:hi], held, radius, similarity - slack)]
-            if pairs:
-                u, v = np.array(pairs).T
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[u]), pa.array(hashes[v])], ["u", "v"])
-
-    rows = written(docs.select("doc_id", "text").mapInArrow(per_batch(sketch), f"doc_id {id_type}, text_hash long, fp long, signature binary"), "sketches")
-    one = rows.groupBy("text_hash").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("signature").alias("signature"))
-    one = written(one, "texts")
-    links = near_links(one, radius)
-    met = links.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-    twice = one.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    involved = written(met.union(twice).distinct(), "involved")
-    postings = one.join(involved, "fp", "left_semi").select(F.explode(posting_keys(radius)).alias("key"), "text_hash", "fp", "signature")
-    found = postings.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "u long, v long")
-    named = one.select("text_hash", "least").join(components(found), F.col("text_hash") == F.col("node"), "left")
-    named = written(named.select("text_hash", "least", F.coalesce("root", "text_hash").alias("root")), "named")
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_text = named.join(names, "root").select("text_hash", "component_id")
-    return rows.select("doc_id", "text_hash").join(by_text, "text_hash").select("doc_id", "text_hash", "component_id")
+            names.append(set_name(some))
+            all_sets.append(some)
+        values, counts = np.unique(np.concatenate(all_sets), return_counts=True)
+        often = counts >= 4
+        common = [list(zip(values[often].view(np.int64).tolist(), counts[often].tolist(), strict=True))] + [None] * (batch.num_rows - 1)
+        kind = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())]))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), signed(hashes), signed(names), pa.array([x.size for x in all_sets], pa.int32()), pa.array(bits, pa.binary()), pa.array([x and [{"h": h, "c": c} for h, c in x] for x in common], kind)], ["doc_id", "text_hash", "name", "n", "bits", "common"])
+
+    rows = written(docs.select("doc_id", "text").mapInArrow(per_batch(sketch), f"doc_id {id_type}, text_hash long, name long, n int, bits binary, common array<struct<h: long, c: long>>"), "sketches")
+    often = rows.select(F.explode("common").alias("x")).groupBy("x.h").agg(F.sum("x.c").alias("c")).orderBy(F.desc("c"), "h").limit(50_000).collect()
+    known = sorted((r.h % 2**64, r.c) for r in often)
+    common, counts = np.array([h for h, _ in known], np.uint64), np.array([c for _, c in known], np.int64)
+
+    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
+        parts, names, sizes, lengths = [np.zeros(0, np.uint64)], [], [], []
+        for t in texts(batch):
+            some = shingle_set(t, shingle)
+            parts.append(prefix(some, similarity, common, counts))
+            names.append(set_name(some))
+            sizes.append(some.size)
+            lengths.append(parts[-1].size)
+        flat = np.concatenate(parts).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(names, np.uint64).view(np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths))], ["key", "name", "n"])
+
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingle_set(t, shingle) for t in texts(batch)]
+        return pa.RecordBatch.from_arrays([signed([set_name(x) for x in found]), pa.array([x.tobytes() for x in found], pa.binary())], ["name", "hashes"])
+
+    one = written(rows.groupBy("name").agg(F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("bits").alias("bits")), "distinct")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        involved = pairs.select(F.explode(F.array("u", "v")).alias("name")).distinct()
+        involved = written(one.select("name", "text_hash").join(involved, "name", "left_semi").select("text_hash"), "involved")
+        hashed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text").join(involved, "text_hash", "left_semi")
+        sets = written(hashed.dropDuplicates(["text_hash"]).select("text").mapInArrow(per_batch(whole), "name long, hashes binary"), "sets")
+        return written(_verified(pairs, sets, similarity), "verified")
+
+    postings = docs.select("text").mapInArrow(per_batch(keys), "key long, name long, n int")
+    met = written(postings.repartition("key").sortWithinPartitions("key", "name").mapInArrow(_first_pairs(similarity), "key long, u long, v long"), "met")
+    first = met.where("v is not null").select("u", "v").distinct()
+    links = verified(written(_possible(first, one, similarity), "possible"))
+    members = met.where("v is null").select("key", F.col("u").alias("name")).join(components(links), F.col("name") == F.col("node"), "left")
+    members = written(members.select("key", "name", F.coalesce("root", "name").alias("root")), "members")
+    mixed = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
+    members = members.join(mixed, "key", "left_semi").join(one.select("name", "n", "bits"), "name").select("key", "name", "n", "root", "bits")
+    others = members.repartition("key").sortWithinPartitions("key").mapInArrow(_other_pairs(similarity), "u long, v long")
+    others = written(others.distinct(), "others")
+    if not others.isEmpty():
+        links = links.unionByName(verified(others))
+    named = one.join(components(links), F.col("name") == F.col("node"), "left")
+    named = written(named.select("name", "least", F.coalesce("root", "name").alias("root")), "named")
+    by_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_name = named.join(by_root, "root").select("name", "component_id")
+    return rows.select("doc_id", "text_hash", "name").join(by_name, "name").select("doc_id", "text_hash", "component_id")
 
 
 def representatives(docs: DataFrame, **settings) -> DataFrame:

@@ -153,6 +153,34 @@ def test_similar_documents_find_edited_copies(spark):
     assert len(set(got.values())) >= 60
 
 
+def test_similar_documents_equal_brute_force(spark):
+    """Truncated and extended copies of short texts, and many texts around one passage, at and beside the limit."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9)))
+    out = []
+    for size in (12, 30, 60, 150, 400):
+        for _ in range(12):
+            words = [word() for _ in range(size)]
+            out += [words, words[: round(size * rng.uniform(0.78, 0.95))], words + [word() for _ in range(round(size * rng.uniform(0.05, 0.25)))]]
+    passage = [word() for _ in range(80)]
+    out += [[word() for _ in range(rng.randrange(0, 12))] + passage + [word() for _ in range(rng.randrange(0, 12))] for _ in range(120)]
+    rng.shuffle(out)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in out]
+    root = list(range(len(out)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(out)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            p, r = find(a), find(b)
+            root[max(p, r)] = min(p, r)
+    got = {r.doc_id: r.component_id for r in near_simhash.similar_documents(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(out)], "doc_id long, text string")).collect()}
+    assert got == {k: find(k) for k in range(len(out))}
+
+
 def test_within_radius_equals_brute_force(spark):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(50)]
