@@ -91,7 +91,7 @@ def matches(words: list[bytes], index: Index, idf: dict[bytes, float], rarest: i
     """``(label, share of the template's words, start, end)`` of the templates that stand in a file."""
     present = index.postings.keys() & set(words)
     chosen = sorted(((idf.get(w, 0.0), w) for w in present), reverse=True)[:rarest]
-    rare = {w for score, w in chosen if score > 0}
+    rare = {w for _, w in chosen}
     if not rare:
         return []
     votes: Counter = Counter()
@@ -127,19 +127,17 @@ def frequencies(docs: DataFrame) -> dict[bytes, int]:
     return {bytes(w): n for w, n in found.collect()}
 
 
-def scan(docs: DataFrame, rarest: int = 12, least: float = 0.8, common: float = 0.25) -> DataFrame:
+def scan(docs: DataFrame, rarest: int = 12, least: float = 0.8) -> DataFrame:
     """``doc_id, n_words, base array<struct<at, label>>, found array<struct<label, share, start, end>>`` of each row.
 
     Takes ``doc_id, text``; other columns are ignored. ``base`` has every place of a fixed phrase, ``found`` every
-    match of a template with ``least`` of its words in place and all its key phrases. Words in more than ``common`` of
-    all documents have no vote. Null texts are empty and match nothing; repeated rows get a row each; an empty table
+    match of a template with ``least`` of its words in place and all its key phrases. Null texts are empty and match nothing; repeated rows get a row each; an empty table
     gives an empty table.
     """
     spark = docs.sparkSession
     counts = frequencies(docs)
     total = counts.pop(b"", 0)
-    idf = {w: math.log(total / n) if n <= common * total or total < 20 else 0.0 for w, n in counts.items()}
-    idf = {w: max(x, 1e-9) if total < 20 else x for w, x in idf.items()}
+    idf = {w: math.log(total / n) for w, n in counts.items()}
     id_type = docs.schema["doc_id"].dataType.simpleString()
     base_type = pa.list_(pa.struct([("at", pa.int64()), ("label", pa.string())]))
     found_type = pa.list_(pa.struct([("label", pa.string()), ("share", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))

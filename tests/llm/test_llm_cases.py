@@ -332,3 +332,12 @@ def test_license_templates(spark):
     assert not any(got[100 + k] for k in range(200)) and index.postings
     lacking = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software with restriction"
     assert not licenses.matches(licenses.words_of(lacking.encode()), index, {w.encode(): 1.0 for w in licenses.VOCABULARY}, 12, 0.8)
+
+
+def test_licenses_of_common_words(spark):
+    """A notice in a third of the rows hides none."""
+    texts = {label: text for label, text, _ in licenses.TEMPLATES}
+    for label in ("bsd", "gpl-3", "mpl-2", "unlicense", "cc0"):
+        rows = [(k, f"row {k} " + (texts[label] if k % 3 == 0 else "of plain words")) for k in range(90)]
+        got = {r.doc_id: {f.label for f in r.found} for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert all((label in got[k]) == (k % 3 == 0) for k in range(90))
