@@ -1,9 +1,9 @@
 """License scans by a positional rare-token index.
 
-The index has each template's words with their positions. A file's license words are looked up by rarity: document
-frequencies of the templates' words are counted over all documents, and a file's ``rarest`` such words with the highest
-IDF vote, at each place, for (template, start). Starts with enough votes are compared word by word with the template,
-and a match counts only if the template's mandatory key phrases stand there too.
+The index has each template's words with their positions. Document frequencies of the templates' words are counted over
+all documents, and of each template the ``rarest`` places with the highest IDF vote, wherever a file has their words, for
+(template, start). A match misses so few of a template's words that it keeps a known number of those votes; starts with
+that many are compared word by word with the template, and count only if its mandatory key phrases stand there too.
 """
 
 from __future__ import annotations
@@ -61,6 +61,7 @@ class Index:
         for n, (_, t, _) in enumerate(self.templates):
             for at, w in enumerate(t):
                 self.postings.setdefault(w, []).append((n, at))
+        self.voters = None  # of the last frequencies, see matches()
         self.phrases = [(p.encode().split(), label) for p, label in PHRASES.items()]
 
 
@@ -87,23 +88,47 @@ def named(words: list[bytes], index: Index) -> list[tuple[int, str]]:
     return out
 
 
+def voters(index: Index, idf: dict[bytes, float], rarest: int, least: float) -> list[tuple[dict[bytes, list[int]], int, int]]:
+    """Of each template: its voting words with their places, the votes that any match has, and the words a match has.
+
+    A match may lack ``spare`` words, so of more places than that some vote: ``rarest``, or two over ``spare``.
+    """
+    out = []
+    for _, template, _ in index.templates:
+        size = len(template)
+        same = math.ceil(least * size - 1e-9)
+        spare = size - same
+        places = sorted(range(size), key=lambda k: (-idf.get(template[k], math.inf), k))[: max(rarest, spare + 2)]
+        words: dict[bytes, list[int]] = {}
+        for k in places:
+            words.setdefault(template[k], []).append(k)
+        out.append((words, max(1, len(places) - spare), same))
+    return out
+
+
 def matches(words: list[bytes], index: Index, idf: dict[bytes, float], rarest: int, least: float) -> list[tuple[str, float, int, int]]:
     """``(label, share of the template's words, start, end)`` of the templates that stand in a file."""
+    if index.voters is None or index.voters[0] is not idf or index.voters[1:3] != (rarest, least):
+        index.voters = idf, rarest, least, voters(index, idf, rarest, least)
     present = index.postings.keys() & set(words)
-    chosen = sorted(((idf.get(w, 0.0), w) for w in present), reverse=True)[:rarest]
-    rare = {w for _, w in chosen}
-    if not rare:
+    voting: dict[bytes, list[tuple[int, int]]] = {}
+    for n, (rare, _, same) in enumerate(index.voters[3]):
+        _, template, keys = index.templates[n]
+        if len(present) > 1 and sum(w in present for w in template) >= same and all(w in present for k in keys for w in k):
+            for w, places in rare.items():
+                voting.setdefault(w, []).extend((n, k) for k in places)
+    if not voting:
         return []
     votes: Counter = Counter()
     for at, w in enumerate(words):
-        if w in rare:
-            for n, k in index.postings[w]:
+        if w in voting:
+            for n, k in voting[w]:
                 votes[n, at - k] += 1
     out = []
     for (n, start), got in votes.items():
-        label, template, keys = index.templates[n]
-        if got < min(2, sum(w in rare for w in template)):
+        if got < index.voters[3][n][1]:
             continue
+        label, template, keys = index.templates[n]
         lo = max(0, -start)
         same = sum(a == b for a, b in zip(words[start + lo : start + len(template)], template[lo:], strict=False))
         if same >= least * len(template) and all(stands(words, k, start, start + len(template)) for k in keys):
@@ -131,8 +156,9 @@ def scan(docs: DataFrame, rarest: int = 12, least: float = 0.8) -> DataFrame:
     """``doc_id, n_words, base array<struct<at, label>>, found array<struct<label, share, start, end>>`` of each row.
 
     Takes ``doc_id, text``; other columns are ignored. ``base`` has every place of a fixed phrase, ``found`` every
-    match of a template with ``least`` of its words in place and all its key phrases. Null texts are empty and match nothing; repeated rows get a row each; an empty table
-    gives an empty table.
+    match of a template with ``least`` of its words in place and all its key phrases, however many stand in a file and
+    however common their words are. Null texts are empty and match nothing; repeated rows get a row each; an empty
+    table gives an empty table.
     """
     spark = docs.sparkSession
     counts = frequencies(docs)

@@ -341,3 +341,10 @@ def test_licenses_of_common_words(spark):
         rows = [(k, f"row {k} " + (texts[label] if k % 3 == 0 else "of plain words")) for k in range(90)]
         got = {r.doc_id: {f.label for f in r.found} for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert all((label in got[k]) == (k % 3 == 0) for k in range(90))
+
+
+def test_licenses_of_many_notices(spark):
+    """A file with every notice has every label, once a template."""
+    rows = [(k, f"row {k} of plain words") for k in range(90)] + [(1000, " tail of file ".join(text for _, text, _ in licenses.TEMPLATES))]
+    got = {r.doc_id: [f.label for f in r.found] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got[1000]) == {label for label, *_ in licenses.TEMPLATES} and not any(got[k] for k in range(90))
