@@ -5,8 +5,8 @@ distinct documents have it than ``max(min_docs, share * documents of the host)``
 document that keeps less than ``min_left`` of its words is depleted and rejected.
 
 Copies of a document are one document here, or a clean text would count as its own boilerplate: the distinct
-documents of a line are told apart by the smallest hash among their other lines, which near copies share. That can
-only lower a count, so it can only keep more. Which copy stays is for a deduplication to say.
+documents of a line are its classes of near duplicates, by the shingles of the whole texts. Which copy stays is for a
+deduplication to say.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenspan.llm.common import bounded_batches, per_batch, texts, written
+from lumenspan.llm.near_simhash import similar_documents
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -40,8 +41,8 @@ def repeat_words(words: list[bytes]) -> int:
     return int((np.cumsum(ends[:-1]) > 0).sum())
 
 
-def statistics(data: bytes) -> tuple[list[int], list[int], list[int], int, int]:
-    """The five counts, hashes and word counts of the distinct lines, and the two smallest salted line hashes."""
+def statistics(data: bytes) -> tuple[list[int], list[int], list[int]]:
+    """The five counts, hashes and word counts of the distinct lines."""
     words = data.split()
     chars = len(data.decode("utf-8", "replace")) - sum(data.count(c) for c in SPACE)
     lines = [x for x in data.split(b"\n") if x.strip(SPACE)]
@@ -49,9 +50,8 @@ def statistics(data: bytes) -> tuple[list[int], list[int], list[int], int, int]:
     for x in lines:
         h = xxhash.xxh64_intdigest(x.strip(SPACE).lower(), 42)
         sizes[h] = sizes.get(h, 0) + len(x.split())
-    least = sorted(map(salted, sizes))[:2] + [0, 0]
     counts = [len(words), chars, sum(data.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), repeat_words(words)]
-    return counts, list(sizes), list(sizes.values()), least[0], least[1]
+    return counts, list(sizes), list(sizes.values())
 
 
 def salted(h: int) -> int:
@@ -60,30 +60,28 @@ def salted(h: int) -> int:
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, text`` → those without the text, its hash ``text_hash``, counts, ``lines`` and ``m1, m2``."""
+    """``doc_id, source, text`` → those without the text, its hash ``text_hash``, counts and ``lines``."""
     bounded_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     struct = pa.struct([("h", pa.int64()), ("w", pa.int32())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, hashes, sizes, m1, m2, ids, ends = [], [], [], [], [], [], [0]
+        counts, hashes, sizes, ids, ends = [], [], [], [], [0]
         for t in texts(batch):
-            c, h, s, a, b = statistics(t)
+            c, h, s = statistics(t)
             counts.append(c)
             hashes += h
             sizes += s
-            m1.append(a)
-            m2.append(b)
             ids.append(xxhash.xxh64_intdigest(t, 42))
             ends.append(len(hashes))
         flat = pa.StructArray.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32())], fields=list(struct))
         lines = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
         signed = pa.array(np.array(ids, np.uint64).view(np.int64))
         cols = [pa.array(c, pa.int64()) for c in zip(*counts, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), signed, *cols, lines, pa.array(m1, pa.int64()), pa.array(m2, pa.int64())], ["doc_id", "source", "text_hash", *STATS, "lines", "m1", "m2"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), signed, *cols, lines], ["doc_id", "source", "text_hash", *STATS, "lines"])
 
     fields = ", ".join(f"{x} long" for x in STATS)
-    return docs.select("doc_id", F.col("source").cast("string"), "text").mapInArrow(per_batch(run), f"doc_id {id_type}, source string, text_hash long, {fields}, lines array<struct<h: long, w: int>>, m1 long, m2 long")
+    return docs.select("doc_id", F.col("source").cast("string"), "text").mapInArrow(per_batch(run), f"doc_id {id_type}, source string, text_hash long, {fields}, lines array<struct<h: long, w: int>>")
 
 
 def salted_column(h: Column) -> Column:
@@ -106,21 +104,26 @@ def _times(h: Column) -> Column:
     return out
 
 
-def frequent_lines(slim: DataFrame, min_docs: int, share: float) -> DataFrame:
+def frequent_lines(slim: DataFrame, docs: DataFrame, min_docs: int, share: float) -> DataFrame:
     """``source, h`` of the lines over the limit.
 
     First a plain count of documents by line, combined before the shuffle; only lines over the limit by that count
-    (an upper bound) are looked at again, to count distinct documents.
+    (an upper bound) are looked at again, to count distinct documents: classes of near duplicates of the texts that have
+    such lines.
     """
     limits = slim.groupBy("source").agg(F.greatest(F.lit(float(min_docs)), F.count("*") * F.lit(float(share))).alias("limit"))
     each = slim.select("source", F.explode("lines.h").alias("h"))
     many = each.groupBy("source", "h").agg(F.count("*").alias("n"))
     many = many.join(limits.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).where("n > limit")
     many = written(many.select(F.col("source").alias("s"), F.col("h").alias("g"), "limit"), "many")
-    other = slim.select("source", "m1", "m2", F.explode("lines.h").alias("h"))
+    other = slim.select("source", "text_hash", F.explode("lines.h").alias("h"))
     other = other.join(many, (F.col("h") == F.col("g")) & F.col("source").eqNullSafe(F.col("s")))
-    other = other.select("source", "h", "limit", F.when(salted_column(F.col("h")) == F.col("m1"), F.col("m2")).otherwise(F.col("m1")).alias("m")).distinct()
-    return other.groupBy("source", "h", "limit").agg(F.count("*").alias("n")).where("n > limit").select("source", "h")
+    other = written(other.select("source", "h", "limit", "text_hash").distinct(), "other")
+    having = written(other.select(F.col("text_hash").alias("doc_id")).distinct(), "having")
+    some = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text").join(having, "doc_id", "left_semi")
+    classes = similar_documents(written(some.dropDuplicates(["doc_id"]), "some")).select(F.col("doc_id").alias("text_hash"), "component_id")
+    distinct = other.join(classes, "text_hash").select("source", "h", "limit", "component_id").distinct()
+    return distinct.groupBy("source", "h", "limit").agg(F.count("*").alias("n")).where("n > limit").select("source", "h")
 
 
 def line_quality(docs: DataFrame, min_docs: int = 50, share: float = 0.005, min_left: float = 0.3) -> DataFrame:
@@ -133,7 +136,7 @@ def line_quality(docs: DataFrame, min_docs: int = 50, share: float = 0.005, min_
     Repeated rows get a row each, with equal verdicts. An empty table gives an empty table.
     """
     slim = written(document_lines(docs), "lines")
-    frequent = written(frequent_lines(slim, min_docs, share), "frequent")
+    frequent = written(frequent_lines(slim, docs, min_docs, share), "frequent")
     each = slim.select("doc_id", "text_hash", "source", F.explode("lines.h").alias("h"))
     hit = each.join(frequent.select(F.col("source").alias("s"), F.col("h").alias("g")), (F.col("h") == F.col("g")) & F.col("source").eqNullSafe(F.col("s")))
     hit = hit.groupBy("doc_id", "text_hash", "source").agg(F.collect_set("h").alias("removed"))

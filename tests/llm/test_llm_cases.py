@@ -88,6 +88,17 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     assert "shared footer" not in kept[0].lower() and kept[1000] == clean
 
 
+def test_documents_that_share_many_lines_are_counted_each(spark):
+    """Different articles under one set of menu lines: the menu goes, and those with little else are rejected."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    menu = [" ".join(word() for _ in range(3)) for _ in range(20)]
+    rows = [(k, "\n".join([*menu, " ".join(word() for _ in range(100 if k < 150 else 20))]), "h") for k in range(300)]
+    got = {r.doc_id: r for r in line_quality.line_quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=0.01).collect()}
+    assert all(len(r.removed) == 20 for r in got.values())
+    assert all(r.kept == (d < 150) for d, r in got.items())
+
+
 def test_salted_column_equals_python(spark):
     values = [0, 1, -1, 2**63 - 1, -(2**63), 123456789012345678]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "h long").select(line_quality.salted_column(F.col("h"))).collect()]
