@@ -4,9 +4,8 @@ Lines are normalised (outer white space off, A-Z lower-cased) and hashed; a host
 distinct documents have it than ``max(min_docs, share * documents of the host)``. Lines over the limit are removed; a
 document that keeps less than ``min_left`` of its words is depleted and rejected.
 
-Copies of a document are one document here, or a clean text would count as its own boilerplate: the distinct
-documents of a line are its classes of near duplicates, by the shingles of the whole texts. Which copy stays is for a
-deduplication to say.
+Distinct documents are distinct texts: exact copies count once, or a text copied often would be its own boilerplate.
+Nothing coarser is one document: near copies, and pages that share other lines, count each.
 """
 
 from __future__ import annotations
@@ -19,8 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import bounded_batches, per_batch, texts, written
-from lumenspan.llm.near_simhash import similar_documents
+from lumenspan.llm.common import per_batch, texts, unused, written
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -54,14 +52,8 @@ def statistics(data: bytes) -> tuple[list[int], list[int], list[int]]:
     return counts, list(sizes), list(sizes.values())
 
 
-def salted(h: int) -> int:
-    """Another order of line hashes, by an odd multiplier."""
-    return (h * 0x9E3779B97F4A7C15 + 1) % (1 << 64) >> 1
-
-
 def document_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, source, text`` → those without the text, its hash ``text_hash``, counts and ``lines``."""
-    bounded_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     struct = pa.struct([("h", pa.int64()), ("w", pa.int32())])
 
@@ -84,46 +76,23 @@ def document_lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("source").cast("string"), "text").mapInArrow(per_batch(run), f"doc_id {id_type}, source string, text_hash long, {fields}, lines array<struct<h: long, w: int>>")
 
 
-def salted_column(h: Column) -> Column:
-    """:func:`salted` of a signed hash, natively: wrapping arithmetic, then one bit off."""
-    return F.shiftrightunsigned(_times(h), 1)
-
-
-def _times(h: Column) -> Column:
-    """``h * 0x9E3779B97F4A7C15 + 1`` modulo 2**64 by 16-bit limbs, so that no product overflows."""
-    m = 0x9E3779B97F4A7C15
-    limb = lambda k: F.shiftrightunsigned(h, 16 * k).bitwiseAND(F.lit(0xFFFF))
-    parts = [(m >> (16 * k)) & 0xFFFF for k in range(4)]
-    sums = [sum((limb(i) * F.lit(parts[k - i]) for i in range(k + 1)), F.lit(1 if k == 0 else 0)) for k in range(4)]
-    out, carry = None, F.lit(0)
-    for k in range(4):
-        total = sums[k] + carry
-        low = F.shiftleft(total.bitwiseAND(F.lit(0xFFFF)).cast("long"), 16 * k)
-        out = low if out is None else out.bitwiseOR(low)
-        carry = F.shiftrightunsigned(total, 16)
-    return out
-
-
-def frequent_lines(slim: DataFrame, docs: DataFrame, min_docs: int, share: float) -> DataFrame:
+def frequent_lines(slim: DataFrame, min_docs: int, share: float) -> DataFrame:
     """``source, h`` of the lines over the limit.
 
-    First a plain count of documents by line, combined before the shuffle; only lines over the limit by that count
-    (an upper bound) are looked at again, to count distinct documents: classes of near duplicates of the texts that have
-    such lines.
+    First a plain count of rows by line, combined before the shuffle; that is an upper bound, so only lines over the
+    limit by it are looked at again, to count distinct texts exactly: pairs of line and text are made distinct, spread
+    by both, and then counted by line with a combination before the shuffle. A line of a third of all rows is no
+    larger a task than others.
     """
     limits = slim.groupBy("source").agg(F.greatest(F.lit(float(min_docs)), F.count("*") * F.lit(float(share))).alias("limit"))
+    limits = limits.select(F.col("source").alias("s"), (F.col("limit") + 1e-9).alias("limit"))
     each = slim.select("source", F.explode("lines.h").alias("h"))
     many = each.groupBy("source", "h").agg(F.count("*").alias("n"))
-    many = many.join(limits.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).where("n > limit")
+    many = many.join(limits, F.col("source").eqNullSafe(F.col("s"))).where("n > limit")
     many = written(many.select(F.col("source").alias("s"), F.col("h").alias("g"), "limit"), "many")
-    other = slim.select("source", "text_hash", F.explode("lines.h").alias("h"))
-    other = other.join(many, (F.col("h") == F.col("g")) & F.col("source").eqNullSafe(F.col("s")))
-    other = written(other.select("source", "h", "limit", "text_hash").distinct(), "other")
-    having = written(other.select(F.col("text_hash").alias("doc_id")).distinct(), "having")
-    some = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text").join(having, "doc_id", "left_semi")
-    classes = similar_documents(written(some.dropDuplicates(["doc_id"]), "some")).select(F.col("doc_id").alias("text_hash"), "component_id")
-    distinct = other.join(classes, "text_hash").select("source", "h", "limit", "component_id").distinct()
-    return distinct.groupBy("source", "h", "limit").agg(F.count("*").alias("n")).where("n > limit").select("source", "h")
+    pairs = slim.select("source", "text_hash", F.explode("lines.h").alias("h"))
+    pairs = pairs.join(many, (F.col("h") == F.col("g")) & F.col("source").eqNullSafe(F.col("s"))).select("source", "h", "limit", "text_hash").distinct()
+    return pairs.groupBy("source", "h", "limit").agg(F.count("*").alias("n")).where("n > limit").select("source", "h")
 
 
 def line_quality(docs: DataFrame, min_docs: int = 50, share: float = 0.005, min_left: float = 0.3) -> DataFrame:
@@ -136,7 +105,7 @@ def line_quality(docs: DataFrame, min_docs: int = 50, share: float = 0.005, min_
     Repeated rows get a row each, with equal verdicts. An empty table gives an empty table.
     """
     slim = written(document_lines(docs), "lines")
-    frequent = written(frequent_lines(slim, docs, min_docs, share), "frequent")
+    frequent = written(frequent_lines(slim, min_docs, share), "frequent")
     each = slim.select("doc_id", "text_hash", "source", F.explode("lines.h").alias("h"))
     hit = each.join(frequent.select(F.col("source").alias("s"), F.col("h").alias("g")), (F.col("h") == F.col("g")) & F.col("source").eqNullSafe(F.col("s")))
     hit = hit.groupBy("doc_id", "text_hash", "source").agg(F.collect_set("h").alias("removed"))
@@ -146,7 +115,7 @@ def line_quality(docs: DataFrame, min_docs: int = 50, share: float = 0.005, min_
     gone = F.aggregate(F.filter("lines", lambda x: F.array_contains(F.col("removed"), x.h)), F.lit(0).cast("long"), lambda a, x: a + x.w)
     out = out.withColumn("left_words", F.col("n_words") - gone)
     out = out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    kept = ~F.col("base_failed") & (F.col("left_words") >= min_left * F.col("n_words"))
+    kept = ~F.col("base_failed") & (F.col("left_words") >= min_left * F.col("n_words") - 1e-9)
     return out.select("doc_id", "text_hash", "source", *STATS, "base_failed", "removed", "left_words", kept.alias("kept"))
 
 
@@ -159,10 +128,14 @@ def without_lines(text: Column, removed: Column) -> Column:
 def kept_documents(docs: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs`` that :func:`line_quality` keeps, all columns, each as often as it stands there.
 
-    Lines over the limit go from the texts (and ``n_chars``, if there, is counted anew).
+    Lines over the limit go from the texts (and ``n_chars``, if there, is counted anew). Null texts go, being empty;
+    null ids and sources are equal to each other. An empty table gives an empty table.
     """
-    verdict = line_quality(docs, **limits).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_src"), "removed").dropDuplicates(["_id", "_hash", "_src"]).withColumnRenamed("removed", "_removed")
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hash")) & docs["source"].cast("string").eqNullSafe(F.col("_src"))
-    out = docs.join(verdict, same)
-    text = F.when(F.size("_removed") > 0, without_lines(docs["text"], F.col("_removed"))).otherwise(docs["text"])
+    names = [unused(f"_{c}", docs) for c in ("id", "hash", "source", "removed")]
+    verdict = line_quality(docs, **limits).where("kept").select("doc_id", "text_hash", "source", "removed").dropDuplicates(["doc_id", "text_hash", "source"]).toDF(*names)
+    own = [docs["doc_id"], F.xxhash64(F.coalesce(docs["text"], F.lit(""))), docs["source"].cast("string")]
+    same = [c.eqNullSafe(F.col(n)) for c, n in zip(own, names[:3], strict=True)]
+    out = docs.join(verdict, same[0] & same[1] & same[2])
+    removed = F.col(names[3])
+    text = F.when(F.size(removed) > 0, without_lines(docs["text"], removed)).otherwise(docs["text"])
     return out.select(*[text.alias("text") if c == "text" else F.char_length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns])
