@@ -1,11 +1,14 @@
 """SentencePiece encoding and decoding on the tokenizers library.
 
 The model's protobuf is parsed here (pieces, scores, types, model kind, normaliser) and a tokenizers pipeline is built
-from it: the normaliser's character map, the metaspace marker, unigram scores or BPE merges, and byte fallback. No
-piece spans a marker that follows another character, or a line feed; so a text's ids are those of its runs, and
-each distinct run is encoded once, in multithreaded batches. Each distinct run is also verified against the
-sentencepiece library; where the two differ (ties between merges of equal score), sentencepiece's ids are taken and
-the document says so.
+from it: the normaliser's character map, the metaspace marker, unigram scores or BPE merges, and byte fallback. The
+ids returned are always those of the tokenizers library; the sentencepiece library only verifies them (``parity``).
+
+A BPE merge makes a piece of the model, so where no piece of the model has two neighbouring characters in it, no merge
+ever crosses between them: the text's ids are those of the parts that such places cut it into. That is looked up in
+the model's pieces (markers after another character, line feeds, and punctuation after a word), and lets each distinct
+part be encoded and verified once, in multithreaded batches. Unigram models, and BPE models without such cuts, are
+encoded and verified text by text.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from lumenspan.llm.common import bounded_batches, texts
+from lumenspan.llm.common import slices, texts
 
 MARK = "▁"
 RUN = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
@@ -121,7 +124,7 @@ def build(model: Model, normalise: bool = True):
     if normalise:
         steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
         if model.remove_extra:
-            steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+            steps += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]  # spaces only
         if model.dummy_prefix:
             steps.append(normalizers.Prepend(MARK))
         out.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
@@ -139,30 +142,47 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 class Encoder:
     """Encodes and decodes texts; holds a bounded number of distinct runs and parts of runs.
 
-    A run of a word and punctuation is two parts if no piece has the two characters that meet between them.
+    A run is a marker and what follows it; a run of a word and punctuation is two parts if no piece has the two
+    characters that meet between them.
     """
 
     def __init__(self, path: str, verify: bool = True, most: int = 500_000):
         with open(path, "rb") as f:
-            data = f.read()
+            self._set_up(f.read(), verify, most)
+
+    @classmethod
+    def of(cls, data: bytes, verify: bool = True, most: int = 500_000) -> Encoder:
+        """From a model file's bytes."""
+        out = cls.__new__(cls)
+        out._set_up(data, verify, most)
+        return out
+
+    def _set_up(self, data: bytes, verify: bool, most: int) -> None:
         self.model, self.most, self.verify = parse_model(data), most, verify
         self.whole, self.run = build(self.model), build(self.model, normalise=False)
         normal = [p for p, _, kind in self.model.pieces if kind in (NORMAL, USER)]
-        self.by_runs = not any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in normal)
-        self.meet = {pair for p in normal for pair in pairwise(p)}
-        self.known: dict[str, tuple[bytes, bool, bool]] = {}
-        self.parts: dict[str, tuple[bytes, bool, bool]] = {}
-        self.bad: set[str] = set()  # runs without parity or round trip
         self.feed = self.run.encode("\n", add_special_tokens=False).ids
+        self.by_runs = self.model.kind == BPE and len(self.feed) == 1 and not any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in normal)
+        self.meet = {pair for p in normal for pair in pairwise(p)}
+        self.known: dict[str, tuple[bytes, bool]] = {}
+        self.parts: dict[str, tuple[bytes, bool]] = {}
+        self.bad: set[str] = set()  # runs without parity
+        self.table = pa.array([self._bytes_of(p, kind) for p, _, kind in self.model.pieces], pa.large_binary())
         import sentencepiece
 
         self.check = sentencepiece.SentencePieceProcessor(model_proto=data)
 
+    @staticmethod
+    def _bytes_of(piece: str, kind: int) -> bytes:
+        """What a piece stands for: nothing (control), a byte, or its text with spaces for markers."""
+        if kind == CONTROL:
+            return b""
+        if kind == UNKNOWN:
+            return " \u2047 ".encode()
+        return bytes([int(piece[1:-1], 16)]) if kind == BYTE else piece.replace(MARK, " ").encode()
+
     def _encode_parts(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of parts by both libraries: in long texts with line feeds between, where these stand alone."""
-        if not self.by_runs or len(self.feed) != 1:
-            got = [e.ids for e in self.run.encode_batch(parts, add_special_tokens=False)]
-            return got, self.check.encode([p.replace(MARK, " ")[self.model.dummy_prefix :] for p in parts])
         groups = [parts[k : k + 64] for k in range(0, len(parts), 64)]
         joined = ["\n" + "\n".join(g) for g in groups]
         got = self._cut([e.ids for e in self.run.encode_batch(joined, add_special_tokens=False)], 1)
@@ -194,30 +214,26 @@ class Encoder:
         split = {r: self._split(r) for r in runs if r != "\n"}
         fresh = list({p for parts in split.values() for p in parts if p not in self.parts})
         if fresh:
-            got, want = self._encode_parts(fresh)
-            back = self.run.decode_batch(want, skip_special_tokens=False)
-            for p, e, w, b in zip(fresh, got, want, back, strict=True):
-                self.parts[p] = np.array(w, "<i4").tobytes(), e == w, b == p
+            for p, e, w in zip(fresh, *self._encode_parts(fresh), strict=True):
+                self.parts[p] = np.array(e, "<i4").tobytes(), e == w
         for r, parts in split.items():
             each = [self.parts[p] for p in parts]
-            self.known[r] = b"".join([x[0] for x in each]), all(x[1] for x in each), all(x[2] for x in each)
-        self.known["\n"] = np.array(self.feed, "<i4").tobytes(), True, True
-
-    def encode(self, data: list[str]) -> list[tuple[np.ndarray, bool, bool]]:
-        """For each text: ids, whether both libraries agree, whether decoding gives the text back."""
-        normal = [self.whole.normalizer.normalize_str(t) if t else "" for t in data]
-        runs = [RUN.findall(t) if self.by_runs else [t] * bool(t) for t in normal]
+            self.known[r] = b"".join([x[0] for x in each]), all(x[1] for x in each)
+        self.known["\n"] = np.array(self.feed, "<i4").tobytes(), True
+
+    def encode(self, data: list[str]) -> list[tuple[np.ndarray, bool]]:
+        """For each text: the tokenizers library's ids, and whether sentencepiece has the same."""
+        if not self.by_runs:
+            got = [e.ids for e in self.whole.encode_batch(data, add_special_tokens=False)]
+            want = self.check.encode(data) if self.verify else got
+            return [(np.array(e, "<i4"), e == w) for e, w in zip(got, want, strict=True)]
+        runs = [RUN.findall(self.whole.normalizer.normalize_str(t)) if t else [] for t in data]
         known = self.known
         fresh = list({r for each in runs for r in each if r not in known})
         if fresh:
             self._learn(fresh)
-        self.bad.update(r for r in fresh if not (known[r][1] and known[r][2]))
-        out = []
-        for text, norm, each in zip(data, normal, runs, strict=True):
-            ids = np.frombuffer(b"".join([known[r][0] for r in each]), "<i4")
-            whole = norm.replace(MARK, " ")[self.model.dummy_prefix and bool(norm) :] == text
-            odd = self.bad.intersection(each) if self.bad else ()
-            out.append((ids, all(known[r][1] for r in odd), whole and all(known[r][2] for r in odd)))
+        self.bad.update(r for r in fresh if not known[r][1])
+        out = [(np.frombuffer(b"".join([known[r][0] for r in each]), "<i4"), not self.bad or self.bad.isdisjoint(each)) for each in runs]
         if len(known) > self.most:
             known.clear()
             self.bad.clear()
@@ -225,9 +241,14 @@ class Encoder:
             self.parts.clear()
         return out
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        """Texts of ids."""
-        return self.whole.decode_batch(ids, skip_special_tokens=False)
+    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
+        """UTF-8 of the texts of ids, each whole: the pieces' bytes, one after another, without the prefix's space."""
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        got = self.table.take(pa.array(np.concatenate([np.zeros(0, "<i4"), *ids])))
+        at = np.frombuffer(got.buffers()[1], np.int64, len(got) + 1)[np.concatenate(([0], np.cumsum(sizes)))]
+        data = got.buffers()[2].to_pybytes() if len(got) else b""
+        back = [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return [t.removeprefix(b" ") for t in back] if self.model.dummy_prefix else back
 
 
 @lru_cache(maxsize=1)
@@ -239,22 +260,23 @@ def kept_encoder(path: str) -> Encoder:
 def encoded(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
     """Columns ``keep`` of ``docs`` and ``n_tokens, ids_crc32, parity, round_trip`` (and ``ids``) of each whole text.
 
-    ``parity``: both libraries gave the same ids; ``round_trip``: decoding gives the text back (a text with the marker
-    itself, or one that the normaliser changes, doesn't come back). Null and empty texts have no ids, parity and a
-    round trip. Repeated rows get a row each; an empty table gives an empty table. Columns of the new names in
-    ``docs`` are left out.
+    ``parity``: sentencepiece gives the same ids; ``round_trip``: the ids, decoded, give the whole text back (a text
+    with the marker itself, or one that the normaliser changes, doesn't come back). Null and empty texts have no ids,
+    parity and a round trip. Repeated rows get a row each; an empty table gives an empty table. Columns of the new
+    names in ``docs`` are left out.
     """
-    bounded_batches(docs.sparkSession, 500)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept_encoder(path)
-        for batch in batches:
+        for batch in slices(batches, 500):
             done = encoder.encode([t.decode() for t in texts(batch)])
-            made = [pa.array([x.size for x, _, _ in done], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x, _, _ in done], pa.int64()), pa.array([p for _, p, _ in done]), pa.array([r for _, _, r in done])]
+            found = [x for x, _ in done]
+            back = [a == b for a, b in zip(encoder.decode(found), texts(batch), strict=True)]
+            made = [pa.array([x.size for x in found], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in found], pa.int64()), pa.array([p for _, p in done]), pa.array(back)]
             names = ["n_tokens", "ids_crc32", "parity", "round_trip"]
             if ids:
-                ends = np.concatenate(([0], np.cumsum([x.size for x, _, _ in done]))).astype(np.int32)
-                made.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x for x, _, _ in done]))))
+                ends = np.concatenate(([0], np.cumsum([x.size for x in found]))).astype(np.int32)
+                made.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], [*keep, *names])
 
