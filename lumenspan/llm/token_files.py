@@ -1,16 +1,18 @@
 """Token-id files compressed by Re-Pair grammars.
 
 Ids are cut into shards of about ``shard_ids``. In each, rounds replace the most frequent neighbouring pairs by new
-symbols (many pairs a round, from left to right where they overlap) until a round gains little. A file has shards one
+symbols (many pairs a round, from left to right where they overlap) until no pair is frequent or a round gains little. A file has shards one
 after another; a shard has its rules, their expansion lengths and the remaining symbols, so any range of ids can be
 decoded by expanding only the symbols that cover it.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -20,32 +22,33 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import bounded_batches, shared_folder, work_partitions, written
+from lumenspan.llm.common import range_bounds, range_of, shared_folder, slices, typed, work_partitions, written
 from lumenspan.llm.files import Writer, opened
 
 MAGIC = b"RPG1"
 HEAD = struct.Struct("<4sIIIQ")  # magic, first nonterminal, rules, symbols, ids
 
 
-def repair(ids: np.ndarray, vocabulary: int, rounds: int = 4, pairs: int = 4096, gain: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, vocabulary: int, pairs: int = 4096, least_count: int = 8, gain: float = 0.002) -> tuple[np.ndarray, np.ndarray]:
     """Rules (rows of two symbols; row k defines symbol ``vocabulary + k``) and the remaining symbols.
 
-    A round counts pairs by a 20-bit hash first; only members of the most frequent hashes are counted exactly.
+    A round takes up to ``pairs`` pairs that stand there ``least_count`` times or more, and rounds go on until there are
+    none or a round shortens the ids by less than ``gain`` (running on gains under a thousandth on ordinary text; a
+    shard of copies halves round by round and goes on). A round counts pairs by a 20-bit hash first; only members of
+    the most frequent hashes are counted exactly.
     """
     s, rules = ids.astype(np.uint32), []
     known = vocabulary
-    for _ in range(rounds):
-        if s.size < 16:
-            break
+    while s.size > 2 * least_count:
         a, b = s[:-1], s[1:]
         bucket = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(12)
         counts = np.bincount(bucket, minlength=1 << 20)
         held = np.cumsum(np.bincount(np.minimum(counts, 4095), minlength=4096)[::-1])  # buckets with at least each count
-        least = max(8, 4095 - int(np.searchsorted(held, pairs)))
+        least = max(least_count, 4095 - int(np.searchsorted(held, pairs)))
         some = np.flatnonzero((counts >= least)[bucket])
         found, n = np.unique((a[some].astype(np.uint64) << np.uint64(32)) | b[some], return_counts=True)
         best = np.argsort(-n, kind="stable")[:pairs]
-        best = np.sort(best[n[best] >= 8])
+        best = np.sort(best[n[best] >= least_count])
         if not best.size:
             break
         left, right = (found[best] >> np.uint64(32)).astype(np.uint32), found[best].astype(np.uint32)
@@ -149,10 +152,18 @@ MARKS = r"[!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]"
 LETTER = "[a-z\u00df-\u00f6\u00f8-\u024f]"
 
 
+# The normaliser and splitter of the tokenizers whose texts may be encoded word by word.
+WORD_STEPS = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+]
+
+
 class WordCache:
     """Ids of texts by the tokenizers library, each distinct word encoded once.
 
-    The model lower-cases, drops white space and splits letters from the marks that follow them, and no token spans
+    Only a tokenizer with the steps above and word ends ``</w>`` is used so (``by_words``); with any other, whole
+    texts are encoded. The model lower-cases, drops white space and splits letters from the marks that follow them, and no token spans
     such a split. So texts are lower-cased (A-Z), parted there by a space and split at white space; the distinct
     words of a batch are encoded (in long joined texts: a token that ends a word ends a part) and their ids dealt
     back. Texts that hold a special token's string are encoded as they are, and words whose ends don't add up one by
@@ -167,6 +178,8 @@ class WordCache:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)"
+        steps = json.loads(self.tokenizer.to_str())
+        self.by_words = [steps["normalizer"], steps["pre_tokenizer"]] == WORD_STEPS and steps["model"].get("end_of_word_suffix") == "</w>"
         self.known: dict[str, bytes] = {"": b""}
 
     def _ids(self, some: list[str]) -> list[np.ndarray]:
@@ -191,7 +204,7 @@ class WordCache:
         """All ids of a column of texts (null: empty), and how many each text has."""
         column = pa.array([x or "" for x in column.to_pylist()], pa.large_string())  # anew: ascii_lower goes wrong on a slice
         whole = pc.match_substring_regex(column, self.special).to_numpy(zero_copy_only=False)
-        if whole.any():
+        if not self.by_words or whole.any():
             return self._one_by_one(column)
         parted = pc.replace_substring_regex(pc.ascii_lower(column), f"({LETTER})({MARKS})", r"\1 \2")
         for space in "\t\n\x0b\x0c\r":
@@ -228,18 +241,16 @@ def word_cache(path: str, dtype: str) -> WordCache:
 
 def encoded(docs: DataFrame, path: str, end_id: int, dtype: str) -> DataFrame:
     """``doc_id, ids`` (binary, little-endian ``dtype``), the end id appended."""
-    bounded_batches(docs.sparkSession, 2000)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    id_type = typed(docs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_cache(path, dtype)
-        for batch in batches:
-            if batch.num_rows:
-                ids, sizes = words.encode(batch.column("text"))
-                ids = np.insert(ids, np.cumsum(sizes), end_id)
-                ends = np.concatenate(([0], np.cumsum(sizes + 1))) * ids.itemsize
-                data = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), data.cast(pa.binary())], ["doc_id", "ids"])
+        for batch in slices(batches, 2000):
+            ids, sizes = words.encode(batch.column("text"))
+            ids = np.insert(ids, np.cumsum(sizes), end_id)
+            ends = np.concatenate(([0], np.cumsum(sizes + 1))) * ids.itemsize
+            data = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), data.cast(pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, ids binary")
 
@@ -252,10 +263,8 @@ def write_files(ids: DataFrame, bounds: list, folder: str, vocabulary: int, dtyp
 
     Index: ``doc_id``, file, place and length of the shard, first id in it, number of ids, ids before it in the bucket.
     """
-    id_type = ids.schema["doc_id"].dataType.simpleString()
-    bound = F.array(*map(F.lit, bounds)).cast(f"array<{id_type}>")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(F.size(F.filter(bound, lambda b: b < F.col("doc_id"))))
-    dealt = ids.select(bucket.cast("int").alias("bucket"), "doc_id", "ids").repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_last(), "ids")
+    id_type = typed(ids)
+    dealt = ids.select(range_of(ids, bounds).alias("bucket"), "doc_id", "ids").repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_last(), "ids")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: Writer | None = None
@@ -297,25 +306,33 @@ def write_files(ids: DataFrame, bounds: list, folder: str, vocabulary: int, dtyp
 
 def read_files(index: DataFrame, folder: str) -> DataFrame:
     """``doc_id, bucket, before, n_tokens, ids_crc32``, with ids decoded from the files."""
-    id_type = index.schema["doc_id"].dataType.simpleString()
+    id_type = typed(index)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = opened(folder)
-        place, ids, source, name = None, None, None, None
+        place, shard, ids, source, name = None, None, None, None, None
         for batch in batches:
             crcs, sizes = [], []
-            for file, at, length, first, n in zip(*(batch.column(k) for k in ("file", "at", "length", "first", "n_tokens")), strict=True):
-                if (file.as_py(), at.as_py()) != place:
-                    place = file.as_py(), at.as_py()
-                    if name != place[0]:
-                        name, source = place[0], system.open_input_file(f"{path}/{place[0]}")
-                    ids = Shard(source.read_at(length.as_py(), place[1])).all().astype("<u4")
-                got = ids[first.as_py() : first.as_py() + n.as_py()]
+            rows = list(zip(*(batch.column(k).to_pylist() for k in ("file", "at", "length", "first", "n_tokens")), strict=True))
+            asked = Counter()
+            for file, at, _, _, n in rows:
+                asked[file, at] += n
+            for file, at, length, first, n in rows:
+                if (file, at) != place:
+                    place = file, at
+                    if name != file:
+                        name, source = file, system.open_input_file(f"{path}/{file}")
+                    shard, ids = Shard(source.read_at(length, at)), None
+                if ids is None and 2 * asked[place] >= shard.size:
+                    ids = shard.all()
+                # of a shard of which little is asked for, only the symbols that cover that are expanded
+                got = (shard.range(first, first + n) if ids is None else ids[first : first + n]).astype("<u4")
                 crcs.append(zlib.crc32(got.tobytes()))
                 sizes.append(got.size)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("bucket"), batch.column("before"), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "bucket", "before", "n_tokens", "ids_crc32"])
 
-    dealt = index.repartition(work_partitions(index.sparkSession), "file").sortWithinPartitions("file", "at", "first")
+    parts = 1 + (index.agg(F.max("bucket")).first()[0] or 0)
+    dealt = index.repartitionById(parts, F.col("bucket")).sortWithinPartitions("file", "at", "first")
     return dealt.select("doc_id", "bucket", "before", "file", "at", "length", "first", "n_tokens").mapInArrow(run, f"doc_id {id_type}, bucket int, before long, n_tokens long, ids_crc32 long")
 
 
@@ -331,9 +348,7 @@ def token_files(docs: DataFrame, path: str, end_id: int = 1, vocabulary: int | N
     spark = docs.sparkSession
     vocabulary = vocabulary or max(Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True), end_id + 1)
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    steps = [k / buckets for k in range(1, buckets)]
-    bounds = sorted(set(docs.select("doc_id").agg(F.percentile_approx("doc_id", steps, 10_000)).first()[0] or []))
+    bounds = range_bounds(docs, max(2, work_partitions(spark)))
     folder = shared_folder(spark, "tokens")
     index = write_files(encoded(docs, path, end_id, dtype), bounds, folder, vocabulary, dtype)
     totals = index.groupBy("bucket").agg(F.sum("n_tokens").alias("n"))
