@@ -2,8 +2,8 @@
 
 Terms are lower-cased words of letters and their four- and five-letter beginnings, hashed to 2**18 places. A machine
 of first-order weights and ``factors`` dimensions of pairwise interaction is fitted on the driver to a bounded sample
-of labelled rows (``max_rows``); its places are those that tell the labels apart best in that sample. Scoring is one
-pass over whole texts, with a model of a few hundred KB.
+of labelled rows (``max_rows``); its places are those that tell the labels apart best in that sample, alone or with
+another term. Scoring is one pass over whole texts, with a model of a few hundred KB.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lumenspan.llm.common import bounded_batches, texts, written
+from lumenspan.llm.common import slices, texts, typed, written
 
 PLACES = 1 << 18
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -55,19 +55,43 @@ class Machine:
         return float(1 / (1 + math.exp(-max(-60.0, min(60.0, z)))))
 
 
-def select_places(rows: list[np.ndarray], y: np.ndarray, count: int) -> np.ndarray:
-    """The ``count`` places with the largest log-likelihood ratio between presence and label."""
-    flat, label = np.concatenate([np.zeros(0, np.int64), *rows]), np.repeat(y, [r.size for r in rows])
-    n, pos = len(y), y.sum()
-    k1, k0 = np.bincount(flat, label, PLACES), np.bincount(flat, 1 - label, PLACES)
-    cells = ((k1, pos), (pos - k1, pos), (k0, n - pos), (n - pos - k0, n - pos))
-    seen, g = k1 + k0, np.zeros(PLACES)
-    for (cell, row), col in zip(cells, (seen, n - seen, seen, n - seen), strict=True):
+def _ratio(k1: np.ndarray, k0: np.ndarray, pos: float, n: float) -> np.ndarray:
+    """Log-likelihood ratio between presence and label, from the rows with a place by label; 0 where under 3 have it."""
+    seen, g = k1 + k0, np.zeros(k1.size)
+    for cell, row, col in ((k1, seen, pos), (pos - k1, n - seen, pos), (k0, seen, n - pos), (n - pos - k0, n - seen, n - pos)):
         with np.errstate(divide="ignore", invalid="ignore"):
             g += np.where(cell > 0, 2 * cell * np.log(cell * n / (row * col)), 0)
     g[seen < 3] = 0
-    best = np.argsort(-g, kind="stable")[:count]
-    return np.sort(best[g[best] > 10.8])  # p < 0.001 for one degree of freedom
+    return g
+
+
+def select_places(rows: list[np.ndarray], y: np.ndarray, count: int, anchors: int = 32) -> np.ndarray:
+    """At most ``count`` places that tell the labels apart best alone, and a 32nd of that with another place.
+
+    Alone, by the ratio over all rows; then, of the others, by the ratio over the rows that also have one of the
+    ``anchors`` best places: so a term that matters in pairs only is kept for the machine to weigh.
+    """
+
+    def counts(some: np.ndarray) -> np.ndarray:
+        return np.bincount(np.concatenate([np.zeros(0, np.int64), *(rows[k] for k in some)]), minlength=PLACES)
+
+    bad, good = np.flatnonzero(y > 0), np.flatnonzero(y <= 0)
+    alone, paired = _ratio(counts(bad), counts(good), float(bad.size), float(len(y))), np.zeros(PLACES)
+    leading = np.argsort(-alone, kind="stable")[:anchors]
+    having: dict[int, list[int]] = {int(p): [] for p in leading}
+    for k, r in enumerate(rows):
+        for p in r[np.isin(r, leading, assume_unique=True)].tolist():
+            having[p].append(k)
+    for some in having.values():
+        label = y[some] > 0
+        if label.any() and not label.all():
+            some = np.array(some)
+            paired = np.maximum(paired, _ratio(counts(some[label]), counts(some[~label]), float(label.sum()), float(some.size)))
+    order = np.argsort(-alone, kind="stable")[:count]
+    order = order[alone[order] > 10.8]  # p < 0.001 for one degree of freedom
+    paired[order] = 0
+    more = np.argsort(-paired, kind="stable")[: count // 32]
+    return np.sort(np.concatenate((order, more[paired[more] > 40])))  # so many trials
 
 
 def train(rows: list[np.ndarray], y: np.ndarray, count: int = 4096, factors: int = 4, epochs: int = 60, seed: int = 7) -> Machine:
@@ -118,20 +142,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Machine:
     Only ``doc_id`` (to join), ``text`` and ``toxic`` are read; null labels are left out. The sample is found on the
     labels alone; then only its texts' hash places come to the driver.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_rows ids at most
     sample = sample.select("doc_id", "text", "toxic")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [np.unique(np.array([p for w in distinct_words(t) for p in places(w)], "<i4")).tobytes() for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int32()), pa.array(found, pa.binary())], ["doc_id", "toxic", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("toxic").cast(pa.int32()), pa.array(found, pa.binary())], ["doc_id", "toxic", "places"])
 
-    found = written(sample.mapInArrow(run, "doc_id long, toxic int, places binary"), "sample")
-    got = sorted((r[0], bytes(r[2]), r[1]) for r in found.toLocalIterator())
+    found = written(sample.mapInArrow(run, "doc_id string, toxic int, places binary"), "sample")
+    # rows that share an id are all of one sample id: the bound holds for rows too
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("places")]
+    got = sorted((r[0], bytes(r[2]), r[1]) for r in found.orderBy(*order).limit(max_rows).collect())
     return train([np.frombuffer(p, "<i4").astype(np.int64) for _, p, _ in got], np.array([t > 0 for *_, t in got], bool).astype(float))
 
 
@@ -141,14 +165,13 @@ def scores(docs: DataFrame, machine: Machine, keep_text: bool = True) -> DataFra
     ``keep_text=False`` leaves ``text`` out of the result. Repeated rows keep a row each; an empty table gives one.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     sent = spark.sparkContext.broadcast(machine)  # at most 4096 places
     docs = docs.drop("tox_score")
     keep = [c for c in docs.columns if keep_text or c != "text"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = sent.value, {}
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for t in texts(batch):
                 found: set[int] = set()
