@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import written
+from lumenspan.llm.common import remove, saved
 
 
 def _star(links: DataFrame, keep: str) -> DataFrame:
@@ -28,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
     are no link. An empty table gives an empty table.
     """
     ends = links.where("u is not null and v is not null and u <> v")
-    now = written(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    now, uri = saved(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = None
     while True:
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
@@ -38,4 +38,6 @@ def components(links: DataFrame) -> DataFrame:
         both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.*")
         large = _star(both, "larger").where("u <> v").distinct()
         small = _star(large, "smaller").where("u <> v").distinct()
-        now = written(small, "links")
+        before = uri
+        now, uri = saved(small, "links")
+        remove(now.sparkSession, before)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import bounded_batches, per_batch, texts, written
+from lumenspan.llm.common import Scratch, per_batch, slices, texts, typed, unused, written
 from lumenspan.llm.components import components
 
 BYTES = 8
@@ -67,8 +67,7 @@ def simhash(data: bytes, shingle: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """``doc_id, text`` → ``doc_id, fp`` (signed long). Null and empty texts: 0."""
-    bounded_batches(docs.sparkSession)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    id_type = typed(docs)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.fromiter((simhash(t, shingle) for t in texts(batch)), np.uint64, batch.num_rows)
@@ -243,71 +242,114 @@ def can_be_alike(a: bytes, b: bytes, size: int, similarity: float) -> bool:
     return (int.from_bytes(a) ^ int.from_bytes(b)).bit_count() <= size * (1 - similarity) / (1 + similarity) + 1e-9
 
 
-SMALL = 8
+NEXT = 4
+#: Postings of so many texts are complete with each one's pairs with the first and the next four.
+SMALL = NEXT + 2
+#: Larger postings are compared block against block, each two blocks in a task of their own.
+BLOCK = 4096
 
 
-def _first_pairs(similarity: float):
+def _first_pairs(similarity: float, most: int = 1_000_000):
     """Sorted ``key, name, n`` → pairs to verify ``(null, u, v)``, and members ``(key, u, null)`` of postings over ``SMALL``.
 
-    A small posting gives all its pairs. A large one gives each member's pairs with the first and the next four: those
-    join a group of copies, and :func:`_other_pairs` takes all that they leave apart.
+    Each member is paired with the posting's first and the next four: all pairs of a small posting; in a large one
+    those join a group of copies, and :func:`_other_pairs` takes all that they leave apart. Postings are a stream: of
+    one that goes on from batch to batch only its first and last few members are held. Pairs that several keys give
+    are made one, up to ``most`` at a time.
     """
+    kinds = {"key": pa.int64(), "u": pa.int64(), "v": pa.int64()}
+
+    def batch_of(key, u, v) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(u), 100_000):
+            some = [None if x is None else x[at : at + 100_000] for x in (key, u, v)]
+            size = some[1].size
+            yield pa.RecordBatch.from_arrays([pa.nulls(size, t) if x is None else pa.array(x, t) for x, t in zip(some, kinds.values(), strict=True)], list(kinds))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, table in whole_groups(batches):
-            names, sizes = table.column("name").to_numpy(), table.column("n").to_numpy()
-            new = np.concatenate(([True], (np.diff(keys) != 0) | (np.diff(names) != 0)))
-            keys, names, sizes = keys[new], names[new], sizes[new]
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [keys.size]))
-            us, vs, members = [], [], []
-            for m in range(2, SMALL + 1):
-                starts = cuts[:-1][np.diff(cuts) == m]
-                for a, b in combinations(range(m), 2):
-                    us.append(starts + a)
-                    vs.append(starts + b)
-            for lo, m in zip(cuts[:-1].tolist(), np.diff(cuts).tolist(), strict=True):
-                if m > SMALL:
-                    rows = np.arange(lo, lo + m)
-                    members.append(rows)
-                    for step in range(1, 5):
-                        us.append(rows)
-                        vs.append(np.roll(rows, -step))
-                    us.append(np.full(m - 1, lo))
-                    vs.append(rows[1:])
-            u, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (us, vs))
-            fit = np.minimum(sizes[u], sizes[v]) >= similarity * np.maximum(sizes[u], sizes[v]) - 1e-9
-            u, v = u[fit], v[fit]
-            m = np.concatenate([np.zeros(0, np.int64), *members])
-            for at in range(0, u.size, 100_000):
-                some = slice(at, at + 100_000)
-                a, b = names[u[some]], names[v[some]]
-                yield pa.RecordBatch.from_arrays([pa.nulls(a.size, pa.int64()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["key", "u", "v"])
-            for at in range(0, m.size, 100_000):
-                some = m[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(names[some]), pa.nulls(some.size, pa.int64())], ["key", "u", "v"])
+        held, count = [], 0
+        # of the posting that goes on: its last members with those before, its first, and how many there are
+        tail = np.zeros((0, 3), np.int64)
+        first, seen = np.zeros(3, np.int64), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], axis=1)
+            over = np.concatenate((tail[-1:], rows))
+            fresh = (over[1:, :2] != over[:-1, :2]).any(axis=1)
+            rows = rows[fresh if len(tail) else np.concatenate(([True], fresh))]
+            if not len(rows):
+                continue
+            old = len(tail)
+            x = np.concatenate((tail, rows))
+            key = x[:, 0]
+            new = np.concatenate(([True], key[1:] != key[:-1]))
+            begun = np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+            place = np.arange(len(x)) - begun  # in its posting
+            heads = x[begun, 1:]
+            same = begun == 0
+            if old:
+                place[same] += seen - old
+                heads[same] = first[1:]
+            us, vs = [], []
+            for step in range(1, NEXT + 1):
+                v = np.arange(max(step, old), len(x))
+                v = v[place[v] >= step]
+                us.append(x[v - step, 1:])
+                vs.append(x[v, 1:])
+            v = np.arange(old, len(x))
+            v = v[place[v] > NEXT]
+            us.append(heads[v])
+            vs.append(x[v, 1:])
+            u, v = np.concatenate(us), np.concatenate(vs)
+            fit = np.minimum(u[:, 1], v[:, 1]) >= similarity * np.maximum(u[:, 1], v[:, 1]) - 1e-9
+            u, v = u[fit, 0], v[fit, 0]
+            held.append(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1))
+            count += u.size
+            if count > most:
+                held = [np.unique(np.concatenate(held), axis=0)]
+                if held[0].shape[0] > most // 2:
+                    yield from batch_of(None, held[0][:, 0], held[0][:, 1])
+                    held = []
+                count = sum(h.shape[0] for h in held)
+            # members: from the seventh on each names itself, the seventh also the six before
+            late = np.flatnonzero((place >= SMALL) & (np.arange(len(x)) >= old))
+            turn = late[place[late] == SMALL]
+            before = (turn[:, None] - np.arange(1, SMALL + 1)).ravel()
+            m = np.concatenate((late, before))
+            yield from batch_of(x[m, 0], x[m, 1], None)
+            last = begun[-1]
+            first, seen = (first, int(place[-1]) + 1) if last == 0 and old else (x[last].copy(), int(place[-1]) + 1)
+            tail = x[max(last, len(x) - SMALL) :].copy()
+        if held:
+            pairs = np.unique(np.concatenate(held), axis=0)
+            yield from batch_of(None, pairs[:, 0], pairs[:, 1])
 
     return run
 
 
 def _other_pairs(similarity: float):
-    """Sorted ``key, name, n, root, bits`` → all pairs of a posting with different roots that can be alike.
+    """Sorted ``key, i, j, name, block, n, root, bits`` → the pairs of two blocks (or of one, ``i = j``) of a posting
+    with different roots that can be alike.
 
     Both bounds, of sizes and of :func:`parities`, hold for every pair of ``similarity``, so no pair is lost.
     """
     apart = (1 - similarity) / (1 + similarity)
 
-    def pairs(names: np.ndarray, sizes: np.ndarray, roots: np.ndarray, bits: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(names, sizes, roots, blocks, bits: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         lengths = np.array([len(x) for x in bits])
+        cross = blocks.min() != blocks.max()
         for length in np.unique(lengths).tolist():
             own = np.flatnonzero(lengths == length)
             upper = np.flatnonzero((lengths > length) & (sizes <= sizes[own].max() / similarity + 1e-9))
             own, upper = own[np.argsort(sizes[own], kind="stable")], upper[np.argsort(sizes[upper], kind="stable")]
             order = np.concatenate((own, upper))
-            n, r, name = sizes[order], roots[order], names[order]
+            n, r, name, block = sizes[order], roots[order], names[order], blocks[order]
             b = np.frombuffer(b"".join([*(bits[k] for k in own), *(folded(bits[k], length) for k in upper)]), np.uint64).reshape(order.size, -1)
-            ends = np.searchsorted(n, n[: own.size] / similarity + 1e-9, side="right")
-            for i, end in enumerate(ends.tolist()):
-                j = i + 1 + np.flatnonzero(r[i + 1 : end] != r[i])
+            ends = np.searchsorted(n[: own.size], n[: own.size] / similarity + 1e-9, side="right")
+            ends_upper = own.size + np.searchsorted(n[own.size :], n[: own.size] / similarity + 1e-9, side="right")
+            for i in range(own.size):
+                j = np.concatenate((np.arange(i + 1, ends[i]), np.arange(own.size, ends_upper[i])))
+                j = j[(r[j] != r[i]) & ((block[j] != block[i]) | (not cross))]
                 j = j[np.bitwise_count(b[j] ^ b[i]).sum(axis=1) <= (n[j] + n[i]) * apart + 1e-9]
                 if j.size:
                     yield np.full(j.size, name[i]), name[j]
@@ -319,11 +361,11 @@ def _other_pairs(similarity: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us, vs, held = [], [], 0
         for keys, table in whole_groups(batches):
-            names, sizes, roots = (table.column(c).to_numpy() for c in ("name", "n", "root"))
+            i, j, names, blocks, sizes, roots = (table.column(c).to_numpy() for c in ("i", "j", "name", "block", "n", "root"))
             bits = table.column("bits").to_pylist()
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [keys.size]))
+            cuts = np.concatenate(([0], np.flatnonzero((np.diff(keys) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1, [keys.size]))
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                for u, v in pairs(names[lo:hi], sizes[lo:hi], roots[lo:hi], bits[lo:hi]):
+                for u, v in pairs(names[lo:hi], sizes[lo:hi], roots[lo:hi], blocks[lo:hi], bits[lo:hi]):
                     us.append(u)
                     vs.append(v)
                     held += u.size
@@ -336,6 +378,18 @@ def _other_pairs(similarity: float):
     return run
 
 
+def _in_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``key, name, root`` and ``key, m`` → each member once for each two blocks ``i <= j`` that its own is one of.
+
+    ``key`` is made of the key and the blocks, so that each two blocks are dealt on their own.
+    """
+    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("long")
+    at = members.join(sizes, "key").select("key", "name", "root", blocks.alias("blocks"), F.pmod(F.xxhash64(F.col("name")), blocks).alias("block"))
+    at = at.select("key", "name", "root", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    i, j = F.least("block", "other"), F.greatest("block", "other")
+    return at.select(F.when((i == 0) & (j == 0), F.col("key")).otherwise(F.xxhash64("key", i, j)).alias("key"), i.alias("i"), j.alias("j"), "name", "block", "root")
+
+
 def _possible(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``u, v`` that the parities allow."""
 
@@ -366,90 +420,134 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(per_batch(run), "u long, v long")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Classes of documents whose ``shingle``-word shingles are alike: ``doc_id, text_hash, component_id``.
-
-    Links are all pairs of texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more. Candidates
-    come from an index of the sets' prefixes, which every such pair shares a key of; they are verified on the whole
-    sets. Which hashes count as common only orders the prefixes, so it changes work and not links. A row for each row
-    of ``docs``; null texts are empty; texts without words are one class; ``component_id`` is the smallest ``doc_id``
-    of the class (null if it has none). An empty table gives an empty table.
-    """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id, text`` → ``doc_id, text_hash, name, n, bits, common``: name and size of a text's set, its
+    :func:`parities`, and (on one row of a batch) the hashes that four or more of the batch's sets have."""
     signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())]))
 
-    def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, names, all_sets, bits = [], [], [], []
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, names, sets, bits = [], [], [], []
         for t in texts(batch):
             some = shingle_set(t, shingle)
             bits.append(parities(some))
             hashes.append(xxhash.xxh64_intdigest(t, 42))
             names.append(set_name(some))
-            all_sets.append(some)
-        values, counts = np.unique(np.concatenate(all_sets), return_counts=True)
+            sets.append(some)
+        values, counts = np.unique(np.concatenate(sets), return_counts=True)
         often = counts >= 4
-        common = [list(zip(values[often].view(np.int64).tolist(), counts[often].tolist(), strict=True))] + [None] * (batch.num_rows - 1)
-        kind = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())]))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), signed(hashes), signed(names), pa.array([x.size for x in all_sets], pa.int32()), pa.array(bits, pa.binary()), pa.array([x and [{"h": h, "c": c} for h, c in x] for x in common], kind)], ["doc_id", "text_hash", "name", "n", "bits", "common"])
+        common = [[{"h": h, "c": c} for h, c in zip(values[often].view(np.int64).tolist(), counts[often].tolist(), strict=True)]] + [None] * (batch.num_rows - 1)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), signed(hashes), signed(names), pa.array([x.size for x in sets], pa.int32()), pa.array(bits, pa.binary()), pa.array(common, kind)], ["doc_id", "text_hash", "name", "n", "bits", "common"])
 
-    rows = written(docs.select("doc_id", "text").mapInArrow(per_batch(sketch), f"doc_id {id_type}, text_hash long, name long, n int, bits binary, common array<struct<h: long, c: long>>"), "sketches")
-    often = rows.select(F.explode("common").alias("x")).groupBy("x.h").agg(F.sum("x.c").alias("c")).orderBy(F.desc("c"), "h").limit(50_000).collect()
-    known = sorted((r.h % 2**64, r.c) for r in often)
-    common, counts = np.array([h for h, _ in known], np.uint64), np.array([c for _, c in known], np.int64)
+    return docs.select("doc_id", "text").mapInArrow(per_batch(run), f"doc_id {typed(docs)}, text_hash long, name long, n int, bits binary, common array<struct<h: long, c: long>>")
 
-    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-        parts, names, sizes, lengths = [np.zeros(0, np.uint64)], [], [], []
-        for t in texts(batch):
-            some = shingle_set(t, shingle)
-            parts.append(prefix(some, similarity, common, counts))
-            names.append(set_name(some))
-            sizes.append(some.size)
-            lengths.append(parts[-1].size)
-        flat = np.concatenate(parts).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(names, np.uint64).view(np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths))], ["key", "name", "n"])
 
-    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _prefix_keys(docs: DataFrame, shingle: int, similarity: float, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """``text`` → ``key, name, n``: the :func:`prefix` of each text's set; of equal sets in a task once."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in slices(batches):
+            parts, names, sizes, lengths = [np.zeros(0, np.uint64)], [], [], []
+            for t in texts(batch):
+                some = shingle_set(t, shingle)
+                name = set_name(some)
+                if name in seen:
+                    continue
+                if len(seen) >= 1_000_000:
+                    seen.clear()
+                seen.add(name)
+                parts.append(prefix(some, similarity, common, counts))
+                names.append(name)
+                sizes.append(some.size)
+                lengths.append(parts[-1].size)
+            flat = np.concatenate(parts).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(names, np.uint64).view(np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths))], ["key", "name", "n"])
+
+    return docs.select("text").mapInArrow(run, "key long, name long, n int")
+
+
+def _sets_of(docs: DataFrame, hashes: DataFrame, shingle: int) -> DataFrame:
+    """``name, hashes``: the whole sets of the texts whose ``text_hash`` is in ``hashes``, each once."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingle_set(t, shingle) for t in texts(batch)]
-        return pa.RecordBatch.from_arrays([signed([set_name(x) for x in found]), pa.array([x.tobytes() for x in found], pa.binary())], ["name", "hashes"])
+        names = np.array([set_name(x) for x in found], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.tobytes() for x in found], pa.binary())], ["name", "hashes"])
 
-    one = written(rows.groupBy("name").agg(F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("bits").alias("bits")), "distinct")
+    some = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text").join(hashes, "text_hash", "left_semi")
+    return some.dropDuplicates(["text_hash"]).select("text").mapInArrow(per_batch(run), "name long, hashes binary")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        involved = pairs.select(F.explode(F.array("u", "v")).alias("name")).distinct()
-        involved = written(one.select("name", "text_hash").join(involved, "name", "left_semi").select("text_hash"), "involved")
-        hashed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text").join(involved, "text_hash", "left_semi")
-        sets = written(hashed.dropDuplicates(["text_hash"]).select("text").mapInArrow(per_batch(whole), "name long, hashes binary"), "sets")
-        return written(_verified(pairs, sets, similarity), "verified")
 
-    postings = docs.select("text").mapInArrow(per_batch(keys), "key long, name long, n int")
-    met = written(postings.repartition("key").sortWithinPartitions("key", "name").mapInArrow(_first_pairs(similarity), "key long, u long, v long"), "met")
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Classes of documents whose ``shingle``-word shingles are alike: ``doc_id, text_hash, component_id, class``.
+
+    Links are all pairs of texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more. Candidates
+    come from an index of the sets' prefixes, which every such pair shares a key of; bounds that hold for every such
+    pair deny most others, and the rest are verified on the whole sets, but for pairs that links already join. Which
+    hashes count as common only orders the prefixes, so it changes work and not links. A row for each row of ``docs``;
+    null texts are empty; texts without words are one class; ``component_id`` is the smallest ``doc_id`` of the class
+    (null if it has none), ``class`` a hash that names it. An empty table gives an empty table.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.written(_sketched(docs, shingle), "sketches")
+    # 50 000 hashes at most; those left out only cost work
+    often = rows.select(F.explode("common").alias("x")).groupBy("x.h").agg(F.sum("x.c").alias("c")).orderBy(F.desc("c"), "h").limit(50_000).collect()
+    known = sorted((r.h % 2**64, r.c) for r in often)
+    common, counts = np.array([h for h, _ in known], np.uint64), np.array([c for _, c in known], np.int64)
+    one = scratch.written(rows.groupBy("name").agg(F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("bits").alias("bits")), "distinct")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        involved = pairs.select(F.explode(F.array("u", "v")).alias("name")).distinct()
+        hashes = one.select("name", "text_hash").join(involved, "name", "left_semi").select("text_hash")
+        return scratch.written(_sets_of(docs, scratch.written(hashes, "involved"), shingle), "sets")
+
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """The pairs that no links join yet."""
+        for end in ("u", "v"):
+            pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+        return pairs.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+
+    def linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links with the components of all that the pairs give, and their roots: first one pair of each text, then what
+        those leave apart."""
+        sets = sets_of(pairs)
+        links = scratch.written(_verified(pairs.groupBy("v").agg(F.min("u").alias("u")), sets, similarity), "verified")
+        rest = apart(pairs, components(links))
+        links = links.unionByName(scratch.written(_verified(rest, sets, similarity), "verified"))
+        return links, components(links)
+
+    postings = _prefix_keys(docs, shingle, similarity, common, counts)
+    met = scratch.written(postings.repartition("key").sortWithinPartitions("key", "name").mapInArrow(_first_pairs(similarity), "key long, u long, v long"), "met")
     first = met.where("v is not null").select("u", "v").distinct()
-    links = verified(written(_possible(first, one, similarity), "possible"))
-    members = met.where("v is null").select("key", F.col("u").alias("name")).join(components(links), F.col("name") == F.col("node"), "left")
-    members = written(members.select("key", "name", F.coalesce("root", "name").alias("root")), "members")
-    mixed = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-    members = members.join(mixed, "key", "left_semi").join(one.select("name", "n", "bits"), "name").select("key", "name", "n", "root", "bits")
-    others = members.repartition("key").sortWithinPartitions("key").mapInArrow(_other_pairs(similarity), "u long, v long")
-    others = written(others.distinct(), "others")
+    links, roots = linked(scratch.written(_possible(first, one, similarity), "possible"))
+    members = met.where("v is null").select("key", F.col("u").alias("name")).join(roots, F.col("name") == F.col("node"), "left")
+    members = scratch.written(members.select("key", "name", F.coalesce("root", "name").alias("root")), "members")
+    mixed = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m")).where("a < b").select("key", "m")
+    members = _in_blocks(members, mixed).join(one.select("name", "n", "bits"), "name")
+    others = members.repartition("key").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "name", "block", "n", "root", "bits").mapInArrow(_other_pairs(similarity), "u long, v long")
+    others = scratch.written(others.distinct(), "others")
     if not others.isEmpty():
-        links = links.unionByName(verified(others))
-    named = one.join(components(links), F.col("name") == F.col("node"), "left")
-    named = written(named.select("name", "least", F.coalesce("root", "name").alias("root")), "named")
+        roots = components(links.unionByName(linked(others)[0]))
+    named = one.join(roots, F.col("name") == F.col("node"), "left")
+    named = scratch.written(named.select("name", "least", F.coalesce("root", "name").alias("root")), "named")
     by_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_name = named.join(by_root, "root").select("name", "component_id")
-    return rows.select("doc_id", "text_hash", "name").join(by_name, "name").select("doc_id", "text_hash", "component_id")
+    by_name = named.join(by_root, "root").select("name", "component_id", F.col("root").alias("class"))
+    out = written(rows.select("doc_id", "text_hash", "name").join(by_name, "name").select("doc_id", "text_hash", "component_id", "class"), "similar")
+    scratch.done()
+    return out
 
 
 def representatives(docs: DataFrame, **settings) -> DataFrame:
-    """One row of ``docs`` for each class of :func:`similar_documents`, all columns: that with the smallest ``doc_id``.
+    """One row of ``docs`` for each class of :func:`similar_documents`, all columns: that with the smallest ``doc_id``,
+    null last; of several with that id that with the smallest text hash, and of equal rows one.
 
-    Of several rows with that id one stays, by text hash. Rows without an id can't be named and all stay. Texts are
-    shuffled once, by id; the window after the join needs no other dealing.
+    Texts are shuffled once, by id and text hash; the window after the join needs no other dealing.
     """
-    stay = similar_documents(docs, **settings).where("component_id is not null").select(F.col("component_id").alias("_id")).distinct()
-    first = docs.where("doc_id is not null").join(stay, F.col("doc_id") == F.col("_id"))
-    at = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    one = first.withColumn("_at", at).where("_at = 1").select(*docs.columns)
-    return one.unionByName(docs.where("doc_id is null"))
+    id_, hash_, at_ = (unused(f"_{c}", docs) for c in ("id", "hash", "at"))
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("x")
+    stay = similar_documents(docs, **settings).groupBy("class").agg(order).select(F.col("x.doc_id").alias(id_), F.col("x.text_hash").alias(hash_))
+    text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col(id_)) & (text_hash == F.col(hash_)))
+    turn = F.row_number().over(Window.partitionBy(id_, hash_).orderBy(hash_))
+    return kept.withColumn(at_, turn).where(F.col(at_) == 1).select(*docs.columns)
