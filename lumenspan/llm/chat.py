@@ -1,7 +1,8 @@
 """Chat formatting by schema fingerprints, natively.
 
 Records are JSON in any layout. Which of the known nested field paths a record has is hashed; the hash selects a
-declarative mapping, and the mapping gives canonical turns (role, text). A template then marks turns. Control strings
+declarative mapping, and the mapping gives canonical turns (role, text). A path into a list counts as there if every
+item of the list has it, so one odd item can't lose its text. A template then marks turns. Control strings
 inside texts are escaped with one backslash after their first character (one more where there are some), which is
 undone by taking one off, so that formatting is reversible for every text.
 """
@@ -41,14 +42,16 @@ class Mapping:
 
     def paths(self) -> list[str]:
         if self.items:
-            return [self.items, f"{self.items}[0].{self.role}", f"{self.items}[0].{self.text}"]
+            return [self.items, f"{self.items}[*].{self.role}", f"{self.items}[*].{self.text}"]
         return [p for pair in self.fixed for p in pair if p.startswith("$")] + [self.order] * bool(self.order)
 
 
 MAPPINGS = (
     Mapping("turn rows", fixed=(("$.role", "$.text"),), order="$.turn"),
     Mapping("messages", items="$.messages", role="role", text="content"),
+    Mapping("messages from and value", items="$.messages", role="from", text="value"),
     Mapping("conversations", items="$.conversations", role="from", text="value"),
+    Mapping("conversations role and content", items="$.conversations", role="role", text="content"),
     Mapping("dialog", items="$.dialog", role="speaker", text="text"),
     Mapping("prompt and completion", fixed=(("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.completion")), optional=("$.system",)),
     Mapping("prompt and response", fixed=(("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response")), optional=("$.system",)),
@@ -61,24 +64,39 @@ def known_paths(mappings=MAPPINGS) -> list[str]:
     return sorted({p for m in mappings for p in m.paths()})
 
 
+def _there(record: Column, path: str) -> Column:
+    """Whether a variant has a path; one into a list: whether each of the list's items has it."""
+    head, of_items, field = path.partition("[*].")
+    if not of_items:
+        return F.try_variant_get(record, path, "variant").isNotNull()
+    return F.forall(F.try_variant_get(record, head, "array<variant>"), lambda x: F.try_variant_get(x, f"$.{field}", "variant").isNotNull())
+
+
 def fingerprint_of(record: Column, mappings=MAPPINGS) -> Column:
     """Hash of the known nested field paths that a variant has, in code point order; null values count as there."""
-    there = [F.when(F.try_variant_get(record, p, "variant").isNotNull(), F.lit(p)) for p in known_paths(mappings)]
-    return F.xxhash64(F.concat_ws("\n", *there))
+    return F.xxhash64(F.concat_ws("\n", *[F.when(_there(record, p), F.lit(p)) for p in known_paths(mappings)]))
 
 
-def selected(fp: Column, mappings=MAPPINGS) -> Column:
-    """Number of the mapping that a fingerprint selects, or null; each set of optional paths has its own fingerprint."""
-    out = F.lit(None).cast("int")
+def selected(record: Column, mappings=MAPPINGS) -> Column:
+    """Number of the mapping that a record's fingerprint selects, or null.
+
+    Each set of optional paths, and an empty list, has a fingerprint of its own. A record with the paths of several
+    layouts has none of these; the first mapping that finds all it needs takes it.
+    """
+    fp = fingerprint_of(record, mappings)
+    out = fallback = F.lit(None).cast("int")
     for n, m in reversed(list(enumerate(mappings))):
         need = [p for p in m.paths() if p not in m.optional]
-        if m.items:
-            sets = [m.paths(), [m.items]]  # with items, and with an empty list
-        else:
-            sets = [need + list(some) for k in range(len(m.optional) + 1) for some in combinations(m.optional, k)]
+        sets = [need + list(some) for k in range(len(m.optional) + 1) for some in combinations(m.optional, k)]
+        if m.items:  # every item of an empty list has every field
+            sets.append(sorted({p for o in mappings if o.items == m.items for p in o.paths()}))
         hashes = [F.xxhash64(F.lit("\n".join(sorted(s)))) for s in sets]
         out = F.when(fp.isin(*hashes), F.lit(n)).otherwise(out)
-    return out
+        all_there = _there(record, need[0])
+        for p in need[1:]:
+            all_there = all_there & _there(record, p)
+        fallback = F.when(all_there, F.lit(n)).otherwise(fallback)
+    return F.coalesce(out, fallback)
 
 
 def _text(v: Column, path: str) -> Column:
@@ -106,7 +124,7 @@ def canonical_turns(records: DataFrame, mappings=MAPPINGS) -> DataFrame:
     (null ``role``), so that nothing is lost silently. Null texts and roles are empty.
     """
     parsed = records.select("conv_id", F.try_parse_json("record").alias("v"))
-    chosen = parsed.withColumn("m", selected(fingerprint_of(F.col("v"), mappings), mappings))
+    chosen = parsed.withColumn("m", selected(F.col("v"), mappings))
     turns, layout = F.lit(None), F.lit(None).cast("string")
     for n, m in enumerate(mappings):
         turns = F.when(F.col("m") == n, _turns(F.col("v"), m)).otherwise(turns)
@@ -172,4 +190,4 @@ def loss_text(text: Column, loss: Column) -> Column:
 def records_of(conversations: DataFrame) -> DataFrame:
     """Rows by turn (``conv_id, turn, role, text``; other columns are ignored) as JSON records, a record a row."""
     fields = F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.to_json(fields).alias("record"))
+    return conversations.select("conv_id", F.to_json(fields).alias("record"))

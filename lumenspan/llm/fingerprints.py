@@ -18,8 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lumenspan.llm.common import bounded_batches, written
+from lumenspan.llm.common import range_bounds, range_of, slices, typed, work_partitions, written
 
 OUT = "n_chars long, edited_sha256 string, fp long, edited_fp long, near_edited double, near_next double"
 
@@ -83,7 +84,7 @@ def _along(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.
 def document_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edit by the next document, in one pass over range-dealt rows.
 
-    Takes ``doc_id`` (a number) and ``text``; other columns are ignored. Gives ``doc_id, n_chars, edited_sha256, fp,
+    Takes ``doc_id`` (a number, or text) and ``text``; other columns are ignored. Gives ``doc_id, n_chars, edited_sha256, fp,
     edited_fp, near_edited, near_next``, a row for each row. The order is by doc_id, nulls last, ties by text; the row
     after the last is the first, so a single row is its own next. Null texts are empty; empty texts have fingerprint
     0. An empty table gives an empty table.
@@ -91,15 +92,11 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     Texts are shuffled once, into ranges of doc_id. The first rows of each range also go to the range before, so no
     range needs another one's output. Only range bounds come to the driver: one id a range.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    steps = [k / ranges for k in range(1, ranges)]
+    id_type = typed(docs)
+    ranges = max(2, work_partitions(docs.sparkSession))
     ids = docs.select("doc_id")
-    bounds = sorted(set(ids.agg(F.percentile_approx("doc_id", steps, 10_000)).first()[0] or []))
-    bound = F.array(*map(F.lit, bounds)).cast(f"array<{id_type}>")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(F.size(F.filter(bound, lambda b: b < F.col("doc_id"))))
+    bounds = range_bounds(docs, ranges)
+    bucket = range_of(docs, bounds)
     firsts = [tuple(r) for r in ids.groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("first")).orderBy("bucket").collect()]
     before = {first: firsts[k - 1][0] for k, (_, first) in enumerate(firsts)}
     also: Column = F.lit(None).cast("int")
@@ -110,13 +107,9 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     at = lambda b, follower: F.struct(b.cast("int").alias("bucket"), F.lit(follower).alias("follower"))
     dealt = docs.select("doc_id", "text", bucket.alias("own"), also.alias("also"))
     dealt = dealt.select("doc_id", "text", F.explode(F.when(F.col("also").isNull(), F.array(at(F.col("own"), False))).otherwise(F.array(at(F.col("own"), False), at(F.col("also"), True)))).alias("x")).select("x.*", "doc_id", "text")
-    out_schema = pa.schema([("doc_id", _arrow_type(id_type)), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fp", pa.int64()), ("edited_fp", pa.int64()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    out_schema = pa.schema([("doc_id", to_arrow_type(docs.schema["doc_id"].dataType)), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fp", pa.int64()), ("edited_fp", pa.int64()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
     order = [F.col("bucket"), F.col("follower"), F.col("doc_id").asc_nulls_last(), F.col("text")]
-    return dealt.repartition("bucket").sortWithinPartitions(*order).mapInArrow(lambda b: _along(b, out_schema), f"doc_id {id_type}, {OUT}")
-
-
-def _arrow_type(name: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}[name]
+    return dealt.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions(*order).mapInArrow(lambda b: _along(slices(b), out_schema), f"doc_id {id_type}, {OUT}")
 
 
 def within_radius(queries: DataFrame, rows: DataFrame, radius: int = 3) -> DataFrame:

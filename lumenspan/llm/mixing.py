@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import count_words, written
+from lumenspan.llm.common import count_words, unused, written
 
 BITS, LEVELS = 48, (12, 12, 24)
 
@@ -76,14 +76,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: i
     """
     docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
     rows = written(docs.select("source", count_words().alias("size"), key().alias("key")), "sizes")
-    goal = thresholds(rows, targets(rows, weights, epochs)).toDF("_mix_source", "_mix_source_size", "_mix_target", "_mix_turns", "_mix_bound", "_mix_bound_in")
-    once = (key() < F.col("_mix_bound")) | ((key() == F.col("_mix_bound")) & F.col("_mix_bound_in"))
-    joined = docs.join(goal, docs["source"].eqNullSafe(F.col("_mix_source")))
-    added = [count_words().alias("mix_size"), F.col("_mix_source_size").alias("mix_source_size"), F.col("_mix_target").alias("mix_target"), (F.col("_mix_turns") + once.cast("long")).alias("mix_copies")]
+    names = dict(zip(("source", "source_size", "target", "turns", "bound", "bound_in"), (unused(f"_mix_{c}", docs) for c in ("source", "source_size", "target", "turns", "bound", "bound_in")), strict=True))
+    goal = written(thresholds(rows, targets(rows, weights, epochs)), "thresholds").toDF(*names.values())
+    bound = F.col(names["bound"])
+    once = (key() < bound) | ((key() == bound) & F.col(names["bound_in"]))
+    joined = docs.join(goal, docs["source"].eqNullSafe(F.col(names["source"])))
+    added = [count_words().alias("mix_size"), F.col(names["source_size"]).alias("mix_source_size"), F.col(names["target"]).alias("mix_target"), (F.col(names["turns"]) + once.cast("long")).alias("mix_copies")]
     return joined.select(*[docs[c] for c in docs.columns], *added)
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs``, each as often as :func:`mix` takes it."""
-    taken = mix(docs, **settings).where("mix_copies > 0")
-    return taken.withColumn("_mix_turn", F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies"))).select(*docs.columns)
+    """The rows of ``docs``, each as often as :func:`mix` takes it; columns named as what :func:`mix` adds stay."""
+    apart = {c: unused(f"_{c}", docs) for c in docs.columns if c.lower().startswith("mix_")}
+    taken = mix(docs.withColumnsRenamed(apart), **settings).where("mix_copies > 0")
+    turn = unused("_mix_turn", taken, docs)
+    copies = taken.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies"))).drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
+    return copies.withColumnsRenamed({v: k for k, v in apart.items()}).select(*docs.columns)

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenspan.llm import chat, fingerprints, licenses, line_quality, mixing, near_simhash, pieces, token_files, toxicity, warc
-from lumenspan.llm.common import bounded_batches
 
 
 def tokenizer_file(name: str) -> str:
@@ -28,8 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = '{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}'
-    one = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(extra).alias("record"))
-    out = chat.formatted(chat.canonical_turns(chat.records_of(table(spark, sf_dir, "conversations")).unionByName(one)))
+    records = chat.records_of(table(spark, sf_dir, "conversations"))
+    one = spark.range(1).select(F.lit(-1).cast(records.schema["conv_id"].dataType).alias("conv_id"), F.lit(extra).alias("record"))
+    out = chat.formatted(chat.canonical_turns(records.unionByName(one)))
     back = out.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("under"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length("under").cast("long").alias("loss_chars"), F.sha2("under", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
@@ -91,7 +91,6 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and aren't depleted, without the lines over the limits."""
-    bounded_batches(spark)
     return line_quality.kept_documents(docs)
 
 
@@ -125,6 +124,28 @@ select conv_id, count(*) as n_turns,
        cast(sum(5 + length(replace(replace(replace(replace(replace(role, '%', '%25'), '|', '%7C'), '<', '%3C'), '[', '%5B'), chr(10), '%0A'))
            + 5 + length(regexp_replace(text, '([<\[])(\\*)(\||/?s>|<SYS>>|</SYS>>|/?INST\])', '\1\2\\\3', 'g'))) as bigint) as formatted_chars
 from t group by conv_id""",
+    "op4_quality_rules": rf"""
+with d as (select row_number() over () as r, doc_id, source, coalesce(text, '') as t from documents),
+c as (select r, cast(len(regexp_extract_all(t, '{WORDS}')) as bigint) as n_words,
+             cast(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as bigint) as word_chars,
+             cast(len(regexp_extract_all(t, '[#*$%&|<>]')) as bigint) as n_symbols from d),
+l as (select r, unnest(string_split(t, chr(10))) as line from d),
+m as (select r, line, count(*) as times from l where regexp_matches(line, '{WORDS}') group by r, line),
+dup as (select r, cast(sum(times - 1) as bigint) as n_dup_lines from m group by r),
+w as (select r, unnest(range(len(ws))) as k, unnest(ws) as w from (select r, regexp_extract_all(t, '{WORDS}') as ws from d)),
+x as (select r, k, [w, lead(w, 1) over o, lead(w, 2) over o, lead(w, 3) over o, lead(w, 4) over o] as five from w window o as (partition by r order by k)),
+y as (select r, k, count(*) over (partition by r, five) as times from x where five[5] is not null),
+rep as (select r, count(distinct k + i) as n_repeat_words from y, range(5) s(i) where times > 1 group by r),
+host as (select source, greatest(50, 0.005 * count(*)) as most from d group by source),
+norm as (select r, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as line,
+                sum(times * len(regexp_extract_all(line, '{WORDS}'))) as words from m group by 1, 2),
+often as (select d.source, line from norm join d using (r) join host on d.source is not distinct from host.source
+          group by d.source, line, most having count(distinct t) > most),
+gone as (select r, sum(words) as words from norm join d using (r) join often on d.source is not distinct from often.source and norm.line = often.line group by r),
+z as (select doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+             n_words < 10 or 100 * coalesce(n_repeat_words, 0) > 20 * n_words as base_failed, n_words - coalesce(gone.words, 0) as rest
+      from d join c using (r) left join dup using (r) left join rep using (r) left join gone using (r))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and 10 * rest >= 3 * n_words as kept from z""",
     "op5_source_mixing": rf"""
 with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '{WORDS}')), 0) as bigint) as size,
                   cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 12) as bigint) as k from documents),

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import bounded_batches, shared_folder, work_partitions, written
+from lumenspan.llm.common import shared_folder, slices, work_partitions, written
 from lumenspan.llm.files import Writer, opened
 
 INDEX = "file string, offset long, length long, url string, digest string, page_id long"
@@ -27,16 +27,26 @@ ID = "urn:lumenspan:page:"
 LEAST_BYTES = 1000
 
 
+def information(date: str = "2000-01-01T00:00:00Z", name: str = "") -> bytes:
+    """The record that a file begins with; the index leaves it out."""
+    body = b"software: lumenspan\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:lumenspan:file:{name}>", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}", "", ""]
+    return "\r\n".join(head).encode() + body + b"\r\n\r\n"
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = "2000-01-01T00:00:00Z") -> bytes:
-    """A response record, or (``refers_to`` given) a revisit record without the payload."""
+    """A response record, or (``refers_to`` given) a revisit record without the payload.
+
+    A record is named by its page and payload, so rows that repeat an id share a name only if they are the same capture.
+    """
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     body = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{ID}{page_id}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{ID}{page_id}:{digest}>", f"WARC-Date: {date}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe=''.join(map(chr, range(33, 127))))}")
     head.append(f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}")
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{ID}{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{ID}{refers_to}:{digest}>"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}", "", ""]
     return "\r\n".join(head).encode() + body + b"\r\n\r\n"
 
@@ -52,7 +62,11 @@ def parse(data: bytes) -> dict:
     kind = fields["WARC-Type"]
     if kind == "response" and (len(payload) != declared or hashlib.sha1(payload).hexdigest() != digest):
         raise ValueError(f"record {fields['WARC-Record-ID']} is damaged")
-    number = lambda x: None if x is None or x.endswith(":None>") else int(x.removeprefix(f"<{ID}").removesuffix(">"))
+
+    def number(name: str | None) -> int | None:
+        found = (name or f"<{ID}None:>").removeprefix(f"<{ID}").split(":")[0]
+        return None if found == "None" else int(found)
+
     return {"page_id": number(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "payload": payload, "payload_bytes": declared, "payload_digest": digest, "record_type": kind, "refers_to": number(fields.get("WARC-Refers-To"))}
 
 
@@ -70,6 +84,12 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     return joined.select("page_id", "url", "html", "digest", F.when(F.col("page_id").eqNullSafe(F.col("target")), F.lit(None)).otherwise(F.col("target")).alias("refers_to"))
 
 
+def member(data: bytes, level: int) -> bytes:
+    """A gzip member of its own."""
+    packed = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return packed.compress(data) + packed.flush()
+
+
 def write_archives(pages: DataFrame, folder: str, file_bytes: int = 1 << 30, level: int = 1) -> DataFrame:
     """Write a record for each of :func:`with_revisits`'s rows into ``folder``; the saved index.
 
@@ -78,16 +98,17 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = 1 << 30, lev
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: Writer | None = None
-        for batch in batches:
+        for batch in slices(batches, 200):
             rows: list[tuple] = []
             for page_id, url, html, digest, refers_to in zip(*(batch.column(k) for k in range(5)), strict=True):
                 payload = html.as_py().encode()
-                packed = zlib.compressobj(level, zlib.DEFLATED, 31)
-                data = packed.compress(record(page_id.as_py(), url.as_py(), payload, digest.as_py(), refers_to.as_py())) + packed.flush()
+                data = member(record(page_id.as_py(), url.as_py(), payload, digest.as_py(), refers_to.as_py()), level)
                 if out is not None and out.at + len(data) > file_bytes:
                     out.close()
                     out = None
-                out = out or Writer(folder, ".warc.gz")
+                if out is None:
+                    out = Writer(folder, ".warc.gz")
+                    out.append(member(information(name=out.name), level))
                 rows.append((out.name, out.append(data), len(data), url.as_py(), digest.as_py(), page_id.as_py()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], [x.split()[0] for x in INDEX.split(", ")])
@@ -146,6 +167,5 @@ def archived(spark: SparkSession, pages: DataFrame) -> DataFrame:
     Null html is an empty payload, null URLs have no target header, a null page_id names none (it never is a revisit's
     target). Repeated rows get a record each. An empty table gives an empty table.
     """
-    bounded_batches(spark, 200)
     folder = shared_folder(spark, "warc")
     return read_archives(write_archives(with_revisits(pages), folder), folder)
