@@ -73,7 +73,10 @@ def select_places(rows: list[np.ndarray], y: np.ndarray, count: int, anchors: in
     """
 
     def counts(some: np.ndarray) -> np.ndarray:
-        return np.bincount(np.concatenate([np.zeros(0, np.int64), *(rows[k] for k in some)]), minlength=PLACES)
+        out = np.zeros(PLACES, np.int64)
+        for at in range(0, len(some), 500):  # so that the sample isn't held twice
+            out += np.bincount(np.concatenate([rows[k] for k in some[at : at + 500]]), minlength=PLACES)
+        return out
 
     bad, good = np.flatnonzero(y > 0), np.flatnonzero(y <= 0)
     alone, paired = _ratio(counts(bad), counts(good), float(bad.size), float(len(y))), np.zeros(PLACES)
@@ -153,10 +156,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Machine:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("toxic").cast(pa.int32()), pa.array(found, pa.binary())], ["doc_id", "toxic", "places"])
 
     found = written(sample.mapInArrow(run, "doc_id string, toxic int, places binary"), "sample")
-    # rows that share an id are all of one sample id: the bound holds for rows too
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("places")]
-    got = sorted((r[0], bytes(r[2]), r[1]) for r in found.orderBy(*order).limit(max_rows).collect())
-    return train([np.frombuffer(p, "<i4").astype(np.int64) for _, p, _ in got], np.array([t > 0 for *_, t in got], bool).astype(float))
+    if found.count() > max_rows:  # rows that share an id are all of one sample id: the bound holds for rows too
+        found = written(found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("places")).limit(max_rows), "sample")
+    got = sorted((r[0], bytes(r[2]), r[1]) for r in found.toLocalIterator())
+    return train([np.frombuffer(p, "<i4") for _, p, _ in got], np.array([t > 0 for *_, t in got], bool).astype(float))
 
 
 def scores(docs: DataFrame, machine: Machine, keep_text: bool = True) -> DataFrame:
