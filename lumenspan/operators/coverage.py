@@ -22,9 +22,10 @@ def coverage(ref: DataFrame, detected: DataFrame) -> DataFrame:
 
 
 def suite(cases: DataFrame) -> DataFrame:
-    """Duration-weighted totals; the mean chunk is the merged duration by the number of raw chunks."""
+    """Duration-weighted totals; the mean chunk is the merged duration by the number of raw chunks. The number of chunks
+    is unknown (null) if that of any case is."""
     sums = ["reference_speech_duration_ms", "detected_speech_duration_ms", "overlap_duration_ms", "missed_reference_duration_ms", "extra_detected_duration_ms", "detected_interval_count"]
-    out = cases.agg(F.count("*").alias("case_count"), *[F.sum(c).alias(c) for c in sums], F.max("detected_max_interval_ms").alias("detected_max_interval_ms"))
+    out = cases.agg(F.count("*").alias("case_count"), *[F.sum(c).alias(c) for c in sums[:-1]], F.when(F.count("*") == F.count(sums[-1]), F.sum(sums[-1])).alias(sums[-1]), F.max("detected_max_interval_ms").alias("detected_max_interval_ms"))
     over = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     return out.withColumn("detected_mean_interval_ms", over("detected_speech_duration_ms", "detected_interval_count")).withColumn("reference_recall", over("overlap_duration_ms", "reference_speech_duration_ms")).withColumn("detected_precision", over("overlap_duration_ms", "detected_speech_duration_ms"))
 

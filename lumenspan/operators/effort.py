@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenspan.functions.text import long_distance
-from lumenspan.operators.matching import best_overlap, extra, missing
+from lumenspan.functions.text import practical
+from lumenspan.operators.matching import best_overlap, extra
 
 # Priority of reasons, and the timing threshold.
 PRIORITY = {"missing_reference": 5000.0, "extra_candidate": 4000.0, "text": 3000.0, "timing": 2000.0, "channel": 1000.0}
@@ -19,19 +19,24 @@ def score_of(reasons: Column, weights: dict[str, float]) -> Column:
     return F.aggregate(reasons, F.lit(0.0), lambda a, r: a + F.coalesce(F.element_at(table, r), F.lit(0.0)))
 
 
-def items(ref: DataFrame, cand: DataFrame, normal=lambda c: c) -> DataFrame:
+def items(ref: DataFrame, cand: DataFrame, normal=practical) -> DataFrame:
     """A row for each pair with a reason, each missing reference and each extra candidate, with its score.
 
-    ``normal`` is the text form that pairs are compared in.
+    ``normal`` is the text form that pairs are compared in, each side once. References without a pair are those that
+    the join of pairs leaves; so time ranges are joined twice, for pairs and for extras.
     """
     null = lambda kind: F.lit(None).cast(kind)
-    pairs = best_overlap(ref, cand)
-    a, b = normal(F.col("ref_text")), normal(F.col("cand_text"))
+    best = best_overlap(ref.select("case_id", "ord", "start_ms", "end_ms"), cand.withColumn("norm", normal(F.col("text"))))
+    best = best.select("case_id", F.col("ref_ord").alias("ord"), *[c for c in best.columns if c.startswith("cand_")])
+    mine = ref.withColumn("norm", normal(F.col("text")))
+    pairs = mine.select("case_id", "ord", *[F.col(c).alias(f"ref_{c}") for c in mine.columns if c not in ("case_id", "ord")]).join(best, ["case_id", "ord"], "left")
+    gone, pairs = pairs.where("cand_ord is null"), pairs.where("cand_ord is not null")
+    a, b = F.col("ref_norm"), F.col("cand_norm")
     start, end = F.col("cand_start_ms") - F.col("ref_start_ms"), F.col("cand_end_ms") - F.col("ref_end_ms")
     late = (F.abs(start) > TIMING_MS) | (F.abs(end) > TIMING_MS)
     reasons = F.array_compact(F.array(F.when(a != b, F.lit("text")), F.when(F.col("ref_channel") != F.col("cand_channel"), F.lit("channel")), F.when(late, F.lit("timing"))))
-    edited = pairs.select("case_id", F.col("ref_id").alias("reference_id"), F.col("cand_id").alias("candidate_id"), F.least("ref_start_ms", "cand_start_ms").alias("start_ms"), F.greatest("ref_end_ms", "cand_end_ms").alias("end_ms"), reasons.alias("reasons"), F.col("ref_text").alias("reference_text"), F.col("cand_text").alias("candidate_text"), F.col("ref_channel").alias("reference_channel"), F.col("cand_channel").alias("candidate_channel"), start.alias("start_delta_ms"), end.alias("end_delta_ms"), long_distance(a, b).alias("text_distance")).where(F.size("reasons") > 0)
-    gone = missing(ref, cand).select("case_id", F.col("id").alias("reference_id"), null("string").alias("candidate_id"), "start_ms", "end_ms", F.array(F.lit("missing_reference")).alias("reasons"), F.col("text").alias("reference_text"), F.lit("").alias("candidate_text"), F.col("channel").alias("reference_channel"), null("string").alias("candidate_channel"), null("long").alias("start_delta_ms"), null("long").alias("end_delta_ms"), F.lit(0).cast("long").alias("text_distance"))
+    edited = pairs.select("case_id", F.col("ref_id").alias("reference_id"), F.col("cand_id").alias("candidate_id"), F.least("ref_start_ms", "cand_start_ms").alias("start_ms"), F.greatest("ref_end_ms", "cand_end_ms").alias("end_ms"), reasons.alias("reasons"), F.col("ref_text").alias("reference_text"), F.col("cand_text").alias("candidate_text"), F.col("ref_channel").alias("reference_channel"), F.col("cand_channel").alias("candidate_channel"), start.alias("start_delta_ms"), end.alias("end_delta_ms"), F.levenshtein(a, b).cast("long").alias("text_distance")).where(F.size("reasons") > 0)
+    gone = gone.select("case_id", F.col("ref_id").alias("reference_id"), null("string").alias("candidate_id"), F.col("ref_start_ms").alias("start_ms"), F.col("ref_end_ms").alias("end_ms"), F.array(F.lit("missing_reference")).alias("reasons"), F.col("ref_text").alias("reference_text"), F.lit("").alias("candidate_text"), F.col("ref_channel").alias("reference_channel"), null("string").alias("candidate_channel"), null("long").alias("start_delta_ms"), null("long").alias("end_delta_ms"), F.lit(0).cast("long").alias("text_distance"))
     more = extra(ref, cand).select("case_id", null("string").alias("reference_id"), F.col("id").alias("candidate_id"), "start_ms", "end_ms", F.array(F.lit("extra_candidate")).alias("reasons"), F.lit("").alias("reference_text"), F.col("text").alias("candidate_text"), null("string").alias("reference_channel"), F.col("channel").alias("candidate_channel"), null("long").alias("start_delta_ms"), null("long").alias("end_delta_ms"), F.lit(0).cast("long").alias("text_distance"))
     out = edited.unionByName(gone).unionByName(more)
     duration = F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms"))
@@ -41,15 +46,24 @@ def items(ref: DataFrame, cand: DataFrame, normal=lambda c: c) -> DataFrame:
 
 
 def ranked(queue: DataFrame) -> DataFrame:
-    """``priority_rank`` by score, case, time and ids. The total order over all items is a range-partitioned sort, with
-    each partition's first rank from the counts before it; one task never holds the queue."""
+    """``priority_rank`` by score, case, time and ids.
+
+    Items are dealt by whole points of score and, within a point, by case; a part's first rank is the count of the
+    parts before it, so a task holds the items of one case and point, not the queue."""
     order = [F.col("priority_score").desc(), F.col("case_id"), F.coalesce("start_ms", F.lit(0)), F.coalesce("end_ms", F.lit(0)), F.coalesce("reference_id", F.lit("")), F.coalesce("candidate_id", F.lit(""))]
-    coarse = F.floor(F.col("priority_score"))
-    held = queue.withColumn("_part", coarse)
-    counts = held.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return held.withColumn("_within", within).join(before, "_part").withColumn("priority_rank", F.col("_before") + F.col("_within")).drop("_part", "_within", "_before")
+    # items of one exact score go by case, so (score, case) parts follow each other in the total order
+    counts = queue.groupBy("priority_score", "case_id").agg(F.count("*").alias("_n"))
+    point = F.floor(F.col("priority_score"))
+    held_before = Window.partitionBy("_point").orderBy(F.col("priority_score").desc(), "case_id").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.withColumn("_point", point)
+    points = parts.groupBy("_point").agg(F.sum("_n").alias("_n"))
+    # as many rows as there are whole points of score: a few thousand
+    points = points.select("_point", F.coalesce(F.sum("_n").over(Window.orderBy(F.col("_point").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    parts = parts.withColumn("_inside", F.coalesce(F.sum("_n").over(held_before), F.lit(0))).join(points, "_point")
+    before = parts.select(F.col("priority_score").alias("_score"), F.col("case_id").alias("_case"), (F.col("_base") + F.col("_inside")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("priority_score", "case_id").orderBy(*order))
+    joined = queue.withColumn("_within", within).join(before, (F.col("priority_score") == F.col("_score")) & F.col("case_id").eqNullSafe(F.col("_case")))
+    return joined.withColumn("priority_rank", F.col("_before") + F.col("_within")).drop("_score", "_case", "_within", "_before")
 
 
 def rollup(ref: DataFrame, cand: DataFrame, queue: DataFrame) -> DataFrame:

@@ -84,12 +84,11 @@ def transcribed(audio: DataFrame, chunks: DataFrame, model: Model) -> DataFrame:
     return review_flags(said)
 
 
-def attributed(segments: DataFrame, audio: DataFrame, window_ms: int = 10, threshold_db: float = sides.THRESHOLD_DB) -> DataFrame:
+def attributed(segments: DataFrame, audio: DataFrame, threshold_db: float = sides.THRESHOLD_DB) -> DataFrame:
     """Spoken MIX segments take the louder side, without a limit on the other; cases without both sides stay."""
     level = {}
     for side in ("L", "R"):
-        windows = wav.window_energies(audio.where(F.col("channel") == side), window_ms)
-        level[side] = wav.segment_levels(segments, windows).select("case_id", "id", F.col("left_dbfs").alias(side))
+        level[side] = wav.segment_levels(segments, audio.where(F.col("channel") == side)).select("case_id", "id", F.col("left_dbfs").alias(side))
     held = segments.join(level["L"], ["case_id", "id"], "left").join(level["R"], ["case_id", "id"], "left")
     side, _ = sides.decision(F.col("L"), F.col("R"), F.lit(threshold_db), F.lit(None).cast("double"))
     known = (F.col("kind") == "speech") & (F.col("channel") == "MIX") & F.col("L").isNotNull() & F.col("R").isNotNull()

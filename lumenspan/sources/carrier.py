@@ -1,10 +1,16 @@
 """Reference and candidate transcripts made from the ``conversations`` table: a conversation is a case, a turn a segment.
 
-The SQL runs unchanged in Spark and DuckDB.
+Texts are ASCII, four of seven with a Japanese phrase before them. The SQL runs unchanged in Spark and DuckDB.
 """
 
 from __future__ import annotations
 
+# What is said before some turns, in turn; in few letters, so that each has an ASCII stand-in in SQL.
+PHRASES = ("これはテストです。", "そうですか、はい！", "音声テスト〜", "ーれー、です")
+#: DuckDB's edit distance is of bytes: letters of the phrases, and control characters for them.
+LETTERS = "".join(sorted(set("".join(PHRASES))))
+STAND_INS = "".join(map(chr, [*range(1, 9), *range(14, 28)]))[: len(LETTERS)]
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,7 +25,7 @@ def carrier_sql(conversations: str = "conversations", drop: int = 7, mix: int =
 {ref} as (select case_id, turn as ord, concat('seg_', lpad(cast(turn + 1 as varchar(10)), 6, '0')) as id,
   cast(off as bigint) as start_ms, cast(off + dur as bigint) as end_ms,
   case role when 'user' then 'L' when 'assistant' then 'R' else 'MIX' end as channel, 'speech' as kind,
-  regexp_replace(text, '[^ -~]', '', 'g') as text, ((case_id + turn) % 9 = 0) as needs_review from {cand}_seg1),
+  concat(case (case_id * 5 + turn) % 7 {"".join(f"when {n} then '{p}' " for n, p in enumerate(PHRASES))}else '' end, regexp_replace(text, '[^ -~]', '', 'g')) as text, ((case_id + turn) % 9 = 0) as needs_review from {cand}_seg1),
 {cand}_moved as (select case_id, ord, id, greatest(0, start_ms + (case_id * 13 + ord * {drop}) % 1400 - 700) as s,
   end_ms - start_ms as dur, channel, text, needs_review from {ref} where (case_id + ord) % {drop} <> 0),
 {cand}_tail as (select case_id, max(ord) as ord, max(end_ms) as last_ms from {ref} group by case_id),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenspan.schemas import segment_id
 
 # The timing line, and the labels that may lead a cue's text.
-TIMING = r"^(\d{2}):(\d{2}):(\d{2})[,.](\d{3})\s*-->\s*(\d{2}):(\d{2}):(\d{2})[,.](\d{3})(?:\s+.*)?$"
+TIMING = r"^(\d{2}):([0-5]\d):([0-5]\d)[,.](\d{3})\s*-->\s*(\d{2}):([0-5]\d):([0-5]\d)[,.](\d{3})(?:\s+.*)?$"
 LABELS = r"(?i)^\s*((?:\[(?:(?:L|R|LR|MIX)(?::[A-Z0-9_:-]*)?|SPEAKER_[A-Z0-9_:-]*)\]\s*)+)"
 LINE = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
@@ -28,20 +28,22 @@ def milliseconds(line: Column, first_group: int) -> Column:
 def parse(documents: DataFrame) -> DataFrame:
     """``case_id, content`` → segments, and ``problem`` where a cue isn't valid (then it has no times).
 
-    Cues are parted by empty lines; a number line is optional. The last L or R label of the run that leads the text is
-    the channel, else MIX. Documents without cues give no row; null content counts as empty.
+    Cues are parted by empty lines; a number line is optional. The last L or R label of the run that leads the first
+    line of text is the channel, else MIX; labels of other lines are text. Minutes and seconds go up to 59. Documents without cues give no row; null content counts as empty.
     """
     blocks = F.filter(F.transform(F.split(F.replace(F.coalesce("content", F.lit("")), F.lit("\r\n"), F.lit("\n")), r"\n\s*\n"), lambda b: F.btrim(b, F.lit(" \t\n\r\x0b\x0c"))), lambda b: b != "")
     cues = documents.select("case_id", F.posexplode(blocks).alias("at", "block")).withColumn("lines", F.split("block", LINE))
     numbered = F.trim(F.element_at("lines", 1)).rlike(r"^\p{Nd}+$")
     cues = cues.withColumn("lines", F.when(numbered, F.slice("lines", F.lit(2), F.greatest(F.lit(0), F.size("lines") - 1))).otherwise(F.col("lines")))
     line, said = F.trim(F.try_element_at("lines", F.lit(1))), F.slice("lines", F.lit(2), F.greatest(F.lit(0), F.size("lines") - 1))
-    text = F.array_join(F.transform(said, lambda x: F.rtrim(x)), "\n")
-    labels = F.regexp_extract(text, LABELS, 1)
+    first = F.btrim(F.coalesce(F.try_element_at(said, F.lit(1)), F.lit("")), F.lit(" \t\x0b\x0c"))
+    labels = F.regexp_extract(first, LABELS, 1)
+    others = F.transform(F.slice(said, F.lit(2), F.greatest(F.lit(0), F.size(said) - 1)), lambda x: F.rtrim(x))
+    text = F.array_join(F.concat(F.array(F.regexp_replace(first, LABELS, "")), others), "\n")
     sides = F.regexp_extract_all(F.upper(labels), F.lit(r"\[(L|R)(?::[A-Z0-9_:-]*)?\]"), F.lit(1))
     problem = F.when(F.size("lines") < 2, F.lit("a cue needs timing and text")).when(~line.rlike(TIMING), F.lit("the timing line isn't valid"))
     known = problem.isNull()
-    made = cues.select("case_id", (F.col("at") + 1).cast("long").alias("ord"), F.when(known, milliseconds(line, 1)).alias("start_ms"), F.when(known, milliseconds(line, 5)).alias("end_ms"), F.coalesce(F.try_element_at(sides, F.lit(-1)), F.lit("MIX")).alias("channel"), F.btrim(F.regexp_replace(text, LABELS, ""), F.lit(" \t\n\r\x0b\x0c")).alias("text"), problem.alias("problem"))
+    made = cues.select("case_id", (F.col("at") + 1).cast("long").alias("ord"), F.when(known, milliseconds(line, 1)).alias("start_ms"), F.when(known, milliseconds(line, 5)).alias("end_ms"), F.coalesce(F.try_element_at(sides, F.lit(-1)), F.lit("MIX")).alias("channel"), F.btrim(text, F.lit(" \t\n\r\x0b\x0c")).alias("text"), problem.alias("problem"))
     return made.select("case_id", "ord", segment_id("ord").alias("id"), "start_ms", "end_ms", "channel", F.lit("speech").alias("kind"), "text", F.lit(False).alias("needs_review"), "problem")
 
 

@@ -69,7 +69,8 @@ def gain(data: bytes, target_dbfs: float = -24.0, peak_dbfs: float = -3.0, most:
 def window_energies(audio: DataFrame, window_ms: int = 100) -> DataFrame:
     """``case_id, content`` → ``case_id, at, start_ms, end_ms, left_sq, right_sq, all_sq, n``, a row a window.
 
-    Sums of squares add up, so any range's level is an aggregate over rows; audio itself is never shuffled.
+    Sums of squares add up, so any range's level is an aggregate over rows; audio itself is never shuffled. Audio that
+    isn't 16-bit PCM is one window of the whole file without sums (``n`` 0), which energy can't tell from speech.
     """
     spec = "case_id string, at long, start_ms long, end_ms long, left_sq double, right_sq double, all_sq double, n long"
     names = [x.split()[0] for x in spec.split(", ")]
@@ -77,6 +78,11 @@ def window_energies(audio: DataFrame, window_ms: int = 100) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for case_id, content in zip(batch.column("case_id"), batch.column("content"), strict=True):
+                head = info(content.as_py())
+                if head["sample_width"] != 2:
+                    if head["duration_ms"]:
+                        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((case_id.as_py(), 0, 0, head["duration_ms"], None, None, None, 0), (pa.string(), *[pa.int64()] * 3, *[pa.float64()] * 3, pa.int64()), strict=True)], names)
+                    continue
                 frames, rate = decode(content.as_py())
                 step = max(1, round(rate * window_ms / 1000))
                 starts = np.arange(0, len(frames), step)
@@ -91,16 +97,34 @@ def window_energies(audio: DataFrame, window_ms: int = 100) -> DataFrame:
     return audio.select(F.col("case_id").cast("string"), "content").mapInArrow(run, spec)
 
 
-def segment_levels(segments: DataFrame, windows: DataFrame) -> DataFrame:
-    """Segments with ``left_dbfs, right_dbfs`` from the windows that begin within them (exact where windows divide the
-    bounds)."""
+def segment_levels(segments: DataFrame, audio: DataFrame) -> DataFrame:
+    """Segments with ``left_dbfs, right_dbfs`` of exactly their frames in ``audio`` (``case_id, content``).
+
+    Each audio is decoded once with all bounds of its case, and running sums of squares give any range's sum. Ranges
+    without frames, and cases without audio, have no levels.
+    """
     from lumenspan.operators.channels import level_of
-    from lumenspan.operators.matching import overlapping
 
-    w = windows.select("case_id", F.col("at").alias("ord"), "start_ms", "end_ms", "left_sq", "right_sq", "n")
-    met = overlapping(segments.select("case_id", "id", "start_ms", "end_ms"), w, ("seg", "win"), F.col("win_start_ms") >= F.col("seg_start_ms"))
-    sums = met.groupBy("case_id", F.col("seg_id").alias("id")).agg(level_of(F.sum("win_left_sq"), F.sum("win_n")).alias("left_dbfs"), level_of(F.sum("win_right_sq"), F.sum("win_n")).alias("right_dbfs"))
-    return segments.join(sums, ["case_id", "id"], "left")
+    spec = "case_id string, id string, left_sq double, right_sq double, n long"
+    names = [x.split()[0] for x in spec.split(", ")]
+    bounds = segments.groupBy(F.col("case_id").cast("string").alias("case_id")).agg(F.collect_list(F.struct("id", "start_ms", "end_ms")).alias("bounds"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for case_id, content, wanted in zip(*(batch.column(k) for k in ("case_id", "content", "bounds")), strict=True):
+                frames, rate = decode(content.as_py())
+                upto = np.zeros((len(frames) + 1, frames.shape[1]), np.int64)
+                np.cumsum(frames.astype(np.int64) ** 2, axis=0, out=upto[1:])
+                rows = wanted.as_py()
+                lo, hi = (np.array([max(0, min(len(frames), round(rate * r[k] / 1000))) for r in rows]) for k in ("start_ms", "end_ms"))
+                sums, n = (upto[hi] - upto[lo]).astype(np.float64), hi - lo
+                some = np.flatnonzero(n > 0)
+                columns = [[case_id.as_py()] * some.size, [rows[k]["id"] for k in some], sums[some, 0], sums[some, -1], n[some]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()), strict=True)], names)
+
+    held = audio.select(F.col("case_id").cast("string").alias("case_id"), "content").join(bounds, "case_id").mapInArrow(run, spec)
+    levels = held.select(F.col("case_id").alias("_case"), F.col("id").alias("_id"), level_of(F.col("left_sq"), F.col("n")).alias("left_dbfs"), level_of(F.col("right_sq"), F.col("n")).alias("right_dbfs"))
+    return segments.join(levels, (segments["case_id"].cast("string") == F.col("_case")) & (segments["id"] == F.col("_id")), "left").drop("_case", "_id")
 
 
 def analysed(audio: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,7 +1,9 @@
 """Golden values and random comparisons with plain loops."""
 
+import io
 import math
 import random
+import wave
 
 import numpy as np
 import pytest
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from lumenspan.functions import hooks
 from lumenspan.functions import text as T
 from lumenspan.operators import audit, channels, coverage, effort, evaluate, intervals, matching
+from lumenspan.plans import workflow
 from lumenspan.schemas import violations
 from lumenspan.sources import documents, srt, wav
 
@@ -175,6 +178,18 @@ def test_srt_labels(spark):
     assert [(r.channel, r.text) for r in rows] == [("L", "a"), ("MIX", "b"), ("R", "c"), ("MIX", "[note] d")]
 
 
+def test_srt_labels_of_the_first_line_only(spark):
+    content = "00:00:01,000 --> 00:00:02,000\n[L]\n[R] hi\n\n00:00:03,000 --> 00:00:04,000\nhello\n[R] there"
+    rows = srt.parse(spark.createDataFrame([("a", content)], "case_id string, content string")).orderBy("ord").collect()
+    assert [(r.channel, r.text) for r in rows] == [("L", "[R] hi"), ("MIX", "hello\n[R] there")]
+
+
+@pytest.mark.parametrize("line", ["00:75:59,000 --> 01:00:00,000", "00:00:75,000 --> 01:00:00,000", "00:00:00,000 --> 00:60:00,000", "00:00:00,000 --> 00:00:60,000"])
+def test_srt_of_impossible_times_is_a_problem(spark, line):
+    (row,) = srt.parse(spark.createDataFrame([("a", line + "\nx")], "case_id string, content string")).collect()
+    assert row.problem == "the timing line isn't valid" and row.start_ms is None and row.end_ms is None
+
+
 def test_masters(spark, tmp_path):
     (tmp_path / "a.master.json").write_text('{"format": "timed-master-v1", "segments": [{"id": "seg_000001", "start_ms": 0, "end_ms": 5, "channel": "L", "kind": "speech", "text": "x", "needs_review": true}]}')
     assert [tuple(r) for r in documents.read_masters(spark, str(tmp_path)).collect()] == [("a", 0, "seg_000001", 0, 5, "L", "speech", "x", True)]
@@ -228,11 +243,34 @@ def test_wav(spark):
         wav.cut(data, 5000, 6000)
     audio = spark.createDataFrame([("a", data)], "case_id string, content binary")
     seg = segs(spark, [(0, 1000, "MIX", "x"), (1000, 2000, "MIX", "y")])
-    levels = {r.id: (r.left_dbfs, r.right_dbfs) for r in wav.segment_levels(seg, wav.window_energies(audio)).collect()}
+    levels = {r.id: (r.left_dbfs, r.right_dbfs) for r in wav.segment_levels(seg, audio).collect()}
     assert levels["seg_000001"][0] == pytest.approx(20 * math.log10(1000 / 32767))
     assert levels["seg_000002"] == pytest.approx((20 * math.log10(1 / 32767), 20 * math.log10(2000 / 32767)))
 
 
+def test_levels_of_exact_ranges(spark):
+    """Bounds off any grid, short and overlapping segments, a segment past the end: each as a loop over its frames."""
+    rng = np.random.default_rng(2)
+    left, right = rng.integers(-9000, 9000, 3000), rng.integers(-500, 500, 3000)
+    audio = spark.createDataFrame([("a", stereo(left, right))], "case_id string, content binary")
+    spans = [(3, 4), (17, 1033), (900, 905), (901, 2999), (0, 3000), (2990, 5000), (4000, 5000)]
+    got = {r.ord: (r.left_dbfs, r.right_dbfs) for r in wav.segment_levels(segs(spark, [(*s, "MIX", "x") for s in spans]), audio).collect()}
+    want = lambda x, s: 20 * math.log10(max(1.0, math.sqrt(float(np.mean(x[s[0] : s[1]].astype(float) ** 2)))) / 32767)
+    for n, (levels, s) in enumerate(zip((got[k] for k in sorted(got)), spans, strict=True)):
+        assert levels == ((None, None) if n == 6 else pytest.approx((want(left, s), want(right, s))))
+
+
+def test_audio_of_other_widths_is_speech_throughout(spark):
+    out = io.BytesIO()
+    with wave.open(out, "wb") as f:
+        f.setnchannels(1)
+        f.setsampwidth(1)
+        f.setframerate(1000)
+        f.writeframes(bytes(range(200)) * 10)
+    audio = spark.createDataFrame([("a", "MIX", out.getvalue())], "case_id string, channel string, content binary")
+    assert pairs(workflow.speech_chunks(audio, workflow.Energy()), "start_ms", "end_ms") == [(0, 2000)]
+
+
 def test_hooks(spark):
     audio = spark.createDataFrame([("a", b"xx")], "case_id string, content binary")
     assert pairs(hooks.detect(audio, lambda b: [(0, 10 * len(b)), (30, 40)]), "index", "start_ms", "end_ms") == [(0, 0, 20), (1, 30, 40)]
