@@ -186,7 +186,14 @@ class WordCache:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        """A word of letters, or of marks, is one part; others may be several."""
+        """A word of letters, or of marks, is one part; others may be several.
+
+        A word of a-z goes through the normaliser, splitter and byte map as it is, so the library's model takes it
+        directly.
+        """
+        model, ascii_words = self.tokenizer.model, [w for w in words if w.isascii() and w.isalpha()]
+        self.known.update((w, np.array([t.id for t in model.tokenize(w)], self.dtype).tobytes()) for w in ascii_words)
+        words = [w for w in words if not (w.isascii() and w.isalpha())]
         plain = [w for w in words if w.isalpha() or re.fullmatch(f"{MARKS}+", w)]
         other = [w for w in words if not (w.isalpha() or re.fullmatch(f"{MARKS}+", w))]
         groups = [plain[k : k + 500] for k in range(0, len(plain), 500)]
@@ -202,7 +209,7 @@ class WordCache:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts (null: empty), and how many each text has."""
-        column = pa.array([x or "" for x in column.to_pylist()], pa.large_string())  # anew: ascii_lower goes wrong on a slice
+        column = pc.if_else(pc.is_valid(column), column, "").cast(pa.large_string())  # anew: ascii_lower goes wrong on a slice
         whole = pc.match_substring_regex(column, self.special).to_numpy(zero_copy_only=False)
         if not self.by_words or whole.any():
             return self._one_by_one(column)
@@ -245,7 +252,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, dtype: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_cache(path, dtype)
-        for batch in slices(batches, 2000):
+        for batch in slices(batches, 8000):  # of as many rows few words are new
             ids, sizes = words.encode(batch.column("text"))
             ids = np.insert(ids, np.cumsum(sizes), end_id)
             ends = np.concatenate(([0], np.cumsum(sizes + 1))) * ids.itemsize
