@@ -1,9 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are lower-cased words of letters and their four- and five-letter beginnings, hashed to 2**18 places. A machine
-of first-order weights and ``factors`` dimensions of pairwise interaction is fitted on the driver to a bounded sample
-of labelled rows (``max_rows``); its places are those that tell the labels apart best in that sample, alone or with
-another term. Scoring is one pass over whole texts, with a model of a few hundred KB.
+of first-order weights and ``factors`` dimensions of pairwise interaction is fitted by one task to a bounded sample
+of labelled rows (``max_rows``), and only the machine comes to the driver; its places are those that tell the labels
+apart best in that sample, alone or with another term. Scoring is one pass over whole texts, with a model of a few hundred KB.
 """
 
 from __future__ import annotations
@@ -54,6 +54,20 @@ class Machine:
         z = self.bias + self.w[rows].sum() + 0.5 * float((v.sum(axis=0) ** 2 - (v**2).sum(axis=0)).sum())
         return float(1 / (1 + math.exp(-max(-60.0, min(60.0, z)))))
 
+    def packed(self) -> dict:
+        """One row of :data:`MODEL`."""
+        return {"bias": self.bias, "at": np.array(list(self.at), "<i4").tobytes(), "w": self.w.astype("<f4").tobytes(), "v": self.v.astype("<f4").tobytes()}
+
+    @staticmethod
+    def unpacked(row) -> Machine:
+        at, w = np.frombuffer(bytes(row["at"]), "<i4"), np.frombuffer(bytes(row["w"]), "<f4")
+        v = np.frombuffer(bytes(row["v"]), "<f4").reshape(w.size, -1) if w.size else np.zeros((0, 0), np.float32)
+        return Machine(row["bias"], {int(p): k for k, p in enumerate(at)}, w, v)
+
+
+#: A machine as a row.
+MODEL = pa.schema([("bias", pa.float64()), ("at", pa.binary()), ("w", pa.binary()), ("v", pa.binary())])
+
 
 def _ratio(k1: np.ndarray, k0: np.ndarray, pos: float, n: float) -> np.ndarray:
     """Log-likelihood ratio between presence and label, from the rows with a place by label; 0 where under 3 have it."""
@@ -143,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Machine:
     """Fit to at most ``max_rows`` labelled rows that aren't held out, those with the smallest id hashes.
 
     Only ``doc_id`` (to join), ``text`` and ``toxic`` are read; null labels are left out. The sample is found on the
-    labels alone; then only its texts' hash places come to the driver.
+    labels alone; its texts' hash places go to the one task that fits.
     """
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -158,8 +172,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Machine:
     found = written(sample.mapInArrow(run, "doc_id string, toxic int, places binary"), "sample")
     if found.count() > max_rows:  # rows that share an id are all of one sample id: the bound holds for rows too
         found = written(found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("places")).limit(max_rows), "sample")
-    got = sorted((r[0], bytes(r[2]), r[1]) for r in found.toLocalIterator())
-    return train([np.frombuffer(p, "<i4") for _, p, _ in got], np.array([t > 0 for *_, t in got], bool).astype(float))
+
+    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((i, p, t) for batch in batches for i, p, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "places", "toxic")), strict=True))
+        made = train([np.frombuffer(p, "<i4") for _, p, _ in got], np.array([t > 0 for *_, t in got], bool).astype(float))
+        yield pa.RecordBatch.from_pylist([made.packed()], MODEL)
+
+    # one task for max_rows rows at most; a lost executor's task is run again and gives the same machine
+    made = found.coalesce(1).mapInArrow(learn, "bias double, at binary, w binary, v binary").first()
+    return Machine.unpacked(made) if made else train([], np.zeros(0))
 
 
 def scores(docs: DataFrame, machine: Machine, keep_text: bool = True) -> DataFrame:
