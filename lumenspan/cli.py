@@ -16,7 +16,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.operators import audit, cases, coverage, effort, gates, intervals, packs
+from lumenspan.operators import audit, cases, channels, coverage, effort, gates, intervals, packs
 from lumenspan.operators.evaluate import PRODUCT_GATE
 from lumenspan.plans import report
 from lumenspan.schemas import assert_valid, violations
@@ -133,10 +133,11 @@ def eval_manifest(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     out = report.evaluated(ref, cand) if a.by_case else report.suite(ref, cand)
     out = _gated(out.withColumn("label", F.col("case_id") if a.by_case else F.lit("suite")), a)
     if required:
-        other = gates.reference_type_failures(held, required).orderBy("case_id").limit(20).collect()
+        text = F.concat(F.lit("case "), "case_id", F.lit(" has reference type "), F.coalesce("reference_type", F.lit("None")))
+        other = gates.reference_type_failures(held, required).agg(F.sort_array(F.collect_list(text))).first()[0]
         if other:
-            texts = [f"case {r['case_id']} has reference type {r['reference_type']}" for r in other]
-            out = gates.annotated(out, F.concat(F.col("gate_failures") if "gate_failures" in out.columns else F.array().cast("array<string>"), F.array(*map(F.lit, texts))))
+            known = F.col("gate_failures") if "gate_failures" in out.columns else F.array().cast("array<string>")
+            out = gates.annotated(out, F.concat(known, F.array(*map(F.lit, other))))
     return out
 
 
@@ -251,6 +252,93 @@ def vad_coverage(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return gates.coverage_gate(rows, a.max_detected_interval_ms, a.max_missed_reference_ms, a.min_reference_recall, a.min_detected_precision)
 
 
+SIDES = [arg("--threshold-db", type=float, default=channels.THRESHOLD_DB), arg("--quiet-dbfs", type=float, help="default: none asked")]
+
+
+def _levels(held: DataFrame, segments: DataFrame, spark: SparkSession) -> DataFrame:
+    return wav.segment_levels(segments, _audio(held, spark))
+
+
+@command("attribute-channels", arg("input"), arg("audio"), *SIDES, LANGUAGE, TAG)
+def attribute_channels(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A file's spoken MIX segments take the side that its audio decides."""
+    held, audio = _one(spark, a.input), spark.createDataFrame([("single", os.path.abspath(a.audio))], "case_id string, audio string")
+    _document(_master(spark, channels.attributed(_levels(audio, held, spark), a.threshold_db, a.quiet_dbfs).select(*held.columns), a), "json", a.output)
+
+
+@command("audit-review-case-channels", arg("index"), arg("--queue", action="store_true"), arg("--by-case", action="store_true"), arg("--fail-on-items", action="store_true"), arg("--threshold-db", type=float, default=2.0), arg("--quiet-dbfs", type=float))
+def audit_channels(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Labelled sides of references against their audio: counts and ratios, or the queue with where to listen."""
+    held, ref = _index(spark, a.index)
+    found = channels.reference_audit(_levels(held, ref, spark), a.threshold_db, a.quiet_dbfs)
+    queue = channels.reference_queue(found)
+    a.after = (lambda: gates.enforce_empty(queue, "channel audit")) if a.fail_on_items else None
+    if a.queue:
+        windows = wav.window_energies(_audio(held, spark), 10).withColumnRenamed("start_ms", "at_ms")
+        return channels.evidence_clips(queue, windows, a.quiet_dbfs).orderBy(F.desc("priority_score"), "case_id", "ord")
+    return channels.summary(found, *["case_id"] * a.by_case)
+
+
+@command("audit-candidate-channels", arg("index"), arg("--by-case", action="store_true"), *SIDES)
+def audit_candidate_channels(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    held = manifests.read(spark, a.index, "index")
+    found = channels.candidate_audit(_levels(held, transcripts.read(spark, held.where("candidate is not null"), "candidate"), spark), a.threshold_db, a.quiet_dbfs)
+    return channels.summary(found, *["case_id"] * a.by_case)
+
+
+@command("sweep-channel-attribution", arg("index"), arg("--thresholds-db", type=float, nargs="+", default=[channels.THRESHOLD_DB]), arg("--quiets-dbfs", type=float, nargs="+", default=[channels.QUIET_DBFS]), arg("--no-quiet", action="store_true", help="also without a quiet limit"))
+def sweep_channels(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Spoken segments of references, attributed anew under each pair of settings, against their labelled sides."""
+    held, ref = _index(spark, a.index)
+    levels = _levels(held, ref.withColumn("labelled", F.col("channel")), spark)
+    each = channels.swept(levels, a.thresholds_db, [*a.quiets_dbfs, *[None] * a.no_quiet]).where("kind = 'speech'")
+    right = F.sum((F.col("channel") == F.col("labelled")).cast("long"))
+    out = each.groupBy("setting", "threshold_db", "quiet_dbfs").agg(F.count("*").alias("segments"), right.alias("correct"), (right / F.count("*")).alias("channel_accuracy"))
+    return out.orderBy(F.desc("channel_accuracy"), "setting")
+
+
+def _case_set(index: DataFrame, segments: DataFrame, folder: str, a: argparse.Namespace) -> None:
+    """``index.json`` and a reference document a case in a new folder; one document at a time passes the driver."""
+    os.makedirs(folder)
+    name = F.concat(F.lit(folder + "/"), "case_id", F.lit(".master.json"))
+    assert_valid(index.where(F.col("case_id").rlike("/") | F.col("case_id").isin(".", "..")).select("case_id", F.lit("the case id must be a bare file name").alias("rule")))
+    head = index.select("case_id").join(segments.groupBy("case_id").agg(F.max("end_ms").alias("duration_ms")), "case_id", "left")
+    made = documents.master_json(segments, head.select("case_id", F.lit(a.source_language).alias("source_language"), "duration_ms"), a.tag)
+    for r in made.toLocalIterator():
+        with open(f"{folder}/{r['case_id']}.master.json", "w", encoding="utf-8") as f:
+            f.write(r["json"])
+    _document(manifests.document(index.withColumn("reference", name), "index", a.index_tag), "json", f"{folder}/index.json")
+
+
+INDEX_TAG = arg("--index-tag", default="lumenspan-case-set-v1")
+
+
+@command("freeze-case-references", arg("index"), arg("--reference-type"), arg("--reference-notes"), LANGUAGE, TAG, INDEX_TAG)
+def freeze_case_references(spark: SparkSession, a: argparse.Namespace) -> None:
+    held, ref = _index(spark, a.index)
+    assert_valid(violations(ref))
+    _case_set(*cases.frozen(held, ref, a.reference_type, a.reference_notes), os.path.abspath(a.output), a)
+
+
+@command("save-review-case-reference", arg("index"), arg("case"), arg("input"), LANGUAGE, TAG, INDEX_TAG)
+def save_case_reference(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The case set with one case's reference replaced, in a new folder."""
+    held, ref = _index(spark, a.index)
+    _case_set(*cases.saved_reference(held, ref, _one(spark, a.input, a.case)), os.path.abspath(a.output), a)
+
+
+@command("vad-compare-coverage", arg("index"), arg("intervals", nargs="+", help="files of JSON lines of case_id, start_ms, end_ms"))
+def vad_compare_coverage(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    from functools import reduce
+
+    from lumenspan.operators.comparison import labels
+
+    _, ref = _index(spark, a.index)
+    read = spark.read.schema("case_id string, start_ms long, end_ms long").json
+    suites = [coverage.suite(coverage.coverage(ref, read(path))).withColumn("label", F.lit(label)) for label, path in zip(labels(a.intervals), a.intervals, strict=True)]
+    return coverage.ranked(reduce(DataFrame.unionByName, suites)).orderBy("rank")
+
+
 @command("model-digest", arg("folder"))
 def model_digest(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return documents.snapshot_digest(spark, os.path.abspath(a.folder))[1]
@@ -294,7 +382,7 @@ def project_export_srt(spark: SparkSession, a: argparse.Namespace) -> None:
     _document(srt.formatted(Projects(spark, os.path.abspath(a.project_root)).segments(a.project)), "content", a.output)
 
 
-WRITES_A_FILE = {srt_to_json, json_to_srt, export_translation, freeze_reference, slice_case, build_attach_plan, attach_candidates, build_eval_manifest, project_export_srt}
+WRITES_A_FILE = {srt_to_json, json_to_srt, export_translation, freeze_reference, slice_case, build_attach_plan, attach_candidates, build_eval_manifest, project_export_srt, attribute_channels, freeze_case_references, save_case_reference}
 
 
 def parser() -> argparse.ArgumentParser:

@@ -111,7 +111,7 @@ def evidence_clips(segments: DataFrame, windows: DataFrame, quiet_dbfs: float |
     long = segments.where(F.col("end_ms") - F.col("start_ms") > CLIP_MS)
     starts = F.array_distinct(F.concat(F.sequence(F.col("start_ms"), F.col("end_ms") - PROBE_MS, F.lit(HOP_MS).cast("long")), F.array(F.col("end_ms") - PROBE_MS)))
     probes = long.select("case_id", "id", "start_ms", "end_ms", "energy_channel", F.explode(starts).alias("probe")).alias("p")
-    w = windows.withColumn("bucket", F.floor(F.col("at_ms") / PROBE_MS)).alias("w")
+    w = windows.select("case_id", "at_ms", "left_sq", "right_sq", "n", F.floor(F.col("at_ms") / PROBE_MS).alias("bucket")).alias("w")
     p = probes.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("probe") / PROBE_MS), F.floor((F.col("probe") + PROBE_MS - 1) / PROBE_MS))))
     met = p.join(w, ["case_id", "bucket"]).where((F.col("at_ms") >= F.col("probe")) & (F.col("at_ms") < F.col("probe") + PROBE_MS))
     level = met.groupBy("case_id", "id", "start_ms", "end_ms", "energy_channel", "probe").agg(level_of(F.sum("left_sq"), F.sum("n")).alias("l"), level_of(F.sum("right_sq"), F.sum("n")).alias("r"))

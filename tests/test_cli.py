@@ -96,3 +96,42 @@ def test_projects(spark, home, tmp_path, capsys):
     assert main(["project-show", "--project-root", root], spark) == 0
     assert json.loads(capsys.readouterr().out)["segments"] == 2
     assert main(["project-analyze", "nope", "--project-root", root], spark) == 1
+
+
+def test_channel_commands_case_sets_and_coverage(spark, home, tmp_path, capsys):
+    # the left side speaks in the first second, the right one in the rest; the second label is wrong
+    frames = np.zeros((2500, 2), np.int16)
+    frames[:1000, 0], frames[1000:, 1] = 8000, 8000
+    audio = home("c1.wav", wav.encode(frames, 1000))
+    srt = REF.replace("[R]", "[L]")
+    home("c1.srt", srt)
+    index = home("index.json", json.dumps({"format": "x", "reference_type": "human-reviewed", "items": [{"id": "c1", "audio": "c1.wav", "reference": "c1.srt", "candidate": "c1.srt"}]}))
+    rows = lambda: [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert main(["audit-review-case-channels", index], spark) == 0
+    (got,) = rows()
+    assert (got["match"], got["mismatch"], got["uncertain"], got["match_ratio"]) == (1, 1, 0, 0.5)
+    assert main(["audit-review-case-channels", index, "--queue", "--fail-on-items"], spark) == 1
+    (got,) = rows()
+    assert (got["text"], got["reasons"], got["clip_start_ms"], got["clip_end_ms"]) == ("きて", ["reference-channel-energy-mismatch"], 1500, 2500)
+    assert main(["audit-candidate-channels", index, "--by-case"], spark) == 0
+    (got,) = rows()
+    assert (got["case_id"], got["match"], got["wrong_side"]) == ("c1", 1, 1)
+    assert main(["sweep-channel-attribution", index, "--thresholds-db", "8", "200", "--no-quiet"], spark) == 0
+    got = rows()
+    assert [(r["setting"], r["segments"], r["correct"]) for r in got] == [("th8_quietm40", 2, 1), ("th8_quietnone", 2, 1), ("th200_quietm40", 2, 0), ("th200_quietnone", 2, 0)]
+    made = str(tmp_path / "sided.json")
+    assert main(["attribute-channels", home("mix.srt", srt.replace("[L]", "[MIX]")), audio, "-o", made], spark) == 0
+    assert [s["channel"] for s in json.loads(open(made).read())["segments"]] == ["L", "R"]
+    frozen, saved = str(tmp_path / "frozen"), str(tmp_path / "saved")
+    assert main(["freeze-case-references", index, "--reference-type", "machine", "-o", frozen], spark) == 0
+    assert main(["save-review-case-reference", f"{frozen}/index.json", "c1", home("new.srt", REF.split("\n\n")[0] + "\n"), "-o", saved], spark) == 0
+    capsys.readouterr()
+    for folder, count in ((frozen, 2), (saved, 1)):
+        assert main(["review-case-status", f"{folder}/index.json"], spark) == 0
+        assert rows()[0]["issues"] == []
+        assert len(json.loads(open(f"{folder}/c1.master.json").read())["segments"]) == count
+    assert main(["save-review-case-reference", index, "c9", home("new.srt", srt), "-o", str(tmp_path / "no")], spark) == 1
+    whole, half = home("whole.json", '{"case_id": "c1", "start_ms": 0, "end_ms": 2500}\n'), home("half.json", '{"case_id": "c1", "start_ms": 0, "end_ms": 1000}\n')
+    capsys.readouterr()
+    assert main(["vad-compare-coverage", index, half, whole], spark) == 0
+    assert [(r["rank"], r["label"], r["missed_reference_duration_ms"]) for r in rows()] == [(1, "whole", 0), (2, "half", 1000)]
