@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.llm import chat, fingerprints, licenses, line_quality, mixing, near_simhash, pieces, token_files, toxicity, warc
+from lumenspan.llm import chat, fingerprints, languages, licenses, line_quality, mixing, near_simhash, periodic, pieces, repair, token_files, toxicity, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -80,6 +80,29 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    every = rows.groupBy("conv_id").agg(F.lit(0).cast("long").alias("_none"))
+    found = repair.repairs(repair.damaged(rows)).withColumnRenamed("conv_id", "_id")
+    held = every.join(found, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    said = F.array_join(F.transform("repaired", lambda t: F.concat(t.role, F.lit(":"), t.text)), "\n")
+    return held.select("conv_id", *[F.coalesce(c, "_none").alias(c) for c in repair.COUNTS], F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce(said, F.lit("")), 256).alias("repaired_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic(periodic.looped(table(spark, sf_dir, "documents")), keep=("doc_id",))
+    said = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    best = periodic.strongest(F.col("runs"))
+    told = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(said, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return told.select("doc_id", "n_runs", "b.start", "b.length", "b.period", F.floor(1000 * F.col("b.length") / F.col("b.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = languages.labelled(docs.select("doc_id", "text"), languages.fit(docs), keep=("doc_id",))
+    return found.select("doc_id", languages.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.size("lang_spans").cast("long").alias("n_spans"))
+
+
 # ---- stages of the corpus pipeline ----
 
 
@@ -109,7 +132,7 @@ def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return pieces.encoded(docs, tokenizer_file("piece_bpe_32k.model"), keep=("doc_id", "lang", "source"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_simhash_near_dedup, op3_document_fingerprints, op4_quality_rules, op5_source_mixing, op6_sentencepiece, op7_toxicity, op8_license_scans, op9_warc, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_simhash_near_dedup, op3_document_fingerprints, op4_quality_rules, op5_source_mixing, op6_sentencepiece, op7_toxicity, op8_license_scans, op9_warc, op10_token_files, op11_structure_repair, op12_periodic_runs, op13_language_id)}
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -172,4 +195,62 @@ select page_id, payload_bytes, payload_digest,
        case when top is null or page_id = top then 'response' else 'revisit' end as record_type,
        case when page_id is distinct from top then top end as refers_to
 from q left join m on payload_digest = d""",
+    "op11_structure_repair": r"""
+with recursive keyed as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k from conversations),
+hashed as (select *, xor(list_reduce(flatten(list_transform(range(1, length(k) + 1), lambda i: list_transform(range(8), lambda b: (ascii(substr(k, i, 1)) >> b) & 1))),
+             lambda c, b: case when (c & 1) <> b then xor(c >> 1, 3988292384) else c >> 1 end, 4294967295::bigint), 4294967295) % 20 as h from keyed),
+hurt as (select conv_id, turn, case when h = 4 then 'user' else role end as role, case when h = 1 then '' when h = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+           unnest(case when h = 3 then [0, 1] else [0] end) as copy from hashed where h <> 0),
+ids as (select conv_id, row_number() over () as c from (select distinct conv_id from conversations)),
+r as (select c, turn, role, text, left(role, 1) as x, row_number() over (partition by c order by turn nulls first, role, text) as i from hurt join ids on hurt.conv_id is not distinct from ids.conv_id),
+f as (select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when row_number() over (partition by c, role, text order by i) > 1 then 'duplicate'
+             when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 'truncated' else '' end as fault, lag(x) over (partition by c order by i) || x as pair from r),
+g as (select *, fault in ('', 'truncated') as may, case when fault = 'truncated' then 3 else 0 end as more from f),
+dp as (select c, 0::bigint as i, '000000000' as st, cast(null as varchar) as s, '000000003I' as u, '000000006II' as a from ids
+  union all
+  select c, i, st, s, least(u, printf('%09d', cast(left(least(st, s, a), 9) as int) + 3) || substr(least(st, s, a), 10) || 'I'),
+    least(a, case when least(u, printf('%09d', cast(left(least(st, s, a), 9) as int) + 3) || substr(least(st, s, a), 10) || 'I') is not null then
+      printf('%09d', cast(left(least(u, printf('%09d', cast(left(least(st, s, a), 9) as int) + 3) || substr(least(st, s, a), 10) || 'I'), 9) as int) + 3) || substr(least(u, printf('%09d', cast(left(least(st, s, a), 9) as int) + 3) || substr(least(st, s, a), 10) || 'I'), 10) || 'I' end)
+  from (select dp.c, g.i,
+      least(printf('%09d', cast(left(dp.st, 9) as int) + 4) || substr(dp.st, 10) || 'D', case when may and x = '' then printf('%09d', cast(left(dp.st, 9) as int) + more) || substr(dp.st, 10) || 'K' end) as st,
+      least(printf('%09d', cast(left(dp.s, 9) as int) + 4) || substr(dp.s, 10) || 'D', case when may and x = '' then printf('%09d', cast(left(dp.s, 9) as int) + more) || substr(dp.s, 10) || 'K' end,
+        case when may and x = 's' then printf('%09d', cast(left(dp.st, 9) as int) + more) || substr(dp.st, 10) || 'K' end) as s,
+      least(printf('%09d', cast(left(dp.u, 9) as int) + 4) || substr(dp.u, 10) || 'D', case when may and x = '' then printf('%09d', cast(left(dp.u, 9) as int) + more) || substr(dp.u, 10) || 'K' end,
+        case when may then printf('%09d', cast(left(least(dp.st, dp.s, dp.a), 9) as int) + more + case when x = 'u' then 0 else 3 end) || substr(least(dp.st, dp.s, dp.a), 10) || case when x = 'u' then 'K' else 'R' end end) as u,
+      least(printf('%09d', cast(left(dp.a, 9) as int) + 4) || substr(dp.a, 10) || 'D', case when may and x = '' then printf('%09d', cast(left(dp.a, 9) as int) + more) || substr(dp.a, 10) || 'K' end,
+        case when may then printf('%09d', cast(left(dp.u, 9) as int) + more + case when x = 'a' then 0 else 3 end) || substr(dp.u, 10) || case when x = 'a' then 'K' else 'R' end end) as a
+    from dp join g on g.c = dp.c and g.i = dp.i + 1)),
+best as (select c, least(st, a) as k from dp qualify i = max(i) over (partition by c)),
+cut as (select c, cast(left(k, 9) as bigint) as cost, substr(k, 10) as audit from best),
+letters as (select c, j, substr(audit, j, 1) as e, j - length(replace(left(audit, j), 'I', '')) as ins from (select *, unnest(range(1, length(audit) + 1)) as j from cut)),
+made as (select l.c, j, e, role, text, x, row_number() over (partition by l.c order by j) - max(case when e = 'K' and x = 's' then 1 else 0 end) over (partition by l.c) as m
+  from letters l left join g on g.c = l.c and g.i = l.j - l.ins and e <> 'I' where e <> 'D' and (e <> 'K' or x <> '')),
+kept as (select c, j, case when e = 'K' then role when m % 2 = 1 then 'user' else 'assistant' end || ':' || coalesce(text, '') as line from made
+  union all select l.c, j, role || ':' || text from letters l join g on g.c = l.c and g.i = l.j - l.ins where e = 'K' and x = ''),
+told as (select c, string_agg(line, chr(10) order by j) as t from kept group by c),
+n as (select c, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+        count(*) filter (fault = 'truncated') as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal from f group by c)
+select conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  case when n.c is null then 0 else cost end as cost, case when n.c is null then '' else audit end as audit, sha256(coalesce(t, '')) as repaired_sha256
+from ids left join cut on cut.c = ids.c left join told on told.c = ids.c left join n on n.c = ids.c""",
+    "op12_periodic_runs": rf"""
+with keyed as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') as ws, cast(doc_id as varchar) as k from documents),
+hashed as (select r, doc_id, ws, len(ws) as n, xor(list_reduce(flatten(list_transform(range(1, length(k) + 1), lambda i: list_transform(range(8), lambda b: (ascii(substr(k, i, 1)) >> b) & 1))),
+             lambda c, b: case when (c & 1) <> b then xor(c >> 1, 3988292384) else c >> 1 end, 4294967295::bigint), 4294967295) as h from keyed),
+d as (select *, case when n > 0 and h % 10 = 0 then (h // 10) % n end as a, h // 10 % 8 as e from hashed),
+one as (select r, n, unnest(ws) as w, unnest(range(len(ws))) as i, a, 1 + (n - a) // (3 + e) as p from d),
+w as (select x.r, x.i, coalesce(y.w, x.w) as w from one x left join one y on y.r = x.r and x.i >= x.a and y.i = x.a + (x.i - x.a) % x.p),
+g as (select r, i, case when i + 16 <= count(*) over (partition by r) then md5(array_to_string(list(w) over (partition by r order by i rows between current row and 15 following), ' ')) end as h from w),
+often as (select r, h from g where h is not null group by r, h having count(*) > 1),
+m as (select g.r, g.i, g.h from g join often using (r, h)),
+pair as (select x.r, y.i - x.i as q, x.i from m x join m y on y.r = x.r and y.h = x.h and y.i > x.i),
+island as (select r, q, i, i - row_number() over (partition by r, q order by i) as isl from pair),
+stretch as (select r, q, min(i) as s, count(*) + 15 + q as len from island group by r, q, isl),
+run as (select r, s, len, min(q) as q from stretch where len >= greatest(24, 3 * q) group by r, s, len),
+top as (select * from run qualify row_number() over (partition by r order by len::hugeint * 1000000000000 // q desc, s, q) = 1),
+said as (select r, count(*) as n_runs, string_agg(s::varchar || ',' || len::varchar || ',' || q::varchar || chr(10), '' order by s, q) as t from run group by r),
+gone as (select distinct r, unnest(range(s + q, s + len)) as i from run),
+kept as (select r, string_agg(w, ' ' order by i) as t from w where not exists (select 1 from gone where gone.r = w.r and gone.i = w.i) group by r)
+select doc_id, coalesce(n_runs, 0) as n_runs, s as start, len as length, q as period, 1000 * len // q as exponent_milli, sha256(coalesce(said.t, '')) as runs_sha256, sha256(coalesce(kept.t, '')) as collapsed_sha256
+from d left join top on top.r = d.r left join said on said.r = d.r left join kept on kept.r = d.r""",
 }

@@ -40,12 +40,13 @@ def distinct_words(data: bytes) -> set[str]:
 
 @dataclass
 class Machine:
-    """``at`` maps hash places to rows of ``w`` and ``v``."""
+    """``at`` maps hash places to rows of ``w`` and ``v``; ``n_rows`` is the number of rows that it was fitted to."""
 
     bias: float
     at: dict[int, int]
     w: np.ndarray
     v: np.ndarray
+    n_rows: int
 
     def score(self, rows: list[int]) -> float:
         if not rows:
@@ -56,17 +57,17 @@ class Machine:
 
     def packed(self) -> dict:
         """One row of :data:`MODEL`."""
-        return {"bias": self.bias, "at": np.array(list(self.at), "<i4").tobytes(), "w": self.w.astype("<f4").tobytes(), "v": self.v.astype("<f4").tobytes()}
+        return {"bias": self.bias, "n_rows": self.n_rows, "at": np.array(list(self.at), "<i4").tobytes(), "w": self.w.astype("<f4").tobytes(), "v": self.v.astype("<f4").tobytes()}
 
     @staticmethod
     def unpacked(row) -> Machine:
         at, w = np.frombuffer(bytes(row["at"]), "<i4"), np.frombuffer(bytes(row["w"]), "<f4")
         v = np.frombuffer(bytes(row["v"]), "<f4").reshape(w.size, -1) if w.size else np.zeros((0, 0), np.float32)
-        return Machine(row["bias"], {int(p): k for k, p in enumerate(at)}, w, v)
+        return Machine(row["bias"], {int(p): k for k, p in enumerate(at)}, w, v, row["n_rows"])
 
 
 #: A machine as a row.
-MODEL = pa.schema([("bias", pa.float64()), ("at", pa.binary()), ("w", pa.binary()), ("v", pa.binary())])
+MODEL = pa.schema([("bias", pa.float64()), ("n_rows", pa.int64()), ("at", pa.binary()), ("w", pa.binary()), ("v", pa.binary())])
 
 
 def _ratio(k1: np.ndarray, k0: np.ndarray, pos: float, n: float) -> np.ndarray:
@@ -124,7 +125,7 @@ def train(rows: list[np.ndarray], y: np.ndarray, count: int = 4096, factors: int
     rng = np.random.default_rng(seed)
     theta = np.concatenate([np.zeros((m, 1)), rng.normal(0, 0.02, (m, factors))], axis=1)
     if not m:
-        return Machine(bias, at, theta[:, 0].astype(np.float32), theta[:, 1:].astype(np.float32))
+        return Machine(bias, at, theta[:, 0].astype(np.float32), theta[:, 1:].astype(np.float32), n)
     local = [np.array([at[p] for p in r.tolist() if p in at], np.int64) for r in rows]
     first, second, step, b1, b2 = np.zeros_like(theta), np.zeros_like(theta), 0, 0.9, 0.99
     for _ in range(epochs):
@@ -145,7 +146,7 @@ def train(rows: list[np.ndarray], y: np.ndarray, count: int = 4096, factors: int
             bias -= 0.02 * float(err.sum()) * 4
             first, second = b1 * first + (1 - b1) * grad, b2 * second + (1 - b2) * grad**2
             theta -= 0.05 * (first / (1 - b1**step)) / (np.sqrt(second / (1 - b2**step)) + 1e-8)
-    return Machine(bias, at, theta[:, 0].astype(np.float32), theta[:, 1:].astype(np.float32))
+    return Machine(bias, at, theta[:, 0].astype(np.float32), theta[:, 1:].astype(np.float32), n)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -179,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Machine:
         yield pa.RecordBatch.from_pylist([made.packed()], MODEL)
 
     # one task for max_rows rows at most; a lost executor's task is run again and gives the same machine
-    made = found.coalesce(1).mapInArrow(learn, "bias double, at binary, w binary, v binary").first()
+    made = found.coalesce(1).mapInArrow(learn, "bias double, n_rows long, at binary, w binary, v binary").first()
     return Machine.unpacked(made) if made else train([], np.zeros(0))
 
 
