@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenspan.functions.text import practical
-from lumenspan.operators.matching import best_overlap, extra
+from lumenspan.operators.matching import flat, sides
+from lumenspan.scratch import checkpointed
 
 # Priority of reasons, and the timing threshold.
 PRIORITY = {"missing_reference": 5000.0, "extra_candidate": 4000.0, "text": 3000.0, "timing": 2000.0, "channel": 1000.0}
@@ -19,61 +22,73 @@ def score_of(reasons: Column, weights: dict[str, float]) -> Column:
     return F.aggregate(reasons, F.lit(0.0), lambda a, r: a + F.coalesce(F.element_at(table, r), F.lit(0.0)))
 
 
-def items(ref: DataFrame, cand: DataFrame, normal=practical) -> DataFrame:
-    """A row for each pair with a reason, each missing reference and each extra candidate, with its score.
+def edits(ref: DataFrame, cand: DataFrame, normal=practical) -> DataFrame:
+    """Rows of :func:`matching.sides`, flattened, with their ``reasons`` (none: an empty array) and ``text_distance``.
 
-    ``normal`` is the text form that pairs are compared in, each side once. References without a pair are those that
-    the join of pairs leaves; so time ranges are joined twice, for pairs and for extras.
+    ``normal`` is the text form that pairs are compared in, each side once; time ranges are joined once.
     """
-    null = lambda kind: F.lit(None).cast(kind)
-    best = best_overlap(ref.select("case_id", "ord", "start_ms", "end_ms"), cand.withColumn("norm", normal(F.col("text"))))
-    best = best.select("case_id", F.col("ref_ord").alias("ord"), *[c for c in best.columns if c.startswith("cand_")])
-    mine = ref.withColumn("norm", normal(F.col("text")))
-    pairs = mine.select("case_id", "ord", *[F.col(c).alias(f"ref_{c}") for c in mine.columns if c not in ("case_id", "ord")]).join(best, ["case_id", "ord"], "left")
-    gone, pairs = pairs.where("cand_ord is null"), pairs.where("cand_ord is not null")
-    a, b = F.col("ref_norm"), F.col("cand_norm")
+    with_norm = lambda df: df.withColumn("norm", normal(F.col("text")))
+    rows = flat(sides(with_norm(ref), with_norm(cand)))
+    pair = (F.col("side") == 0) & F.col("met")
     start, end = F.col("cand_start_ms") - F.col("ref_start_ms"), F.col("cand_end_ms") - F.col("ref_end_ms")
-    late = (F.abs(start) > TIMING_MS) | (F.abs(end) > TIMING_MS)
-    reasons = F.array_compact(F.array(F.when(a != b, F.lit("text")), F.when(F.col("ref_channel") != F.col("cand_channel"), F.lit("channel")), F.when(late, F.lit("timing"))))
-    edited = pairs.select("case_id", F.col("ref_id").alias("reference_id"), F.col("cand_id").alias("candidate_id"), F.least("ref_start_ms", "cand_start_ms").alias("start_ms"), F.greatest("ref_end_ms", "cand_end_ms").alias("end_ms"), reasons.alias("reasons"), F.col("ref_text").alias("reference_text"), F.col("cand_text").alias("candidate_text"), F.col("ref_channel").alias("reference_channel"), F.col("cand_channel").alias("candidate_channel"), start.alias("start_delta_ms"), end.alias("end_delta_ms"), F.levenshtein(a, b).cast("long").alias("text_distance")).where(F.size("reasons") > 0)
-    gone = gone.select("case_id", F.col("ref_id").alias("reference_id"), null("string").alias("candidate_id"), F.col("ref_start_ms").alias("start_ms"), F.col("ref_end_ms").alias("end_ms"), F.array(F.lit("missing_reference")).alias("reasons"), F.col("ref_text").alias("reference_text"), F.lit("").alias("candidate_text"), F.col("ref_channel").alias("reference_channel"), null("string").alias("candidate_channel"), null("long").alias("start_delta_ms"), null("long").alias("end_delta_ms"), F.lit(0).cast("long").alias("text_distance"))
-    more = extra(ref, cand).select("case_id", null("string").alias("reference_id"), F.col("id").alias("candidate_id"), "start_ms", "end_ms", F.array(F.lit("extra_candidate")).alias("reasons"), F.lit("").alias("reference_text"), F.col("text").alias("candidate_text"), null("string").alias("reference_channel"), F.col("channel").alias("candidate_channel"), null("long").alias("start_delta_ms"), null("long").alias("end_delta_ms"), F.lit(0).cast("long").alias("text_distance"))
-    out = edited.unionByName(gone).unionByName(more)
+    rows = rows.withColumns({"start_delta_ms": F.when(pair, start), "end_delta_ms": F.when(pair, end), "text_distance": F.when(pair, F.levenshtein("ref_norm", "cand_norm")).otherwise(F.lit(0)).cast("long")})
+    late = (F.abs("start_delta_ms") > TIMING_MS) | (F.abs("end_delta_ms") > TIMING_MS)
+    of_pair = F.array_compact(F.array(F.when(F.col("ref_norm") != F.col("cand_norm"), F.lit("text")), F.when(F.col("ref_channel") != F.col("cand_channel"), F.lit("channel")), F.when(late, F.lit("timing"))))
+    alone = F.when(~F.col("met"), F.array(F.when(F.col("side") == 0, F.lit("missing_reference")).otherwise(F.lit("extra_candidate")))).otherwise(F.array().cast("array<string>"))
+    return rows.withColumn("reasons", F.when(pair, of_pair).otherwise(alone))
+
+
+def queue_of(rows: DataFrame) -> DataFrame:
+    """The rows of :func:`edits` that need an edit, as review items with their score."""
+    start, end = F.least("ref_start_ms", "cand_start_ms"), F.greatest("ref_end_ms", "cand_end_ms")
+    text = lambda c: F.coalesce(c, F.lit("")).alias({"ref_text": "reference_text", "cand_text": "candidate_text"}[c])
+    out = rows.where(F.size("reasons") > 0).select("case_id", F.col("ref_id").alias("reference_id"), F.col("cand_id").alias("candidate_id"), start.alias("start_ms"), end.alias("end_ms"), "reasons", text("ref_text"), text("cand_text"), F.col("ref_channel").alias("reference_channel"), F.col("cand_channel").alias("candidate_channel"), "start_delta_ms", "end_delta_ms", "text_distance")
     duration = F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms"))
     delta = F.greatest(F.abs(F.coalesce("start_delta_ms", F.lit(0))), F.abs(F.coalesce("end_delta_ms", F.lit(0))))
     score = score_of(F.col("reasons"), PRIORITY) + F.least(F.lit(999.0), F.col("text_distance").cast("double")) + F.least(F.lit(999.0), delta / F.lit(10.0)) + F.least(F.lit(99.0), duration / F.lit(1000.0))
     return out.select(*ITEM, duration.alias("duration_ms"), score.alias("priority_score"))
 
 
+def items(ref: DataFrame, cand: DataFrame, normal=practical) -> DataFrame:
+    """A row for each pair with a reason, each missing reference and each extra candidate, with its score."""
+    return queue_of(edits(ref, cand, normal))
+
+
 def ranked(queue: DataFrame) -> DataFrame:
     """``priority_rank`` by score, case, time and ids.
 
-    Items are dealt by whole points of score and, within a point, by case; a part's first rank is the count of the
-    parts before it, so a task holds the items of one case and point, not the queue."""
+    The queue is computed once, into a checkpoint, dealt by ranges of that order, sorted within each and checkpointed
+    again. An item's rank is its number within its range after the counts of the ranges before, of which one number a
+    range comes to the driver; nothing is gathered, and equal keys of any number only make their range longer.
+    """
     order = [F.col("priority_score").desc(), F.col("case_id"), F.coalesce("start_ms", F.lit(0)), F.coalesce("end_ms", F.lit(0)), F.coalesce("reference_id", F.lit("")), F.coalesce("candidate_id", F.lit(""))]
-    # items of one exact score go by case, so (score, case) parts follow each other in the total order
-    counts = queue.groupBy("priority_score", "case_id").agg(F.count("*").alias("_n"))
-    point = F.floor(F.col("priority_score"))
-    held_before = Window.partitionBy("_point").orderBy(F.col("priority_score").desc(), "case_id").rowsBetween(Window.unboundedPreceding, -1)
-    parts = counts.withColumn("_point", point)
-    points = parts.groupBy("_point").agg(F.sum("_n").alias("_n"))
-    # as many rows as there are whole points of score: a few thousand
-    points = points.select("_point", F.coalesce(F.sum("_n").over(Window.orderBy(F.col("_point").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    parts = parts.withColumn("_inside", F.coalesce(F.sum("_n").over(held_before), F.lit(0))).join(points, "_point")
-    before = parts.select(F.col("priority_score").alias("_score"), F.col("case_id").alias("_case"), (F.col("_base") + F.col("_inside")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("priority_score", "case_id").orderBy(*order))
-    joined = queue.withColumn("_within", within).join(before, (F.col("priority_score") == F.col("_score")) & F.col("case_id").eqNullSafe(F.col("_case")))
-    return joined.withColumn("priority_rank", F.col("_before") + F.col("_within")).drop("_score", "_case", "_within", "_before")
-
-
-def rollup(ref: DataFrame, cand: DataFrame, queue: DataFrame) -> DataFrame:
-    """Counts and ratios by case; the denominator is references and extras, at least 1."""
+    dealt = checkpointed(checkpointed(queue).repartitionByRange(*order).sortWithinPartitions(*order))
+    # a row's id holds its partition's number above 33 bits, and below them its number in the partition
+    numbered = dealt.withColumn("_at", F.monotonically_increasing_id())
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted(numbered.groupBy(part.alias("_part")).agg((F.max(within) + 1).alias("_n")).collect())
+    before = accumulate((n for _, n in counts), initial=0)
+    offsets = dealt.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(counts, before)], "_part long, _before long")  # noqa: B905 - the sum of all is left over
+    out = numbered.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # a row a partition
+    return out.withColumn("priority_rank", F.col("_before") + within + 1).drop("_part", "_at", "_before")
+
+
+def rollup(rows: DataFrame) -> DataFrame:
+    """Counts and ratios by case of the rows of :func:`edits`; the denominator is references and extras, at least 1."""
     has = lambda r: F.sum(F.array_contains("reasons", r).cast("long"))
-    done = queue.groupBy("case_id").agg(*[has(r).alias(r) for r in PRIORITY], F.count("*").alias("needing"))
-    out = ref.groupBy("case_id").agg(F.count("*").alias("reference_segments")).join(cand.groupBy("case_id").agg(F.count("*").alias("candidate_segments")), "case_id", "full").join(done, "case_id", "left").na.fill(0)
-    whole = F.greatest(F.lit(1), F.col("reference_segments") + F.col("extra_candidate"))
-    names = {"text": "text_edit", "channel": "channel_edit", "timing": "timing_edit", "missing_reference": "missing_reference", "extra_candidate": "extra_candidate"}
-    return out.select("case_id", "reference_segments", "candidate_segments", *[F.col(k).alias(f"{v}_segments") for k, v in names.items()], F.col("needing").alias("segments_needing_edit"), (F.col("needing") / whole).alias("segments_needing_edit_ratio"), *[(F.col(k) / whole).alias(f"{v}_segment_ratio") for k, v in names.items()])
+    counts = {"reference_segments": F.sum((F.col("side") == 0).cast("long")), "candidate_segments": F.sum((F.col("side") == 1).cast("long"))}
+    counts |= {name: has(reason) for name, reason in EDITS.items()} | {"segments_needing_edit": F.sum((F.size("reasons") > 0).cast("long"))}
+    return edit_ratios(rows.groupBy("case_id").agg(*[c.alias(n) for n, c in counts.items()]))
+
+
+#: Counts of segments by the reason that they have.
+EDITS = {"text_edit_segments": "text", "channel_edit_segments": "channel", "timing_edit_segments": "timing", "missing_reference_segments": "missing_reference", "extra_candidate_segments": "extra_candidate"}
+
+
+def edit_ratios(counts: DataFrame) -> DataFrame:
+    whole = F.greatest(F.lit(1), F.col("reference_segments") + F.col("extra_candidate_segments"))
+    names = {"segments_needing_edit": "segments_needing_edit_ratio"} | {n: n.removesuffix("_segments") + "_segment_ratio" for n in EDITS}
+    return counts.withColumns({ratio: F.col(n) / whole for n, ratio in names.items()})
 
 
 def compared(references: DataFrame, queues: dict[str, DataFrame]) -> DataFrame:

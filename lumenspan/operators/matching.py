@@ -38,6 +38,37 @@ def overlapping(left: DataFrame, right: DataFrame, names: tuple[str, str] = ("re
     return joined.withColumn("overlap_ms", overlap_ms(F.col(f"{a}_start_ms"), F.col(f"{a}_end_ms"), F.col(f"{b}_start_ms"), F.col(f"{b}_end_ms"))).drop("bucket", f"{a}_first", f"{b}_first")
 
 
+def sides(ref: DataFrame, cand: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """``case_id, side, ord, met, ref, cand, overlap_ms``: a row for each segment of either side, from one overlap join.
+
+    A reference (side 0) comes with the candidate that overlaps it most, the first in document order of equals, or
+    null; a candidate (side 1) alone; ``met`` says whether the other side has a segment that overlaps it. A segment
+    stands in a row for each bucket that it touches, met there or not, and one aggregation by (case, side, order), which
+    combines before the shuffle, decides over all of them. ``ord`` tells a case's segments of one side apart.
+    """
+    x, y = _side(ref, "ref", bucket_ms), _side(cand, "cand", bucket_ms).withColumnsRenamed({"case_id": "_case", "bucket": "_bucket"})
+    first = F.greatest("ref_first", "cand_first")
+    meets = (F.col("case_id") == F.col("_case")) & (F.col("bucket") == F.col("_bucket")) & (F.col("ref_start_ms") < F.col("cand_end_ms")) & (F.col("cand_start_ms") < F.col("ref_end_ms")) & (F.col("bucket") == first)
+    joined = x.join(y, meets, "full")
+    r = F.struct(*[F.col(f"ref_{c}").alias(c) for c in ref.columns if c != "case_id"])
+    c = F.struct(*[F.col(f"cand_{c}").alias(c) for c in ["ord", *[c for c in cand.columns if c not in ("case_id", "ord")]]])
+    has_ref, has_cand = F.col("ref_ord").isNotNull(), F.col("cand_ord").isNotNull()
+    shared = F.least("ref_end_ms", "cand_end_ms") - F.greatest("ref_start_ms", "cand_start_ms")
+    best = lambda known: F.when(known, F.struct((-shared).alias("minus"), c.alias("cand")))
+    row = lambda case, side, ord_, met, ref_, best_: F.struct(F.col(case).alias("case_id"), F.lit(side).alias("side"), F.col(ord_).alias("ord"), met.alias("met"), ref_.alias("ref"), best_.alias("best"))
+    of_ref = F.when(has_ref, row("case_id", 0, "ref_ord", has_cand, F.when(has_ref, r), best(has_ref & has_cand)))
+    of_cand = F.when(has_cand, row("_case", 1, "cand_ord", has_ref, F.when(~has_cand, r), F.when(has_cand, F.struct(F.lit(None).cast("long").alias("minus"), c.alias("cand")))))
+    rows = joined.select(F.explode(F.array_compact(F.array(of_ref, of_cand))).alias("s")).select("s.*")
+    held = rows.groupBy("case_id", "side", "ord").agg(F.max("met").alias("met"), F.any_value("ref").alias("ref"), F.min("best").alias("best"))
+    return held.select("case_id", "side", "ord", "met", "ref", F.col("best.cand").alias("cand"), (-F.col("best.minus")).alias("overlap_ms"))
+
+
+def flat(rows: DataFrame) -> DataFrame:
+    """Rows of :func:`sides` with the segments' fields as columns ``ref_*`` and ``cand_*``."""
+    fields = [F.col(f"{side}.{f.name}").alias(f"{side}_{f.name}") for side in ("ref", "cand") for f in rows.schema[side].dataType.fields]
+    return rows.select("case_id", "side", "met", *fields, "overlap_ms")
+
+
 def best_overlap(ref: DataFrame, cand: DataFrame) -> DataFrame:
     """Each reference segment with the candidate that overlaps it most; ties go to the first in document order.
 

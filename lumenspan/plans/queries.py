@@ -130,7 +130,7 @@ HAS = ", ".join(f"count(*) filter (list_contains(reasons, '{k}')) as n_{k}" for
   select *, segments_needing_edit / greatest(1, reference_segments + extra_candidate_segments) as segments_needing_edit_ratio, {RATES} from z""")
 def effort_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref, cand = carrier(spark, sf_dir)
-    return effort.rollup(ref, cand, effort.items(ref, cand))
+    return effort.rollup(effort.edits(ref, cand))
 
 
 SECOND = ITEMS.replace(DUCK, "").replace("pairs", "pairs2").replace("gone", "gone2").replace("more", "more2").replace(" items", " items2").replace(" scored", " scored2").replace(" queue", " queue2").replace("join cand c", "join cand2 c").replace("from cand c", "from cand2 c")
@@ -363,7 +363,7 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = matching.best_overlap(ref, cand)
     timing = evaluate.timing(pairs, "case_id").select("case_id", F.col("within_500ms_ratio").alias("time_aligned_500ms_ratio"))
     sides = evaluate.channel_accuracy(pairs, "case_id").select("case_id", F.col("accuracy").alias("channel_accuracy"), F.col("candidate_mix_ratio").alias("mix_ratio"))
-    edits = effort.rollup(ref, cand, effort.items(ref, cand)).select("case_id", F.col("segments_needing_edit_ratio").alias("edit_ratio"))
+    edits = effort.rollup(effort.edits(ref, cand)).select("case_id", F.col("segments_needing_edit_ratio").alias("edit_ratio"))
     rates = evaluate.error_rates(ref, cand).select("case_id", F.col("cer").alias("practical_cer"))
     review = cand.groupBy("case_id").agg((F.sum(F.col("needs_review").cast("long")) / F.count("*")).alias("review_ratio"))
     return rates.join(timing, "case_id", "left").join(sides, "case_id", "left").join(edits, "case_id", "left").join(review, "case_id", "left")
@@ -483,7 +483,7 @@ FIVE = "text_edit_segments, channel_edit_segments, timing_edit_segments, missing
 @query(ITEMS + REASONED + f" select case_id, {TOP.format(FIVE)} as dominant_reason, case when greatest({FIVE}) > 0 then greatest({FIVE}) / greatest(1, reference_segments + extra_candidate_segments) end as dominant_ratio from z")
 def comparison_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref, cand = carrier(spark, sf_dir)
-    return comparison.with_reasons(effort.rollup(ref, cand, effort.items(ref, cand))).select("case_id", "dominant_reason", "dominant_ratio")
+    return comparison.with_reasons(effort.rollup(effort.edits(ref, cand))).select("case_id", "dominant_reason", "dominant_ratio")
 
 
 SUITE = ["case_count", "practical_edit_distance", "practical_reference_characters", "practical_cer", "aligned_paired_segments", "aligned_mean_boundary_error_ms", "aligned_within_500ms_ratio", "aligned_channel_accuracy", "aligned_channel_candidate_mix_ratio", "reference_segments", "candidate_segments", "segments_needing_edit", "segments_needing_edit_ratio", "text_edit_segments", "extra_candidate_segments", "dominant_reason", "candidate_review_count", "candidate_review_ratio"]
@@ -499,9 +499,46 @@ def eval_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.suite(*carrier(spark, sf_dir)).select(*SUITE)
 
 
-@query()
+def _mode(name: str, dropped: str) -> str:
+    """Error rates of one text form by case, in SQL."""
+    text = "string_agg(regexp_replace(text, '" + dropped + "', '', 'g'), '' order by ord)"
+    return f""", {name}_r as (select case_id, {text} as t from ref where text <> '' group by case_id), {name}_c as (select case_id, {text} as t from cand where text <> '' group by case_id),
+  {name}_b as (select case_id, coalesce(r.t, '') as rt, coalesce(c.t, '') as ct from {name}_r r full join {name}_c c using (case_id)),
+  {name} as (select case_id, cast({DISTANCE.format("rt", "ct")} as bigint) as {name}_edit_distance, length(rt) as {name}_reference_characters, length(ct) as {name}_candidate_characters,
+    case when rt = '' and ct = '' then 0.0::double else {DISTANCE.format("rt", "ct")} / greatest(1, length(rt)) end as {name}_cer from {name}_b)"""
+
+
+FORMS = {"strict": "\\s", "practical": PRACTICAL, "relaxed": PRACTICAL[:-1] + T.RELAXED + "]"}
+PAIRED = ["paired_segments", "mean_start_error_ms", "mean_end_error_ms", "mean_boundary_error_ms", "max_boundary_error_ms", "within_250ms_count", "within_250ms_ratio", "within_500ms_count", "within_500ms_ratio"]
+SIDED = ["comparable_segments", "accuracy", "candidate_mix_segments", "candidate_mix_ratio"]
+
+
+def _paired(prefix: str, table: str) -> str:
+    """Columns of a table of pairs' metrics; counts and shares of no pairs are 0."""
+    known = lambda c: f"coalesce({table}.{c}, 0)" if c.endswith(("_count", "_segments")) or c == "candidate_mix_ratio" else f"{table}.{c}"
+    return ", ".join([*[f"{known(c)} as {prefix}_{c}" for c in PAIRED], *[f"{known(c)} as {prefix}_channel_{c}" for c in SIDED]])
+
+
+REPORT = ITEMS + "".join(_mode(m, p) for m, p in FORMS.items()) + REASONED + f""", al as (select case_id, {TIMING}, {CHANNEL} from pairs group by case_id),
+  px as (select *, row_number() over (partition by case_id order by ord) as pos from ref where text <> ''), py as (select *, row_number() over (partition by case_id order by ord) as pos from cand where text <> ''),
+  pp as (select px.case_id, px.start_ms as rs, px.end_ms as re, px.channel as rc, py.start_ms as cs, py.end_ms as ce, py.channel as cc from px join py using (case_id, pos)),
+  po as (select case_id, {TIMING}, {CHANNEL} from pp group by case_id),
+  art as (select case_id, end_ms - start_ms as ms, regexp_replace(text, '{PRACTICAL}', '', 'g') as n from cand where text <> ''),
+  af as (select case_id, n <> '' and not regexp_matches(n, '[{T.JAPANESE}]') as nj, length(n) >= 8 and length(n) / greatest(0.001::double, greatest(0, ms) / 1000.0::double) > 15.0 as dn,
+    len(list_filter([(1, 12), (2, 6), (3, 4), (4, 3), (5, 3), (6, 3), (7, 3), (8, 3)], lambda u: len(list_filter(range(1, length(n) - u[1] * u[2] + 2), lambda i: substr(n, i, u[1] * u[2]) = repeat(substr(n, i, u[1]), u[2]))) > 0)) > 0 as rp from art),
+  aa as (select case_id, count(*) filter (nj or dn or rp) as a0, count(*) filter (nj) as a1, count(*) filter (dn) as a2, count(*) filter (rp) as a3 from af group by case_id),
+  rv as (select case_id, count(*) filter (needs_review) as k, count(*) as n from cand group by case_id)
+  select case_id, {", ".join(f"{m}_{c}" for m in FORMS for c in ("edit_distance", "reference_characters", "candidate_characters", "cer"))}, {_paired("aligned", "al")}, {_paired("positional", "po")},
+    reference_segments, candidate_segments, {FIVE}, segments_needing_edit, segments_needing_edit / greatest(1, reference_segments + extra_candidate_segments) as segments_needing_edit_ratio, {RATES},
+    {", ".join(f"coalesce(a{k}, 0) as asr_{n}_segments, coalesce(a{k}, 0) / greatest(1, candidate_segments) as asr_{n}_segment_ratio" for k, n in enumerate(report.ARTIFACTS))},
+    coalesce(rv.k, 0) as candidate_review_count, coalesce(rv.k, 0) / greatest(1, coalesce(rv.n, 0)) as candidate_review_ratio, case when reference_segments > 0 then coalesce(al.paired_segments, 0) / reference_segments end as reference_match_ratio,
+    {TOP.format(FIVE)} as dominant_reason, case when greatest({FIVE}) > 0 then greatest({FIVE}) / greatest(1, reference_segments + extra_candidate_segments) end as dominant_ratio
+  from z {" ".join(f"left join {t} using (case_id)" for t in (*FORMS, "al", "po", "aa", "rv"))}"""
+
+
+@query(REPORT)
 def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All families by case; SQL holds each family in queries of its own."""
+    """All families by case."""
     return report.evaluated(*carrier(spark, sf_dir)).drop("reason_ranking")
 
 

@@ -130,7 +130,7 @@ def test_effort_golden(spark):
     got = {(r.reference_id, r.candidate_id): list(r.reasons) for r in effort.items(ref, cand).collect()}
     assert got == {("seg_000001", "seg_000001"): ["text"], ("seg_000002", "seg_000002"): ["channel"], ("seg_000003", None): ["missing_reference"], (None, "seg_000003"): ["extra_candidate"]}
     assert [r.reasons[0] for r in effort.ranked(effort.items(ref, cand)).orderBy("priority_rank").collect()] == ["missing_reference", "extra_candidate", "text", "channel"]
-    r = effort.rollup(ref, cand, effort.items(ref, cand)).first()
+    r = effort.rollup(effort.edits(ref, cand)).first()
     assert (r.segments_needing_edit, r.segments_needing_edit_ratio) == (4, 1.0)
 
 
