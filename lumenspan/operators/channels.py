@@ -29,12 +29,21 @@ def decision(left: Column, right: Column, threshold: Column, limit: Column) -> t
 
 def attributed(segments: DataFrame, threshold_db: float = THRESHOLD_DB, quiet_dbfs: float | None = QUIET_DBFS) -> DataFrame:
     """Segments with ``left_dbfs, right_dbfs``: spoken MIX segments take the decided side; ``reason`` says what happened."""
+    checked([threshold_db], [quiet_dbfs])
     side, reason = decision(F.col("left_dbfs"), F.col("right_dbfs"), F.lit(threshold_db), F.lit(quiet_dbfs).cast("double"))
     spoken, mixed = F.col("kind") == "speech", F.col("channel") == "MIX"
     return segments.withColumn("original_channel", F.col("channel")).withColumn("reason", F.when(~spoken, F.lit("skipped_non_speech")).when(~mixed, F.lit("skipped_existing_channel")).otherwise(reason)).withColumn("channel", F.when(spoken & mixed, side).otherwise(F.col("channel")))
 
 
-def reference_audit(segments: DataFrame, threshold_db: float = 2.0, quiet_dbfs: float | None = None) -> DataFrame:
+def checked(thresholds: list[float], quiets: list[float | None]) -> None:
+    """Settings must be given, and no threshold may be under 0."""
+    if not thresholds or not quiets:
+        raise ValueError("at least one threshold and one quiet limit are needed")
+    if min(thresholds) < 0:
+        raise ValueError("a threshold must not be negative")
+
+
+def reference_audit(segments: DataFrame, threshold_db: float = THRESHOLD_DB, quiet_dbfs: float | None = QUIET_DBFS) -> DataFrame:
     """Spoken L and R segments against the energy: match, mismatch or uncertain."""
     side, reason = decision(F.col("left_dbfs"), F.col("right_dbfs"), F.lit(threshold_db), F.lit(quiet_dbfs).cast("double"))
     out = segments.where("kind = 'speech' and text <> '' and channel in ('L', 'R')").withColumn("energy_channel", side).withColumn("reason", reason)
@@ -74,14 +83,22 @@ def setting_id(threshold_db: float, quiet_dbfs: float | None) -> str:
     return f"th{safe(threshold_db)}_quiet{'none' if quiet_dbfs is None else safe(quiet_dbfs)}"
 
 
-def swept(segments: DataFrame, thresholds: list[float], quiets: list[float | None]) -> DataFrame:
-    """The attribution under each pair of settings, from energies measured once: a row a segment and setting, with the
-    spoken segments' channels reset to MIX first. Settings are a literal list, so no join is needed."""
-    settings = [F.struct(F.lit(setting_id(t, q)).alias("setting"), F.lit(float(t)).alias("threshold_db"), F.lit(q).cast("double").alias("quiet_dbfs")) for t in thresholds for q in quiets]
-    each = segments.withColumn("s", F.explode(F.array(*settings))).select(*segments.columns, "s.*")
-    side, reason = decision(F.col("left_dbfs"), F.col("right_dbfs"), F.col("threshold_db"), F.col("quiet_dbfs"))
-    spoken = F.col("kind") == "speech"
-    return each.withColumn("reason", F.when(spoken, reason).otherwise(F.lit("skipped_non_speech"))).withColumn("channel", F.when(spoken, side).otherwise(F.col("channel")))
+def settings(thresholds: list[float], quiets: list[float | None]) -> Column:
+    """Each pair of settings as an array of structs ``setting, threshold_db, quiet_dbfs``."""
+    checked(thresholds, quiets)
+    return F.array(*[F.struct(F.lit(setting_id(t, q)).alias("setting"), F.lit(float(t)).alias("threshold_db"), F.lit(q).cast("double").alias("quiet_dbfs")) for t in thresholds for q in quiets])
+
+
+def swept(segments: DataFrame, thresholds: list[float], quiets: list[float | None], reset: bool = True, prefix: str = "") -> DataFrame:
+    """The attribution under each pair of settings, from energies measured once: a row a segment and setting. Spoken
+    segments' channels are reset to MIX first, or with ``reset`` off only MIX ones take a side. Settings are a literal
+    list, so no join is needed. ``prefix`` is that of the segment's columns; rows without a segment there keep nulls."""
+    col = lambda c: F.col(prefix + c)
+    each = segments.withColumn("s", F.explode(settings(thresholds, quiets))).select(*segments.columns, "s.*")
+    side, reason = decision(col("left_dbfs"), col("right_dbfs"), F.col("threshold_db"), F.col("quiet_dbfs"))
+    spoken, mixed = col("kind") == "speech", F.lit(reset) | (col("channel") == "MIX")
+    told = F.when(~spoken, F.lit("skipped_non_speech")).when(~mixed, F.lit("skipped_existing_channel")).otherwise(reason)
+    return each.withColumn("reason", told).withColumn("original_channel", F.when(spoken & F.lit(reset), F.lit("MIX")).otherwise(col("channel"))).withColumn(prefix + "channel", F.when(spoken & mixed, side).otherwise(col("channel")))
 
 
 def diagnostics(attributed_segments: DataFrame, *keys: str) -> DataFrame:
@@ -102,28 +119,32 @@ def level_of(sum_sq: Column, n: Column) -> Column:
     return F.lit(20.0) * F.log10(F.greatest(F.lit(1.0), F.sqrt(sum_sq / F.greatest(F.lit(1), n))) / F.lit(32767.0))
 
 
-def evidence_clips(segments: DataFrame, windows: DataFrame, quiet_dbfs: float | None = None) -> DataFrame:
-    """Where to listen: segments over 5 s get the 5 s around their strongest 1 s probe, within the segment.
-
-    ``windows``: ``case_id, at_ms, left_sq, right_sq, n``, energies of fixed small windows by their start. Probes hop by
-    a second, and one ends with the segment; the best evidence for ``energy_channel`` wins, the earliest of equals.
-    """
+def probes(segments: DataFrame) -> DataFrame:
+    """``case_id, id, start_ms, end_ms``: the 1 s stretches of segments over 5 s, each second, and one that ends with the segment."""
     long = segments.where(F.col("end_ms") - F.col("start_ms") > CLIP_MS)
     starts = F.array_distinct(F.concat(F.sequence(F.col("start_ms"), F.col("end_ms") - PROBE_MS, F.lit(HOP_MS).cast("long")), F.array(F.col("end_ms") - PROBE_MS)))
-    probes = long.select("case_id", "id", "start_ms", "end_ms", "energy_channel", F.explode(starts).alias("probe")).alias("p")
-    w = windows.select("case_id", "at_ms", "left_sq", "right_sq", "n", F.floor(F.col("at_ms") / PROBE_MS).alias("bucket")).alias("w")
-    p = probes.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("probe") / PROBE_MS), F.floor((F.col("probe") + PROBE_MS - 1) / PROBE_MS))))
-    met = p.join(w, ["case_id", "bucket"]).where((F.col("at_ms") >= F.col("probe")) & (F.col("at_ms") < F.col("probe") + PROBE_MS))
-    level = met.groupBy("case_id", "id", "start_ms", "end_ms", "energy_channel", "probe").agg(level_of(F.sum("left_sq"), F.sum("n")).alias("l"), level_of(F.sum("right_sq"), F.sum("n")).alias("r"))
+    return long.select("case_id", "id", F.explode(starts).alias("start_ms")).withColumn("end_ms", F.col("start_ms") + PROBE_MS)
+
+
+def evidence_clips(segments: DataFrame, sums: DataFrame, quiet_dbfs: float | None = QUIET_DBFS) -> DataFrame:
+    """Where to listen: segments over 5 s get the 5 s around their strongest probe, within the segment.
+
+    ``sums``: ``case_id, start_ms, end_ms, left_sq, right_sq, n`` of the ranges of :func:`probes`, of exactly their
+    frames. The best evidence for ``energy_channel`` wins, the earliest of equals; a probe without frames counts as silence.
+    """
+    held = sums.select(F.col("case_id").alias("_case"), F.col("start_ms").alias("probe"), F.col("end_ms").alias("_to"), level_of(F.col("left_sq"), F.col("n")).alias("l"), level_of(F.col("right_sq"), F.col("n")).alias("r"))
+    sides = segments.select(F.col("case_id").alias("_c"), F.col("id").alias("_i"), "energy_channel", F.col("start_ms").alias("_s"))
+    asked = probes(segments).join(sides, (F.col("case_id") == F.col("_c")) & (F.col("id") == F.col("_i")))
+    met = asked.join(held, (F.col("case_id").cast("string") == F.col("_case").cast("string")) & (F.col("start_ms") == F.col("probe")) & (F.col("end_ms") == F.col("_to")))
     limit = F.lit(quiet_dbfs).cast("double")
     bonus = lambda db: F.when(quiet(db, limit), F.lit(100.0)).otherwise(F.lit(0.0))
     delta = F.col("l") - F.col("r")
     score = F.when(F.col("energy_channel") == "L", bonus(F.col("r")) + delta).when(F.col("energy_channel") == "R", bonus(F.col("l")) - delta).otherwise(-F.abs(delta))
-    best = level.groupBy("case_id", "id", "start_ms", "end_ms").agg(F.min(F.struct((-score).alias("s"), "probe")).alias("b"))
-    from_ms = F.floor((F.col("b.probe") * 2 + PROBE_MS) / 2) - CLIP_MS // 2
-    clip = F.least(F.greatest(from_ms, F.col("start_ms")), F.col("end_ms") - CLIP_MS)
-    found = best.select("case_id", "id", clip.alias("clip_start_ms"))
-    return segments.join(found, ["case_id", "id"], "left").withColumn("clip_end_ms", F.when(F.col("clip_start_ms").isNull(), F.col("end_ms")).otherwise(F.col("clip_start_ms") + CLIP_MS)).withColumn("clip_start_ms", F.coalesce("clip_start_ms", "start_ms"))
+    best = met.groupBy("case_id", "id").agg(F.min(F.struct((-score).alias("s"), "probe")).alias("b")).select("case_id", "id", F.floor((F.col("b.probe") * 2 + PROBE_MS) / 2).alias("_mid"))
+    clip = F.least(F.greatest(F.col("_mid") - CLIP_MS // 2, F.col("start_ms")), F.col("end_ms") - CLIP_MS)
+    whole = F.col("_mid").isNull()
+    out = segments.join(best, ["case_id", "id"], "left").withColumn("clip_start_ms", F.when(whole, F.col("start_ms")).otherwise(clip))
+    return out.withColumn("clip_end_ms", F.when(whole, F.col("end_ms")).otherwise(F.col("clip_start_ms") + CLIP_MS)).drop("_mid")
 
 
 def energy_intervals(windows: DataFrame, durations: DataFrame, threshold: float, min_silence_ms: int = 800, min_speech_ms: int = 200, pad_ms: int = 400) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenspan.functions.text import practical
 from lumenspan.operators.matching import flat, sides
-from lumenspan.scratch import checkpointed
+from lumenspan.operators.ranking import numbered
 
 # Priority of reasons, and the timing threshold.
 PRIORITY = {"missing_reference": 5000.0, "extra_candidate": 4000.0, "text": 3000.0, "timing": 2000.0, "channel": 1000.0}
@@ -22,8 +22,8 @@ def score_of(reasons: Column, weights: dict[str, float]) -> Column:
     return F.aggregate(reasons, F.lit(0.0), lambda a, r: a + F.coalesce(F.element_at(table, r), F.lit(0.0)))
 
 
-def edits(ref: DataFrame, cand: DataFrame, normal=practical) -> DataFrame:
-    """Rows of :func:`matching.sides`, flattened, with their ``reasons`` (none: an empty array) and ``text_distance``.
+def compared_sides(ref: DataFrame, cand: DataFrame, normal=practical) -> DataFrame:
+    """Rows of :func:`matching.sides`, flattened, with their ``start_delta_ms, end_delta_ms`` and ``text_distance``.
 
     ``normal`` is the text form that pairs are compared in, each side once; time ranges are joined once.
     """
@@ -31,13 +31,23 @@ def edits(ref: DataFrame, cand: DataFrame, normal=practical) -> DataFrame:
     rows = flat(sides(with_norm(ref), with_norm(cand)))
     pair = (F.col("side") == 0) & F.col("met")
     start, end = F.col("cand_start_ms") - F.col("ref_start_ms"), F.col("cand_end_ms") - F.col("ref_end_ms")
-    rows = rows.withColumns({"start_delta_ms": F.when(pair, start), "end_delta_ms": F.when(pair, end), "text_distance": F.when(pair, F.levenshtein("ref_norm", "cand_norm")).otherwise(F.lit(0)).cast("long")})
+    return rows.withColumns({"start_delta_ms": F.when(pair, start), "end_delta_ms": F.when(pair, end), "text_distance": F.when(pair, F.levenshtein("ref_norm", "cand_norm")).otherwise(F.lit(0)).cast("long")})
+
+
+def reasoned(rows: DataFrame) -> DataFrame:
+    """Rows of :func:`compared_sides` with their ``reasons`` (none: an empty array); channels may have been changed."""
+    pair = (F.col("side") == 0) & F.col("met")
     late = (F.abs("start_delta_ms") > TIMING_MS) | (F.abs("end_delta_ms") > TIMING_MS)
-    of_pair = F.array_compact(F.array(F.when(F.col("ref_norm") != F.col("cand_norm"), F.lit("text")), F.when(F.col("ref_channel") != F.col("cand_channel"), F.lit("channel")), F.when(late, F.lit("timing"))))
+    of_pair = F.array_compact(F.array(F.when(F.col("text_distance") > 0, F.lit("text")), F.when(F.col("ref_channel") != F.col("cand_channel"), F.lit("channel")), F.when(late, F.lit("timing"))))
     alone = F.when(~F.col("met"), F.array(F.when(F.col("side") == 0, F.lit("missing_reference")).otherwise(F.lit("extra_candidate")))).otherwise(F.array().cast("array<string>"))
     return rows.withColumn("reasons", F.when(pair, of_pair).otherwise(alone))
 
 
+def edits(ref: DataFrame, cand: DataFrame, normal=practical) -> DataFrame:
+    """Every segment of either side with its best overlap and its reasons for an edit."""
+    return reasoned(compared_sides(ref, cand, normal))
+
+
 def queue_of(rows: DataFrame) -> DataFrame:
     """The rows of :func:`edits` that need an edit, as review items with their score."""
     start, end = F.least("ref_start_ms", "cand_start_ms"), F.greatest("ref_end_ms", "cand_end_ms")
@@ -55,22 +65,9 @@ def items(ref: DataFrame, cand: DataFrame, normal=practical) -> DataFrame:
 
 
 def ranked(queue: DataFrame) -> DataFrame:
-    """``priority_rank`` by score, case, time and ids.
-
-    The queue is computed once, into a checkpoint, dealt by ranges of that order, sorted within each and checkpointed
-    again. An item's rank is its number within its range after the counts of the ranges before, of which one number a
-    range comes to the driver; nothing is gathered, and equal keys of any number only make their range longer.
-    """
+    """``priority_rank`` by score, case, time and ids."""
     order = [F.col("priority_score").desc(), F.col("case_id"), F.coalesce("start_ms", F.lit(0)), F.coalesce("end_ms", F.lit(0)), F.coalesce("reference_id", F.lit("")), F.coalesce("candidate_id", F.lit(""))]
-    dealt = checkpointed(checkpointed(queue).repartitionByRange(*order).sortWithinPartitions(*order))
-    # a row's id holds its partition's number above 33 bits, and below them its number in the partition
-    numbered = dealt.withColumn("_at", F.monotonically_increasing_id())
-    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = sorted(numbered.groupBy(part.alias("_part")).agg((F.max(within) + 1).alias("_n")).collect())
-    before = accumulate((n for _, n in counts), initial=0)
-    offsets = dealt.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(counts, before)], "_part long, _before long")  # noqa: B905 - the sum of all is left over
-    out = numbered.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # a row a partition
-    return out.withColumn("priority_rank", F.col("_before") + within + 1).drop("_part", "_at", "_before")
+    return numbered(queue, order, "priority_rank")
 
 
 def rollup(rows: DataFrame) -> DataFrame:
@@ -93,30 +90,95 @@ def edit_ratios(counts: DataFrame) -> DataFrame:
 
 def compared(references: DataFrame, queues: dict[str, DataFrame]) -> DataFrame:
     """``case_id, reference_id, label, passed, reasons``: each reference under each label; no item means passed."""
-    failures = None
-    for label, queue in queues.items():
-        one = queue.where("reference_id is not null").groupBy("case_id", "reference_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))).alias("reasons")).withColumn("label", F.lit(label))
-        failures = one if failures is None else failures.unionByName(one)
+    failures = labelled(queues).where("reference_id is not null").groupBy("case_id", "reference_id", "label").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))).alias("reasons"))
     labels = F.explode(F.array(*map(F.lit, queues))).alias("label")  # as many rows a reference as there are labels
     grid = references.select("case_id", F.col("id").alias("reference_id"), labels)
     return grid.join(failures, ["case_id", "reference_id", "label"], "left").select("case_id", "reference_id", "label", F.col("reasons").isNull().alias("passed"), F.array_join(F.coalesce("reasons", F.array().cast("array<string>")), ",").alias("reasons"))
 
 
+def labelled(queues: dict[str, DataFrame]) -> DataFrame:
+    """Items of all queues with their queue's ``label`` and its ``place``."""
+    kept = ["case_id", "reference_id", "start_ms", "end_ms", "reasons", "reference_channel"]
+    return reduce(DataFrame.unionByName, [q.select(*kept, F.lit(label).alias("label"), F.lit(n).alias("place")) for n, (label, q) in enumerate(queues.items())])
+
+
+def repeated_references(queues: dict[str, DataFrame]) -> DataFrame:
+    """``case_id, label, rule``: a reference may have one item in a queue."""
+    held = labelled(queues).where("reference_id is not null").groupBy("case_id", "reference_id", "label").count()
+    return held.where("count > 1").select("case_id", "label", F.lit("a reference has several items in a queue").alias("rule"))
+
+
+def issues(queues: dict[str, DataFrame]) -> DataFrame:
+    """References that some queue has an item for, over the labels: ``failed_count, passed_count, failed_labels,
+    reason_counts`` (a map), time and channel as the first of the queues has them, and ``rank``: most failures first,
+    then most reasons, case, time and id. Null cases are a case; reasons count by label, each once an item."""
+    key = ["case_id", "reference_id"]
+    items = labelled(queues).where("reference_id is not null")
+    # reasons are exploded, with one row for an item without any, so that everything comes from two small aggregations
+    each = items.select(*key, "place", "start_ms", "end_ms", "reference_channel", "label", F.explode_outer(F.array_distinct("reasons")).alias("reason"))
+    by_reason = each.groupBy(*key, "reason").agg(F.count("*").alias("n"), F.collect_set("label").alias("labels"), F.min(F.struct("place", "start_ms", "end_ms", "reference_channel")).alias("top"))
+    known = F.filter(F.array_sort(F.collect_list(F.struct("reason", "n"))), lambda x: x.reason.isNotNull())
+    held = by_reason.groupBy(*key).agg(F.map_from_entries(known).alias("reason_counts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("failed_labels"), F.min("top").alias("top"))
+    failed = F.size("failed_labels").cast("long")
+    out = held.select(*key, "top.start_ms", "top.end_ms", F.greatest(F.lit(0), F.col("top.end_ms") - F.col("top.start_ms")).alias("duration_ms"), "top.reference_channel", failed.alias("failed_count"), (F.lit(len(queues)) - failed).alias("passed_count"), "failed_labels", "reason_counts")
+    total = F.aggregate(F.map_values("reason_counts"), F.lit(0).cast("long"), lambda a, n: a + n)
+    return numbered(out, [F.col("failed_count").desc(), total.desc(), F.col("case_id"), F.coalesce("start_ms", F.lit(0)), F.col("reference_id")], "rank")
+
+
+def label_totals(queues: dict[str, DataFrame]) -> DataFrame:
+    """By label: references with an item, and how many of its items have each reason; extras count without a reference.
+    A label without items has zeros."""
+    labels = next(iter(queues.values())).sparkSession.createDataFrame([(x,) for x in queues], "label string")
+    has = lambda r: F.sum((F.array_contains("reasons", r) & F.col("reference_id").isNotNull()).cast("long"))
+    extras = F.sum(F.col("reference_id").isNull().cast("long"))
+    counts = labelled(queues).groupBy("label").agg(F.sum(F.col("reference_id").isNotNull().cast("long")).alias("reference_failures"), *[has(r).alias(r) for r in PRIORITY if r != "extra_candidate"], extras.alias("extra_candidate"))
+    return labels.join(counts, "label", "left").na.fill(0)
+
+
 MERGE_KEY = ["case_id", "reference_id", "candidate_id", "start_ms", "end_ms"]
+#: Fields of an item of which a merge keeps the first that isn't empty.
+FIRST = ["reference_text", "candidate_text", "reference_channel", "candidate_channel", "start_delta_ms", "end_delta_ms", "duration_ms"]
 
 
-def merged(*queues: DataFrame) -> DataFrame:
+def merged(*queues: DataFrame, names: list[str] | None = None) -> DataFrame:
     """One queue: items of one key (nulls equal) are one item, with all reasons as first seen, the largest score, and
-    of other fields the first value that isn't empty, by queue and rank."""
-    every = None
+    of other fields the first value that isn't empty, by queue and then the item's place in it (``item_index``), or its
+    rank where the queue has none. With ``names`` of the queues, ``source_reports`` are those that an item came from.
+
+    Items are combined by key and reason first, then by key, before each shuffle, so a key that a large part of all items
+    share is no large group. ``other`` fields (a map of JSON values) merge like the rest.
+    """
+    fields = [c for c in FIRST if all(c in q.columns for q in queues)]
+    places = []
     for n, q in enumerate(queues):
-        at = F.struct(F.lit(n).alias("q"), (-F.col("priority_score")).alias("r"), "reasons").alias("at")  # ranks of one key differ by score alone
-        one = q.select(*MERGE_KEY, "reasons", "reference_text", "candidate_text", "reference_channel", "candidate_channel", "priority_score", at)
-        every = one if every is None else every.unionByName(one)
-    first = lambda c: F.min_by(F.col(c), F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("at"))).alias(c)
-    seen = F.transform(F.array_sort(F.collect_list(F.struct("at", "reasons"))), lambda x: x.reasons)
-    out = every.groupBy(*MERGE_KEY).agg(F.array_distinct(F.flatten(seen)).alias("reasons"), F.max("priority_score").alias("priority_score"), F.count("*").alias("merged_input_count"), *map(first, ("reference_text", "candidate_text", "reference_channel", "candidate_channel")))
-    return ranked(out)
+        index = F.col("item_index") if "item_index" in q.columns else F.lit(0)
+        # without an index the rank is that of the score, and ranks of one key differ by score alone
+        at = F.struct(F.lit(n).alias("q"), index.cast("long").alias("i"), (-F.col("priority_score")).alias("r"), "reasons").alias("at")
+        places.append(q.select("*", at))
+    item = [*MERGE_KEY, "priority_score", *fields, "at"]
+    every = reduce(DataFrame.unionByName, [q.select(*item, F.posexplode_outer("reasons").alias("pos", "reason")) for q in places])
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    first = lambda c: F.min(F.when(said(c), F.struct("at", F.col(c).alias("v")))).alias(c)
+    counted = F.sum((F.coalesce("pos", F.lit(0)) == 0).cast("long")).alias("n")
+    by_reason = every.groupBy(*MERGE_KEY, "reason").agg(F.min(F.struct("at", "pos")).alias("seen"), F.max("priority_score").alias("priority_score"), counted, F.collect_set("at.q").alias("from"), *map(first, fields))
+    ordered = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("seen", "reason"))), lambda x: x.reason), lambda r: r.isNotNull())
+    least = lambda c: F.min(c).getField("v").alias(c)
+    out = by_reason.groupBy(*MERGE_KEY).agg(ordered.alias("reasons"), F.max("priority_score").alias("priority_score"), F.sum("n").alias("merged_input_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("from")))).alias("_from"), *map(least, fields))
+    if names is not None:
+        out = out.withColumn("source_reports", F.transform("_from", lambda k: F.element_at(F.array(*map(F.lit, names)), k + 1)))
+    if all("other" in q.columns for q in queues):
+        out = _with_other(out, reduce(DataFrame.unionByName, [q.select(*MERGE_KEY, "at", F.explode("other").alias("field", "v")) for q in places]))
+    return ranked(out.drop("_from"))
+
+
+def _with_other(merged_items: DataFrame, entries: DataFrame) -> DataFrame:
+    """``other``: of each key and field the first JSON value that isn't empty, else the last empty one."""
+    empty, seen = F.col("v").isin("null", '""'), F.struct("at", "v")
+    by_field = entries.groupBy(*MERGE_KEY, "field").agg(F.coalesce(F.min(F.when(~empty, seen)), F.max(seen)).getField("v").alias("v"))
+    maps = by_field.groupBy(*MERGE_KEY).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "v")))).alias("other"))
+    other = maps.select(*[F.col(c).alias(f"_{c}") for c in MERGE_KEY], "other")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in MERGE_KEY])
+    return merged_items.join(other, same, "left").drop(*[f"_{c}" for c in MERGE_KEY])
 
 
 def case_summaries(queue: DataFrame) -> DataFrame:
@@ -125,6 +187,14 @@ def case_summaries(queue: DataFrame) -> DataFrame:
     return queue.where("case_id is not null").groupBy("case_id").agg(F.count("*").alias("item_count"), F.sum(length).alias("review_duration_ms"), F.min("start_ms").alias("first_start_ms"), F.max("end_ms").alias("last_end_ms"), F.max("priority_score").alias("top_priority_score"), F.min("priority_rank").alias("top_priority_rank"))
 
 
+def case_reason_counts(queue: DataFrame) -> DataFrame:
+    """:func:`case_summaries` with ``reason_counts`` (a map) and ``place``, the order of the cases' best ranks."""
+    counts = queue.where("case_id is not null").select("case_id", F.explode("reasons").alias("reason")).groupBy("case_id", "reason").agg(F.count("*").alias("n"))
+    maps = counts.groupBy("case_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("reason_counts"))
+    held = case_summaries(queue).join(maps, "case_id", "left")
+    return numbered(held, [F.col("top_priority_rank").asc_nulls_last(), F.col("case_id")], "place")
+
+
 def reason_counts(queue: DataFrame) -> DataFrame:
     return queue.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 

@@ -11,7 +11,8 @@ from lumenspan.functions import hooks, model_output
 from lumenspan.functions import text as T
 from lumenspan.operators import audit, cases, channels, comparison, coverage, effort, evaluate, gates, intervals, matching, packs, readiness
 from lumenspan.plans import report
-from lumenspan.sources import srt
+from lumenspan.scratch import folder
+from lumenspan.sources import reviews, srt
 from lumenspan.sources.carrier import DUCK, LETTERS, STAND_INS, carrier
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,6 +157,51 @@ def effort_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select(*effort.MERGE_KEY, F.array_join("reasons", ",").alias("reasons"), "priority_score", "merged_input_count", "priority_rank")
 
 
+@query(MERGED.replace("list_concat(list(reasons order by q)[1]", "list(q order by q) as qs, list_concat(list(reasons order by q)[1]") + """ select case_id, reference_id, candidate_id, start_ms, end_ms, array_to_string(reasons, ',') as reasons, priority_score, merged_input_count,
+  array_to_string(list_transform(qs, lambda q: ['first', 'second'][q + 1]), ',') as source_reports, priority_rank from m""")
+def review_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two queues written as files, read back item by item and merged with where their items came from."""
+    (ref, cand), (_, other) = carrier(spark, sf_dir), carrier(spark, sf_dir, second=True)
+    read = []
+    for candidate in (cand, other):
+        queue, path = effort.ranked(effort.items(ref, candidate)), folder(spark, "queue")
+        reviews.write_lines(queue.withColumn("case_id", F.col("case_id").cast("string")), path)
+        read.append(reviews.read(spark, path, lines=True).withColumn("case_id", F.col("case_id").cast("long")))
+    merged = effort.merged(*read, names=["first", "second"])
+    return merged.select(*effort.MERGE_KEY, F.array_join("reasons", ",").alias("reasons"), "priority_score", "merged_input_count", F.array_join("source_reports", ",").alias("source_reports"), "priority_rank")
+
+
+@query(ITEMS + SECOND + """, f as (select 0 as place, case_id, reference_id, start_ms, end_ms, reasons from items where reference_id is not null union all select 1, case_id, reference_id, start_ms, end_ms, reasons from items2 where reference_id is not null),
+  rs as (select case_id, reference_id, unnest(reasons) as reason from f), rc as (select case_id, reference_id, reason, count(*) as n from rs group by all),
+  rm as (select case_id, reference_id, string_agg(reason || '=' || n, ',' order by reason) as reason_counts, cast(sum(n) as bigint) as total from rc group by all),
+  g as (select case_id, reference_id, arg_min(start_ms, place) as start_ms, arg_min(end_ms, place) as end_ms, count(*) as failed_count, 2 - count(*) as passed_count from f group by all)
+  select case_id, reference_id, start_ms, end_ms, failed_count, passed_count, reason_counts, row_number() over (order by failed_count desc, total desc, case_id, start_ms, reference_id) as rank from g join rm using (case_id, reference_id)""")
+def effort_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = F.array_join(F.transform(F.map_entries("reason_counts"), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string"))), ",")
+    return effort.issues(_two_queues(spark, sf_dir)).select("case_id", "reference_id", "start_ms", "end_ms", "failed_count", "passed_count", counts.alias("reason_counts"), "rank")
+
+
+def _two_queues(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    (ref, cand), (_, other) = carrier(spark, sf_dir), carrier(spark, sf_dir, second=True)
+    return {"first": effort.items(ref, cand), "second": effort.items(ref, other)}
+
+
+@query(ITEMS + SECOND + """, f as (select 'first' as label, * from items union all select 'second', * from items2)
+  select label, count(*) filter (reference_id is not null) as reference_failures, count(*) filter (list_contains(reasons, 'missing_reference')) as missing_reference, count(*) filter (list_contains(reasons, 'text')) as text,
+    count(*) filter (list_contains(reasons, 'timing')) as timing, count(*) filter (list_contains(reasons, 'channel')) as channel, count(*) filter (reference_id is null) as extra_candidate from f group by label""")
+def effort_label_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return effort.label_totals(_two_queues(spark, sf_dir))
+
+
+@query(ITEMS + """, rs as (select case_id, unnest(reasons) as reason from queue), rc as (select case_id, reason, count(*) as n from rs group by all), rm as (select case_id, string_agg(reason || '=' || n, ',' order by reason) as reason_counts from rc group by case_id),
+  s as (select case_id, count(*) as item_count, min(priority_rank) as top_priority_rank from queue group by case_id)
+  select case_id, item_count, top_priority_rank, reason_counts, row_number() over (order by top_priority_rank, case_id) as place from s join rm using (case_id)""")
+def effort_case_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = effort.case_reason_counts(effort.ranked(effort.items(*carrier(spark, sf_dir))))
+    counts = F.array_join(F.transform(F.map_entries("reason_counts"), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string"))), ",")
+    return held.select("case_id", "item_count", "top_priority_rank", counts.alias("reason_counts"), "place")
+
+
 @query(ITEMS + """ select case_id, count(*) as item_count, cast(sum(greatest(0, end_ms - start_ms)) as bigint) as review_duration_ms, min(start_ms) as first_start_ms, max(end_ms) as last_end_ms,
   max(priority_score) as top_priority_score, min(priority_rank) as top_priority_rank from queue group by case_id""")
 def effort_case_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -427,7 +473,7 @@ def channel_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return channels.attributed(_levels(spark, sf_dir)).select("case_id", "id", "original_channel", "channel", "reason")
 
 
-@query(LEVELS + f""", d as (select case_id, id, channel, start_ms, end_ms, {SIDE.format(t='2.0', q='null::double')} as side from lv where text <> '' and channel in ('L', 'R')),
+@query(LEVELS + f""", d as (select case_id, id, channel, start_ms, end_ms, {SIDE.format(t='8.0', q='-40.0')} as side from lv where text <> '' and channel in ('L', 'R')),
   s as (select *, case when side = 'MIX' then 'uncertain' when side = channel then 'match' else 'mismatch' end as status from d)
   select case_id, id, status, case status when 'mismatch' then 3500.0::double else 2500.0::double end + greatest(0, end_ms - start_ms) / 1000.0::double as priority_score from s where status <> 'match'""")
 def channel_reference_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -542,6 +588,30 @@ def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.evaluated(*carrier(spark, sf_dir)).drop("reason_ranking")
 
 
+ATTRIBUTED = f"case when cc = 'MIX' then {SIDE.format(t='t', q='q')} else cc end as nc"
+SWEPT = PAIRS + GONE + MORE + LEVELS.removeprefix(DUCK) + RX + f""", st as (select * from (values (2.0::double, null::double, 'th2_quietnone'), (2.0, -40.0, 'th2_quietm40'), (8.0, null, 'th8_quietnone'), (8.0, -40.0, 'th8_quietm40')) v(t, q, s)),
+  f as (select s, p.*, {ATTRIBUTED} from pairs p join lv on lv.case_id = p.case_id and lv.ord = p.cand_ord cross join st),
+  a as (select s, count(*) as n, count(*) filter (rc in ('L','R') and nc in ('L','R')) as both_sided, count(*) filter (rc in ('L','R') and nc = rc) as correct, count(*) filter (nc = 'MIX') as mixed, count(*) filter (rc <> nc) as channel_edits,
+    sum((abs(rs - cs) <= 500)::int + (abs(re - ce) <= 500)::int) / (2 * count(*)) as t5, count(*) filter (rp <> cp or rc <> nc or abs(rs - cs) > 500 or abs(re - ce) > 500) as edits from f group by s),
+  o as (select (select count(*) from ref) as refs, (select count(*) from gone) as gone, (select count(*) from more) as more, (select sum(edit_distance) / greatest(1, sum(reference_characters)) from e) as cer, (select count(*) filter (needs_review) / greatest(1, count(*)) from cand) as rev),
+  m as (select s, count(*) as total_segments, count(*) filter (nc <> cc) as changed_segments from (select s, cc, {ATTRIBUTED} from (select channel as cc, l, r from lv) cross join st) group by s),
+  z as (select s as setting, total_segments, changed_segments, channel_edits as channel_edit_segments, edits + gone + more as segments_needing_edit, (edits + gone + more) / greatest(1, refs + more) as edit_ratio, cer as practical_cer, t5 as time_aligned_500ms_ratio,
+    case when both_sided > 0 then correct / both_sided end as channel_accuracy, mixed / n as mix_ratio, rev from a join m using (s) cross join o)
+  select setting, total_segments, changed_segments, channel_edit_segments, segments_needing_edit, edit_ratio, practical_cer, channel_accuracy, mix_ratio,
+    row_number() over (order by edit_ratio, practical_cer, time_aligned_500ms_ratio desc, coalesce(channel_accuracy, -1) desc, setting) as rank,
+    array_to_string(list_filter([case when practical_cer > 0.1 then 'practical_cer fails max_practical_cer' end, case when time_aligned_500ms_ratio < 0.9 then 'time_aligned_500ms_ratio fails min_500ms_ratio' end,
+      case when channel_accuracy is null then 'channel_accuracy is unavailable' when channel_accuracy < 0.85 then 'channel_accuracy fails min_channel_accuracy' end, case when mix_ratio > 0.5 then 'mix_ratio fails max_mix_ratio' end,
+      case when edit_ratio > 0.15 then 'edit_ratio fails max_edit_ratio' end, case when rev > 0 then 'review_ratio fails max_review_ratio' end], lambda x: x is not null), '; ') as failures from z"""
+
+
+@query(SWEPT)
+def sweep_evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates under four settings of attribution, evaluated, ranked and held against the product's limits."""
+    rows = report.channel_sweep(carrier(spark, sf_dir)[0], _levels(spark, sf_dir), [2.0, 8.0], [None, -40.0])
+    held = report.gated(rows, evaluate.PRODUCT_GATE)
+    return held.select("setting", "total_segments", "changed_segments", "channel_edit_segments", "segments_needing_edit", "edit_ratio", "practical_cer", "channel_accuracy", "mix_ratio", "rank", F.array_join("gate_failures", "; ").alias("failures"))
+
+
 @query(DUCK + """, p as (select distinct case_id, k, k * 2500 as lo, k * 2500 + 4000 as hi from ref cross join (select unnest([0, 1]) as k)),
   s as (select p.case_id::varchar || '-' || k::varchar as case_id, greatest(start_ms, lo) - lo as start_ms, least(end_ms, hi) - lo as end_ms, channel, text, needs_review or start_ms < lo or end_ms > hi as needs_review from cand c join p using (case_id) where end_ms > lo and start_ms < hi),
   n as (select *, row_number() over (partition by case_id order by start_ms, end_ms, channel, text) as ord from s) select case_id, concat('seg_', lpad(ord::varchar, 6, '0')) as id, start_ms, end_ms, channel, text, needs_review from n""")

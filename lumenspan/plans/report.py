@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenspan.functions import text as T
-from lumenspan.operators import comparison, effort, evaluate, gates, matching
+from lumenspan.operators import channels, comparison, effort, evaluate, gates, matching
 
 MODES = {"strict": T.strict, "practical": T.practical, "relaxed": T.relaxed}
 ARTIFACTS = ("artifact", "non_japanese_text", "high_text_density", "repeated_text")
@@ -31,7 +31,7 @@ def _pair_terms(rs: Column, re: Column, cs: Column, ce: Column, rc: Column, cc:
     return {"paired_segments": F.lit(1).cast("long"), "start_error": start, "end_error": end, "max_boundary_error_ms": F.greatest(start, end), "within_250ms_count": near(250), "within_500ms_count": near(500), "comparable_segments": sides.cast("long"), "correct": (sides & (rc == cc)).cast("long"), "candidate_mix_segments": (cc == "MIX").cast("long")}
 
 
-def _segment_sums(edits: DataFrame, *keys: str) -> DataFrame:
+def segment_sums(edits: DataFrame, *keys: str) -> DataFrame:
     """Sums over the rows of :func:`effort.edits`: segments, reasons, and best overlaps."""
     has = {n: _count(F.array_contains("reasons", r)) for n, r in effort.EDITS.items()}
     pair = (F.col("side") == 0) & F.col("met")
@@ -41,7 +41,7 @@ def _segment_sums(edits: DataFrame, *keys: str) -> DataFrame:
     return edits.groupBy(*keys).agg(*[c.alias(n) for n, c in sums.items()])
 
 
-def _document_sums(ref: DataFrame, cand: DataFrame, normal) -> DataFrame:
+def document_sums(ref: DataFrame, cand: DataFrame, normal) -> DataFrame:
     """Sums over whole documents by case: edit distances and lengths in each text form, pairs by position, artifacts, flags.
 
     Both sides' segments meet in one shuffle; a case's spoken segments are one value a side, as its texts are.
@@ -72,8 +72,8 @@ def _document_sums(ref: DataFrame, cand: DataFrame, normal) -> DataFrame:
 
 def measured(ref: DataFrame, cand: DataFrame, normal=T.practical) -> DataFrame:
     """A row of sums for each case of either side."""
-    segments = _segment_sums(effort.edits(matching.speech(ref), matching.speech(cand), normal), "case_id")
-    return _document_sums(ref, cand, normal).join(segments, "case_id", "left")
+    segments = segment_sums(effort.edits(matching.speech(ref), matching.speech(cand), normal), "case_id")
+    return document_sums(ref, cand, normal).join(segments, "case_id", "left")
 
 
 def summed(sums: DataFrame, *keys: str) -> DataFrame:
@@ -83,14 +83,15 @@ def summed(sums: DataFrame, *keys: str) -> DataFrame:
     return sums.groupBy(*keys).agg(F.count("*").alias("case_count"), *add)
 
 
-def rated(sums: DataFrame, keys: tuple[str, ...], review_over: str) -> DataFrame:
-    """The ratios of sums, null where there is no denominator; ``review_over`` names what flagged segments are a share of."""
+def rated(sums: DataFrame, keys: tuple[str, ...], review_over: str, paired: tuple[str, ...] = ("aligned", "positional")) -> DataFrame:
+    """The ratios of sums, null where there is no denominator; ``review_over`` names what flagged segments are a share
+    of, ``paired`` the kinds of pairs that the sums have."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     out = [F.col(k) for k in keys]
     for m in MODES:
         counts = [zero(f"{m}_{c}") for c in ("edit_distance", "reference_characters", "candidate_characters")]
         out += [*[x.alias(f"{m}_{c}") for x, c in zip(counts, ("edit_distance", "reference_characters", "candidate_characters"), strict=True)], T.error_rate(*counts).alias(f"{m}_cer")]
-    for p in ("aligned", "positional"):
+    for p in paired:
         n, start, end = zero(f"{p}_paired_segments"), F.col(f"{p}_start_error"), F.col(f"{p}_end_error")
         out += [n.alias(f"{p}_paired_segments"), evaluate.ratio(start, n).alias(f"{p}_mean_start_error_ms"), evaluate.ratio(end, n).alias(f"{p}_mean_end_error_ms"), evaluate.ratio(start + end, 2 * n).alias(f"{p}_mean_boundary_error_ms"), F.col(f"{p}_max_boundary_error_ms")]
         out += [c for ms in (250, 500) for c in (zero(f"{p}_within_{ms}ms_count").alias(f"{p}_within_{ms}ms_count"), evaluate.ratio(F.col(f"{p}_within_{ms}ms_count"), 2 * n).alias(f"{p}_within_{ms}ms_ratio"))]
@@ -143,9 +144,31 @@ def gated(reports: DataFrame, limits: dict[str, float]) -> DataFrame:
     return gates.annotated(named, evaluate.gate_failures(limits))
 
 
+def ranked(rows: DataFrame) -> DataFrame:
+    """Labelled suites with their rank; a row a suite, so they are sorted in one task."""
+    return evaluate.ranked(rows.select("*", *[F.col(column).alias(name) for name, column in GATED.items() if name not in rows.columns]))
+
+
 def compared(suites: dict[str, DataFrame]) -> DataFrame:
     """Suites by label as ranked rows."""
-    named = [s.withColumn("label", F.lit(label)) for label, s in suites.items()]
-    rows = reduce(DataFrame.unionByName, named)
-    renamed = rows.select("*", *[F.col(column).alias(name) for name, column in GATED.items() if name not in rows.columns])
-    return evaluate.ranked(renamed)
+    return ranked(reduce(DataFrame.unionByName, [s.withColumn("label", F.lit(label)) for label, s in suites.items()]))
+
+
+def channel_sweep(ref: DataFrame, cand: DataFrame, thresholds: list[float], quiets: list[float | None], reset: bool = False, normal=T.practical) -> DataFrame:
+    """Candidates (with ``left_dbfs, right_dbfs``) attributed and evaluated under each pair of settings: a ranked suite
+    row a setting, with how many segments changed side.
+
+    Settings are a key from the attribution on. Times and texts are compared once, before the settings multiply the rows,
+    and only what depends on channels is summed by setting; audio was measured once before. With ``reset`` all spoken
+    segments are MIX first. Pairs by position aren't part of it.
+    """
+    keys = ["setting", "threshold_db", "quiet_dbfs"]
+    pairs = effort.compared_sides(matching.speech(ref), matching.speech(cand), normal)
+    sums = segment_sums(effort.reasoned(channels.swept(pairs, thresholds, quiets, reset, "cand_")), "case_id", *keys).drop("threshold_db", "quiet_dbfs")
+    documents = document_sums(ref, cand, normal)
+    documents = documents.drop(*[c for c in documents.columns if c.startswith("positional_")])
+    each = documents.withColumn("s", F.explode(channels.settings(thresholds, quiets))).select("s.*", *documents.columns)
+    suites = rated(summed(each.join(sums, ["case_id", "setting"], "left"), *keys), (*keys, "case_count"), "candidate_segments", ("aligned",))
+    moved = channels.diagnostics(channels.swept(cand, thresholds, quiets, reset), "setting")
+    moved = moved.select("setting", F.col("segment_count").alias("total_segments"), "changed_segments")
+    return ranked(suites.join(moved, "setting").withColumn("label", F.col("setting")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +26,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The rows as they are now, partition by partition, without their lineage."""
     ensure_shared(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_FOLDERS: dict[str, list[str]] = {}
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's URI next to the checkpoints, for files that an operator writes and reads; it goes when the application ends."""
+    ensure_shared(spark)
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = []
+        atexit.register(_release, spark)
+    _FOLDERS[app].append(f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}")
+    return _FOLDERS[app][-1]
+
+
+def _release(spark: SparkSession) -> None:
+    for uri in _FOLDERS.pop(spark.sparkContext.applicationId or "", []):
+        try:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001 - the session may be gone at exit; then the cluster's own clean-up has the folder
+            return

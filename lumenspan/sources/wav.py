@@ -100,8 +100,8 @@ def window_energies(audio: DataFrame, window_ms: int = 100) -> DataFrame:
 def segment_levels(segments: DataFrame, audio: DataFrame) -> DataFrame:
     """Segments with ``left_dbfs, right_dbfs`` of exactly their frames in ``audio`` (``case_id, content``).
 
-    Each audio is decoded once with all bounds of its case, and running sums of squares give any range's sum. Ranges
-    without frames, and cases without audio, have no levels.
+    Each audio is decoded once with all bounds of its case; squares are summed a million frames at a time. Ranges without
+    frames, and cases without audio, have no levels. Long files on storage are measured by :mod:`lumenspan.sources.audio`.
     """
     from lumenspan.operators.channels import level_of
 
@@ -113,11 +113,10 @@ def segment_levels(segments: DataFrame, audio: DataFrame) -> DataFrame:
         for batch in batches:
             for case_id, content, wanted in zip(*(batch.column(k) for k in ("case_id", "content", "bounds")), strict=True):
                 frames, rate = decode(content.as_py())
-                upto = np.zeros((len(frames) + 1, frames.shape[1]), np.int64)
-                np.cumsum(frames.astype(np.int64) ** 2, axis=0, out=upto[1:])
                 rows = wanted.as_py()
                 lo, hi = (np.array([max(0, min(len(frames), round(rate * r[k] / 1000))) for r in rows]) for k in ("start_ms", "end_ms"))
-                sums, n = (upto[hi] - upto[lo]).astype(np.float64), hi - lo
+                squared = lambda a, b, frames=frames: sum((np.square(frames[k : min(b, k + (1 << 20))], dtype=np.int64).sum(axis=0) for k in range(a, b, 1 << 20)), np.zeros(frames.shape[1], np.int64))
+                sums, n = np.array([squared(a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], np.float64).reshape(len(rows), -1), hi - lo
                 some = np.flatnonzero(n > 0)
                 columns = [[case_id.as_py()] * some.size, [rows[k]["id"] for k in some], sums[some, 0], sums[some, -1], n[some]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()), strict=True)], names)
