@@ -16,12 +16,13 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.operators import audit, cases, channels, coverage, effort, gates, intervals, packs
+from lumenspan.operators import audit, cases, channels, coverage, effort, gates, intervals, packs, readiness
 from lumenspan.operators.evaluate import PRODUCT_GATE
 from lumenspan.plans import report
 from lumenspan.schemas import assert_valid, violations
 from lumenspan.session import get_session
-from lumenspan.sources import documents, manifests, srt, transcripts, wav
+from lumenspan.scratch import checkpointed
+from lumenspan.sources import audio, detections, documents, manifests, reviews, srt, transcripts
 from lumenspan.sources.projects import Projects
 
 Command = Callable[[SparkSession, argparse.Namespace], DataFrame | None]
@@ -88,9 +89,12 @@ def json_to_srt(spark: SparkSession, a: argparse.Namespace) -> None:
 
 @command("export-translation-json", arg("input"), arg("--tag", default="lumenspan-translation-v1"))
 def export_translation(spark: SparkSession, a: argparse.Namespace) -> None:
+    _document(_translation(_one(spark, a.input), a.tag), "json", a.output)
+
+
+def _translation(segments: DataFrame, tag: str) -> DataFrame:
     items = F.transform(F.array_sort(F.collect_list(F.struct("ord", "id", "text"))), lambda x: F.struct(x.id.alias("id"), x.text.alias("text")))
-    held = _one(spark, a.input).where("kind = 'speech'")
-    _document(held.agg(F.to_json(F.struct(F.lit(a.tag).alias("format"), items.alias("items"))).alias("json")), "json", a.output)
+    return segments.where("kind = 'speech'").agg(F.to_json(F.struct(F.lit(tag).alias("format"), items.alias("items"))).alias("json"))
 
 
 @command("freeze-reference", arg("input"), LANGUAGE, TAG)
@@ -102,8 +106,8 @@ def freeze_reference(spark: SparkSession, a: argparse.Namespace) -> None:
 def slice_case(spark: SparkSession, a: argparse.Namespace) -> None:
     cut = intervals.time_slice(_one(spark, a.input), a.start_ms, a.end_ms)
     if a.audio:
-        with open(a.audio, "rb") as f:
-            clip = wav.cut(f.read(), a.start_ms, a.end_ms)
+        one = spark.createDataFrame([("single", os.path.abspath(a.audio), a.start_ms, a.end_ms)], "case_id string, audio string, start_ms long, end_ms long")
+        clip = audio.clips(one.drop("audio"), audio.headers(one)).first()["content"]
         with open(a.audio_output, "wb") as f:
             f.write(clip)
     _document(_master(spark, cut, a), "json", a.output)
@@ -133,11 +137,7 @@ def eval_manifest(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     out = report.evaluated(ref, cand) if a.by_case else report.suite(ref, cand)
     out = _gated(out.withColumn("label", F.col("case_id") if a.by_case else F.lit("suite")), a)
     if required:
-        text = F.concat(F.lit("case "), "case_id", F.lit(" has reference type "), F.coalesce("reference_type", F.lit("None")))
-        other = gates.reference_type_failures(held, required).agg(F.sort_array(F.collect_list(text))).first()[0]
-        if other:
-            known = F.col("gate_failures") if "gate_failures" in out.columns else F.array().cast("array<string>")
-            out = gates.annotated(out, F.concat(known, F.array(*map(F.lit, other))))
+        out = gates.with_reference_types(out, held, required, by_case=a.by_case)
     return out
 
 
@@ -157,41 +157,47 @@ def _queue(spark: SparkSession, manifest: str) -> DataFrame:
     return effort.items(speech(ref), speech(cand), normal=practical)
 
 
-@command("review-effort", arg("manifest"))
+@command("review-effort", arg("manifest"), arg("--document", help="also write the queue as one JSON document"), arg("--tag", default="lumenspan-review-effort-v1"), arg("--source-case-index"))
 def review_effort(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    return effort.ranked(_queue(spark, a.manifest)).orderBy("priority_rank")
+    queue = effort.ranked(_queue(spark, a.manifest))
+    if a.document:
+        _document(reviews.document(queue, a.tag, source_case_index=a.source_case_index), "json", a.document)
+    return queue.orderBy("priority_rank")
 
 
-@command("merge-review-effort", arg("manifests", nargs="+"))
+@command("merge-review-effort", arg("reports", nargs="+", help="documents of review items, or folders of JSON lines"), arg("--document", help="also write the queue as one JSON document"), arg("--tag", default="lumenspan-review-effort-v1"))
 def merge_review_effort(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    return effort.merged(*[_queue(spark, m) for m in a.manifests]).orderBy("priority_rank")
+    """Queues merged item by item, with the files that each item came from."""
+    lines = [os.path.isdir(p) for p in a.reports]
+    index = reviews.case_index(spark, [p for p, many in zip(a.reports, lines, strict=True) if not many])
+    merged = effort.merged(*[reviews.read(spark, p, many) for p, many in zip(a.reports, lines, strict=True)], names=a.reports)
+    if a.document:
+        _document(reviews.document(merged, a.tag, source_case_index=index), "json", a.document)
+    return merged.orderBy("priority_rank")
 
 
-@command("compare-review-effort", arg("manifests", nargs="+"))
+@command("compare-review-effort", arg("manifests", nargs="+"), arg("--totals", action="store_true", help="a row a candidate instead of a row a reference"))
 def compare_review_effort(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """References that some candidate fails at, most failures first; the manifests must have the same cases."""
     from lumenspan.operators.comparison import case_set_errors, labels
-    from lumenspan.operators.matching import speech
 
     names = labels(a.manifests)
-    sides = [_sides(spark, m) for m in a.manifests]
-    assert_valid(case_set_errors({n: s[0] for n, s in zip(names, sides, strict=True)}))
-    return effort.compared(speech(sides[0][1]), {n: _queue(spark, m) for n, m in zip(names, a.manifests, strict=True)})
+    assert_valid(case_set_errors({n: _sides(spark, m)[0] for n, m in zip(names, a.manifests, strict=True)}))
+    queues = {n: checkpointed(_queue(spark, m)) for n, m in zip(names, a.manifests, strict=True)}
+    assert_valid(effort.repeated_references(queues))
+    return effort.label_totals(queues).orderBy("label") if a.totals else effort.issues(queues).orderBy("rank")
 
 
 def _index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Cases of an index and their references' segments, which must be valid."""
     held = manifests.read(spark, path, "index")
-    return held, transcripts.read(spark, held, "reference")
-
-
-def _durations(held: DataFrame, spark: SparkSession) -> DataFrame:
-    return wav.analysed(_audio(held, spark))[0].select("case_id", "duration_ms")
+    ref = transcripts.read(spark, held, "reference")
+    assert_valid(violations(ref))
+    return held, ref
 
 
-def _audio(held: DataFrame, spark: SparkSession) -> DataFrame:
-    """``case_id, content`` of an index's audio files."""
-    named = held.select("case_id", F.regexp_replace("audio", "^file:/*", "/").alias("_path"))
-    files = spark.read.format("binaryFile").load([r[0] for r in named.select("_path").distinct().collect()])
-    return named.join(files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content"), F.col("_path") == F.col("path")).select("case_id", "content")
+def _durations(held: DataFrame) -> DataFrame:
+    return audio.headers(held).select("case_id", "duration_ms")
 
 
 @command("audit-review-case-references", arg("index"), arg("--queue", action="store_true"), arg("--min-overlap-ms", type=int, default=audit.OVERLAP_MS), arg("--long-segment-ms", type=int, default=audit.LONG_MS), arg("--fail-on-items", action="store_true"))
@@ -199,7 +205,7 @@ def audit_references(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     held, ref = _index(spark, a.index)
     queue = audit.queue(ref, a.min_overlap_ms, a.long_segment_ms)
     a.after = (lambda: gates.enforce_empty(queue, "reference audit")) if a.fail_on_items else None
-    return queue if a.queue else audit.audit(ref, _durations(held, spark), a.min_overlap_ms, a.long_segment_ms)
+    return queue if a.queue else audit.audit(ref, _durations(held), a.min_overlap_ms, a.long_segment_ms)
 
 
 @command("review-case-status", arg("index"))
@@ -216,10 +222,45 @@ def review_case_status(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 @command("review-case-pack", arg("index"), arg("--context-ms", type=int, default=packs.CONTEXT_MS), arg("--clips"))
 def review_case_pack(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     held, ref = _index(spark, a.index)
-    pack = packs.review_pack(packs.flagged_queue(ref, held), _durations(held, spark), a.context_ms)
+    pack = packs.review_pack(packs.flagged_queue(ref, held), _durations(held), a.context_ms)
     assert_valid(packs.pack_violations(pack))
     if a.clips:
-        packs.clips(pack, _audio(held, spark)).write.mode("errorifexists").parquet(a.clips)
+        _clips(pack, held, a.clips)
+    return pack.orderBy("priority_rank")
+
+
+def _clips(pack: DataFrame, held: DataFrame, path: str) -> None:
+    ranges = pack.select("case_id", "priority_rank", "clip_file", F.col("clip_start_ms").alias("start_ms"), F.col("clip_end_ms").alias("end_ms"))
+    audio.clips(ranges, audio.headers(held)).write.mode("errorifexists").parquet(path)
+
+
+def _audio_of(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """``case_id, audio`` of whichever of an audio file, an audio map and a case index is given; a file serves all cases."""
+    given = [x for x in (a.audio, a.audio_map, a.source_case_index) if x]
+    if len(given) != 1:
+        raise ValueError("give one of --audio, --audio-map and --source-case-index")
+    if a.audio:
+        return spark.createDataFrame([(None, os.path.abspath(a.audio))], "case_id string, audio string")
+    return documents.audio_map(spark, given[0])
+
+
+@command("review-pack", arg("report", help="a document of review items, or a folder of JSON lines"), arg("--audio"), arg("--audio-map"), arg("--source-case-index"), arg("--context-ms", type=int, default=packs.CONTEXT_MS), arg("--clips"))
+def review_pack(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """What to listen to for each item of a queue, and the clips."""
+    queue = reviews.read(spark, a.report, os.path.isdir(a.report))
+    queue = queue.withColumn("priority_rank", F.coalesce("priority_rank", F.col("item_index") + 1)) if "priority_rank" in queue.columns else queue.withColumn("priority_rank", F.col("item_index") + 1)
+    assert_valid(packs.pack_violations(queue))
+    named = _audio_of(spark, a)
+    if a.audio:
+        known = queue.select("case_id").distinct()
+        if known.where("case_id is not null").limit(2).count() > 1:
+            raise ValueError("a queue of several cases needs an audio map")
+        named = known.select(F.coalesce("case_id", F.lit("single")).alias("case_id")).crossJoin(named.select("audio"))  # one row each
+        queue = queue.withColumn("case_id", F.coalesce("case_id", F.lit("single")))
+    pack = packs.review_pack(queue, _durations(named), a.context_ms)
+    assert_valid(packs.missing_audio(pack))
+    if a.clips:
+        _clips(pack, named, a.clips)
     return pack.orderBy("priority_rank")
 
 
@@ -244,57 +285,104 @@ def build_eval_manifest(spark: SparkSession, a: argparse.Namespace) -> None:
     _document(manifests.document(made, "eval", a.tag), "json", a.output)
 
 
-@command("vad-coverage", arg("index"), arg("intervals", help="JSON lines of case_id, start_ms, end_ms"), arg("--by-case", action="store_true"), arg("--max-detected-interval-ms", type=int), arg("--max-missed-reference-ms", type=int), arg("--min-reference-recall", type=float), arg("--min-detected-precision", type=float))
+LIMITS_OF_COVERAGE = [arg("--max-detected-interval-ms", type=int), arg("--max-missed-reference-ms", type=int), arg("--min-reference-recall", type=float), arg("--min-detected-precision", type=float)]
+ENERGY = [arg("--energy-threshold-dbfs", type=float, default=detections.THRESHOLD_DBFS), arg("--energy-window-ms", type=int, default=detections.WINDOW_MS), arg("--energy-min-silence-ms", type=int, default=detections.MIN_SILENCE_MS), arg("--energy-min-speech-ms", type=int, default=detections.MIN_SPEECH_MS), arg("--energy-pad-ms", type=int, default=detections.PAD_MS), arg("--energy-max-chunk-ms", type=int)]
+
+
+def _detected(spark: SparkSession, held: DataFrame, path: str | None, a: argparse.Namespace) -> DataFrame:
+    """Detected intervals: those of a file, which must be valid, or by the audio's energy."""
+    heads = audio.headers(held)
+    if path is not None:
+        found = detections.read(spark, path)
+        assert_valid(detections.problems(found, heads))
+        return found
+    return detections.by_energy(heads, a.energy_threshold_dbfs, a.energy_window_ms, a.energy_min_silence_ms, a.energy_min_speech_ms, a.energy_pad_ms, a.energy_max_chunk_ms)
+
+
+def _covered(found: DataFrame, a: argparse.Namespace) -> DataFrame:
+    return gates.coverage_gate(found, a.max_detected_interval_ms, a.max_missed_reference_ms, a.min_reference_recall, a.min_detected_precision)
+
+
+@command("vad-coverage", arg("audio"), arg("reference"), arg("--intervals", help="a JSON document of intervals; default: by energy"), *ENERGY, *LIMITS_OF_COVERAGE)
 def vad_coverage(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    _, ref = _index(spark, a.index)
-    found = coverage.coverage(ref, spark.read.schema("case_id string, start_ms long, end_ms long").json(a.intervals))
-    rows = found.withColumn("label", F.col("case_id")) if a.by_case else coverage.suite(found).withColumn("label", F.lit("suite"))
-    return gates.coverage_gate(rows, a.max_detected_interval_ms, a.max_missed_reference_ms, a.min_reference_recall, a.min_detected_precision)
+    """Coverage of one transcript by detected intervals of its audio."""
+    held = spark.createDataFrame([("single", os.path.abspath(a.audio))], "case_id string, audio string")
+    return _covered(coverage.coverage(_one(spark, a.reference), _detected(spark, held, a.intervals, a)), a).withColumn("label", F.lit("single"))
+
 
+@command("vad-coverage-cases", arg("index"), arg("--intervals", help="JSON lines of case_id, start_ms, end_ms; default: by energy"), arg("--by-case", action="store_true"), *ENERGY, *LIMITS_OF_COVERAGE)
+def vad_coverage_cases(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    held, ref = _index(spark, a.index)
+    found = coverage.coverage(ref, _detected(spark, held, a.intervals, a))
+    return _covered(found.withColumn("label", F.col("case_id")) if a.by_case else coverage.suite(found).withColumn("label", F.lit("suite")), a)
+
+
+def _quiet(text: str) -> float | None:
+    return None if text == "none" else float(text)
 
-SIDES = [arg("--threshold-db", type=float, default=channels.THRESHOLD_DB), arg("--quiet-dbfs", type=float, help="default: none asked")]
 
+SIDES = [arg("--threshold-db", type=float, default=channels.THRESHOLD_DB), arg("--quiet-channel-max-dbfs", type=_quiet, default=channels.QUIET_DBFS, help="'none' asks nothing of the quieter side")]
 
-def _levels(held: DataFrame, segments: DataFrame, spark: SparkSession) -> DataFrame:
-    return wav.segment_levels(segments, _audio(held, spark))
 
+def _levels(held: DataFrame, segments: DataFrame, audio_column: str = "audio") -> DataFrame:
+    """Segments with the levels of both sides, measured once; the audio must be stereo and have all spoken ranges."""
+    heads = checkpointed(audio.headers(held.select("case_id", F.col(audio_column).alias("audio"))))
+    lacking = segments.select("case_id").distinct().join(heads, "case_id", "left_anti").select("case_id", F.lit("the case has no audio").alias("rule"))
+    assert_valid(audio.problems(heads), lacking)
+    levels = checkpointed(audio.segment_levels(segments, heads))
+    assert_valid(audio.silent_ranges(levels))
+    return levels
 
-@command("attribute-channels", arg("input"), arg("audio"), *SIDES, LANGUAGE, TAG)
+
+@command("attribute-channels", arg("input"), arg("audio"), *SIDES, arg("--diagnostics-output", help="a row a segment with its levels and the reason, as JSON lines"), LANGUAGE, TAG)
 def attribute_channels(spark: SparkSession, a: argparse.Namespace) -> None:
     """A file's spoken MIX segments take the side that its audio decides."""
-    held, audio = _one(spark, a.input), spark.createDataFrame([("single", os.path.abspath(a.audio))], "case_id string, audio string")
-    _document(_master(spark, channels.attributed(_levels(audio, held, spark), a.threshold_db, a.quiet_dbfs).select(*held.columns), a), "json", a.output)
+    held, named = _one(spark, a.input), spark.createDataFrame([("single", os.path.abspath(a.audio))], "case_id string, audio string")
+    made = channels.attributed(_levels(named, held), a.threshold_db, a.quiet_channel_max_dbfs)
+    if a.diagnostics_output:
+        told = made.select("id", "start_ms", "end_ms", "kind", "original_channel", F.col("channel").alias("attributed_channel"), "reason", "left_dbfs", "right_dbfs", (F.col("left_dbfs") - F.col("right_dbfs")).alias("delta_db"))
+        told.write.mode("errorifexists").json(a.diagnostics_output)
+    _document(_master(spark, made.select(*held.columns), a), "json", a.output)
 
 
-@command("audit-review-case-channels", arg("index"), arg("--queue", action="store_true"), arg("--by-case", action="store_true"), arg("--fail-on-items", action="store_true"), arg("--threshold-db", type=float, default=2.0), arg("--quiet-dbfs", type=float))
+@command("audit-review-case-channels", arg("index"), arg("--queue", action="store_true"), arg("--by-case", action="store_true"), arg("--fail-on-items", action="store_true"), *SIDES)
 def audit_channels(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Labelled sides of references against their audio: counts and ratios, or the queue with where to listen."""
+    channels.checked([a.threshold_db], [a.quiet_channel_max_dbfs])
     held, ref = _index(spark, a.index)
-    found = channels.reference_audit(_levels(held, ref, spark), a.threshold_db, a.quiet_dbfs)
+    found = channels.reference_audit(_levels(held, ref), a.threshold_db, a.quiet_channel_max_dbfs)
     queue = channels.reference_queue(found)
     a.after = (lambda: gates.enforce_empty(queue, "channel audit")) if a.fail_on_items else None
     if a.queue:
-        windows = wav.window_energies(_audio(held, spark), 10).withColumnRenamed("start_ms", "at_ms")
-        return channels.evidence_clips(queue, windows, a.quiet_dbfs).orderBy(F.desc("priority_score"), "case_id", "ord")
+        heads = audio.headers(held)
+        clips = channels.evidence_clips(queue, audio.range_sums(channels.probes(queue), heads), a.quiet_channel_max_dbfs)
+        # what the clip sounds like, of exactly its frames
+        heard = audio.segment_levels(clips.select("case_id", "id", F.col("clip_start_ms").alias("start_ms"), F.col("clip_end_ms").alias("end_ms")), heads)
+        heard = heard.select("case_id", "id", F.col("left_dbfs").alias("clip_left_dbfs"), F.col("right_dbfs").alias("clip_right_dbfs"), (F.col("left_dbfs") - F.col("right_dbfs")).alias("clip_delta_db"))
+        return clips.join(heard, ["case_id", "id"], "left").orderBy(F.desc("priority_score"), "case_id", "ord")
     return channels.summary(found, *["case_id"] * a.by_case)
 
 
-@command("audit-candidate-channels", arg("index"), arg("--by-case", action="store_true"), *SIDES)
+def _candidates(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
+    """References of an evaluation manifest, and its candidates with the levels of the map's audio."""
+    _, ref, cand = _sides(spark, a.manifest)
+    return ref, _levels(documents.audio_map(spark, a.audio_map), cand)
+
+
+@command("audit-candidate-channels", arg("manifest"), arg("--audio-map", required=True), arg("--by-case", action="store_true"), *SIDES)
 def audit_candidate_channels(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    held = manifests.read(spark, a.index, "index")
-    found = channels.candidate_audit(_levels(held, transcripts.read(spark, held.where("candidate is not null"), "candidate"), spark), a.threshold_db, a.quiet_dbfs)
+    channels.checked([a.threshold_db], [a.quiet_channel_max_dbfs])
+    found = channels.candidate_audit(_candidates(spark, a)[1], a.threshold_db, a.quiet_channel_max_dbfs)
     return channels.summary(found, *["case_id"] * a.by_case)
 
 
-@command("sweep-channel-attribution", arg("index"), arg("--thresholds-db", type=float, nargs="+", default=[channels.THRESHOLD_DB]), arg("--quiets-dbfs", type=float, nargs="+", default=[channels.QUIET_DBFS]), arg("--no-quiet", action="store_true", help="also without a quiet limit"))
+@command("sweep-channel-attribution", arg("manifest"), arg("--audio-map", required=True), arg("--threshold-db", type=float, action="append"), arg("--quiet-channel-max-dbfs", type=_quiet, action="append"), arg("--reset-speech-channels-to-mix", action="store_true"), *LIMITS)
 def sweep_channels(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    """Spoken segments of references, attributed anew under each pair of settings, against their labelled sides."""
-    held, ref = _index(spark, a.index)
-    levels = _levels(held, ref.withColumn("labelled", F.col("channel")), spark)
-    each = channels.swept(levels, a.thresholds_db, [*a.quiets_dbfs, *[None] * a.no_quiet]).where("kind = 'speech'")
-    right = F.sum((F.col("channel") == F.col("labelled")).cast("long"))
-    out = each.groupBy("setting", "threshold_db", "quiet_dbfs").agg(F.count("*").alias("segments"), right.alias("correct"), (right / F.count("*")).alias("channel_accuracy"))
-    return out.orderBy(F.desc("channel_accuracy"), "setting")
+    """Candidates attributed anew under each pair of settings, evaluated, ranked and, with limits, gated."""
+    thresholds, quiets = a.threshold_db or [channels.THRESHOLD_DB], a.quiet_channel_max_dbfs or [channels.QUIET_DBFS]
+    channels.checked(thresholds, quiets)
+    rows = report.channel_sweep(*_candidates(spark, a), thresholds, quiets, a.reset_speech_channels_to_mix)
+    return _gated(rows, a).drop("reason_ranking").orderBy("rank")
 
 
 def _case_set(index: DataFrame, segments: DataFrame, folder: str, a: argparse.Namespace) -> None:
@@ -320,6 +408,21 @@ def freeze_case_references(spark: SparkSession, a: argparse.Namespace) -> None:
     _case_set(*cases.frozen(held, ref, a.reference_type, a.reference_notes), os.path.abspath(a.output), a)
 
 
+@command("prepare-review-cases", arg("plan"), LANGUAGE, TAG, INDEX_TAG)
+def prepare_review_cases(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Slices of sources as a case set of their own: an index, a reference and a clip a case, in a new folder."""
+    plan = manifests.read(spark, a.plan, "slices")
+    ref = transcripts.read(spark, plan, "reference")
+    assert_valid(violations(ref))
+    folder = os.path.abspath(a.output)
+    index, cut = cases.prepared(ref, plan.withColumn("source_id", F.col("case_id")))
+    clips = audio.clips(plan.select("case_id", "start_ms", "end_ms"), audio.headers(plan))
+    _case_set(index.withColumn("audio", F.concat(F.lit(folder + "/"), "audio")), cut, folder, a)
+    for r in clips.select("case_id", "content").toLocalIterator():  # a clip at a time
+        with open(f"{folder}/{r['case_id']}.wav", "wb") as f:
+            f.write(r["content"])
+
+
 @command("save-review-case-reference", arg("index"), arg("case"), arg("input"), LANGUAGE, TAG, INDEX_TAG)
 def save_case_reference(spark: SparkSession, a: argparse.Namespace) -> None:
     """The case set with one case's reference replaced, in a new folder."""
@@ -327,16 +430,43 @@ def save_case_reference(spark: SparkSession, a: argparse.Namespace) -> None:
     _case_set(*cases.saved_reference(held, ref, _one(spark, a.input, a.case)), os.path.abspath(a.output), a)
 
 
-@command("vad-compare-coverage", arg("index"), arg("intervals", nargs="+", help="files of JSON lines of case_id, start_ms, end_ms"))
+@command("vad-compare-coverage", arg("index"), arg("intervals", nargs="+", help="files of JSON lines of case_id, start_ms, end_ms"), *LIMITS_OF_COVERAGE)
 def vad_compare_coverage(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    from functools import reduce
-
     from lumenspan.operators.comparison import labels
 
-    _, ref = _index(spark, a.index)
-    read = spark.read.schema("case_id string, start_ms long, end_ms long").json
-    suites = [coverage.suite(coverage.coverage(ref, read(path))).withColumn("label", F.lit(label)) for label, path in zip(labels(a.intervals), a.intervals, strict=True)]
-    return coverage.ranked(reduce(DataFrame.unionByName, suites)).orderBy("rank")
+    held, ref = _index(spark, a.index)
+    heads, found = checkpointed(audio.headers(held)), {}
+    for label, path in zip(labels(a.intervals), a.intervals, strict=True):
+        found[label] = detections.read(spark, path)
+        assert_valid(detections.problems(found[label], heads))
+    return _covered(coverage.compared(ref, heads, found), a).orderBy("rank")
+
+
+def _told(spark: SparkSession, path: str | None, **columns: str) -> DataFrame | None:
+    """Rows that another command wrote under ``-o``, with the columns that are asked for (null where all were)."""
+    if path is None:
+        return None
+    rows = spark.read.json(path)
+    return rows.withColumns({c: (F.col(c) if c in rows.columns else F.lit(None)).cast(kind) for c, kind in columns.items()})
+
+
+COMPARED = {"rank": "int", "practical_cer": "double", "time_aligned_500ms_ratio": "double", "channel_accuracy": "double", "mix_ratio": "double", "edit_ratio": "double", "review_ratio": "double", "timing_edit_segment_ratio": "double", "channel_edit_segment_ratio": "double", "text_edit_segment_ratio": "double"}
+
+
+@command("pipeline-readiness", arg("--reference-audit"), arg("--reference-channel-audit"), arg("--vad-comparison"), arg("--eval-comparison"), arg("--alignment-comparison"), arg("--channel-comparison"), arg("--candidate-channel-audit"), arg("--require-reference-type"), arg("--fail-unless-asr-only-ready", action="store_true"), arg("--summary", action="store_true"), *LIMITS)
+def pipeline_readiness(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """The five stages from what other commands wrote: audits by case, audit summaries, and comparisons."""
+    cases_of = _told(spark, a.reference_audit, **dict.fromkeys(("review_count", "same_channel_overlap_pair_count", "exact_boundary_same_channel_overlap_pair_count", "long_segment_count", "speech_segment_count", "overlap_pair_count", "cross_channel_overlap_pair_count", "exact_boundary_overlap_pair_count", "pair_overlap_duration_ms", "speech_union_duration_ms", "duration_ms"), "long"), speech_coverage_ratio="double")
+    near = None if cases_of is None else cases_of.agg(F.sum((F.col("speech_coverage_ratio") >= audit.HIGH_COVERAGE).cast("long")).alias("near_full_coverage_cases"))
+    sides = {c: "long" for c in ("match", "mismatch", "uncertain", "energy_labeled_count")} | {"match_ratio": "double", "mix_ratio": "double"}
+    found = readiness.assembled(
+        spark, None if cases_of is None else audit.suite(cases_of).crossJoin(near), _told(spark, a.reference_channel_audit, **sides), _told(spark, a.vad_comparison, rank="int", missed_reference_duration_ms="long"),
+        *[_told(spark, p, **COMPARED) for p in (a.eval_comparison, a.alignment_comparison, a.channel_comparison)], _told(spark, a.candidate_channel_audit, **sides), _limits(a), a.require_reference_type,
+    )
+    held = checkpointed(found)
+    if a.fail_unless_asr_only_ready:
+        a.after = lambda: gates.enforce(readiness.summary(held).select(F.lit("readiness").alias("label"), F.col("asr_only_ready").alias("gate_passed"), F.concat(F.col("blocking_stages"), F.col("unknown_stages")).alias("gate_failures")))
+    return readiness.summary(held) if a.summary else held.orderBy("place")
 
 
 @command("model-digest", arg("folder"))
@@ -382,7 +512,18 @@ def project_export_srt(spark: SparkSession, a: argparse.Namespace) -> None:
     _document(srt.formatted(Projects(spark, os.path.abspath(a.project_root)).segments(a.project)), "content", a.output)
 
 
-WRITES_A_FILE = {srt_to_json, json_to_srt, export_translation, freeze_reference, slice_case, build_attach_plan, attach_candidates, build_eval_manifest, project_export_srt, attribute_channels, freeze_case_references, save_case_reference}
+@command("project-export-master", arg("project"), LANGUAGE, TAG, ROOT)
+def project_export_master(spark: SparkSession, a: argparse.Namespace) -> None:
+    held = Projects(spark, os.path.abspath(a.project_root)).segments(a.project)
+    _document(_master(spark, held.withColumn("case_id", F.lit("single")), a), "json", a.output)
+
+
+@command("project-export-translation", arg("project"), arg("--tag", default="lumenspan-translation-v1"), ROOT)
+def project_export_translation(spark: SparkSession, a: argparse.Namespace) -> None:
+    _document(_translation(Projects(spark, os.path.abspath(a.project_root)).segments(a.project), a.tag), "json", a.output)
+
+
+WRITES_A_FILE = {prepare_review_cases, project_export_master, project_export_translation, srt_to_json, json_to_srt, export_translation, freeze_reference, slice_case, build_attach_plan, attach_candidates, build_eval_manifest, project_export_srt, attribute_channels, freeze_case_references, save_case_reference}
 
 
 def parser() -> argparse.ArgumentParser:

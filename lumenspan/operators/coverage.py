@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +23,11 @@ def coverage(ref: DataFrame, detected: DataFrame) -> DataFrame:
     return out.select("case_id", r, d, o, (r - o).alias("missed_reference_duration_ms"), (d - o).alias("extra_detected_duration_ms"), F.when(r > 0, o / r).alias("reference_recall"), F.when(d > 0, o / d).alias("detected_precision"), "detected_interval_count", "detected_max_interval_ms", "detected_mean_interval_ms")
 
 
-def suite(cases: DataFrame) -> DataFrame:
+def suite(cases: DataFrame, *keys: str) -> DataFrame:
     """Duration-weighted totals; the mean chunk is the merged duration by the number of raw chunks. The number of chunks
     is unknown (null) if that of any case is."""
     sums = ["reference_speech_duration_ms", "detected_speech_duration_ms", "overlap_duration_ms", "missed_reference_duration_ms", "extra_detected_duration_ms", "detected_interval_count"]
-    out = cases.agg(F.count("*").alias("case_count"), *[F.sum(c).alias(c) for c in sums[:-1]], F.when(F.count("*") == F.count(sums[-1]), F.sum(sums[-1])).alias(sums[-1]), F.max("detected_max_interval_ms").alias("detected_max_interval_ms"))
+    out = cases.groupBy(*keys).agg(F.count("*").alias("case_count"), *[F.sum(c).alias(c) for c in sums[:-1]], F.when(F.count("*") == F.count(sums[-1]), F.sum(sums[-1])).alias(sums[-1]), F.max("detected_max_interval_ms").alias("detected_max_interval_ms"))
     over = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     return out.withColumn("detected_mean_interval_ms", over("detected_speech_duration_ms", "detected_interval_count")).withColumn("reference_recall", over("overlap_duration_ms", "reference_speech_duration_ms")).withColumn("detected_precision", over("overlap_duration_ms", "detected_speech_duration_ms"))
 
@@ -37,6 +39,24 @@ def fragments(ref: DataFrame, detected: DataFrame) -> DataFrame:
     return union(swept.withColumn("kind", kind).where("kind is not null"), keys=("case_id", "kind"))
 
 
+def compared(ref: DataFrame, heads: DataFrame, detected: dict[str, DataFrame]) -> DataFrame:
+    """A ranked row a label: the suite's durations, ratios and counts, with the audio's duration, the number of
+    reference segments and of their merged intervals, and how many stretches were missed and are extra.
+
+    ``heads``: ``case_id, duration_ms``. All labels are swept together, as cases of their own. Labels are few.
+    """
+    spoken, labels = speech(ref), F.explode(F.array(*map(F.lit, detected))).alias("label")
+    key = lambda df: df.withColumn("case_id", F.struct("label", F.col("case_id").cast("string").alias("case_id"))).drop("label")
+    refs = key(ref.select("*", labels))
+    found = key(reduce(DataFrame.unionByName, [d.select("case_id", "start_ms", "end_ms", F.lit(label).alias("label")) for label, d in detected.items()]))
+    by_case = coverage(refs, found).withColumn("label", F.col("case_id.label"))
+    suites = suite(by_case, "label")
+    stretches = fragments(refs, found).groupBy(F.col("case_id.label").alias("label")).agg(*[F.sum((F.col("kind") == kind).cast("long")).alias(name) for kind, name in (("missed", "missed_reference_interval_count"), ("extra", "extra_detected_interval_count"))])
+    whole = spoken.agg(F.count("*").alias("reference_segment_count")).crossJoin(union(spoken.select("case_id", "start_ms", "end_ms")).agg(F.count("*").alias("reference_interval_count"))).crossJoin(heads.agg(F.sum("duration_ms").alias("audio_duration_ms")))
+    names = ["missed_reference_interval_count", "extra_detected_interval_count"]
+    return ranked(suites.join(stretches, "label", "left").na.fill(0, names).crossJoin(whole))  # a row a label, and one
+
+
 def ranked(suites: DataFrame) -> DataFrame:
     """Suites (with ``label``) by missed, extra, recall, precision and label."""
     from pyspark.sql import Window

@@ -119,8 +119,9 @@ def issues(queues: dict[str, DataFrame]) -> DataFrame:
     by_reason = each.groupBy(*key, "reason").agg(F.count("*").alias("n"), F.collect_set("label").alias("labels"), F.min(F.struct("place", "start_ms", "end_ms", "reference_channel")).alias("top"))
     known = F.filter(F.array_sort(F.collect_list(F.struct("reason", "n"))), lambda x: x.reason.isNotNull())
     held = by_reason.groupBy(*key).agg(F.map_from_entries(known).alias("reason_counts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("failed_labels"), F.min("top").alias("top"))
-    failed = F.size("failed_labels").cast("long")
-    out = held.select(*key, "top.start_ms", "top.end_ms", F.greatest(F.lit(0), F.col("top.end_ms") - F.col("top.start_ms")).alias("duration_ms"), "top.reference_channel", failed.alias("failed_count"), (F.lit(len(queues)) - failed).alias("passed_count"), "failed_labels", "reason_counts")
+    failed, length = F.size("failed_labels").cast("long"), F.col("top.end_ms") - F.col("top.start_ms")
+    duration = F.when(length.isNotNull(), F.greatest(F.lit(0), length))
+    out = held.select(*key, "top.start_ms", "top.end_ms", duration.alias("duration_ms"), "top.reference_channel", failed.alias("failed_count"), (F.lit(len(queues)) - failed).alias("passed_count"), "failed_labels", "reason_counts")
     total = F.aggregate(F.map_values("reason_counts"), F.lit(0).cast("long"), lambda a, n: a + n)
     return numbered(out, [F.col("failed_count").desc(), total.desc(), F.col("case_id"), F.coalesce("start_ms", F.lit(0)), F.col("reference_id")], "rank")
 

@@ -72,6 +72,21 @@ def reference_type_failures(cases: DataFrame, required: str = PRODUCT_REFERENCE)
     return cases.select("case_id", kind.alias("reference_type")).where(F.col("reference_type") != required)
 
 
+def with_reference_types(rows: DataFrame, cases: DataFrame, required: str, by_case: bool) -> DataFrame:
+    """Reports whose cases have another reference type fail too: a report by case by its own, a suite by how many and
+    which is the first, so that what is told doesn't grow with the cases."""
+    text = F.concat(F.lit("case "), "case_id", F.lit(" has reference type "), "reference_type")
+    other = reference_type_failures(cases, required).select("case_id", text.alias("_text"))
+    known = F.col("gate_failures") if "gate_failures" in rows.columns else F.array().cast("array<string>")
+    if by_case:
+        joined = rows.join(other, "case_id", "left")
+        more = F.when(F.col("_text").isNull(), F.array().cast("array<string>")).otherwise(F.array("_text"))
+        return annotated(joined, F.concat(known, more)).drop("_text")
+    counted = other.agg(F.count("*").alias("_n"), F.min("_text").alias("_text"))
+    more = F.when(F.col("_n") == 0, F.array().cast("array<string>")).when(F.col("_n") == 1, F.array("_text")).otherwise(F.array(F.concat(F.col("_text"), F.lit(", and "), F.col("_n") - 1, F.lit(" more have another than "), F.lit(required))))
+    return annotated(rows.crossJoin(counted), F.concat(known, more)).drop("_n", "_text")  # one row each
+
+
 def enforce(rows: DataFrame, label: str = "label", shown: int = 20) -> None:
     """Raise if a row of an annotated report failed; the message names the count and the first ``shown`` rows."""
     if "gate_passed" not in rows.columns:

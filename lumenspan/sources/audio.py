@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from lumenspan.sources.wav import encode
 
@@ -159,6 +160,7 @@ def clips(ranges: DataFrame, heads: DataFrame) -> DataFrame:
     name is replaced.
     """
     ranges = ranges.drop("content")
+    names = ranges.columns
     named = heads.select(F.col("case_id").alias("_case"), F.struct("audio", "data_at", "channels", "sample_rate", "sample_width", "frame_count").alias("_head"))
     joined = ranges.join(named, F.col("case_id").cast("string") == F.col("_case")).drop("_case")
     lo, hi = (_frame(F.col(c), F.col("_head.sample_rate"), F.col("_head.frame_count")) for c in ("start_ms", "end_ms"))
@@ -177,6 +179,6 @@ def clips(ranges: DataFrame, heads: DataFrame) -> DataFrame:
                 with opened(head["audio"]) as f:
                     data = f.read_at((hi - lo) * width, head["data_at"] + lo * width)
                 content = encode(np.frombuffer(data, "<i2").reshape(-1, head["channels"]), head["sample_rate"])
-                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in ranges.columns), pa.array([content], pa.binary())], [*ranges.columns, "content"])
+                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in names), pa.array([content], pa.binary())], [*names, "content"])
 
-    return joined.mapInArrow(run, ranges.schema.add("content", "binary"))
+    return joined.mapInArrow(run, StructType([*ranges.schema, StructField("content", BinaryType())]))

@@ -45,11 +45,22 @@ def translation_items(segments: DataFrame) -> DataFrame:
 
 
 def audio_map(spark: SparkSession, path: str) -> DataFrame:
-    """``case_id, audio`` of an audio map: a list of items, or an object of paths by case."""
-    v = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-    items = F.try_variant_get("v", "$.items", "array<struct<case_id: string, audio: string>>")
+    """``case_id, audio`` of an audio map: items with ``case_id``, a case index's items with ``id``, or an object of
+    paths by case. Relative paths are of the file's folder. Missing names and repeated cases raise."""
+    from lumenspan.schemas import assert_valid
+    from lumenspan.sources.manifests import resolved
+
+    v = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("folder"), F.parse_json("value").alias("v"))
+    listed = F.try_variant_get("v", "$.items", "array<struct<case_id: string, id: string, audio: string>>")
+    items = F.transform(listed, lambda x: F.struct(F.coalesce(x.case_id, x.id).alias("case_id"), x.audio.alias("audio")))
     plain = F.transform(F.map_entries(F.try_variant_get("v", "$", "map<string, string>")), lambda e: F.struct(e.key.alias("case_id"), e.value.alias("audio")))
-    return v.select(F.explode(F.coalesce(items, plain)).alias("x")).select("x.*")
+    known = F.coalesce(items, plain)
+    wrong = v.where(known.isNull()).select(F.lit(None).cast("string").alias("case_id"), F.lit("the audio map is neither items nor paths by case").alias("rule"))
+    rows = v.select("folder", F.explode(known).alias("x")).select("folder", "x.*")
+    empty = rows.where("coalesce(case_id, '') = '' or coalesce(audio, '') = ''").select("case_id", F.lit("an audio map needs a case and a path").alias("rule"))
+    again = rows.groupBy("case_id").count().where("count > 1").select("case_id", F.lit("the case is repeated in the audio map").alias("rule"))
+    assert_valid(wrong, empty, again)
+    return rows.select("case_id", resolved(F.col("folder"), F.col("audio")).alias("audio"))
 
 
 def snapshot_digest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -81,14 +81,18 @@ def case_index(spark: SparkSession, paths: list[str]) -> str | None:
 
 
 def item_json(queue: DataFrame) -> Column:
-    """An item as JSON, nulls left out, with its other fields."""
-    fields = [c for c in queue.columns if c not in ("other", "item_index")]
-    return F.struct(*fields)
+    """An item as JSON text, nulls left out, with its other fields."""
+    text = F.to_json(F.struct(*[c for c in queue.columns if c not in ("other", "item_index")]))
+    if "other" not in queue.columns:
+        return text
+    name = lambda k: F.concat(F.lit('"'), F.regexp_replace(k, r'(["\\\\])', r"\\$1"), F.lit('":'))
+    more = F.array_join(F.transform(F.map_entries("other"), lambda e: F.concat(F.lit(","), name(e.key), e.value)), "")
+    return F.concat(F.substr(text, F.lit(1), F.char_length(text) - 1), F.coalesce(more, F.lit("")), F.lit("}"))
 
 
 def write_lines(queue: DataFrame, path: str) -> None:
     """An item a line, as many files as the queue has partitions."""
-    queue.select(F.to_json(item_json(queue)).alias("value")).write.text(path)
+    queue.select(item_json(queue).alias("value")).write.text(path)
 
 
 def document(queue: DataFrame, tag: str, **shared: str | None) -> DataFrame:
@@ -101,7 +105,10 @@ def document(queue: DataFrame, tag: str, **shared: str | None) -> DataFrame:
     held = queue.agg(F.array_sort(F.collect_list(F.struct("priority_rank", item_json(queue).alias("x")))).alias("xs"), F.count("*").alias("item_count"))
     counts = reason_counts(queue).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("reason_counts"))
     cases = case_reason_counts(queue)
-    summaries = cases.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.struct(*[c for c in cases.columns if c != "place"]).alias("x")))), lambda s: s.x).alias("case_summaries"))
+    one = F.struct(*[c for c in cases.columns if c != "place"])
+    summaries = cases.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.to_json(one).alias("x"), "case_id"))), lambda s: F.struct(s.x.alias("x"), s.case_id.alias("case_id"))).alias("cases"))
     tops = [F.lit(v).alias(k) for k, v in shared.items() if v is not None]
-    one = held.crossJoin(counts).crossJoin(summaries)  # a row each
-    return one.select(F.to_json(F.struct(F.lit(tag).alias("format"), *tops, "item_count", "reason_counts", F.size("case_summaries").alias("case_count"), F.get("case_summaries", F.lit(0)).case_id.alias("next_case_id"), "case_summaries", F.transform("xs", lambda e: e.x).alias("items"))).alias("json"))
+    every = held.crossJoin(counts).crossJoin(summaries)  # a row each
+    head = F.to_json(F.struct(F.lit(tag).alias("format"), *tops, "item_count", "reason_counts", F.size("cases").alias("case_count"), F.get("cases", F.lit(0)).case_id.alias("next_case_id")))
+    listed = lambda c: F.array_join(F.transform(c, lambda e: e.x), ",")
+    return every.select(F.concat(F.substr(head, F.lit(1), F.char_length(head) - 1), F.lit(',"case_summaries":['), listed("cases"), F.lit('],"items":['), listed("xs"), F.lit("]}")).alias("json"))

@@ -78,7 +78,7 @@ def test_case_set_to_gated_evaluation(spark, home, tmp_path, capsys):
     assert main(["audit-review-case-references", full, "--fail-on-items"], spark) == 0
     (tmp_path / "vad.json").write_text('{"case_id": "c1", "start_ms": 0, "end_ms": 2500}\n{"case_id": "c2", "start_ms": 0, "end_ms": 1000}\n')
     capsys.readouterr()
-    assert main(["vad-coverage", full, str(tmp_path / "vad.json"), "--min-reference-recall", "0.9"], spark) == 1
+    assert main(["vad-coverage-cases", full, "--intervals", str(tmp_path / "vad.json"), "--min-reference-recall", "0.9"], spark) == 1
     assert json.loads(capsys.readouterr().out)["missed_reference_duration_ms"] == 1000
     assert main(["eval-manifest", home("no.json", "{}")], spark) == 1
 
@@ -113,12 +113,25 @@ def test_channel_commands_case_sets_and_coverage(spark, home, tmp_path, capsys):
     assert main(["audit-review-case-channels", index, "--queue", "--fail-on-items"], spark) == 1
     (got,) = rows()
     assert (got["text"], got["reasons"], got["clip_start_ms"], got["clip_end_ms"]) == ("きて", ["reference-channel-energy-mismatch"], 1500, 2500)
-    assert main(["audit-candidate-channels", index, "--by-case"], spark) == 0
+    home("c1.map.json", json.dumps({"c1": "c1.wav"}))
+    manifest, amap = home("m.json", json.dumps({"format": "x", "cases": [{"id": "c1", "reference": "ref.srt", "candidate": "c1.srt"}]})), str(tmp_path / "c1.map.json")
+    home("ref.srt", REF)
+    assert main(["audit-candidate-channels", manifest, "--audio-map", amap, "--by-case"], spark) == 0
     (got,) = rows()
     assert (got["case_id"], got["match"], got["wrong_side"]) == ("c1", 1, 1)
-    assert main(["sweep-channel-attribution", index, "--thresholds-db", "8", "200", "--no-quiet"], spark) == 0
-    got = rows()
-    assert [(r["setting"], r["segments"], r["correct"]) for r in got] == [("th8_quietm40", 2, 1), ("th8_quietnone", 2, 1), ("th200_quietm40", 2, 0), ("th200_quietnone", 2, 0)]
+    sweep = ["sweep-channel-attribution", manifest, "--audio-map", amap, "--threshold-db", "8", "--threshold-db", "200"]
+    assert main([*sweep, "--quiet-channel-max-dbfs", "none"], spark) == 0  # labelled candidates keep their sides
+    assert [(r["setting"], r["changed_segments"], r["aligned_channel_accuracy"], r["rank"]) for r in rows()] == [("th200_quietnone", 0, 0.5, 1), ("th8_quietnone", 0, 0.5, 2)]
+    assert main([*sweep, "--reset-speech-channels-to-mix", "--min-channel-accuracy", "0.9"], spark) == 1
+    assert [(r["setting"], r["changed_segments"], r["aligned_channel_accuracy"], r["segments_needing_edit"], r["gate_passed"]) for r in rows()] == [("th8_quietm40", 2, 1.0, 0, True), ("th200_quietm40", 0, None, 2, False)]
+    assert main([*sweep, "--threshold-db", "-1"], spark) == 1
+    home("mono.wav", wav.encode(frames[:, :1], 1000))
+    assert main(["audit-candidate-channels", manifest, "--audio-map", home("mono.json", json.dumps({"c1": "mono.wav"}))], spark) == 1
+    assert "stereo" in capsys.readouterr().err
+    assert main(["audit-candidate-channels", manifest, "--audio-map", home("other.json", json.dumps({"c2": "c1.wav"}))], spark) == 1
+    home("short.wav", wav.encode(frames[:1200], 1000))
+    assert main(["audit-candidate-channels", manifest, "--audio-map", home("short.json", json.dumps({"c1": "short.wav"}))], spark) == 1
+    assert "no audio" in capsys.readouterr().err
     made = str(tmp_path / "sided.json")
     assert main(["attribute-channels", home("mix.srt", srt.replace("[L]", "[MIX]")), audio, "-o", made], spark) == 0
     assert [s["channel"] for s in json.loads(open(made).read())["segments"]] == ["L", "R"]
@@ -133,5 +146,81 @@ def test_channel_commands_case_sets_and_coverage(spark, home, tmp_path, capsys):
     assert main(["save-review-case-reference", index, "c9", home("new.srt", srt), "-o", str(tmp_path / "no")], spark) == 1
     whole, half = home("whole.json", '{"case_id": "c1", "start_ms": 0, "end_ms": 2500}\n'), home("half.json", '{"case_id": "c1", "start_ms": 0, "end_ms": 1000}\n')
     capsys.readouterr()
-    assert main(["vad-compare-coverage", index, half, whole], spark) == 0
-    assert [(r["rank"], r["label"], r["missed_reference_duration_ms"]) for r in rows()] == [(1, "whole", 0), (2, "half", 1000)]
+    assert main(["vad-compare-coverage", index, half, whole, "--min-reference-recall", "0.9"], spark) == 1
+    got = rows()
+    assert [(r["rank"], r["label"], r["missed_reference_duration_ms"], r["gate_passed"]) for r in got] == [(1, "whole", 0, True), (2, "half", 1000, False)]
+    assert [(r["audio_duration_ms"], r["reference_segment_count"], r["reference_interval_count"], r["missed_reference_interval_count"], r["extra_detected_interval_count"]) for r in got] == [(2500, 2, 2, 0, 1), (2500, 2, 2, 1, 0)]
+    late = home("late.json", '{"case_id": "c1", "start_ms": 0, "end_ms": 2501}\n')
+    assert main(["vad-compare-coverage", index, late], spark) == 1 and main(["vad-coverage-cases", index, "--intervals", late], spark) == 1
+    capsys.readouterr()
+    assert main(["vad-coverage", audio, f"{tmp_path}/c1.srt"], spark) == 0  # by energy: the whole file speaks
+    assert rows()[0]["missed_reference_duration_ms"] == 0
+
+
+def test_review_queues_and_packs(spark, home, tmp_path, capsys):
+    home("a.wav", wav.encode(np.zeros((3000, 2), np.int16), 1000))
+    home("r.srt", REF)
+    manifests = []
+    for k, text in enumerate((REF.replace("きて", "まって"), REF.replace("ねえ", "うん").replace("きて", "まって"))):
+        home(f"c{k}.srt", text)
+        manifests.append(home(f"m{k}.json", json.dumps({"format": "x", "cases": [{"id": "a", "reference": "r.srt", "candidate": f"c{k}.srt"}]})))
+    queues = [str(tmp_path / f"q{k}.json") for k in range(2)]
+    for m, q in zip(manifests, queues, strict=True):
+        assert main(["review-effort", m, "--document", q, "--source-case-index", "i.json"], spark) == 0
+    rows = lambda: [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    rows()
+    both = str(tmp_path / "both.json")
+    assert main(["merge-review-effort", *queues, "--document", both], spark) == 0
+    assert [(r["reference_id"], r["merged_input_count"], len(r["source_reports"])) for r in rows()] == [("seg_000001", 1, 1), ("seg_000002", 2, 2)]
+    made = json.loads(open(both).read())
+    assert (made["item_count"], made["source_case_index"], made["reason_counts"]) == (2, "i.json", {"text": 2})
+    assert main(["merge-review-effort", queues[0], home("no.json", json.dumps({"format": "x", "items": [{"reasons": []}]}))], spark) == 1
+    capsys.readouterr()
+    assert main(["compare-review-effort", *manifests], spark) == 0
+    assert [(r["reference_id"], r["failed_count"], r["passed_count"], r["reason_counts"]) for r in rows()] == [("seg_000002", 2, 0, {"text": 2}), ("seg_000001", 1, 1, {"text": 1})]
+    assert main(["compare-review-effort", *manifests, "--totals"], spark) == 0
+    assert [(r["label"], r["reference_failures"], r["text"]) for r in rows()] == [("m0", 1, 1), ("m1", 2, 2)]
+    amap, clips = home("map.json", json.dumps({"a": "a.wav"})), str(tmp_path / "clips")
+    assert main(["review-pack", both, "--audio-map", amap, "--clips", clips], spark) == 0
+    assert {(r["reference_id"], r["clip_start_ms"], r["clip_end_ms"]) for r in rows()} == {("seg_000001", 0, 1500), ("seg_000002", 1000, 3000)}
+    assert sorted(wav.info(bytes(r.content))["duration_ms"] for r in spark.read.parquet(clips).collect()) == [1500, 2000]
+    assert main(["review-pack", both, "--audio", f"{tmp_path}/a.wav"], spark) == 0
+    assert main(["review-pack", both], spark) == 1 and main(["review-pack", both, "--audio-map", home("z.json", json.dumps({"z": "a.wav"}))], spark) == 1
+
+
+def test_prepared_cases_and_readiness(spark, home, tmp_path, capsys):
+    home("a.wav", wav.encode(np.arange(6000, dtype=np.int16).reshape(3000, 2), 1000))
+    home("r.srt", REF)
+    plan = home("plan.json", json.dumps({"format": "x", "reference_type": "human-reviewed", "cases": [{"id": f"p{k}", "audio": "a.wav", "reference": "r.srt", "start_ms": s, "end_ms": s + 1200} for k, s in enumerate((0, 1400))]}))
+    out = tmp_path / "set"
+    assert main(["prepare-review-cases", plan, "-o", str(out)], spark) == 0
+    assert main(["review-case-status", f"{out}/index.json"], spark) == 0
+    assert [json.loads(x)["issues"] for x in capsys.readouterr().out.splitlines()] == [[], []]
+    assert [wav.info((out / f"p{k}.wav").read_bytes())["duration_ms"] for k in range(2)] == [1200, 1200]
+    assert [(s["start_ms"], s["end_ms"], s["text"]) for s in json.loads((out / "p1.master.json").read_text())["segments"]] == [(100, 1100, "きて")]
+    audited, compared = str(tmp_path / "audit"), str(tmp_path / "evals")
+    assert main(["audit-review-case-references", f"{out}/index.json", "-o", audited], spark) == 0
+    manifest = home("m.json", json.dumps({"format": "x", "cases": [{"id": "a", "reference": "r.srt", "candidate": "r.srt"}]}))
+    assert main(["compare-evals", manifest, "-o", compared], spark) == 0
+    capsys.readouterr()
+    ready = ["pipeline-readiness", "--reference-audit", audited, "--eval-comparison", compared]
+    assert main(ready, spark) == 0
+    assert [(r["stage"], r["status"]) for r in map(json.loads, capsys.readouterr().out.splitlines())] == [("reference", "pass"), ("vad_chunking", "unknown"), ("alignment", "pass"), ("channel_attribution", "pass"), ("text_asr", "pass")]
+    assert main([*ready, "--summary", "--fail-unless-asr-only-ready"], spark) == 1
+    got = capsys.readouterr()
+    assert json.loads(got.out)["unknown_stages"] == ["vad_chunking"] and "vad_chunking" in got.err
+
+
+def test_reference_types_and_invalid_references(spark, home, tmp_path, capsys):
+    home("r.srt", REF)
+    cases = [{"id": f"c{k}", "reference": "r.srt", "candidate": "r.srt", "reference_type": t} for k, t in enumerate(("machine", "human-reviewed", "machine"))]
+    manifest = home("m.json", json.dumps({"format": "x", "cases": cases}))
+    assert main(["eval-manifest", manifest, "--require-reference-type", "human-reviewed"], spark) == 1
+    assert json.loads(capsys.readouterr().out)["gate_failures"] == ["case c0 has reference type machine, and 1 more have another than human-reviewed"]
+    assert main(["eval-manifest", manifest, "--require-reference-type", "human-reviewed", "--by-case"], spark) == 1
+    assert {r["case_id"]: r["gate_passed"] for r in map(json.loads, capsys.readouterr().out.splitlines())} == {"c0": False, "c1": True, "c2": False}
+    home("a.wav", wav.encode(np.zeros((3000, 2), np.int16), 1000))
+    home("back.srt", "1\n00:00:05,000 --> 00:00:02,000\n[L]x\n")
+    index = home("index.json", json.dumps({"format": "x", "items": [{"id": "c", "audio": "a.wav", "reference": "back.srt"}]}))
+    assert main(["audit-review-case-references", index], spark) == 1
+    assert "end" in capsys.readouterr().err
