@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from lumenspan.llm.common import per_batch, slices, texts
+from lumenspan.llm.common import slices, texts
 
 #: Penalty of a change of language, and the most that a word may tell against one, in natural logarithms.
 SWITCH, MOST = 14.0, 12.0
@@ -58,16 +58,44 @@ def script_of(letter: str) -> str:
 
 def words_of(run: str) -> list[tuple[str, str]]:
     """A run of letters as ``(word, script)``, cut where the script changes; numerals that aren't letters are left out."""
-    if run.isascii():
+    if run.isascii() or (run.isalpha() and max(run) < "\u0370"):
         return [(run, "Latin")]
     letters = "".join(c for c in run if c.isalpha())
     return [("".join(g), s) for s, g in groupby(letters, script_of)]
 
 
-def grams_of(word: str) -> list[str]:
-    """The word itself, and its n-grams of one to three characters with its ends."""
-    ended = f"<{word}>"
-    return [f"={word}", *word, *(ended[k : k + 2] for k in range(len(ended) - 1)), *(ended[k : k + 3] for k in range(len(ended) - 2))]
+#: Sizes of n-grams, and the bits that a letter's code point takes in the number that stands for one.
+SIZES, BITS = (1, 2, 3), 21
+
+
+def ngrams(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each size the n-grams of all words as numbers, and which word each is of, in the words' order; of size one
+    without a word's end marks, so that no word is without one of each size."""
+    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+    inner = np.ones(codes.size, bool)
+    ends = np.cumsum([len(w) + 2 for w in words])
+    inner[ends - 1] = inner[ends[:-1]] = inner[0] = False
+    out = [(codes[inner], owner[inner])]
+    keys = codes
+    for size in SIZES[1:]:
+        keys = keys[:-1] << np.uint64(BITS) | codes[size - 1 :]
+        within = owner[: keys.size] == owner[size - 1 :]
+        out.append((keys[within], owner[: keys.size][within]))
+    return out
+
+
+def spelled(key: int, size: int) -> str:
+    """An n-gram's characters from its number."""
+    return "".join(chr(key >> BITS * k & (1 << BITS) - 1) for k in range(size - 1, -1, -1))
+
+
+def numbered(gram: str) -> int:
+    """An n-gram's number."""
+    key = 0
+    for c in gram:
+        key = key << BITS | ord(c)
+    return key
 
 
 @dataclass
@@ -81,14 +109,28 @@ class Model:
     scripts: dict[str, np.ndarray]
     prior: np.ndarray
 
-    def score(self, word: str, script: str) -> np.ndarray:
-        """Scores of a word by language, the best 0, none under ``-MOST``; other scripts' languages have ``-2 * MOST``."""
-        rows = [r for r in map(self.at.get, grams_of(word)) if r is not None]
-        s = self.logs[rows].sum(axis=0) / 3  # a letter is in three n-grams
-        may = self.scripts.get(script)
-        if may is None:
-            return np.maximum(s - s.max(), -MOST)
-        return np.where(may, np.maximum(s - s[may].max(), -MOST), -2 * MOST)
+    def __post_init__(self) -> None:
+        # rows of the n-grams of each size by number, and a last row for what no language was seen with
+        grams = [sorted((numbered(g), r) for g, r in self.at.items() if not g.startswith("=") and len(g) == size) for size in SIZES]
+        self.keys = [np.array([k for k, _ in x] + [np.iinfo(np.uint64).max], np.uint64) for x in grams]
+        self.rows = [np.array([r for _, r in x] + [len(self.at)], np.int64) for x in grams]
+        self.padded = np.concatenate([self.logs, np.zeros((1, len(self.langs)))])
+
+    def score(self, words: list[tuple[str, str]]) -> np.ndarray:
+        """A row of scores for each ``(word, script)`` by language, the best 0, none under ``-MOST``; other scripts'
+        languages have ``-2 * MOST``."""
+        nothing = len(self.at)
+        s = self.padded[[self.at.get(f"={w}", nothing) for w, _ in words]]
+        for (keys, owner), known, rows in zip(ngrams([w for w, _ in words]), self.keys, self.rows, strict=True):
+            place = np.searchsorted(known, keys)
+            found = np.where(known[place] == keys, rows[place], nothing)
+            starts = np.flatnonzero(np.diff(owner, prepend=-1))  # every word has n-grams of each size
+            s = s + np.add.reduceat(self.padded[found], starts, axis=0)
+        s = s / 3  # a letter is in three n-grams
+        every = np.ones(len(self.langs), bool)
+        may = np.array([self.scripts.get(script, every) for _, script in words])
+        top = np.where(may, s, -np.inf).max(axis=1, keepdims=True)
+        return np.where(may, np.maximum(s - top, -MOST), -2 * MOST)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -96,6 +138,26 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+#: Words whose n-grams are held at a time.
+CHUNK = 20_000
+
+
+def counted(words: list[tuple[str, str, int]]) -> Counter:
+    """How often each word (with ``=`` before it), n-gram, and letter of a script (a space before its name) is in
+    ``(word, script, times)``."""
+    out: Counter = Counter()
+    times = np.array([n for *_, n in words], np.int64)
+    for word, script, n in words:
+        out[f"={word}"] += n
+        out[f" {script}"] += n * len(word)
+    for size, (keys, owner) in zip(SIZES, ngrams([w for w, *_ in words]), strict=True):
+        distinct, place = np.unique(keys, return_inverse=True)
+        sums = np.bincount(place, times[owner], distinct.size)
+        for key, n in zip(distinct.tolist(), sums.tolist(), strict=True):
+            out[spelled(key, size)] += int(n)
+    return out
+
+
 def fit(docs: DataFrame, max_rows: int = 20_000, max_langs: int = 100, max_grams: int = 200_000, smoothing: float = 0.5) -> Model:
     """Learn from rows that have a ``lang`` and aren't held out: about ``max_rows`` of each language, those with the smallest hashes.
 
@@ -119,13 +181,10 @@ def fit(docs: DataFrame, max_rows: int = 20_000, max_langs: int = 100, max_grams
             for text, lang in zip(texts(batch), batch.column("lang").to_pylist(), strict=True):
                 words.setdefault(lang, Counter()).update(LETTERS.findall(text.decode("utf-8", "replace").lower()))
             for lang, seen in words.items():
-                grams: Counter = Counter()
-                for letters, n in seen.items():
-                    for word, script in words_of(letters):
-                        for g in grams_of(word):
-                            grams[g] += n
-                        grams[f" {script}"] += n * len(word)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
+                own = [(w, s, n) for run, n in seen.items() for w, s in words_of(run)]
+                for at in range(0, len(own), CHUNK):
+                    grams = counted(own[at : at + CHUNK])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
 
     counts = sample.mapInArrow(run, "lang string, gram string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     # a row a gram, so that all languages of a kept one come with it
@@ -161,31 +220,45 @@ def model_of(langs: list[str], counts: dict[str, dict[str, int]], rows: dict[str
 def viterbi(scores: np.ndarray) -> np.ndarray:
     """Labels of the best path over rows of scores, ``SWITCH`` less for each change; ties stay, then go to the first label.
 
-    A text of one language needs no table. The label with the largest sum is best throughout if no stretch of other
-    labels gains its switches: none within gains two, none at either end gains one.
+    The label with the largest sum, ``top``, is best but for excursions from it. At each of its words the path has not
+    lost against ``top`` since an excursion began (else it would better begin later), so it lies where the largest sum of
+    the others' gains that ends there is over 0; and it must gain its switches: two within the text, one at either end.
+    Only stretches where that can be are searched; most texts have none.
     """
     n, many = scores.shape
     top = int(scores.sum(axis=0).argmax())
+    out = np.full(n, top)
     if many == 1 or n == 1:
-        return np.full(n, top)
-    gain = np.concatenate(([0.0], np.cumsum(np.delete(scores, top, axis=1).max(axis=1) - scores[:, top])))
-    under = np.minimum.accumulate(gain)
-    if (gain - under).max() <= 2 * SWITCH and gain.max() <= SWITCH and gain[-1] - under[-1] <= SWITCH:
-        return np.full(n, top)
-    best, came = scores[0].copy(), np.zeros((n, many), np.int16)
-    stay = np.arange(many)
-    for t in range(1, n):
-        k = int(best.argmax())
-        change = best < best[k] - SWITCH
-        came[t] = np.where(change, k, stay)
-        best = np.where(change, best[k] - SWITCH, best) + scores[t]
-    out = np.empty(n, np.int64)
-    out[-1] = best.argmax()
-    for t in range(n - 1, 0, -1):
-        out[t - 1] = came[t, out[t]]
+        return out
+    total = np.cumsum(np.delete(scores, top, axis=1).max(axis=1) - scores[:, top])
+    # a text's first word comes without a switch, which counts as gained
+    gain = total - np.minimum(np.minimum.accumulate(total), -SWITCH)
+    if gain.max() <= 2 * SWITCH and gain[-1] <= SWITCH:
+        return out
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], (gain > 0).view(np.int8), [0])))).reshape(-1, 2)
+    for a, b in edges.tolist():
+        if gain[a:b].max() > 2 * SWITCH or (b == n and gain[-1] > SWITCH):
+            out[a:b] = _best_path(scores[a:b].tolist(), top, a == 0, b == n)
     return out
 
 
+def _best_path(rows: list[list[float]], top: int, begins: bool, ends: bool) -> list[int]:
+    """Labels of the best path over some rows, which comes from ``top`` and goes to it but at the ends of the text."""
+    labels = range(len(rows[0]))
+    price = [0.0 if k == top else SWITCH for k in labels]
+    best, came = [x - (0.0 if begins else p) for x, p in zip(rows[0], price, strict=True)], []
+    for row in rows[1:]:
+        k = max(labels, key=best.__getitem__)
+        bar = best[k] - SWITCH
+        came.append([k if x < bar else j for j, x in enumerate(best)])
+        best = [(bar if x < bar else x) + y for x, y in zip(best, row, strict=True)]
+    last = best if ends else [x - p for x, p in zip(best, price, strict=True)]
+    path = [max(labels, key=last.__getitem__)]
+    for back in reversed(came):
+        path.append(back[path[-1]])
+    return path[::-1]
+
+
 SPAN = StructType([StructField("lang", StringType()), *(StructField(c, LongType()) for c in ("first_word", "n_words", "n_letters"))])
 SPANS = pa.list_(pa.struct([("lang", pa.string()), *((c, pa.int64()) for c in ("first_word", "n_words", "n_letters"))]))
 ADDED = {"lang_pred": StringType(), "lang_score": DoubleType(), "lang_spans": ArrayType(SPAN)}
@@ -195,29 +268,50 @@ class Labeller:
     """Labels texts with a model; scores of words are kept, half a million at most."""
 
     def __init__(self, model: Model):
-        self.model, self.known, self.scores, self.letters = model, {}, [], []
-
-    def _rows(self, run: str) -> list[int]:
-        rows = self.known.get(run)
-        if rows is None:
-            words = words_of(run)
-            rows = self.known[run] = list(range(len(self.scores), len(self.scores) + len(words)))
-            self.scores += [self.model.score(w, s) for w, s in words]
-            self.letters += [len(w) for w, _ in words]
-        return rows
-
-    def __call__(self, text: str) -> tuple[str, float, list[dict]]:
-        """The language of most letters, the share of letters that have it, and the spans."""
-        langs = self.model.langs
-        if not langs:
-            return UNKNOWN, 0.0, []
+        self.model = model
+        self._forget()
+
+    def _forget(self) -> None:
+        # a run's row of scores, or -1 less its place among the runs that are several words or none
+        self.known: dict[str, int] = {}
+        self.several: list[list[int]] = []
+        self.scores = np.zeros((0, len(self.model.langs)))
+        self.letters = np.zeros(0, np.int64)
+
+    def _learn(self, runs: set[str]) -> None:
+        words, at = [], len(self.scores)
+        for run in runs:
+            own = words_of(run)
+            if len(own) == 1:
+                self.known[run] = at + len(words)
+            else:
+                self.known[run] = -1 - len(self.several)
+                self.several.append(list(range(at + len(words), at + len(words) + len(own))))
+            words += own
+        if words:
+            made = [self.model.score(words[k : k + CHUNK]) for k in range(0, len(words), CHUNK)]
+            self.scores = np.concatenate([self.scores, *(x + np.log(self.model.prior) * 1e-6 for x in made)])
+            self.letters = np.concatenate([self.letters, [len(w) for w, _ in words]])
+
+    def __call__(self, found: list[str]) -> list[tuple[str, float, list[dict]]]:
+        """Of each text the language of most letters, the share of letters that have it, and the spans."""
+        if not self.model.langs:
+            return [(UNKNOWN, 0.0, [])] * len(found)
         if len(self.scores) > 500_000:
-            self.known, self.scores, self.letters = {}, [], []
-        rows = [r for run in LETTERS.findall(text.lower()) for r in self._rows(run)]
-        if not rows:
+            self._forget()
+        runs = [LETTERS.findall(text.lower()) for text in found]
+        new = set().union(*runs) - self.known.keys()
+        if new:
+            self._learn(new)
+        return [self._label(np.fromiter(map(self.known.__getitem__, r), np.int64, len(r))) for r in runs]
+
+    def _label(self, rows: np.ndarray) -> tuple[str, float, list[dict]]:
+        langs = self.model.langs
+        if rows.size and rows.min() < 0:
+            rows = np.array([k for r in rows.tolist() for k in ([r] if r >= 0 else self.several[-1 - r])], np.int64)
+        if not rows.size:
             return UNKNOWN, 0.0, []
-        letters = np.array([self.letters[r] for r in rows])
-        labels = viterbi(np.array([self.scores[r] for r in rows]) + np.log(self.model.prior) * 1e-6)
+        letters, labels = self.letters[rows], viterbi(self.scores[rows])
         edges = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(rows)]
         spans = [{"lang": langs[labels[a]], "first_word": a, "n_words": b - a, "n_letters": int(letters[a:b].sum())} for a, b in zip(edges, edges[1:], strict=False)]
         by = np.bincount(labels, letters, len(langs))
@@ -238,12 +332,10 @@ def labelled(docs: DataFrame, model: Model, keep: tuple[str, ...] | None = None)
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = Labeller(sent.value)
 
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [label(t.decode("utf-8", "replace")) for t in texts(batch)]
+        for batch in slices(batches, 500, 4 << 20):
+            found = label([t.decode("utf-8", "replace") for t in texts(batch)])
             pred, score, spans = zip(*found, strict=True)
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, SPANS)], [*keep, *ADDED])
-
-        yield from per_batch(one)(batches)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, SPANS)], [*keep, *ADDED])
 
     schema = StructType([*(docs.schema[c] for c in keep), *(StructField(c, kind) for c, kind in ADDED.items())])
     return docs.mapInArrow(run, schema)

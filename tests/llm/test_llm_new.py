@@ -152,6 +152,15 @@ def test_strongest_run(spark):
     assert [r.b and tuple(r.b) for r in df.select(periodic.strongest(df.runs).alias("b")).collect()] == [(90, 31, 10), None]
 
 
+@given(st.lists(st.text("abñß你\U00020000", min_size=1, max_size=5), min_size=1, max_size=5))
+def test_ngrams_are_those_of_each_word(words):
+    for size, (keys, owner) in zip(languages.SIZES, languages.ngrams(words), strict=True):
+        ended = [w if size == 1 else f"<{w}>" for w in words]
+        want = [(w[k : k + size], n) for n, w in enumerate(ended) for k in range(len(w) - size + 1)]
+        assert [(languages.spelled(k, size), n) for k, n in zip(keys.tolist(), owner.tolist(), strict=True)] == want
+        assert [languages.numbered(g) for g, _ in want] == keys.tolist()
+
+
 def test_op13_held_out(spark):
     """Accuracy on the rows that were not learned from."""
     data = "/root/testdata/sf0.01"
@@ -171,7 +180,8 @@ def model(spark):
 
 
 def test_spans_of_mixed_text(model):
-    label = languages.Labeller(model)
+    labeller = languages.Labeller(model)
+    label = lambda text: labeller([text])[0]
     pred, score, spans = label(EN + FR * 2 + RU + "12 ½ !")
     assert pred == "fr" and 0.4 < score < 0.7
     assert [(s["lang"], s["n_words"]) for s in spans] == [("en", 12), ("fr", 24), ("ru", 9)]
