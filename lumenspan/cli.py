@@ -9,6 +9,7 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import shlex
 import sys
 from collections.abc import Callable
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.operators import audit, cases, channels, coverage, effort, gates, intervals, packs, readiness
 from lumenspan.operators.evaluate import PRODUCT_GATE
-from lumenspan.plans import report
+from lumenspan.plans import batches, report
 from lumenspan.schemas import assert_valid, violations
 from lumenspan.session import get_session
 from lumenspan.scratch import checkpointed
@@ -386,16 +387,21 @@ def sweep_channels(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def _case_set(index: DataFrame, segments: DataFrame, folder: str, a: argparse.Namespace) -> None:
-    """``index.json`` and a reference document a case in a new folder; one document at a time passes the driver."""
+    """``index.json`` and a reference document a case in a new folder."""
     os.makedirs(folder)
+    _case_documents(index, segments, folder, a)
     name = F.concat(F.lit(folder + "/"), "case_id", F.lit(".master.json"))
+    _document(manifests.document(index.withColumn("reference", name), "index", a.index_tag), "json", f"{folder}/index.json")
+
+
+def _case_documents(index: DataFrame, segments: DataFrame, folder: str, a: argparse.Namespace) -> None:
+    """A document a case; one at a time passes the driver."""
     assert_valid(index.where(F.col("case_id").rlike("/") | F.col("case_id").isin(".", "..")).select("case_id", F.lit("the case id must be a bare file name").alias("rule")))
     head = index.select("case_id").join(segments.groupBy("case_id").agg(F.max("end_ms").alias("duration_ms")), "case_id", "left")
     made = documents.master_json(segments, head.select("case_id", F.lit(a.source_language).alias("source_language"), "duration_ms"), a.tag)
     for r in made.toLocalIterator():
         with open(f"{folder}/{r['case_id']}.master.json", "w", encoding="utf-8") as f:
             f.write(r["json"])
-    _document(manifests.document(index.withColumn("reference", name), "index", a.index_tag), "json", f"{folder}/index.json")
 
 
 INDEX_TAG = arg("--index-tag", default="lumenspan-case-set-v1")
@@ -423,6 +429,36 @@ def prepare_review_cases(spark: SparkSession, a: argparse.Namespace) -> None:
             f.write(r["content"])
 
 
+COMMAND = arg("--command", dest="program", required=True, help="a program that reads {audio_file, master} and writes {segments} as JSON")
+
+
+@command("align-transcript", arg("input"), arg("audio"), COMMAND, LANGUAGE, TAG)
+def align_transcript(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A file's segments with the bounds that an aligner tells."""
+    named = spark.createDataFrame([("single", os.path.abspath(a.audio))], "case_id string, audio string")
+    after, _ = batches.aligned_cases(_one(spark, a.input), named, batches.command(shlex.split(a.program)))
+    _document(_master(spark, after, a), "json", a.output)
+
+
+@command("align-review-case-candidates", arg("index"), COMMAND, arg("--candidate-id"), arg("--attach-tag", default="lumenspan-attach-plan-v1"), LANGUAGE, TAG)
+def align_candidates(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Every candidate of a case set aligned: a document a case, the plan to attach them, and ``diagnostics`` by case."""
+    held = manifests.read(spark, a.index, "index")
+    assert_valid(held.where("candidate is null").select("case_id", F.lit("the case has no candidate").alias("rule")))
+    cand = transcripts.read(spark, held, "candidate")
+    assert_valid(violations(cand))
+    paths = held.select("case_id", F.regexp_replace("audio", "^file:/*", "/").alias("audio"))
+    after, told = batches.aligned_cases(cand, paths, batches.command(shlex.split(a.program)))
+    folder = os.path.abspath(a.output)
+    os.makedirs(folder)
+    _case_documents(held, after, folder, a)
+    stem = F.regexp_extract(F.element_at(F.split("candidate", "/"), -1), r"^(.+?)(?:\.[^.]*)?$", 1)
+    ids = F.lit(a.candidate_id) if a.candidate_id else F.concat(F.coalesce("candidate_id", stem), F.lit("-aligned"))
+    plan = held.select("case_id", "place", F.concat(F.lit(folder + "/"), "case_id", F.lit(".master.json")).alias("candidate"), ids.alias("candidate_id"))
+    _document(manifests.document(plan, "attach", a.attach_tag), "json", f"{folder}/attach-plan.json")
+    told.write.json(f"file://{folder}/diagnostics")
+
+
 @command("save-review-case-reference", arg("index"), arg("case"), arg("input"), LANGUAGE, TAG, INDEX_TAG)
 def save_case_reference(spark: SparkSession, a: argparse.Namespace) -> None:
     """The case set with one case's reference replaced, in a new folder."""
@@ -523,7 +559,7 @@ def project_export_translation(spark: SparkSession, a: argparse.Namespace) -> No
     _document(_translation(Projects(spark, os.path.abspath(a.project_root)).segments(a.project), a.tag), "json", a.output)
 
 
-WRITES_A_FILE = {prepare_review_cases, project_export_master, project_export_translation, srt_to_json, json_to_srt, export_translation, freeze_reference, slice_case, build_attach_plan, attach_candidates, build_eval_manifest, project_export_srt, attribute_channels, freeze_case_references, save_case_reference}
+WRITES_A_FILE = {align_transcript, align_candidates, prepare_review_cases, project_export_master, project_export_translation, srt_to_json, json_to_srt, export_translation, freeze_reference, slice_case, build_attach_plan, attach_candidates, build_eval_manifest, project_export_srt, attribute_channels, freeze_case_references, save_case_reference}
 
 
 def parser() -> argparse.ArgumentParser:

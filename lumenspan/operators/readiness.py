@@ -9,46 +9,12 @@ from pyspark.sql import functions as F
 STAGES = ("reference", "vad_chunking", "alignment", "channel_attribution", "text_asr")
 
 
-def stages(metrics: DataFrame) -> DataFrame:
-    """One row of metrics → ``stage, place, status, reasons``: fail if a reason holds, unknown if a metric is missing.
-
-    Metrics: review_count, same_channel_overlaps, exact_boundaries, long_segments; missed_ms; time_aligned_500ms_ratio;
-    channel_accuracy, mix_ratio; practical_cer, edit_ratio; and the limits of the product gate by their names.
-    """
-    over = lambda c, text: F.when(F.col(c) > 0, F.lit(text))
-    low = lambda c, limit: F.when(F.col(c) < F.col(limit), F.lit(f"{c} is under {limit}"))
-    high = lambda c, limit: F.when(F.col(c) > F.col(limit), F.lit(f"{c} is over {limit}"))
-    tests: dict[str, tuple[list[Column], list[str]]] = {
-        "reference": ([over("review_count", "review flags remain"), over("same_channel_overlaps", "same-channel overlaps remain"), over("exact_boundaries", "exact-boundary overlaps remain"), over("long_segments", "long segments remain")], ["review_count"]),
-        "vad_chunking": ([over("missed_ms", "reference speech is missed")], ["missed_ms"]),
-        "alignment": ([low("time_aligned_500ms_ratio", "min_500ms_ratio")], ["time_aligned_500ms_ratio"]),
-        "channel_attribution": ([low("channel_accuracy", "min_channel_accuracy"), high("mix_ratio", "max_mix_ratio")], ["channel_accuracy"]),
-        "text_asr": ([high("practical_cer", "max_practical_cer"), high("edit_ratio", "max_edit_ratio")], ["practical_cer"]),
-    }
-    rows = []
-    for at, name in enumerate(STAGES):
-        reasons, needed = tests[name]
-        held = F.array_compact(F.array(*reasons))
-        missing = F.greatest(*[F.col(c).isNull() for c in needed], F.lit(False))
-        status = F.when(F.size(held) > 0, F.lit("fail")).when(missing, F.lit("unknown")).otherwise(F.lit("pass"))
-        rows.append(F.struct(F.lit(name).alias("stage"), F.lit(at).alias("place"), status.alias("status"), F.array_join(held, "; ").alias("reasons")))
-    return metrics.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
-
-
 def next_stage(found: DataFrame) -> DataFrame:
     """The first failing stage, else the first unknown one; no row if all pass."""
     rank = F.when(F.col("status") == "fail", F.lit(0)).otherwise(F.lit(1))
     return found.where("status <> 'pass'").agg(F.min_by("stage", F.struct(rank, "place")).alias("next_stage")).where("next_stage is not null")
 
 
-def case_status(cases: DataFrame, segments: DataFrame) -> DataFrame:
-    """By case: segments, flagged ones, flagged time, and the first flagged in document order; missing ones are listed."""
-    length = F.when(F.col("needs_review"), F.col("end_ms") - F.col("start_ms"))
-    held = segments.groupBy("case_id").agg(F.count("*").alias("segments"), F.sum(F.col("needs_review").cast("long")).alias("review_count"), F.coalesce(F.sum(length), F.lit(0)).alias("review_duration_ms"), F.min_by("id", F.when(F.col("needs_review"), F.col("ord"))).alias("first_review_id"))
-    out = cases.select("case_id").distinct().join(held, "case_id", "left")
-    return out.withColumn("status", F.when(F.col("segments").isNull(), F.lit("missing")).when(F.col("review_count") > 0, F.lit("review")).otherwise(F.lit("ready")))
-
-
 def _found(name: str, row: DataFrame, reasons: list[Column], warnings: list[Column] = ()) -> DataFrame:
     """A stage's row from its report's one row; no row in the report: unknown."""
     text = lambda xs: F.array_compact(F.array(*xs)) if xs else F.array().cast("array<string>")

@@ -430,24 +430,32 @@ def gate_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(spark, sf_dir).select("case_id", F.array_join(evaluate.gate_failures(), "; ").alias("failures"))
 
 
-@query(AUD + COVER.replace(", cv as", ", cv as") + """, m as (select (select sum(review_count) from au) as rc, (select sum(same_channel_overlap_pair_count) from au) as sc, (select sum(exact_boundary_same_channel_overlap_pair_count) from au) as eb, (select sum(long_segment_count) from au) as lg, (select sum(missed_reference_duration_ms) from rep) as miss)
-  select 'reference' as stage, 0 as place, case when rc + sc + eb + lg > 0 then 'fail' else 'pass' end as status, array_to_string(list_filter([case when rc > 0 then 'review flags remain' end, case when sc > 0 then 'same-channel overlaps remain' end, case when eb > 0 then 'exact-boundary overlaps remain' end, case when lg > 0 then 'long segments remain' end], lambda x: x is not null), '; ') as reasons from m
-  union all select 'vad_chunking', 1, case when miss > 0 then 'fail' else 'pass' end, case when miss > 0 then 'reference speech is missed' else '' end from m
+@query(AUD + COVER + """, m as (select (select sum(review_count) from au) as rc, (select sum(same_channel_overlap_pair_count) from au) as sc, (select sum(exact_boundary_same_channel_overlap_pair_count) from au) as eb, (select sum(long_segment_count) from au) as lg, (select cast(sum(missed_reference_duration_ms) as bigint) from rep) as miss)
+  select 'reference' as stage, 0 as place, case when rc + sc + eb + lg > 0 then 'fail' else 'pass' end as status, array_to_string(list_filter([case when rc > 0 then 'review flags remain: ' || rc end, case when sc > 0 then 'same-channel overlaps remain: ' || sc end,
+    case when eb > 0 then 'exact-boundary overlaps remain: ' || eb end, case when lg > 0 then 'long segments remain: ' || lg end], lambda x: x is not null), '; ') as reasons from m
+  union all select 'vad_chunking', 1, case when miss > 0 then 'fail' else 'pass' end, case when miss > 0 then 'reference speech is missed (ms): ' || miss else '' end from m
   union all select 'alignment', 2, 'unknown', '' union all select 'channel_attribution', 3, 'unknown', '' union all select 'text_asr', 4, 'unknown', ''""")
 def readiness_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With an audit and a coverage report given, and no evaluation."""
-    found = audit.suite(_audited(spark, sf_dir)).select(F.col("review_count"), F.col("same_channel_overlap_pair_count").alias("same_channel_overlaps"), F.col("exact_boundary_same_channel_overlap_pair_count").alias("exact_boundaries"), F.col("long_segment_count").alias("long_segments"))
-    missed = coverage.suite(coverage.coverage(*carrier(spark, sf_dir))).select(F.col("missed_reference_duration_ms").alias("missed_ms"))
-    none = [F.lit(None).cast("double").alias(c) for c in ("time_aligned_500ms_ratio", "channel_accuracy", "mix_ratio", "practical_cer", "edit_ratio")]
-    limits = [F.lit(v).alias(k) for k, v in evaluate.PRODUCT_GATE.items()]
-    return readiness.stages(found.crossJoin(missed).select("*", *none, *limits))  # one row each
+    """With an audit and a coverage comparison given, and no evaluation."""
+    found = coverage.ranked(coverage.suite(coverage.coverage(*carrier(spark, sf_dir))).withColumn("label", F.lit("suite")))
+    rows = readiness.assembled(spark, audit=audit.suite(_audited(spark, sf_dir)), coverage=found)
+    return rows.select("stage", "place", "status", F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query(DUCK + """, h as (select case_id, count(*) as segments, count(*) filter (needs_review) as review_count, cast(coalesce(sum(end_ms - start_ms) filter (needs_review), 0) as bigint) as review_duration_ms, arg_min(id, ord) filter (needs_review) as first_review_id from cand group by case_id)
-  select c.case_id, segments, review_count, review_duration_ms, first_review_id, case when segments is null then 'missing' when review_count > 0 then 'review' else 'ready' end as status from (select distinct case_id from ref) c left join h using (case_id)""")
+@query(DUCK + """, rc as (select case_id, count(*) as n, count(*) filter (needs_review) as k, cast(coalesce(sum(end_ms - start_ms) filter (needs_review), 0) as bigint) as ms, arg_min(id, ord) filter (needs_review) as first_review_id from ref group by case_id),
+  cc as (select case_id, count(*) as n, count(*) filter (needs_review) as k from cand group by case_id)
+  select rc.case_id, rc.n as reference_segments, rc.k as reference_review_count, rc.ms as reference_review_duration_ms, first_review_id, cc.n as candidate_segments, rc.case_id % 2 as missing_file_count,
+    array_to_string(list_filter([case when rc.case_id % 2 = 1 then 'audio file is missing: ' || rc.case_id || '.wav' end, case when rc.n <> cc.n then 'reference has ' || rc.n || ' segments, the index ' || cc.n end,
+      case when rc.k <> cc.k then 'reference has ' || rc.k || ' review_count, the index ' || cc.k end], lambda x: x is not null), '; ') as issues from rc left join cc using (case_id)""")
 def case_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that has the candidates' counts, and the audio of every second case alone, against the references."""
     ref, cand = carrier(spark, sf_dir)
-    return readiness.case_status(ref, cand)
+    named = ref.select("case_id").distinct().join(cases.counts(cand).select("case_id", "segments", "review_count"), "case_id", "left")
+    path = lambda ending: F.concat(F.col("case_id").cast("string"), F.lit(ending))
+    index = named.select("*", path(".wav").alias("audio"), path(".srt").alias("reference"), F.lit(None).cast("string").alias("candidate"))
+    files = index.select(F.col("reference").alias("path")).unionByName(index.where("case_id % 2 = 0").select(F.col("audio").alias("path")))
+    found = cases.status(index, files, ref, cand)
+    return found.select("case_id", "reference_segments", "reference_review_count", "reference_review_duration_ms", "first_review_id", "candidate_segments", "missing_file_count", F.array_join("issues", "; ").alias("issues"))
 
 
 LEVELS = DUCK + """, lv as (select *, -20.0::double - (case_id * 7 + ord * 11) % 40 as l, -20.0::double - (case_id * 5 + ord * 13) % 40 as r from cand)"""

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenspan.sources.audio import opened
+
 #: Format tags of master documents end so.
 MASTER = "-master-v1"
 SEGMENTS = "array<struct<id: string, start_ms: variant, end_ms: variant, channel: string, kind: string, text: string, needs_review: variant>>"
@@ -63,10 +70,26 @@ def audio_map(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("case_id", resolved(F.col("folder"), F.col("audio")).alias("audio"))
 
 
-def snapshot_digest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``path, sha256, size_bytes`` of each file under a folder, and the root digest over them by path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def snapshot_digest(spark: SparkSession, path: str, chunk: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
+    """``path, sha256, size_bytes`` of each file under a folder, and the root digest over them by path.
+
+    Spark lists the files without their content; a task hashes a file by reads of ``chunk`` bytes, so files of any size
+    take no more memory than that. Every file is a task of its own.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     root = path.rstrip("/") + "/"
-    each = files.select(F.substring_index("path", root, -1).alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                digest, at = hashlib.sha256(), 0
+                with opened(unquote(name)) as f:
+                    while data := f.read_at(chunk, at):
+                        digest.update(data)
+                        at += len(data)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([digest.hexdigest()]), pa.array([at], pa.int64())], ["path", "sha256", "size_bytes"])
+
+    hashed = files.repartition(F.col("path")).mapInArrow(run, "path string, sha256 string, size_bytes long")
+    each = hashed.withColumn("path", F.substring_index("path", root, -1))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda x: F.concat(x.path, F.lit("\0"), x.sha256, F.lit("\0")))
     return each, each.agg(F.sha2(F.array_join(lines, ""), 256).alias("root_sha256"), F.count("*").alias("files"))
