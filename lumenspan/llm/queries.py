@@ -107,28 +107,49 @@ def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the machine, fitted to the labelled rows among these documents, doesn't call toxic."""
+    """Documents that the machine, fitted to the labelled rows among these documents, doesn't call toxic.
+
+    Null and empty texts score the bias alone, repeated rows keep a row each, null ids have no label; without labels or
+    documents nothing is called toxic. The result has the columns of ``docs``, whatever their names.
+    """
     machine = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.scores(docs, machine).where("tox_score < 0.5").select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and aren't depleted, without the lines over the limits."""
+    """Documents that pass the base rules and aren't depleted, without the lines over the limits.
+
+    Null, empty and short texts fail the base rules and go; null sources are a host of their own; equal texts count once
+    for a line. Repeated rows keep a row each; an empty table gives an empty one, with the columns of ``docs``.
+    """
     return line_quality.kept_documents(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near duplicates."""
+    """The document with the smallest id of each class of near duplicates.
+
+    Null and empty texts are one class; of rows that tie in id and text one stays, unlike texts under one id are
+    documents of their own, and a null id is the smallest of none but itself. An empty table gives an empty one, with
+    the columns of ``docs``.
+    """
     return near_simhash.representatives(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it: none, once, or a row for each time up to three.
+
+    Null and empty texts have size 0 and null sources are a source of their own; documents whose hashes tie are taken
+    together or not at all. An empty table gives an empty one, with the columns of ``docs``.
+    """
     return mixing.mixed_documents(docs)
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document."""
+    """Token ids of each document, with its ``doc_id``, ``lang`` and ``source``.
+
+    Null and empty texts have no ids; repeated rows keep a row each; an empty table gives an empty one. Other columns
+    are left out, so none can clash.
+    """
     return pieces.encoded(docs, tokenizer_file("piece_bpe_32k.model"), keep=("doc_id", "lang", "source"))
 
 

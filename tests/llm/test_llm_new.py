@@ -221,3 +221,42 @@ def test_model_bounds(spark):
     whole, some = languages.fit(docs), languages.fit(docs, max_rows=30)
     count = lambda m: np.exp(m.logs[m.at["=the"]])
     assert whole.langs == some.langs == ["en", "fr"] and count(whole)[0] == pytest.approx(count(some)[0], rel=0.1)
+
+
+def folder_of(spark, path, docs, labels):
+    docs.write.parquet(f"{path}/documents.parquet")
+    labels.write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.run(spark, folder_of(spark, tmp_path, docs, spark.createDataFrame([], LABELS))).count() == 0
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, empties, repeats, one long text, ids that repeat, and columns named like the stages' own."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    vocabulary = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "ro", "su") for b in ("ta", "ve", "xo", "yu", "zi", "ba", "de")]
+    text = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    same, long = text(60), text(30_000)
+    texts = [None, "", " \n", same, same, same + " tail", long, *(text(40) for _ in range(20))]
+    rows = [(k, t, "s" if k % 3 else None) for k, t in enumerate(texts)] + [(None, text(50), "s"), (7, texts[7], "s"), (8, text(45), None)]
+    names = ["ids", "mix_size", "_id", "tox_score", "removed", "class", "parity"]
+    docs = spark.createDataFrame([(i, t, None, s, None, *range(len(names))) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in names))
+    path = folder_of(spark, tmp_path, docs, spark.createDataFrame([(3, 1, 0), (9, None, None), (None, 1, 1)], LABELS))
+    held = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        held = stage(spark, held, path)
+        assert held.columns == docs.columns, name
+        held = held.cache()
+        if name == "SimHash near-dedup":  # empty texts and copies are gone, clean ones stay
+            assert {r.doc_id for r in held.collect()} == {3, 6, None, *range(7, len(texts))}
+    assert corpus_pipeline.run(spark, path).count() == held.count()
