@@ -23,22 +23,25 @@ def score_of(reasons: Column, weights: dict[str, float]) -> Column:
 
 
 def compared_sides(ref: DataFrame, cand: DataFrame, normal=practical) -> DataFrame:
-    """Rows of :func:`matching.sides`, flattened, with their ``start_delta_ms, end_delta_ms`` and ``text_distance``.
+    """Rows of :func:`matching.sides`, flattened, with their ``start_delta_ms, end_delta_ms``, whether their
+    ``text_differs``, and ``text_distance``.
 
-    ``normal`` is the text form that pairs are compared in, each side once; time ranges are joined once.
+    ``normal`` is the text form that pairs are compared in, each side once; time ranges are joined once. Nothing but the
+    score reads the distance, so what counts or filters by reasons doesn't compute it.
     """
     with_norm = lambda df: df.withColumn("norm", normal(F.col("text")))
     rows = flat(sides(with_norm(ref), with_norm(cand)))
     pair = (F.col("side") == 0) & F.col("met")
     start, end = F.col("cand_start_ms") - F.col("ref_start_ms"), F.col("cand_end_ms") - F.col("ref_end_ms")
-    return rows.withColumns({"start_delta_ms": F.when(pair, start), "end_delta_ms": F.when(pair, end), "text_distance": F.when(pair, F.levenshtein("ref_norm", "cand_norm")).otherwise(F.lit(0)).cast("long")})
+    differs = F.coalesce(F.col("ref_norm") != F.col("cand_norm"), F.lit(False))
+    return rows.withColumns({"start_delta_ms": F.when(pair, start), "end_delta_ms": F.when(pair, end), "text_differs": pair & differs, "text_distance": F.when(pair & differs, F.levenshtein("ref_norm", "cand_norm")).otherwise(F.lit(0)).cast("long")})
 
 
 def reasoned(rows: DataFrame) -> DataFrame:
     """Rows of :func:`compared_sides` with their ``reasons`` (none: an empty array); channels may have been changed."""
     pair = (F.col("side") == 0) & F.col("met")
     late = (F.abs("start_delta_ms") > TIMING_MS) | (F.abs("end_delta_ms") > TIMING_MS)
-    of_pair = F.array_compact(F.array(F.when(F.col("text_distance") > 0, F.lit("text")), F.when(F.col("ref_channel") != F.col("cand_channel"), F.lit("channel")), F.when(late, F.lit("timing"))))
+    of_pair = F.array_compact(F.array(F.when(F.col("text_differs"), F.lit("text")), F.when(F.col("ref_channel") != F.col("cand_channel"), F.lit("channel")), F.when(late, F.lit("timing"))))
     alone = F.when(~F.col("met"), F.array(F.when(F.col("side") == 0, F.lit("missing_reference")).otherwise(F.lit("extra_candidate")))).otherwise(F.array().cast("array<string>"))
     return rows.withColumn("reasons", F.when(pair, of_pair).otherwise(alone))
 

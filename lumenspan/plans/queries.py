@@ -12,7 +12,7 @@ from lumenspan.functions import text as T
 from lumenspan.operators import audit, cases, channels, comparison, coverage, effort, evaluate, gates, intervals, matching, packs, readiness
 from lumenspan.plans import report
 from lumenspan.scratch import folder
-from lumenspan.sources import reviews, srt
+from lumenspan.sources import detections, documents, reviews, srt
 from lumenspan.sources.carrier import DUCK, LETTERS, STAND_INS, carrier
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -704,3 +704,65 @@ def model_output_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = carrier(spark, sf_dir)[0].groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", item.alias("s")))), lambda x: x.s).alias("segments"))
     content = F.concat(F.lit("```json\n"), F.to_json(F.struct("segments")), F.lit("\n```"))
     return model_output.model_segments(held.select("case_id", content.alias("content"))).drop("id")
+
+
+@query(LEVELS + f""", d as (select case_id, channel, {SIDE.format(t='8.0', q='-40.0')} as side from lv where text <> '' and channel in ('L', 'R')),
+  n as (select case_id, count(*) as segments, count(*) filter (side = channel) as match, count(*) filter (side <> channel and side <> 'MIX') as mismatch, count(*) filter (side = 'MIX') as uncertain from d group by case_id)
+  select *, match + mismatch as energy_labeled_count, case when match + mismatch > 0 then match / (match + mismatch) end as match_ratio from n""")
+def channel_reference_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = channels.summary(channels.reference_audit(_levels(spark, sf_dir)), "case_id")
+    return found.select("case_id", "segments", "match", "mismatch", "uncertain", "energy_labeled_count", "match_ratio")
+
+
+@query(DUCK + """, l as (select unnest(['first', 'second']) as label), dt as (select 'first' as label, case_id, start_ms, end_ms from cand union all select 'second', case_id, start_ms, end_ms from cand2),
+  ev as (select label, case_id, start_ms as t, 1 as da, 0 as db from ref cross join l union all select label, case_id, end_ms, -1, 0 from ref cross join l union all select label, case_id, start_ms, 0, 1 from dt union all select label, case_id, end_ms, 0, -1 from dt),
+  es as (select label, case_id, t, sum(da) as da, sum(db) as db from ev group by all),
+  sw as (select label, case_id, t as a, lead(t) over (partition by label, case_id order by t) as b, sum(da) over (partition by label, case_id order by t rows unbounded preceding) > 0 as ia, sum(db) over (partition by label, case_id order by t rows unbounded preceding) > 0 as ib from es),
+  k as (select *, case when ia and not ib then 'missed' when ib and not ia then 'extra' end as kind from sw where b is not null),
+  g as (select *, lag(kind) over (partition by label, case_id order by a) as kind_before, coalesce(lag(ia) over (partition by label, case_id order by a), false) as ia_before from k),
+  s as (select label, count(distinct case_id) as case_count, cast(coalesce(sum(b - a) filter (ia), 0) as bigint) as r, cast(coalesce(sum(b - a) filter (ib), 0) as bigint) as d, cast(coalesce(sum(b - a) filter (ia and ib), 0) as bigint) as o,
+    count(*) filter (kind = 'missed' and kind_before is distinct from kind) as missed_reference_interval_count, count(*) filter (kind = 'extra' and kind_before is distinct from kind) as extra_detected_interval_count, count(*) filter (ia and not ia_before) as reference_interval_count from g group by label),
+  c as (select label, count(*) as detected_interval_count, max(end_ms - start_ms) as detected_max_interval_ms from dt group by label),
+  z as (select label, case_count, r as reference_speech_duration_ms, d as detected_speech_duration_ms, o as overlap_duration_ms, r - o as missed_reference_duration_ms, d - o as extra_detected_duration_ms, detected_interval_count, detected_max_interval_ms, d / detected_interval_count as detected_mean_interval_ms,
+    o / r as reference_recall, o / d as detected_precision, missed_reference_interval_count, extra_detected_interval_count, reference_interval_count, (select count(*) from ref) as reference_segment_count, (select cast(sum(ms) as bigint) from (select max(end_ms) as ms from ref group by case_id)) as audio_duration_ms from s join c using (label))
+  select *, row_number() over (order by missed_reference_duration_ms, extra_detected_duration_ms, reference_recall desc, detected_precision desc, label) as rank from z""")
+def coverage_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two candidates' segments as detected intervals, side by side and ranked."""
+    (ref, cand), (_, other) = carrier(spark, sf_dir), carrier(spark, sf_dir, second=True)
+    return coverage.compared(ref, ref.groupBy("case_id").agg(F.max("end_ms").alias("duration_ms")), {"first": cand, "second": other})
+
+
+RX2 = RX.replace("rx", "rx2").replace("cx", "cx2").replace("from cand where", "from cand2 where").replace("\n  b as", "\n  b2 as").replace("from b)", "from b2)").replace("\n  e as", "\n  e2 as")
+
+
+def _suite_row(label: str, n: str) -> str:
+    """Gated metrics of one candidate's suite, in SQL."""
+    return f"""select '{label}' as label, (select sum(edit_distance) / greatest(1, sum(reference_characters)) from e{n}) as practical_cer, (select count(*) from items{n}) / greatest(1, (select count(*) from ref) + (select count(*) from more{n})) as edit_ratio,
+      sum((abs(rs - cs) <= 500)::int + (abs(re - ce) <= 500)::int) / (2 * count(*)) as time_aligned_500ms_ratio, count(*) filter (rc in ('L','R') and cc = rc) / count(*) filter (rc in ('L','R') and cc in ('L','R')) as channel_accuracy, count(*) filter (cc = 'MIX') / count(*) as mix_ratio,
+      (select count(*) filter (needs_review) / greatest(1, count(*)) from cand{n}) as review_ratio from pairs{n}"""
+
+
+@query(ITEMS + SECOND + RX + RX2 + f""", u as ({_suite_row("first", "")} union all {_suite_row("second", "2")})
+  select *, row_number() over (order by edit_ratio, practical_cer, time_aligned_500ms_ratio desc, channel_accuracy desc, label) as rank from u""")
+def eval_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two candidates' suites, ranked."""
+    (ref, cand), (_, other) = carrier(spark, sf_dir), carrier(spark, sf_dir, second=True)
+    return report.compared({"first": report.suite(ref, cand), "second": report.suite(ref, other)}).select("label", *report.GATED, "rank")
+
+
+@query(DUCK + " select case_id::varchar as case_id, row_number() over (partition by case_id order by ord) - 1 as ord, id, start_ms, end_ms, channel, kind, text, needs_review from ref")
+def master_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments as master documents, read back."""
+    ref = carrier(spark, sf_dir)[0].withColumn("case_id", F.col("case_id").cast("string"))
+    heads = ref.groupBy("case_id").agg(F.max("end_ms").alias("duration_ms")).withColumn("source_language", F.lit("ja"))
+    return documents.parse_masters(documents.master_json(ref, heads, "lumenspan-master-v1").select("case_id", F.col("json").alias("value")))
+
+
+@query(DUCK + """, r as (select case_id, ord, start_ms, end_ms, max(end_ms) over (partition by case_id order by ord rows between unbounded preceding and 1 preceding) as before, (select max(end_ms) - 500 from ref x where x.case_id = c.case_id) as dur from cand c)
+  select case_id::varchar as case_id, 'interval is empty, unsorted or overlaps' as rule, count(*) as n from r where end_ms <= start_ms or start_ms < before group by case_id union all select case_id::varchar, 'an interval ends after the audio', count(*) from r where end_ms > dur group by case_id""")
+def detection_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates as a detector's intervals, of audio half a second shorter than the references."""
+    ref, cand = carrier(spark, sf_dir)
+    text = F.col("case_id").cast("string").alias("case_id")
+    heads = ref.groupBy(text).agg((F.max("end_ms") - 500).alias("duration_ms"))
+    return detections.problems(cand.select(text, F.col("ord").alias("index"), "start_ms", "end_ms"), heads).groupBy("case_id", "rule").agg(F.count("*").alias("n"))
