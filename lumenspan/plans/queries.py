@@ -389,6 +389,23 @@ def srt_parse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return srt.parse(srt.formatted(spoken)).select("case_id", "ord", "start_ms", "end_ms", "channel", "text", "problem")
 
 
+@query(DUCK + """, n as (select *, ord % 5 as k, row_number() over (partition by case_id order by ord) as i from ref where trim(text) <> '')
+  select case_id, i as ord, case when k < 3 then start_ms end as start_ms, case when k < 3 then end_ms end as end_ms, case k when 1 then 'L' when 2 then 'R' else 'MIX' end as channel, trim(text) as text,
+    case k when 3 then 'the timing line isn''t valid' when 4 then 'a cue must end after it starts' end as problem from n""")
+def srt_parse_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cues without numbers, with labels, other line ends and points, without times, and that run backwards."""
+    k, start, end = F.col("ord") % 5, srt.timestamp(F.col("start_ms")), srt.timestamp(F.col("end_ms"))
+    arrow = lambda a, b: F.concat(a, F.lit(" --> "), b)
+    point = lambda x: F.replace(x, F.lit(","), F.lit("."))
+    timing = F.when(k == 2, arrow(point(start), point(end))).when(k == 3, F.lit("soon")).when(k == 4, arrow(end, start)).otherwise(arrow(start, end))
+    number = F.when(k == 0, F.lit("")).otherwise(F.concat((F.col("ord") + 1).cast("string"), F.lit("\n")))
+    label = F.when(k == 1, F.lit("[L] ")).when(k == 2, F.lit("[SPEAKER_1][r]")).otherwise(F.lit(""))
+    cue = F.concat(number, timing, F.when(k == 1, F.lit("\r\n")).otherwise(F.lit("\n")), label, F.col("text"))
+    held = carrier(spark, sf_dir)[0].where("trim(text) <> ''").groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("ord", cue.alias("cue")))).alias("xs"))
+    content = F.array_join(F.transform("xs", lambda x: x.cue), "\n\n")
+    return srt.parse(held.select("case_id", content.alias("content"))).select("case_id", "ord", "start_ms", "end_ms", "channel", "text", "problem")
+
+
 @query(DUCK + """ select case_id, id, 'missing' as rule from (select case_id, id from ref except select case_id, id from cand) union all select case_id, id, 'unknown' from (select case_id, id from cand except select case_id, id from ref)
   union all select case_id, id, 'repeated' from cand group by case_id, id having count(*) > 1""")
 def translation_bijection(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,8 @@ def parse(documents: DataFrame) -> DataFrame:
     text = F.array_join(F.concat(F.array(F.regexp_replace(first, LABELS, "")), others), "\n")
     sides = F.regexp_extract_all(F.upper(labels), F.lit(r"\[(L|R)(?::[A-Z0-9_:-]*)?\]"), F.lit(1))
     problem = F.when(F.size("lines") < 2, F.lit("a cue needs timing and text")).when(~line.rlike(TIMING), F.lit("the timing line isn't valid"))
+    backwards = milliseconds(line, 5) <= milliseconds(line, 1)
+    problem = F.when(problem.isNotNull(), problem).when(backwards, F.lit("a cue must end after it starts"))
     known = problem.isNull()
     made = cues.select("case_id", (F.col("at") + 1).cast("long").alias("ord"), F.when(known, milliseconds(line, 1)).alias("start_ms"), F.when(known, milliseconds(line, 5)).alias("end_ms"), F.coalesce(F.try_element_at(sides, F.lit(-1)), F.lit("MIX")).alias("channel"), F.btrim(text, F.lit(" \t\n\r\x0b\x0c")).alias("text"), problem.alias("problem"))
     return made.select("case_id", "ord", segment_id("ord").alias("id"), "start_ms", "end_ms", "channel", F.lit("speech").alias("kind"), "text", F.lit(False).alias("needs_review"), "problem")

@@ -190,6 +190,12 @@ def test_srt_of_impossible_times_is_a_problem(spark, line):
     assert row.problem == "the timing line isn't valid" and row.start_ms is None and row.end_ms is None
 
 
+@pytest.mark.parametrize("line", ["00:00:05,000 --> 00:00:02,000", "00:00:05,000 --> 00:00:05,000"])
+def test_srt_cues_must_end_after_they_start(spark, line):
+    (row,) = srt.parse(spark.createDataFrame([("a", line + "\nx")], "case_id string, content string")).collect()
+    assert row.problem == "a cue must end after it starts" and row.start_ms is None and row.end_ms is None
+
+
 def test_masters(spark, tmp_path):
     (tmp_path / "a.master.json").write_text('{"format": "timed-master-v1", "segments": [{"id": "seg_000001", "start_ms": 0, "end_ms": 5, "channel": "L", "kind": "speech", "text": "x", "needs_review": true}]}')
     assert [tuple(r) for r in documents.read_masters(spark, str(tmp_path)).collect()] == [("a", 0, "seg_000001", 0, 5, "L", "speech", "x", True)]
