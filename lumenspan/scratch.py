@@ -37,13 +37,13 @@ def folder(spark: SparkSession, name: str) -> str:
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
         _FOLDERS[app] = []
-        atexit.register(_release, spark)
+        atexit.register(_release, spark, app)
     _FOLDERS[app].append(f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}")
     return _FOLDERS[app][-1]
 
 
-def _release(spark: SparkSession) -> None:
-    for uri in _FOLDERS.pop(spark.sparkContext.applicationId or "", []):
+def _release(spark: SparkSession, app: str) -> None:
+    for uri in _FOLDERS.pop(app, []):
         try:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
