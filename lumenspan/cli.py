@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.operators import audit, cases, channels, coverage, effort, gates, intervals, packs, readiness
 from lumenspan.operators.evaluate import PRODUCT_GATE
-from lumenspan.plans import batches, report
+from lumenspan.plans import batches, report, workflow
 from lumenspan.schemas import assert_valid, violations
 from lumenspan.session import get_session
 from lumenspan.scratch import checkpointed
@@ -540,7 +540,47 @@ def project_show(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 def project_analyze(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     store = Projects(spark, os.path.abspath(a.project_root))
     store.analyse(a.project)
-    return store.table("chunks").where(F.col("project_id") == a.project).orderBy("index")
+    return store.chunks(a.project).withColumnRenamed("case_id", "project_id").orderBy("index")
+
+
+HEARD = [arg("--command", dest="program", required=True, help="a program that reads a clip as WAV, its channel as last argument, and writes {segments} as JSON"), arg("--hears-mix", action="store_true", help="give it the mix, cut by energy, and attribute sides after"), arg("--max-chunk-ms", type=int)]
+
+
+def _model(a: argparse.Namespace) -> workflow.Model:
+    return workflow.Model(workflow.program(shlex.split(a.program)), a.hears_mix, a.max_chunk_ms)
+
+
+@command("project-transcribe", arg("project"), *HEARD, ROOT)
+def project_transcribe(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """A project's analysed audio as its segments."""
+    store = Projects(spark, os.path.abspath(a.project_root))
+    store.save_segments(a.project, checkpointed(workflow.transcribed(store.channels(a.project), store.chunks(a.project), _model(a))))
+    return store.segments(a.project).orderBy("ord")
+
+
+@command("project-retranscribe", arg("project"), arg("--segment", action="append", required=True), *HEARD, ROOT)
+def project_retranscribe(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Some of a project's segments heard again; ids that it doesn't have are an error."""
+    store = Projects(spark, os.path.abspath(a.project_root))
+    held, wanted = store.segments(a.project), spark.createDataFrame([(a.project, x) for x in dict.fromkeys(a.segment)], "case_id string, id string")
+    assert_valid(wanted.join(held, ["case_id", "id"], "left_anti").select("case_id", F.concat(F.lit("the project has no segment "), "id").alias("rule")))
+    store.save_segments(a.project, checkpointed(workflow.retranscribed(held, store.channels(a.project), wanted, _model(a))))
+    return store.segments(a.project).orderBy("ord")
+
+
+@command("transcribe-review-case-candidates", arg("index"), *HEARD, arg("--candidate-id", required=True), arg("--attach-tag", default="lumenspan-attach-plan-v1"), LANGUAGE, TAG)
+def transcribe_candidates(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Every case's audio as a candidate: a document a case, the plan to attach them, and rows under ``work``, from
+    which a command that was stopped goes on."""
+    held = manifests.read(spark, a.index, "index")
+    folder = os.path.abspath(a.output)
+    os.makedirs(folder, exist_ok=True)
+    work = f"file://{folder}/work"
+    batches.transcribed_cases(held.select("case_id", "audio"), _model(a), work)
+    named = held.withColumn("case_id", F.col("case_id").cast("string"))
+    _case_documents(named, batches.candidate_segments(spark, work), folder, a)
+    plan = named.select("case_id", "place", F.concat(F.lit(folder + "/"), "case_id", F.lit(".master.json")).alias("candidate"), F.lit(a.candidate_id).alias("candidate_id"))
+    _document(manifests.document(plan, "attach", a.attach_tag), "json", f"{folder}/attach-plan.json")
 
 
 @command("project-export-srt", arg("project"), ROOT)
@@ -559,7 +599,7 @@ def project_export_translation(spark: SparkSession, a: argparse.Namespace) -> No
     _document(_translation(Projects(spark, os.path.abspath(a.project_root)).segments(a.project), a.tag), "json", a.output)
 
 
-WRITES_A_FILE = {align_transcript, align_candidates, prepare_review_cases, project_export_master, project_export_translation, srt_to_json, json_to_srt, export_translation, freeze_reference, slice_case, build_attach_plan, attach_candidates, build_eval_manifest, project_export_srt, attribute_channels, freeze_case_references, save_case_reference}
+WRITES_A_FILE = {transcribe_candidates, align_transcript, align_candidates, prepare_review_cases, project_export_master, project_export_translation, srt_to_json, json_to_srt, export_translation, freeze_reference, slice_case, build_attach_plan, attach_candidates, build_eval_manifest, project_export_srt, attribute_channels, freeze_case_references, save_case_reference}
 
 
 def parser() -> argparse.ArgumentParser:

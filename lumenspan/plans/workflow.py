@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import subprocess
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -40,6 +42,28 @@ class Model:
     energy: Energy = Energy()
 
 
+def program(argv: list[str]) -> Callable[[bytes, str], list[dict]]:
+    """A hook that is a program: it takes the channel as its last argument and a clip as WAV, and writes
+    ``{"segments": [{"start_ms", "end_ms", "text"}]}`` in the clip's own time. Failures and other output raise."""
+    if not argv:
+        raise ValueError("a transcription command is needed")
+
+    def hook(content: bytes, channel: str) -> list[dict]:
+        done = subprocess.run([*argv, channel], input=content, capture_output=True, check=False)  # noqa: S603 - the user's own program
+        if done.returncode:
+            raise ValueError(f"the transcription command failed: {done.stderr.decode(errors='replace').strip() or 'no message'}")
+        try:
+            said = json.loads(done.stdout)["segments"]
+        except (ValueError, KeyError, TypeError) as e:
+            raise ValueError(f"the transcription command's output can't be read: {e}") from None
+        whole = lambda x: isinstance(x, int) and not isinstance(x, bool)
+        if not isinstance(said, list) or not all(isinstance(x, dict) and whole(x.get("start_ms")) and whole(x.get("end_ms")) and isinstance(x.get("text"), str) for x in said):
+            raise ValueError("the transcription command must write segments of whole times and a text")
+        return said
+
+    return hook
+
+
 def heard(audio: DataFrame, mix_first: bool) -> DataFrame:
     """Of ``case_id, channel, content``: the mix for models that take it first, else both sides, else the mix."""
     has = audio.groupBy("case_id").agg(F.collect_set("channel").alias("has"))

@@ -223,6 +223,31 @@ def test_projects_save_and_analyse(spark, tmp_path):
     assert [safe_extension(x) for x in ("a.MP3", "a", ".wav", "a.toolongending", "a.b c", "x/y.tar.gz")] == [".mp3", ".bin", ".bin", ".bin", ".bin", ".gz"]
 
 
+def test_a_save_counts_once_its_entry_is_there(spark, tmp_path):
+    store = Projects(spark, f"file://{tmp_path}/store")
+    one = store.create_from_segments(segs(spark, [(0, 10, "L", "x"), (10, 20, "R", "y")]), "ja", duration_ms=20)
+    # a save that stopped before its entry is never read
+    store._put("segments", one, segs(spark, [(0, 10, "L", "half")]))
+    assert rows(store.segments(one).orderBy("ord"), "text") == [("x",), ("y",)] and store.summary().first().segments == 2
+    # a reader that has begun keeps what it read through a save; older versions go
+    began = store.segments(one)
+    store.save_segments(one, began.withColumn("text", F.concat("text", F.lit("2"))))
+    assert rows(began.orderBy("ord"), "text") == [("x",), ("y",)]
+    versions = lambda: len(list((tmp_path / "store" / "segments" / f"project_id={one}").iterdir()))
+    assert versions() == 3
+    for _ in range(3):
+        store.save_segments(one, store.segments(one).withColumn("text", F.concat("text", F.lit("+"))))
+    assert versions() == 3 and rows(store.segments(one).orderBy("ord"), "text") == [("x2+++",), ("y2+++",)]  # two and the stopped one
+    # two changes that began from the same entry: neither undoes the other's table, of one table one stays whole
+    number = store._known(one)["number"]
+    store._note(one, number + 1, segments=store._put("segments", one, segs(spark, [(0, 5, "L", "a"), (5, 9, "L", "a")])))
+    store._note(one, number + 1, duration_ms=99)
+    store._note(one, number + 1, segments=store._put("segments", one, segs(spark, [(0, 5, "L", "b"), (5, 9, "L", "b")])))
+    assert store.project(one)["duration_ms"] == 99 and store.project(one)["source_language"] == "ja"
+    assert rows(store.segments(one), "text") in ([("a",)] * 2, [("b",)] * 2)
+    assert store.table("segments").count() == 2
+
+
 def test_transcription_workflow(spark):
     def heard(content, channel):
         frames, _ = wav.decode(content)

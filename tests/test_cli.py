@@ -1,6 +1,7 @@
 """The command line, end to end in temporary folders."""
 
 import json
+import sys
 
 import numpy as np
 import pytest
@@ -98,6 +99,34 @@ def test_projects(spark, home, tmp_path, capsys):
     assert main(["project-analyze", "nope", "--project-root", root], spark) == 1
 
 
+def test_transcription_by_a_program(spark, home, tmp_path, capsys):
+    program = home("asr.py", "import sys, wave, io, json\nw = wave.open(io.BytesIO(sys.stdin.buffer.read()))\nn = w.getnframes() * 1000 // w.getframerate()\nprint(json.dumps({'segments': [{'start_ms': 0, 'end_ms': n, 'text': f'{sys.argv[-1]} {n}'}]}))\n")
+    run, root = f"{sys.executable} {program}", str(tmp_path / "store")
+    rows = lambda: [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    frames = np.full((2500, 2), 9000, np.int16)
+    audio = home("a.wav", wav.encode(frames, 1000))
+    assert main(["project-create-audio", audio, "--project-root", root], spark) == 0
+    made = rows()[0]["project_id"]
+    assert main(["project-transcribe", made, "--command", run, "--project-root", root], spark) == 1  # not analysed
+    assert main(["project-analyze", made, "--project-root", root], spark) == 0
+    capsys.readouterr()
+    assert main(["project-transcribe", made, "--command", run, "--max-chunk-ms", "2000", "--project-root", root], spark) == 0
+    got = [(r["id"], r["start_ms"], r["end_ms"], r["channel"], r["text"]) for r in rows()]
+    assert got == [("seg_000001", 0, 2000, "L", "L 2000"), ("seg_000002", 0, 2000, "R", "R 2000"), ("seg_000003", 2000, 2500, "L", "L 500"), ("seg_000004", 2000, 2500, "R", "R 500")]
+    assert main(["project-retranscribe", made, "--segment", "seg_000002", "--command", run, "--max-chunk-ms", "1500", "--project-root", root], spark) == 0
+    assert sorted((r["start_ms"], r["end_ms"], r["channel"], r["text"]) for r in rows()) == [(0, 1500, "R", "R 1500"), (0, 2000, "L", "L 2000"), (1500, 2000, "R", "R 500"), (2000, 2500, "L", "L 500"), (2000, 2500, "R", "R 500")]
+    assert main(["project-retranscribe", made, "--segment", "seg_000099", "--command", run, "--project-root", root], spark) == 1
+    assert main(["project-transcribe", made, "--command", f"{sys.executable} -c 1", "--project-root", root], spark) == 1
+    home("r.srt", REF)
+    index, out = home("index.json", json.dumps({"format": "x", "items": [{"id": c, "audio": "a.wav", "reference": "r.srt"} for c in ("p", "q")]})), tmp_path / "set"
+    assert main(["transcribe-review-case-candidates", index, "--command", run, "--candidate-id", "m", "-o", str(out)], spark) == 0
+    plan = json.loads((out / "attach-plan.json").read_text())
+    assert [(c["case_id"], c["candidate_id"]) for c in plan["candidates"]] == [("p", "m"), ("q", "m")]
+    assert [s["text"] for s in json.loads((out / "q.master.json").read_text())["segments"]] == ["L 2500", "R 2500"]
+    # a rerun hears nothing anew: a program that fails isn't called
+    assert main(["transcribe-review-case-candidates", index, "--command", f"{sys.executable} -c 1", "--candidate-id", "m", "-o", str(out)], spark) == 0
+
+
 def test_channel_commands_case_sets_and_coverage(spark, home, tmp_path, capsys):
     # the left side speaks in the first second, the right one in the rest; the second label is wrong
     frames = np.zeros((2500, 2), np.int16)
