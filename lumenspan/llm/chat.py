@@ -156,16 +156,17 @@ def formatted(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """``conv_id, at, role, text`` → ``conv_id, n_turns, formatted, loss`` a row a conversation.
 
     ``loss`` has the (start, length) in code points of each text of ``loss_role``, as it stands escaped in
-    ``formatted``. Turns stand by ``at``, ties by role and text; repeated rows are repeated turns; rows with a null
-    role are no turn. A null conv_id is a conversation of its own. A conversation's text is one value by contract.
+    ``formatted``. Turns stand by ``at``, ties by role and text; repeated rows are repeated turns; null texts are empty.
+    Rows with a null role are no turn, and a conversation without a turn has 0, an empty text and an empty mask. A null
+    conv_id is a conversation of its own. A conversation's text is one value by contract.
     """
     head = F.concat(F.lit("<|"), _coded(F.col("role")), F.lit("|>\n"))
-    parts = turns.where("role is not null").select("conv_id", "at", "role", "text", head.alias("head"), escaped(F.col("text")).alias("body"))
+    parts = turns.select("conv_id", "at", "role", "text", head.alias("head"), escaped(F.coalesce("text", F.lit(""))).alias("body"))
     parts = parts.withColumn("whole", F.concat("head", "body", F.lit(TURN_END)))
     order = Window.partitionBy("conv_id").orderBy("at", "role", "text")
     before = F.coalesce(F.sum(F.char_length("whole")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = parts.select("conv_id", F.row_number().over(order).alias("n"), "whole", F.when(F.col("role") == loss_role, F.struct((before + F.char_length("head")).alias("start"), F.char_length("body").cast("long").alias("length"))).alias("span"))
-    held = placed.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.array_sort(F.collect_list(F.struct("n", "whole", "span"))).alias("xs"))
+    held = placed.groupBy("conv_id").agg(F.count("whole").alias("n_turns"), F.array_sort(F.collect_list(F.when(F.col("whole").isNotNull(), F.struct("n", "whole", "span")))).alias("xs"))
     return held.select("conv_id", "n_turns", F.array_join(F.transform("xs", lambda x: x.whole), "").alias("formatted"), F.filter(F.transform("xs", lambda x: x.span), lambda s: s.isNotNull()).alias("loss"))
 
 

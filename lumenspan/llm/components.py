@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import remove, saved
+from lumenspan.llm.common import Scratch, remove, saved
 
 
 def _star(links: DataFrame, keep: str) -> DataFrame:
@@ -21,11 +21,12 @@ def _star(links: DataFrame, keep: str) -> DataFrame:
     return joined.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``(u long, v long)`` links, any order, repeats and loops allowed → ``(node, root)``.
 
     ``root`` is the smallest node of the component. Nodes without a link to another node give no row; null ends
-    are no link. An empty table gives an empty table.
+    are no link. An empty table gives an empty table. The result is a table that goes with ``scratch``, or with the
+    application.
     """
     ends = links.where("u is not null and v is not null and u <> v")
     now, uri = saved(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
@@ -33,6 +34,8 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if tuple(seen) == mark or not seen["n"]:
+            if scratch is not None:
+                scratch.uris.append(uri)
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = tuple(seen)
         both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.*")

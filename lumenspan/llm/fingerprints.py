@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StringType
 
 from lumenspan.llm.common import range_bounds, range_of, slices, typed, work_partitions, written
 
@@ -116,7 +117,8 @@ def within_radius(queries: DataFrame, rows: DataFrame, radius: int = 3) -> DataF
     """For each distinct ``fp`` of ``queries``, the number ``n_near`` of ``rows`` (by ``fp``) within ``radius`` bits.
 
     Equal fingerprints are counted before the search, so copies aren't expanded; each pair counts in the first table
-    that has it. Null fingerprints are no query and no row.
+    that has it. Null fingerprints are no query and no row. All rows within the radius count, none is preferred, so ties
+    don't arise; repeated queries give one row.
     """
     blocks = radius + 2
     cuts = [64 * k // blocks for k in range(blocks + 1)]
@@ -143,8 +145,15 @@ def hex_of(fp: str) -> Column:
 
 
 def searched(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """:func:`document_fingerprints`, and for rows whose id is divisible by 50 the ``n_near`` rows within ``radius``."""
+    """:func:`document_fingerprints`, and for rows whose id is divisible by 50 the ``n_near`` rows within ``radius``.
+
+    A row counts itself and its copies. Text ids are read as whole numbers; ids that are none, and null ones, ask
+    nothing (null ``n_near``), and are found like any other row. An empty table gives an empty table.
+    """
     done = written(document_fingerprints(docs), "fingerprints")
-    near = within_radius(done.where("doc_id % 50 = 0"), done, radius)
-    asked = F.when(F.col("doc_id") % 50 == 0, F.col("n_near"))
+    asks = F.coalesce(F.col("doc_id").try_cast("decimal(38,0)") % 50 == 0, F.lit(False))
+    if isinstance(docs.schema["doc_id"].dataType, StringType):
+        asks = F.col("doc_id").rlike(r"^-?[0-9]+$") & asks
+    near = within_radius(done.where(asks), done, radius)
+    asked = F.when(asks, F.col("n_near"))
     return done.join(near, "fp", "left").select("doc_id", "n_chars", "edited_sha256", hex_of("fp").alias("fingerprint"), hex_of("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", asked.alias("n_near"))

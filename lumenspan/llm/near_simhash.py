@@ -163,7 +163,10 @@ def posting_keys(radius: int) -> Column:
 
 
 def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """``fp`` → ``(u, v)`` links between distinct fingerprints, with the components of all links within ``radius``."""
+    """``fp`` → ``(u, v)`` links between distinct fingerprints, with the components of all links within ``radius``.
+
+    Repeated fingerprints are one; a null one has no links. An empty table gives an empty table.
+    """
     keys = posting_keys(radius)
     postings = fps.select("fp").distinct().select(F.explode(keys).alias("key"), "fp")
     return postings.repartition("key").sortWithinPartitions("key").mapInArrow(_posting_links(radius), "u long, v long")
@@ -178,10 +181,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     the class is null). Repeated rows keep one row each. An empty table gives an empty table.
     """
     fps = written(fingerprints(docs, shingle), "fps")
-    roots = components(near_links(fps, radius))
+    scratch = Scratch(docs.sparkSession)
+    roots = components(near_links(fps, radius), scratch)
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     joined = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = written(joined, "classes")
+    scratch.done()
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.join(names, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -513,9 +518,9 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
         those leave apart."""
         sets = sets_of(pairs)
         links = scratch.written(_verified(pairs.groupBy("v").agg(F.min("u").alias("u")), sets, similarity), "verified")
-        rest = apart(pairs, components(links))
+        rest = apart(pairs, components(links, scratch))
         links = links.unionByName(scratch.written(_verified(rest, sets, similarity), "verified"))
-        return links, components(links)
+        return links, components(links, scratch)
 
     postings = _prefix_keys(docs, shingle, similarity, common, counts)
     met = scratch.written(postings.repartition("key").sortWithinPartitions("key", "name").mapInArrow(_first_pairs(similarity), "key long, u long, v long"), "met")
@@ -528,7 +533,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     others = members.repartition("key").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "name", "block", "n", "root", "bits").mapInArrow(_other_pairs(similarity), "u long, v long")
     others = scratch.written(others.distinct(), "others")
     if not others.isEmpty():
-        roots = components(links.unionByName(linked(others)[0]))
+        roots = components(links.unionByName(linked(others)[0]), scratch)
     named = one.join(roots, F.col("name") == F.col("node"), "left")
     named = scratch.written(named.select("name", "least", F.coalesce("root", "name").alias("root")), "named")
     by_root = named.groupBy("root").agg(F.min("least").alias("component_id"))

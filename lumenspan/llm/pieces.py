@@ -167,6 +167,7 @@ class Encoder:
         self.known: dict[str, tuple[bytes, bool]] = {}
         self.parts: dict[str, tuple[bytes, bool]] = {}
         self.bad: set[str] = set()  # runs without parity
+        self.unknown = next((n for n, (_, _, kind) in enumerate(self.model.pieces) if kind == UNKNOWN), -1)
         self.table = pa.array([self._bytes_of(p, kind) for p, _, kind in self.model.pieces], pa.large_binary())
         import sentencepiece
 
@@ -210,12 +211,21 @@ class Encoder:
             return (run,)
         return head, run[len(head) :]
 
+    def _alike(self, ids: list[list[int]]) -> list[bool]:
+        """Whether the library decodes parts to the bytes that the table has for them; unknown pieces aren't compared."""
+        if not self.verify:
+            return [True] * len(ids)
+        said = self.run.decode_batch(ids, skip_special_tokens=False)
+        own = self._joined([np.array(x, "<i4") for x in ids])
+        return [self.unknown in x or t.replace(MARK, " ").encode() == b for x, t, b in zip(ids, said, own, strict=True)]
+
     def _learn(self, runs: list[str]) -> None:
         split = {r: self._split(r) for r in runs if r != "\n"}
         fresh = list({p for parts in split.values() for p in parts if p not in self.parts})
         if fresh:
-            for p, e, w in zip(fresh, *self._encode_parts(fresh), strict=True):
-                self.parts[p] = np.array(e, "<i4").tobytes(), e == w
+            got, want = self._encode_parts(fresh)
+            for p, e, w, same in zip(fresh, got, want, self._alike(got), strict=True):
+                self.parts[p] = np.array(e, "<i4").tobytes(), e == w and same
         for r, parts in split.items():
             each = [self.parts[p] for p in parts]
             self.known[r] = b"".join([x[0] for x in each]), all(x[1] for x in each)
@@ -242,13 +252,23 @@ class Encoder:
         return out
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        """UTF-8 of the texts of ids, each whole: the pieces' bytes, one after another, without the prefix's space."""
+        """UTF-8 of the texts of ids, each whole: by the tokenizers library; where texts are parts that no merge can
+        cross, the parts' bytes, which the library's decoding of each distinct part was held against (``parity``)."""
+        back = self._joined(ids)
+        if self.model.dummy_prefix:
+            back = [t.removeprefix(b" ") for t in back]
+        if self.by_runs:
+            return back
+        said = self.whole.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+        return [b if self.unknown in x else t.encode() for x, t, b in zip(ids, said, back, strict=True)]
+
+    def _joined(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The pieces' bytes, one after another."""
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         got = self.table.take(pa.array(np.concatenate([np.zeros(0, "<i4"), *ids])))
         at = np.frombuffer(got.buffers()[1], np.int64, len(got) + 1)[np.concatenate(([0], np.cumsum(sizes)))]
         data = got.buffers()[2].to_pybytes() if len(got) else b""
-        back = [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        return [t.removeprefix(b" ") for t in back] if self.model.dummy_prefix else back
+        return [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=1)
@@ -260,12 +280,14 @@ def kept_encoder(path: str) -> Encoder:
 def encoded(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
     """Columns ``keep`` of ``docs`` and ``n_tokens, ids_crc32, parity, round_trip`` (and ``ids``) of each whole text.
 
-    ``parity``: sentencepiece gives the same ids; ``round_trip``: the ids, decoded, give the whole text back (a text
+    ``parity``: sentencepiece gives the same ids, and the library decodes parts as the table does; ``round_trip``: the ids, decoded, give the whole text back (a text
     with the marker itself, or one that the normaliser changes, doesn't come back). Null and empty texts have no ids,
     parity and a round trip. Repeated rows get a row each; an empty table gives an empty table. Columns of the new
-    names in ``docs`` are left out.
+    names in ``docs`` are left out, also where ``keep`` names them.
     """
 
+    keep = tuple(c for c in dict.fromkeys(keep) if c.lower() not in ("n_tokens", "ids_crc32", "parity", "round_trip", *["ids"] * ids))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept_encoder(path)
         for batch in slices(batches, 500):

@@ -11,17 +11,18 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lumenspan.llm.common import shared_folder, slices, work_partitions, written
 from lumenspan.llm.files import Writer, opened
 
-INDEX = "file string, offset long, length long, url string, digest string, page_id long"
-RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+INDEX = "file string, offset long, length long, url string, digest string, page_id {id}"
+RECORDS = "page_id {id}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {id}"
 ID = "urn:lumenspan:page:"
 #: Payloads under this are never replaced by a revisit.
 LEAST_BYTES = 1000
@@ -34,25 +35,30 @@ def information(date: str = "2000-01-01T00:00:00Z", name: str = "") -> bytes:
     return "\r\n".join(head).encode() + body + b"\r\n\r\n"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = "2000-01-01T00:00:00Z") -> bytes:
+def _named(page_id: int | str | None, digest: str) -> str:
+    """A record's name; a null id is ``!``, which no quoted id is."""
+    return f"<{ID}{'!' if page_id is None else quote(str(page_id), safe='')}:{digest}>"
+
+
+def record(page_id: int | str | None, url: str | None, payload: bytes, digest: str, refers_to: int | str | None, date: str = "2000-01-01T00:00:00Z") -> bytes:
     """A response record, or (``refers_to`` given) a revisit record without the payload.
 
     A record is named by its page and payload, so rows that repeat an id share a name only if they are the same capture.
     """
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     body = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{ID}{page_id}:{digest}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_named(page_id, digest)}", f"WARC-Date: {date}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe=''.join(map(chr, range(33, 127))))}")
     head.append(f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}")
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{ID}{refers_to}:{digest}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_named(refers_to, digest)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}", "", ""]
     return "\r\n".join(head).encode() + body + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> dict:
-    """A record's fields; a response's payload digest is computed anew and must agree."""
+def parse(data: bytes, number: bool = True) -> dict:
+    """A record's fields, its ids as numbers or text; a response's payload digest is computed anew and must agree."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
     body = rest[: int(fields["Content-Length"])]
@@ -63,20 +69,26 @@ def parse(data: bytes) -> dict:
     if kind == "response" and (len(payload) != declared or hashlib.sha1(payload).hexdigest() != digest):
         raise ValueError(f"record {fields['WARC-Record-ID']} is damaged")
 
-    def number(name: str | None) -> int | None:
-        found = (name or f"<{ID}None:>").removeprefix(f"<{ID}").split(":")[0]
-        return None if found == "None" else int(found)
+    def page(name: str | None) -> int | str | None:
+        found = (name or f"<{ID}!:>").removeprefix(f"<{ID}").split(":")[0]
+        return None if found == "!" else int(found) if number else unquote(found)
+
+    return {"page_id": page(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "payload": payload, "payload_bytes": declared, "payload_digest": digest, "record_type": kind, "refers_to": page(fields.get("WARC-Refers-To"))}
 
-    return {"page_id": number(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "payload": payload, "payload_bytes": declared, "payload_digest": digest, "record_type": kind, "refers_to": number(fields.get("WARC-Refers-To"))}
+
+def _by_text(df: DataFrame) -> bool:
+    return isinstance(df.schema["page_id"].dataType, StringType)
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
     """``page_id, url, html, digest, refers_to``: among equal payloads of 1000 bytes or more all but the largest page_id
     (ties: all that have it) refer to it.
 
-    Digests alone are grouped; only those that occur twice meet the pages again.
+    Digests alone are grouped; only those that occur twice meet the pages again. Text ids stay text and are compared by
+    code point; others are whole numbers.
     """
-    shaped = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
+    page_id = F.col("page_id") if _by_text(pages) else F.col("page_id").cast("long")
+    shaped = pages.select(page_id.alias("page_id"), F.col("url").cast("string"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     shaped = shaped.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     large = shaped.where(F.octet_length("html") >= LEAST_BYTES)
     twice = written(large.groupBy("digest").agg(F.max("page_id").alias("target"), F.count("*").alias("n")).where("n > 1 and target is not null").select(F.col("digest").alias("_digest"), "target"), "twice")
@@ -95,6 +107,9 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = 1 << 30, lev
 
     Files of a task that is run again are left out: the index names only those of the attempt that counted.
     """
+    spec = INDEX.format(id="string" if _by_text(pages) else "long")
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string() if _by_text(pages) else pa.int64())
+    names = [x.split()[0] for x in spec.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: Writer | None = None
@@ -111,11 +126,11 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = 1 << 30, lev
                     out.append(member(information(name=out.name), level))
                 rows.append((out.name, out.append(data), len(data), url.as_py(), digest.as_py(), page_id.as_py()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], [x.split()[0] for x in INDEX.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         if out is not None:
             out.close()
 
-    return written(pages.mapInArrow(run, INDEX), "warc-index")
+    return written(pages.mapInArrow(run, spec), "warc-index")
 
 
 def ranges(rows: Iterable[tuple[str, int, int]], gap: int, most: int) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
@@ -135,7 +150,11 @@ def ranges(rows: Iterable[tuple[str, int, int]], gap: int, most: int) -> Iterato
 
 
 def read_archives(index: DataFrame, folder: str, gap: int = 1 << 16, most: int = 8 << 20, payload: bool = False) -> DataFrame:
-    """The records of the index rows given: a row for each, in coalesced reads; ``payload=True`` adds it as binary."""
+    """The records of the index rows given: a row for each, in coalesced reads; ``payload=True`` adds it as binary.
+
+    An index row given twice gives its record twice; no index rows give an empty table.
+    """
+    number = not _by_text(index)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = opened(folder)
@@ -147,7 +166,7 @@ def read_archives(index: DataFrame, folder: str, gap: int = 1 << 16, most: int =
                 name, source = file, system.open_input_file(f"{path}/{file}")
             data = source.read_at(end - start, start)
             for at, size in held:
-                rows.append(parse(zlib.decompress(data[at - start : at - start + size], 31)))
+                rows.append(parse(zlib.decompress(data[at - start : at - start + size], 31), number))
             if len(rows) >= 200:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
                 rows = []
@@ -155,7 +174,7 @@ def read_archives(index: DataFrame, folder: str, gap: int = 1 << 16, most: int =
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    spec = RECORDS + ", payload binary" * payload
+    spec = RECORDS.format(id="long" if number else "string") + ", payload binary" * payload
     schema = pa.schema([(n, kinds[t]) for n, t in (x.split() for x in spec.split(", "))])
     dealt = index.select("file", "offset", "length").repartition(work_partitions(index.sparkSession), "file", F.floor(F.col("offset") / (64 << 20))).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, spec)

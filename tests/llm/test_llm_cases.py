@@ -87,6 +87,49 @@ def test_ids_may_be_text(spark):
     assert toxicity.scores(docs, machine).count() == 3
 
 
+def test_search_and_archives_take_text_ids(spark):
+    docs = spark.createDataFrame([(c, "the very same words here") for c in ("50", "x", "7", "100", "5 0", "-50", None)], "doc_id string, text string")
+    assert {r.doc_id: r.n_near for r in fingerprints.searched(docs).collect()} == {"50": 7, "100": 7, "-50": 7, "x": None, "7": None, "5 0": None, None: None}
+    big = "y" * 1500
+    pages = spark.createDataFrame([("a:b>", None, big), ("é %", "u", big), ("None", "u", "s"), ("!", "u", "s"), ("", "u", "s"), (None, "u", "s")], "page_id string, url string, html string")
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.archived(spark, pages).collect()}
+    assert got == {("a:b>", "revisit", "é %"), ("é %", "response", None), *((x, "response", None) for x in ("None", "!", "", None))}
+
+
+def test_conversations_without_a_layout_keep_a_row(spark):
+    records = spark.createDataFrame([(1, '{"messages": [{"role": "user", "content": "a"}, {"from": "gpt", "value": "b"}]}'), (2, "no json"), (3, '{"messages": []}'), (4, '{"prompt": "p", "completion": "c"}'), (4, "[]")], "conv_id long, record string")
+    got = {r.conv_id: (r.n_turns, r.formatted == "", len(r.loss)) for r in chat.formatted(chat.canonical_turns(records)).collect()}
+    assert got == {1: (0, True, 0), 2: (0, True, 0), 3: (0, True, 0), 4: (2, False, 1)}
+
+
+def test_decoding_is_the_library_s(spark):
+    """The given model's decoding by parts against the library's own of whole ids; names that clash are left out."""
+    path = queries.tokenizer_file("piece_bpe_32k.model")
+    encoder = pieces.Encoder(path)
+    said = ["plain words, and more.", "", " two  spaces ", "tab\tand\nfeed", "日本語 \U0001f600 \x01", "▁ marker", "a" * 500]
+    ids = [x for x, _ in encoder.encode(said)]
+    assert [x.decode() for x in encoder.decode(ids)] == encoder.whole.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+    encoder.table = encoder.table.take([*range(1, len(encoder.table)), 0])  # a wrong table has no parity
+    assert not encoder.encode(["words never met before"])[0][1]
+    clash = spark.createDataFrame([(1, "some words", True, 3)], "doc_id long, text string, parity boolean, n_tokens int")
+    assert pieces.encoded(clash, path, keep=("doc_id", "parity", "n_tokens", "doc_id")).columns == ["doc_id", "n_tokens", "ids_crc32", "parity", "round_trip", "ids"]
+    assert pieces.encoded(clash, path, keep=("doc_id", "parity")).first().n_tokens > 0
+
+
+def test_components_leave_nothing_behind(spark):
+    from pathlib import Path
+
+    from lumenspan.llm import common
+
+    common.shared_folder(spark, "any")
+    root = Path(common._FOLDERS[spark.sparkContext.applicationId].removeprefix("file:"))
+    links = lambda: {x.name for x in root.glob("links-*")}
+    before = links()
+    near_simhash.near_duplicates(spark.createDataFrame([(k, "same words of a text " * 9) for k in range(5)], "doc_id long, text string")).count()
+    near_simhash.similar_documents(spark.createDataFrame([(k, "same words of a text " * 9 + "z" * k) for k in range(5)], "doc_id long, text string")).count()
+    assert links() == before
+
+
 def test_no_shared_folder_on_a_cluster():
     from types import SimpleNamespace
 
