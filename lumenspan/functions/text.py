@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from array import array
 
 import pandas as pd
 from pyspark.sql import Column
@@ -44,14 +45,64 @@ def relaxed(texts: pd.Series) -> pd.Series:
     return pd.Series([made.get(t) for t in texts], dtype=object)
 
 
+def _shared_start(a: str, b: str) -> int:
+    """Length of the common prefix."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def _excess(a: str, b: str, most: int) -> int | None:
+    """By how much the distance is over ``len(a) - len(b)``, for ``a`` the longer text; None if by more than ``most``.
+
+    Characters of ``a`` that are left out make up the difference of lengths, so a replaced one costs 1 more than that and
+    one of ``b`` that isn't met costs 2. For each excess, ``far[j]`` is the shortest prefix of ``a`` that takes the first
+    ``j`` characters of ``b``: work is in proportion to ``len(b)`` times the excess.
+    """
+    n, m = len(a), len(b)
+    never, find = n + 1, a.find
+    before, last = None, None
+    for e in range(most + 1):
+        far, at = array("q", bytes(8 * (m + 1))), 0
+        for j, c in enumerate(b, 1):
+            at = find(c, at) + 1 or never if at < n else never
+            if last is not None:
+                at = min(at, last[j - 1] + 1)
+                if before is not None:
+                    at = min(at, before[j - 1])
+            far[j] = at = min(at, never)
+            if at == never and last is None and not most:
+                return None
+        if far[m] <= n:
+            return e
+        before, last = last, far
+    return None
+
+
 def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance over code points, bit-parallel: a column of the table is one integer."""
+    """Levenshtein distance over code points.
+
+    A text that has the other's characters in order, but for few, takes time in proportion to its length (:func:`_excess`);
+    other pairs go bit-parallel, a column of the table being one integer: the product of the lengths by the word's bits.
+    """
     if a == b:
         return 0
+    start = _shared_start(a, b)
+    a, b = a[start:], b[start:]
+    end = _shared_start(a[::-1], b[::-1])
+    a, b = a[: len(a) - end], b[: len(b) - end]
     if not a or not b:
         return len(a) or len(b)
     if len(a) > len(b):
         a, b = b, a
+    more = _excess(b, a, len(a) // 4000)
+    if more is not None:
+        return len(b) - len(a) + more
     at: dict[str, int] = {}
     for k, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << k

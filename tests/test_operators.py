@@ -295,3 +295,38 @@ def test_snapshot_digest(spark, tmp_path):
     sha = lambda b: hashlib.sha256(b).hexdigest()
     assert pairs(each, "path", "size_bytes") == [("b.txt", 1), ("sub/a.txt", 2)]
     assert root.first().root_sha256 == sha(f"b.txt\0{sha(b'1')}\0sub/a.txt\0{sha(b'22')}\0".encode())
+
+
+def test_distance_of_long_texts_with_parts_left_out():
+    """Linear where a text has the other's characters in order, but for few."""
+    import time
+
+    rng = random.Random(2)
+    turns = ["".join(rng.choices("abcdefghij klmnop", k=500)) for _ in range(800)]
+    ref, cand = "".join(turns), "".join(t[2:] if k % 4 == 0 else t for k, t in enumerate(turns) if k % 7)
+    begun = time.process_time()
+    assert T.edit_distance(ref, cand) == T.edit_distance(cand, ref) == len(ref) - len(cand)
+    assert len(ref) - len(cand) < T.edit_distance(ref, cand + "#noise") <= len(ref) - len(cand) + 6
+    assert time.process_time() - begun < 10  # 400 000 by 340 000 characters, bit by bit, take a minute or more
+
+
+def test_distance_equals_brute_force():
+
+    def brute(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(3)
+    for _ in range(2000):
+        a = "".join(rng.choices("abcd", k=rng.randrange(14)))
+        b = "".join(c for c in a if rng.random() < 0.8) + "".join(rng.choices("abcde", k=rng.randrange(4)))
+        assert T.edit_distance(a, b) == brute(a, b)
+        long, short = (a, b) if len(a) >= len(b) else (b, a)
+        over = brute(a, b) - (len(long) - len(short))
+        for most in (0, 1, 3, 30):
+            assert T._excess(long, short, most) == (over if over <= most else None)
