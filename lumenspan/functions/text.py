@@ -6,6 +6,7 @@ import unicodedata
 from array import array
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
@@ -25,24 +26,30 @@ def strict(text: Column) -> Column:
     return F.regexp_replace(text, SPACE, "")
 
 
-def _practical(value: str, drop: str = "") -> str:
-    folded = unicodedata.normalize("NFKC", value)
-    return "".join(c for c in folded if c not in drop and not c.isspace() and unicodedata.category(c)[0] not in "PS")
+class _Kept(dict):
+    """Code points for ``str.translate``: white space, punctuation and symbols go; each is looked up once a process."""
 
+    def __missing__(self, point: int) -> int | None:
+        c = chr(point)
+        self[point] = None if c.isspace() or unicodedata.category(c)[0] in "PS" else point
+        return self[point]
 
-@F.pandas_udf(StringType())
-def practical(texts: pd.Series) -> pd.Series:
-    """Compatibility form without white space, punctuation and symbols. Spark has no such builtin; each distinct text of
-    a batch is folded once."""
-    made = {t: _practical(t) for t in texts.dropna().unique()}
-    return pd.Series([made.get(t) for t in texts], dtype=object)
 
+_KEPT = _Kept()
 
-@F.pandas_udf(StringType())
-def relaxed(texts: pd.Series) -> pd.Series:
-    """:func:`practical` without long-vowel and wave marks."""
-    made = {t: _practical(t, RELAXED) for t in texts.dropna().unique()}
-    return pd.Series([made.get(t) for t in texts], dtype=object)
+
+@F.arrow_udf(StringType())
+def practical(texts: pa.Array) -> pa.Array:
+    """Compatibility form without white space, punctuation and symbols. Spark has no such builtin. Texts are folded one
+    by one out of the Arrow batch, and few at a time are Python strings."""
+    folded = lambda t: None if t is None else unicodedata.normalize("NFKC", t).translate(_KEPT)
+    made = [pa.array([folded(t.as_py()) for t in texts.slice(at, 256)], pa.string()) for at in range(0, len(texts), 256)]
+    return pa.concat_arrays(made) if made else pa.array([], pa.string())
+
+
+def relaxed(text: Column | str) -> Column:
+    """:func:`practical` without long-vowel and wave marks; both of one text are one call of Python."""
+    return F.translate(practical(text), RELAXED, "")
 
 
 def _shared_start(a: str, b: str) -> int:

@@ -3,6 +3,7 @@
 import io
 import math
 import random
+import re
 import wave
 
 import numpy as np
@@ -297,6 +298,20 @@ def test_snapshot_digest(spark, tmp_path):
     assert root.first().root_sha256 == sha(f"b.txt\0{sha(b'1')}\0sub/a.txt\0{sha(b'22')}\0".encode())
 
 
+def test_forms_of_all_letters_equal_unicode(spark):
+    """Every code point, alone and beside others, and both forms of a text from one call of Python."""
+    import unicodedata
+
+    held = [chr(k) for k in range(1, 0x110000) if not 0xD800 <= k < 0xE000]
+    made = ["a" + "".join(held[k : k + 64]) for k in range(0, len(held), 64)] + ["", "e\u0301 ｶﾞー〜～"]
+    want = {t: "".join(c for c in unicodedata.normalize("NFKC", t) if not c.isspace() and unicodedata.category(c)[0] not in "PS") for t in made}
+    df = spark.createDataFrame(list(enumerate(made)), "i int, t string").select("i", T.practical("t").alias("p"), T.relaxed("t").alias("r"))
+    for i, p, r in df.collect():
+        assert p == want[made[i]] and r == p.replace("ー", "")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1 and len(set(re.findall(r"pythonUDF\d+", plan))) == 1
+
+
 def test_distance_of_long_texts_with_parts_left_out():
     """Linear where a text has the other's characters in order, but for few."""
     import time
