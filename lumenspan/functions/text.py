@@ -5,7 +5,6 @@ from __future__ import annotations
 import unicodedata
 from array import array
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -132,10 +131,11 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
-@F.pandas_udf(LongType())
-def long_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """:func:`edit_distance` for whole documents; short texts are faster by Spark's ``levenshtein``."""
-    return pd.Series([0 if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
+@F.arrow_udf(LongType())
+def long_distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    """:func:`edit_distance` for whole documents, a pair at a time; short texts are faster by Spark's ``levenshtein``."""
+    pairs = ((x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True))
+    return pa.array([0 if x is None or y is None else edit_distance(x, y) for x, y in pairs], pa.int64())
 
 
 def error_rate(distance: Column, reference_chars: Column, candidate_chars: Column) -> Column:

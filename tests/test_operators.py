@@ -312,6 +312,22 @@ def test_forms_of_all_letters_equal_unicode(spark):
     assert plan.count("ArrowEvalPython [") == 1 and len(set(re.findall(r"pythonUDF\d+", plan))) == 1
 
 
+def test_texts_leave_arrow_one_by_one():
+    """Neither a batch of texts nor one of pairs of documents stands in memory as Python strings."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([f"{k} ー" + "そうですか、 " * 500 for k in range(3000)])
+    for call in (lambda: T.practical.func(texts), lambda: T.long_distance.func(texts, texts)):
+        call()
+        tracemalloc.start()
+        call()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 5e6  # all of them take 21 MB
+
+
 def test_distance_of_long_texts_with_parts_left_out():
     """Linear where a text has the other's characters in order, but for few."""
     import time
