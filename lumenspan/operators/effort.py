@@ -22,6 +22,12 @@ def score_of(reasons: Column, weights: dict[str, float]) -> Column:
     return F.aggregate(reasons, F.lit(0.0), lambda a, r: a + F.coalesce(F.element_at(table, r), F.lit(0.0)))
 
 
+def _distance(a: str, b: str) -> Column:
+    """Edit distance; of texts of which one stands whole within the other it is the difference of their lengths."""
+    within = F.contains(a, b) | F.contains(b, a)
+    return F.when(within, F.abs(F.char_length(a) - F.char_length(b))).otherwise(F.levenshtein(a, b))
+
+
 def compared_sides(ref: DataFrame, cand: DataFrame, normal=practical) -> DataFrame:
     """Rows of :func:`matching.sides`, flattened, with their ``start_delta_ms, end_delta_ms``, whether their
     ``text_differs``, and ``text_distance``.
@@ -34,7 +40,7 @@ def compared_sides(ref: DataFrame, cand: DataFrame, normal=practical) -> DataFra
     pair = (F.col("side") == 0) & F.col("met")
     start, end = F.col("cand_start_ms") - F.col("ref_start_ms"), F.col("cand_end_ms") - F.col("ref_end_ms")
     differs = F.coalesce(F.col("ref_norm") != F.col("cand_norm"), F.lit(False))
-    return rows.withColumns({"start_delta_ms": F.when(pair, start), "end_delta_ms": F.when(pair, end), "text_differs": pair & differs, "text_distance": F.when(pair & differs, F.levenshtein("ref_norm", "cand_norm")).otherwise(F.lit(0)).cast("long")})
+    return rows.withColumns({"start_delta_ms": F.when(pair, start), "end_delta_ms": F.when(pair, end), "text_differs": pair & differs, "text_distance": F.when(pair & differs, _distance("ref_norm", "cand_norm")).otherwise(F.lit(0)).cast("long")})
 
 
 def reasoned(rows: DataFrame) -> DataFrame:

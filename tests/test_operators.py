@@ -361,3 +361,10 @@ def test_distance_equals_brute_force():
         over = brute(a, b) - (len(long) - len(short))
         for most in (0, 1, 3, 30):
             assert T._excess(long, short, most) == (over if over <= most else None)
+
+
+def test_text_distance_of_contained_texts(spark):
+    """Cut texts take the difference of lengths, without a table of the distances; others are as Spark has them."""
+    rows = [("abcdef", "cdef"), ("cd", "abcdef"), ("abc", "abd"), ("a😀b", "😀"), ("", "ab"), (None, "a")]
+    df = spark.createDataFrame(rows, "a string, b string").select(effort._distance("a", "b").alias("got"), F.levenshtein("a", "b").alias("want"))
+    assert [r.got for r in df.collect()] == [r.want for r in df.collect()]
