@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenspan.scratch import checkpointed
+
 TEXTS = ["case_id", "reference_id", "candidate_id", "reference_text", "candidate_text", "reference_channel", "candidate_channel"]
 TIMES = ["start_ms", "end_ms", "start_delta_ms", "end_delta_ms", "duration_ms"]
 #: Fields that a merge makes anew.
@@ -57,8 +59,13 @@ def items(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Items of one file in its order (``item_index``); raises on the first that isn't valid."""
+    """Items of one file in its order (``item_index``); raises on the first that isn't valid.
+
+    Lines are parsed once, into a checkpoint.
+    """
     rows = items(spark, path, lines)
+    if lines:
+        rows = checkpointed(rows)
     first = rows.where("rule is not null").orderBy("item_index").limit(1).collect()
     if first:
         raise ValueError(f"{path}: item {first[0]['item_index']}: {first[0]['rule']}")

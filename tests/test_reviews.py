@@ -88,3 +88,12 @@ def test_numbers_over_many_ranges_with_ties(spark):
     want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
     assert sorted(r.n for r in got) == list(range(1, 501)) and [(r.a, r.b) for r in sorted(got, key=lambda r: r.n)] == want
     assert ranking.numbered(df.limit(0), [F.col("a")], "n").count() == 0
+
+
+def test_lines_are_parsed_once(spark, tmp_path):
+    """What was checked is what is merged, also if the file goes."""
+    path = str(tmp_path / "queue")
+    spark.createDataFrame([('{"case_id": "a", "reasons": ["text"], "priority_score": 1.5}',)], "value string").write.text(path)
+    rows = reviews.read(spark, path, lines=True)
+    spark.createDataFrame([('{"case_id": "b", "reasons": ["text"]}',)], "value string").write.mode("overwrite").text(path)
+    assert [(r.case_id, r.priority_score) for r in rows.collect()] == [("a", 1.5)]
