@@ -11,6 +11,9 @@ Only distinct fingerprints are indexed, so exact copies cost nothing. A posting
 pairs: a breadth-first walk compares each newly reached fingerprint with those not reached yet, so a posting of m
 mutual near copies costs about m comparisons and gives m - 1 links, with the same components as all its pairs.
 Postings come as a sorted stream, 8 bytes a member, whatever their size.
+
+Copies that were shortened or extended lie beyond the radius. :func:`similar_documents` finds those by an exact index of
+shingles; with a ``radius`` it takes the links of fingerprints too and looks only at what those leave apart.
 """
 
 from __future__ import annotations
@@ -425,16 +428,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(per_batch(run), "u long, v long")
 
 
-def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, text`` → ``doc_id, text_hash, name, n, bits, common``: name and size of a text's set, its
-    :func:`parities`, and (on one row of a batch) the hashes that four or more of the batch's sets have."""
+def _sketched(docs: DataFrame, shingle: int, with_fp: bool) -> DataFrame:
+    """``doc_id, text`` → ``doc_id, text_hash, fp, name, n, bits, common``: a text's :func:`simhash` (null without
+    ``with_fp``), name and size of its set, its :func:`parities`, and (on one row of a batch) the hashes that four or
+    more of the batch's sets have."""
     signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
     kind = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, names, sets, bits = [], [], [], []
+        hashes, fps, names, sets, bits = [], [], [], [], []
         for t in texts(batch):
             some = shingle_set(t, shingle)
+            fps.append(simhash(t) if with_fp else 0)
             bits.append(parities(some))
             hashes.append(xxhash.xxh64_intdigest(t, 42))
             names.append(set_name(some))
@@ -442,9 +447,19 @@ def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
         values, counts = np.unique(np.concatenate(sets), return_counts=True)
         often = counts >= 4
         common = [[{"h": h, "c": c} for h, c in zip(values[often].view(np.int64).tolist(), counts[often].tolist(), strict=True)]] + [None] * (batch.num_rows - 1)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), signed(hashes), signed(names), pa.array([x.size for x in sets], pa.int32()), pa.array(bits, pa.binary()), pa.array(common, kind)], ["doc_id", "text_hash", "name", "n", "bits", "common"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), signed(hashes), signed(fps) if with_fp else pa.nulls(batch.num_rows, pa.int64()), signed(names), pa.array([x.size for x in sets], pa.int32()), pa.array(bits, pa.binary()), pa.array(common, kind)], ["doc_id", "text_hash", "fp", "name", "n", "bits", "common"])
+
+    return docs.select("doc_id", "text").mapInArrow(per_batch(run), f"doc_id {typed(docs)}, text_hash long, fp long, name long, n int, bits binary, common array<struct<h: long, c: long>>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(per_batch(run), f"doc_id {typed(docs)}, text_hash long, name long, n int, bits binary, common array<struct<h: long, c: long>>")
+def _links_of_names(sketches: DataFrame, radius: int) -> DataFrame:
+    """``fp, name`` → links ``u, v`` of names: those of one fingerprint, and of fingerprints by :func:`near_links`."""
+    each = sketches.select("fp", "name").distinct()
+    one = each.groupBy("fp").agg(F.min("name").alias("first"))
+    same = each.join(one, "fp").where("name <> first").select(F.col("name").alias("u"), F.col("first").alias("v"))
+    end = lambda c: one.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}"))
+    near = near_links(sketches, radius).join(end("u"), "u").join(end("v"), "v").where("first_u <> first_v")
+    return same.unionByName(near.select(F.col("first_u").alias("u"), F.col("first_v").alias("v"))).distinct()
 
 
 def _prefix_keys(docs: DataFrame, shingle: int, similarity: float, common: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -484,18 +499,20 @@ def _sets_of(docs: DataFrame, hashes: DataFrame, shingle: int) -> DataFrame:
     return some.dropDuplicates(["text_hash"]).select("text").mapInArrow(per_batch(run), "name long, hashes binary")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int | None = None) -> DataFrame:
     """Classes of documents whose ``shingle``-word shingles are alike: ``doc_id, text_hash, component_id, class``.
 
     Links are all pairs of texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more. Candidates
     come from an index of the sets' prefixes, which every such pair shares a key of; bounds that hold for every such
     pair deny most others, and the rest are verified on the whole sets, but for pairs that links already join. Which
-    hashes count as common only orders the prefixes, so it changes work and not links. A row for each row of ``docs``;
+    hashes count as common only orders the prefixes, so it changes work and not links. With a ``radius``, texts whose
+:func:`simhash` differ in so many bits or fewer are linked too; these links come from the byte-position index, and
+of the other pairs only those that they leave apart are compared. A row for each row of ``docs``;
     null texts are empty; texts without words are one class; ``component_id`` is the smallest ``doc_id`` of the class
     (null if it has none), ``class`` a hash that names it. An empty table gives an empty table.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.written(_sketched(docs, shingle), "sketches")
+    rows = scratch.written(_sketched(docs, shingle, radius is not None), "sketches")
     # 50 000 hashes at most; those left out only cost work
     often = rows.select(F.explode("common").alias("x")).groupBy("x.h").agg(F.sum("x.c").alias("c")).orderBy(F.desc("c"), "h").limit(50_000).collect()
     known = sorted((r.h % 2**64, r.c) for r in often)
@@ -513,11 +530,11 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
             pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
         return pairs.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
 
-    def linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Links with the components of all that the pairs give, and their roots: first one pair of each text, then what
-        those leave apart."""
+    def linked(pairs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links with the components of the known ones and all that the pairs give, and their roots: first one pair of
+        each text, then what those and the known ones leave apart."""
         sets = sets_of(pairs)
-        links = scratch.written(_verified(pairs.groupBy("v").agg(F.min("u").alias("u")), sets, similarity), "verified")
+        links = known.unionByName(scratch.written(_verified(pairs.groupBy("v").agg(F.min("u").alias("u")), sets, similarity), "verified"))
         rest = apart(pairs, components(links, scratch))
         links = links.unionByName(scratch.written(_verified(rest, sets, similarity), "verified"))
         return links, components(links, scratch)
@@ -525,7 +542,10 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     postings = _prefix_keys(docs, shingle, similarity, common, counts)
     met = scratch.written(postings.repartition("key").sortWithinPartitions("key", "name").mapInArrow(_first_pairs(similarity), "key long, u long, v long"), "met")
     first = met.where("v is not null").select("u", "v").distinct()
-    links, roots = linked(scratch.written(_possible(first, one, similarity), "possible"))
+    near = docs.sparkSession.createDataFrame([], "u long, v long")
+    if radius is not None:
+        near = scratch.written(_links_of_names(rows, radius), "near")
+    links, roots = linked(scratch.written(_possible(first, one, similarity), "possible"), near)
     members = met.where("v is null").select("key", F.col("u").alias("name")).join(roots, F.col("name") == F.col("node"), "left")
     members = scratch.written(members.select("key", "name", F.coalesce("root", "name").alias("root")), "members")
     mixed = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m")).where("a < b").select("key", "m")
@@ -533,7 +553,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     others = members.repartition("key").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "name", "block", "n", "root", "bits").mapInArrow(_other_pairs(similarity), "u long, v long")
     others = scratch.written(others.distinct(), "others")
     if not others.isEmpty():
-        roots = components(links.unionByName(linked(others)[0]), scratch)
+        roots = linked(others, links)[1]
     named = one.join(roots, F.col("name") == F.col("node"), "left")
     named = scratch.written(named.select("name", "least", F.coalesce("root", "name").alias("root")), "named")
     by_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -543,15 +563,16 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     return out
 
 
-def representatives(docs: DataFrame, **settings) -> DataFrame:
-    """One row of ``docs`` for each class of :func:`similar_documents`, all columns: that with the smallest ``doc_id``,
-    null last; of several with that id that with the smallest text hash, and of equal rows one.
+def representatives(docs: DataFrame, radius: int | None = 4, **settings) -> DataFrame:
+    """One row of ``docs`` for each class of :func:`similar_documents`, with the links of SimHashes within ``radius``, all
+    columns: that with the smallest ``doc_id``, null last; of several with that id that with the smallest text hash, and
+    of equal rows one.
 
     Texts are shuffled once, by id and text hash; the window after the join needs no other dealing.
     """
     id_, hash_, at_ = (unused(f"_{c}", docs) for c in ("id", "hash", "at"))
     order = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("x")
-    stay = similar_documents(docs, **settings).groupBy("class").agg(order).select(F.col("x.doc_id").alias(id_), F.col("x.text_hash").alias(hash_))
+    stay = similar_documents(docs, radius=radius, **settings).groupBy("class").agg(order).select(F.col("x.doc_id").alias(id_), F.col("x.text_hash").alias(hash_))
     text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col(id_)) & (text_hash == F.col(hash_)))
     turn = F.row_number().over(Window.partitionBy(id_, hash_).orderBy(hash_))

@@ -128,6 +128,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near duplicates.
 
+    Links are those of SimHashes that differ in 4 or fewer bits, by the byte-position index, and of the texts that these
+    leave apart all with a five-word shingle similarity of 0.8, as shortened and extended copies lie beyond the radius.
     Null and empty texts are one class; of rows that tie in id and text one stays, unlike texts under one id are
     documents of their own, and a null id is the smallest of none but itself. An empty table gives an empty one, with
     the columns of ``docs``.

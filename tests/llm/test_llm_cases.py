@@ -312,6 +312,39 @@ def test_similar_documents_equal_brute_force(spark, monkeypatch, block):
     assert got == {k: find(k) for k in range(len(out))}
 
 
+def test_near_dedup_stage_links_by_simhash_and_by_shingles(spark, data):
+    """Texts whose repeated part decides the fingerprint, copies with a word changed, and shortened ones: the classes of
+    all pairs within 4 bits or of similarity 0.8."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9)))
+    out = []
+    for _ in range(6):
+        words, often = [word() for _ in range(200)], [word() for _ in range(12)] * 90
+        out += [words, [*words[:90], "changed", *words[91:]], words[:170], words[:100]]
+        out += [often + [word() for _ in range(12)] for _ in range(3)]
+    rng.shuffle(out)
+    made = [" ".join(w) for w in out]
+    fps = [near_simhash.simhash(t.encode()) for t in made]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in out]
+    root = list(range(len(out)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    by_bits = 0
+    for a, b in itertools.combinations(range(len(out)), 2):
+        near, alike = (fps[a] ^ fps[b]).bit_count() <= 4, len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+        by_bits += near and not alike
+        if near or alike:
+            p, r = find(a), find(b)
+            root[max(p, r)] = min(p, r)
+    assert by_bits > 3
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    assert {r.doc_id for r in queries.near_dedup_stage(spark, docs, data).collect()} == {find(k) for k in range(len(out))}
+
+
 def test_within_radius_equals_brute_force(spark):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(50)]
