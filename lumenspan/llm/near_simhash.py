@@ -530,14 +530,13 @@ of the other pairs only those that they leave apart are compared. A row for each
             pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
         return pairs.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
 
-    def linked(pairs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Links with the components of the known ones and all that the pairs give, and their roots: first one pair of
-        each text, then what those and the known ones leave apart."""
+    def linked(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """Roots of the components of the known links and all that the pairs give: first one pair of each text, then what
+        those and the known ones leave apart. A component's links go on as links to its root, which need few rounds."""
         sets = sets_of(pairs)
-        links = known.unionByName(scratch.written(_verified(pairs.groupBy("v").agg(F.min("u").alias("u")), sets, similarity), "verified"))
-        rest = apart(pairs, components(links, scratch))
-        links = links.unionByName(scratch.written(_verified(rest, sets, similarity), "verified"))
-        return links, components(links, scratch)
+        roots = components(known.unionByName(scratch.written(_verified(pairs.groupBy("v").agg(F.min("u").alias("u")), sets, similarity), "verified")), scratch)
+        rest = scratch.written(_verified(apart(pairs, roots), sets, similarity), "verified")
+        return components(roots.toDF("u", "v").unionByName(rest), scratch)
 
     postings = _prefix_keys(docs, shingle, similarity, common, counts)
     met = scratch.written(postings.repartition("key").sortWithinPartitions("key", "name").mapInArrow(_first_pairs(similarity), "key long, u long, v long"), "met")
@@ -545,7 +544,7 @@ of the other pairs only those that they leave apart are compared. A row for each
     near = docs.sparkSession.createDataFrame([], "u long, v long")
     if radius is not None:
         near = scratch.written(_links_of_names(rows, radius), "near")
-    links, roots = linked(scratch.written(_possible(first, one, similarity), "possible"), near)
+    roots = linked(scratch.written(_possible(first, one, similarity), "possible"), near)
     members = met.where("v is null").select("key", F.col("u").alias("name")).join(roots, F.col("name") == F.col("node"), "left")
     members = scratch.written(members.select("key", "name", F.coalesce("root", "name").alias("root")), "members")
     mixed = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m")).where("a < b").select("key", "m")
@@ -553,7 +552,7 @@ of the other pairs only those that they leave apart are compared. A row for each
     others = members.repartition("key").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "name", "block", "n", "root", "bits").mapInArrow(_other_pairs(similarity), "u long, v long")
     others = scratch.written(others.distinct(), "others")
     if not others.isEmpty():
-        roots = linked(others, links)[1]
+        roots = linked(others, roots.toDF("u", "v"))
     named = one.join(roots, F.col("name") == F.col("node"), "left")
     named = scratch.written(named.select("name", "least", F.coalesce("root", "name").alias("root")), "named")
     by_root = named.groupBy("root").agg(F.min("least").alias("component_id"))

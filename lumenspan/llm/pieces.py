@@ -19,7 +19,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -135,6 +135,8 @@ def build(model: Model, normalise: bool = True):
     return out
 
 
+#: Most distinct runs, and most parts of runs, that an encoder holds from batch to batch.
+MOST = 250_000
 # ASCII punctuation that may follow a word.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -146,12 +148,12 @@ class Encoder:
     characters that meet between them.
     """
 
-    def __init__(self, path: str, verify: bool = True, most: int = 500_000):
+    def __init__(self, path: str, verify: bool = True, most: int = MOST):
         with open(path, "rb") as f:
             self._set_up(f.read(), verify, most)
 
     @classmethod
-    def of(cls, data: bytes, verify: bool = True, most: int = 500_000) -> Encoder:
+    def of(cls, data: bytes, verify: bool = True, most: int = MOST) -> Encoder:
         """From a model file's bytes."""
         out = cls.__new__(cls)
         out._set_up(data, verify, most)
@@ -164,9 +166,9 @@ class Encoder:
         self.feed = self.run.encode("\n", add_special_tokens=False).ids
         self.by_runs = self.model.kind == BPE and len(self.feed) == 1 and not any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in normal)
         self.meet = {pair for p in normal for pair in pairwise(p)}
-        self.known: dict[str, tuple[bytes, bool]] = {}
-        self.parts: dict[str, tuple[bytes, bool]] = {}
-        self.bad: set[str] = set()  # runs without parity
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.bad: set[str] = set()  # runs and parts without parity
         self.unknown = next((n for n, (_, _, kind) in enumerate(self.model.pieces) if kind == UNKNOWN), -1)
         self.table = pa.array([self._bytes_of(p, kind) for p, _, kind in self.model.pieces], pa.large_binary())
         import sentencepiece
@@ -225,11 +227,14 @@ class Encoder:
         if fresh:
             got, want = self._encode_parts(fresh)
             for p, e, w, same in zip(fresh, got, want, self._alike(got), strict=True):
-                self.parts[p] = np.array(e, "<i4").tobytes(), e == w and same
+                self.parts[p] = np.array(e, "<i4").tobytes()
+                if e != w or not same:
+                    self.bad.add(p)
         for r, parts in split.items():
-            each = [self.parts[p] for p in parts]
-            self.known[r] = b"".join([x[0] for x in each]), all(x[1] for x in each)
-        self.known["\n"] = np.array(self.feed, "<i4").tobytes(), True
+            self.known[r] = b"".join([self.parts[p] for p in parts])
+            if not self.bad.isdisjoint(parts):
+                self.bad.add(r)
+        self.known["\n"] = np.array(self.feed, "<i4").tobytes()
 
     def encode(self, data: list[str]) -> list[tuple[np.ndarray, bool]]:
         """For each text: the tokenizers library's ids, and whether sentencepiece has the same."""
@@ -242,15 +247,22 @@ class Encoder:
         fresh = list({r for each in runs for r in each if r not in known})
         if fresh:
             self._learn(fresh)
-        self.bad.update(r for r in fresh if not known[r][1])
-        out = [(np.frombuffer(b"".join([known[r][0] for r in each]), "<i4"), not self.bad or self.bad.isdisjoint(each)) for each in runs]
-        if len(known) > self.most:
-            known.clear()
-            self.bad.clear()
-        if len(self.parts) > self.most:
-            self.parts.clear()
+        out = [(np.frombuffer(b"".join([known[r] for r in each]), "<i4"), not self.bad or self.bad.isdisjoint(each)) for each in runs]
+        self._forget(self.known)
+        self._forget(self.parts)
         return out
 
+    def _forget(self, held: dict[str, bytes]) -> None:
+        """The older half of what is held goes if that is too much; bad ones stay bad, as long as either has them."""
+        if len(held) > self.most:
+            for x in list(islice(held, len(held) - self.most // 2)):
+                del held[x]
+            self.bad = {x for x in self.bad if x in self.known or x in self.parts}
+
+    def forget(self) -> None:
+        """Nothing that texts brought is held any longer; the model stays."""
+        self.known, self.parts, self.bad = {}, {}, set()
+
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """UTF-8 of the texts of ids, each whole: by the tokenizers library; where texts are parts that no merge can
         cross, the parts' bytes, which the library's decoding of each distinct part was held against (``parity``)."""
@@ -273,7 +285,7 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def kept_encoder(path: str) -> Encoder:
-    """Kept in a worker from task to task."""
+    """Kept in a worker from task to task, without what the tasks' texts brought."""
     return Encoder(path)
 
 
@@ -290,17 +302,21 @@ def encoded(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), ids
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept_encoder(path)
-        for batch in slices(batches, 500):
-            done = encoder.encode([t.decode() for t in texts(batch)])
-            found = [x for x, _ in done]
-            back = [a == b for a, b in zip(encoder.decode(found), texts(batch), strict=True)]
-            made = [pa.array([x.size for x in found], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in found], pa.int64()), pa.array([p for _, p in done]), pa.array(back)]
-            names = ["n_tokens", "ids_crc32", "parity", "round_trip"]
-            if ids:
-                ends = np.concatenate(([0], np.cumsum([x.size for x in found]))).astype(np.int32)
-                made.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found))))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], [*keep, *names])
+        try:
+            for batch in slices(batches, 500):
+                done = encoder.encode([t.decode() for t in texts(batch)])
+                found = [x for x, _ in done]
+                back = [a == b for a, b in zip(encoder.decode(found), texts(batch), strict=True)]
+                made = [pa.array([x.size for x in found], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in found], pa.int64()), pa.array([p for _, p in done]), pa.array(back)]
+                names = ["n_tokens", "ids_crc32", "parity", "round_trip"]
+                if ids:
+                    ends = np.concatenate(([0], np.cumsum([x.size for x in found]))).astype(np.int32)
+                    made.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], [*keep, *names])
+        finally:  # workers wait for later stages with what they hold
+            encoder.forget()
+            pa.default_memory_pool().release_unused()
 
     extra = [StructField("n_tokens", LongType()), StructField("ids_crc32", LongType()), StructField("parity", BooleanType()), StructField("round_trip", BooleanType())]
     if ids:

@@ -11,6 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
 from lumenspan.llm import chat, components, fingerprints, licenses, line_quality, mixing, near_simhash, pieces, queries, token_files, toxicity, warc
 
@@ -522,6 +523,42 @@ def test_a_difference_between_the_libraries_shows():
     assert ids.tolist() == encoder.whole.encode("some words").ids and not same
 
 
+def test_an_encoder_forgets_the_older_half_and_no_difference():
+    """What is held stays bounded, ids and parity don't depend on it, and a task leaves nothing in its worker."""
+    path = queries.tokenizer_file("piece_bpe_32k.model")
+    few, all_ = pieces.Encoder(path, most=20), pieces.Encoder(path)
+
+    class Other:
+        def encode(self, data):
+            return [[0 if y == 500 + k else y for y in x] for x in real.encode(data)] if isinstance(data, list) else real.encode(data)
+
+    real, k = few.check, all_.whole.encode("odd").ids[-1] - 500
+    few.check = all_.check = Other()
+    data = [f"odd w{n}x, again{n}. odd\n" if n % 2 else f"w{n} (plain{n % 7})" for n in range(60)]
+    for at in range(0, 60, 5):
+        for (a, x), (b, y) in zip(few.encode(data[at : at + 5]), all_.encode(data[at : at + 5]), strict=True):
+            assert a.tolist() == b.tolist() and x == y
+        assert len(few.known) <= 20 and len(few.parts) <= 20 and few.bad <= {*few.known, *few.parts}
+    assert not all(x for _, x in all_.encode(data)) and any(x for _, x in all_.encode(data))
+
+
+def test_a_task_leaves_no_runs_in_its_worker(monkeypatch):
+    made = {}
+
+    class Docs:
+        schema = {"doc_id": StructField("doc_id", LongType())}
+        select = lambda self, *_: self
+
+        def mapInArrow(self, run, _):
+            batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words", None]})
+            made["rows"] = [x.num_rows for x in run([batch])]
+
+    path = queries.tokenizer_file("piece_bpe_32k.model")
+    pieces.encoded(Docs(), path)
+    encoder = pieces.kept_encoder(path)
+    assert made["rows"] == [2] and not encoder.known and not encoder.parts and not encoder.bad
+
+
 def control(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, record string")
 
